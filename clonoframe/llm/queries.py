@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, merkle, mixing, mpeg, quality, secret_scan, urlfilter
+from . import bpe, merkle, minhash, mixing, mpeg, quality, secret_scan, urlfilter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,6 +20,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.linked(_table(spark, sf_dir, "documents"), words=3, similarity=0.85)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.op3(_table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_url_filter, op4_byte_bpe, op6_pivotal_mix, op7_merkle_fingerprint, op8_quality_qda, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_url_filter, op4_byte_bpe, op6_pivotal_mix, op7_merkle_fingerprint, op8_quality_qda, op10_mpeg_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
