@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, merkle, minhash, mixing, mpeg, quality, secret_scan, urlfilter
+from . import bpe, merkle, minhash, mixing, mpeg, quality, secret_scan, suffix, urlfilter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -44,12 +44,16 @@ def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed(_table(spark, sf_dir, "documents"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.media_columns(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_url_filter, op4_byte_bpe, op6_pivotal_mix, op7_merkle_fingerprint, op8_quality_qda, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_url_filter, op4_byte_bpe, op6_pivotal_mix, op7_merkle_fingerprint, op8_quality_qda, op9_suffix_dedup, op10_mpeg_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
