@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, merkle, minhash, mixing, mpeg, quality, secret_scan, suffix, urlfilter
+from . import bpe, ctw, merkle, minhash, mixing, mpeg, quality, secret_scan, suffix, urlfilter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -32,6 +32,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_url_filter, op4_byte_bpe, op6_pivotal_mix, op7_merkle_fingerprint, op8_quality_qda, op9_suffix_dedup, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_url_filter, op4_byte_bpe, op5_ctw_score, op6_pivotal_mix, op7_merkle_fingerprint, op8_quality_qda, op9_suffix_dedup, op10_mpeg_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
