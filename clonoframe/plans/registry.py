@@ -1,11 +1,499 @@
-"""All queries on the engine's own operators, and their SQL."""
+"""All queries on the engine's own operators, and their SQL. Numbers are rounded, so that the last bits of sums don't matter."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import encoders, strings
+from ..functions import vectors as V
+from ..operators import classify, correct, encode, metrics, neighbors, preprocess, reconstruct, report, space
+from . import proxy as P
 
-def oracle_sql() -> dict:
-    return {}
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _Q[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.clonotypes(spark, d).join(P.embeddings(spark, d).select("vec_id", "vec"), "vec_id")
+    return encode.encode_samples(rows, P.centroids(spark, d))
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return P.table(spark, d, "events").select(F.col("user_id").alias("sample")).distinct()
+
+
+def _long(df: DataFrame, key: str, vec: str = "vec", digits: int = 6) -> DataFrame:
+    return df.select(key, F.posexplode(vec).alias("pos", "x")).select(key, "pos", F.round("x", digits).alias("x"))
+
+
+# --- encoding --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {P.ENC} SELECT sample, cluster, diversity, round(abundance, 4) AS abundance, round(ln(1 + abundance / (sum(abundance) OVER (PARTITION BY sample) + 1e-9)), 6) AS log_share FROM enc")
+def encode_repertoires(spark, d):
+    enc = encode.row_normalize(_encoded(spark, d), "abundance", "_s")
+    return enc.select("sample", "cluster", "diversity", F.round("abundance", 4).alias("abundance"), F.round(F.log1p("_s"), 6).alias("log_share"))
+
+
+@query(f"WITH {P.DENSE} SELECT sample, string_agg(CAST(diversity AS VARCHAR), ',' ORDER BY cluster) AS diversity, round(sum(abundance), 4) AS total FROM grid GROUP BY 1")
+def encode_dense(spark, d):
+    got = encode.dense(_encoded(spark, d), _samples(spark, d), 10)
+    return got.select("sample", F.array_join(F.transform("diversity", lambda x: x.cast("string")), ",").alias("diversity"), F.round(V.total(F.col("abundance")), 4).alias("total"))
+
+
+@query(f"WITH {P.EMB}, {P.CENT}, {P.NEAR} SELECT vec_id, cluster, round(d2, 6) AS d2 FROM near")
+def nearest_centroid(spark, d):
+    return encode.nearest_centroid(P.embeddings(spark, d), P.centroids(spark, d)).select("vec_id", "cluster", F.round("d2", 6).alias("d2"))
+
+
+@query(f"WITH {P.EMB}, {P.CENT} SELECT cluster, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS pos, round(unnest(c), 6) AS x FROM cent")
+def centroid_mean(spark, d):
+    return _long(P.centroids(spark, d), "cluster")
+
+
+_ROLL = f"{P.ENC}, roll AS (SELECT sample, cluster % 4 AS cluster, sum(diversity) AS diversity, sum(abundance) AS abundance FROM enc WHERE cluster % 4 < 3 GROUP BY 1, 2)"
+
+
+def _mapping(spark):
+    return spark.range(10).select(F.col("id").cast("int").alias("primary"), (F.col("id") % 4).cast("int").alias("func"))
+
+
+@query(f"WITH {_ROLL} SELECT sample, cluster, CAST(diversity AS BIGINT) AS diversity, round(abundance, 4) AS abundance FROM roll")
+def functional_rollup(spark, d):
+    return encode.functional_rollup(_encoded(spark, d), _mapping(spark), 3).select("sample", "cluster", "diversity", F.round("abundance", 4).alias("abundance"))
+
+
+_GRID3 = (
+    f"WITH {_ROLL}, g AS (SELECT s.sample, k.pos, coalesce(diversity, 0) AS dv, coalesce(abundance, 0.0) AS ab FROM (SELECT DISTINCT user_id AS sample FROM events) s "
+    "CROSS JOIN (SELECT CAST(unnest(range(3)) AS INTEGER) AS pos) k LEFT JOIN roll ON roll.sample = s.sample AND roll.cluster = k.pos), "
+    "n AS (SELECT sample, pos, ln(1 + ab / (sum(ab) OVER (PARTITION BY sample) + 1e-9)) AS a, dv / (sum(dv) OVER (PARTITION BY sample) + 1e-9) AS v FROM g) "
+)
+
+
+def _features(spark, d, mode):
+    return _long(encode.functional_features(_encoded(spark, d), _samples(spark, d), _mapping(spark), 10, 3, mode), "sample")
+
+
+@query(_GRID3 + "SELECT sample, pos, round(a, 6) AS x FROM n UNION ALL SELECT sample, pos + 3, round(v, 6) FROM n")
+def feature_matrix_concatenate(spark, d):
+    return _features(spark, d, "concatenate")
+
+
+@query(_GRID3 + "SELECT sample, pos, round(a, 6) AS x FROM n")
+def feature_matrix_abundance(spark, d):
+    return _features(spark, d, "abundance")
+
+
+@query(_GRID3 + "SELECT sample, pos, round(v, 6) AS x FROM n")
+def feature_matrix_diversity(spark, d):
+    return _features(spark, d, "diversity")
+
+
+@query(f"WITH {P.ENC} SELECT sample, cluster, round(abundance / (sum(abundance) OVER (PARTITION BY sample) + 1e-9), 6) AS share FROM enc")
+def row_normalize(spark, d):
+    return encode.row_normalize(_encoded(spark, d), "abundance", "share").select("sample", "cluster", F.round("share", 6).alias("share"))
+
+
+@query(f"WITH {P.ENC} SELECT sample, cluster, round(CAST(diversity AS DOUBLE) / sum(diversity) OVER (PARTITION BY sample), 6) AS share FROM enc")
+def count_to_frequency(spark, d):
+    return encode.count_to_frequency(_encoded(spark, d), "diversity", "share").select("sample", "cluster", F.round("share", 6).alias("share"))
+
+
+@query("SELECT user_id AS sample, event_id % 10 AS cluster, count(DISTINCT event_type) AS diversity FROM events GROUP BY user_id, event_id % 10")
+def distinct_diversity(spark, d):
+    rows = P.clonotypes(spark, d).withColumn("cluster", F.col("row_id") % 10)
+    return encode.count_and_sum(rows, distinct="v").select("sample", "cluster", "diversity")
+
+
+# --- preprocessing ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {P.CLON} SELECT row_id, cdr3 FROM clon WHERE length(cdr3) >= 10 AND cdr3 LIKE 'C%F' AND NOT contains(cdr3, '*')")
+def qc_filter(spark, d):
+    return preprocess.qc_filter(P.clonotypes(spark, d)).select("row_id", "cdr3")
+
+
+_TOP = f"{P.CLON}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY freq DESC, row_id) AS r FROM clon WHERE full_seq <> 'Failure') WHERE r <= 5)"
+
+
+@query(f"WITH {_TOP} SELECT sample, row_id, full_seq, freq FROM top")
+def top_clones(spark, d):
+    return preprocess.top_clones(P.clonotypes(spark, d), 5).select("sample", "row_id", "full_seq", "freq")
+
+
+@query(f"WITH {_TOP} SELECT DISTINCT full_seq FROM top")
+def merged_distinct_seqs(spark, d):
+    return preprocess.distinct_sequences(P.clonotypes(spark, d), 5)
+
+
+@query(f"WITH {P.CLON} SELECT row_id FROM clon WHERE full_seq <> 'Failure'")
+def drop_failures(spark, d):
+    return preprocess.drop_failures(P.clonotypes(spark, d), "full_seq").select("row_id")
+
+
+@query(f"WITH {P.CLON} SELECT round(100.0 * avg(CASE WHEN full_seq = 'Failure' THEN 1.0 ELSE 0.0 END), 6) AS failure_pct FROM clon")
+def failure_rate(spark, d):
+    return preprocess.failure_rate(P.clonotypes(spark, d)).select(F.round("failure_pct", 6).alias("failure_pct"))
+
+
+def _labelled(spark, d):
+    lab = P.table(spark, d, "labels").select(F.col("doc_id").alias("sample"), F.col("quality").alias("label"))
+    return preprocess.relabel(_encoded(spark, d), lab).withColumn("dataset", F.lit("all"))
+
+
+_LAB = f"{P.ENC}, lab AS (SELECT enc.*, quality AS label FROM enc LEFT JOIN labels ON doc_id = sample)"
+
+
+@query(f"WITH {_LAB} SELECT CASE label WHEN 0 THEN 'all_Normal' ELSE 'all_Tumor' END AS dataset, count(*) AS n, CAST(sum(diversity) AS BIGINT) AS rows FROM lab WHERE label IN (0, 1) GROUP BY 1")
+def split_by_label(spark, d):
+    parts = preprocess.split_by_label(_labelled(spark, d))
+    return preprocess.merge_datasets(*parts.values()).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("diversity").alias("rows"))
+
+
+@query(f"WITH {_LAB} SELECT sample, cluster, label FROM lab")
+def relabel(spark, d):
+    return _labelled(spark, d).select("sample", "cluster", "label")
+
+
+@query("SELECT event_type AS dataset, count(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT event_type FROM events WHERE user_id % 2 = 0) GROUP BY 1")
+def merge_datasets(spark, d):
+    ev = P.table(spark, d, "events").select(F.col("event_type").alias("dataset"), "user_id")
+    return preprocess.merge_datasets(ev, ev.where("user_id % 2 = 0")).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def metadata_join(spark, d):
+    c = P.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("key"))
+    return preprocess.metadata_join(c, P.table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), "n_name"), "key").select("c_custkey", "n_name")
+
+
+@query("SELECT user_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def label_of_last(spark, d):
+    return preprocess.label_of_last(P.table(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query()
+def downsample(spark, d):
+    return preprocess.downsample(P.table(spark, d, "customer").select("c_custkey"), 100, "c_custkey")
+
+
+@query("SELECT event_type AS dataset, count(*) AS count FROM events GROUP BY 1")
+def datasets_by_size(spark, d):
+    return preprocess.datasets_by_size(P.table(spark, d, "events").select(F.col("event_type").alias("dataset")))
+
+
+@query("SELECT 'x' AS dataset, count(DISTINCT user_id) AS samples, count(DISTINCT user_id % 2) AS labels, count(DISTINCT event_type) AS clusters FROM events")
+def describe_encoded(spark, d):
+    from ..sources.repertoire import describe_encoded as describe
+
+    return describe(P.table(spark, d, "events").select(F.lit("x").alias("dataset"), F.col("user_id").alias("sample"), (F.col("user_id") % 2).alias("label"), F.col("event_type").alias("cluster")))
+
+
+# --- strings and vectors ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_type) <= 30 THEN left(p_type, CAST(floor((length(p_type) + 1) / 2) AS BIGINT)) || repeat('-', 30 - length(p_type)) || substr(p_type, CAST(floor((length(p_type) + 1) / 2) AS BIGINT) + 1) END AS padded FROM part")
+def gap_pad(spark, d):
+    return P.table(spark, d, "part").select("p_partkey", strings.pad_gap(F.col("p_type"), 30).alias("padded"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(upper(p_brand), ''), lambda c: CAST(instr('ARNDCEQGHILKMFPSTWYV-', c) - 1 AS VARCHAR)), ',') AS numbers FROM part")
+def aa_encode(spark, d):
+    return P.table(spark, d, "part").select("p_partkey", F.array_join(F.transform(strings.residue_numbers(F.upper("p_brand")), lambda x: x.cast("string")), ",").alias("numbers"))
+
+
+@query("SELECT event_id, 'TRBV' || CAST(event_id % 30 AS VARCHAR) || '-' || CAST(event_id % 7 AS VARCHAR) AS gene FROM events")
+def gene_rename(spark, d):
+    e = F.col("event_id")
+    minor = F.when(e % 7 == 0, F.lit("-0")).otherwise(F.concat(F.lit("-0"), (e % 7).cast("string")))
+    major = F.when(e % 30 == 0, F.lit("0")).otherwise(F.lpad((e % 30).cast("string"), 2, "0"))
+    return P.table(spark, d, "events").select("event_id", strings.rename_gene(F.concat(F.lit("TCRBV"), major, minor)).alias("gene"))
+
+
+@query(f"WITH {P.EMB} SELECT a.vec_id, round(list_inner_product(a.v, b.v), 6) AS dot, round(list_distance(a.v, b.v) * list_distance(a.v, b.v), 6) AS d2, round(list_cosine_distance(a.v, b.v), 6) AS cosine FROM emb a JOIN emb b ON b.vec_id = a.vec_id + 1")
+def vector_functions(spark, d):
+    e = P.embeddings(spark, d)
+    n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("w"))
+    return e.join(n, "vec_id").select("vec_id", *[F.round(f(F.col("vec"), F.col("w")), 6).alias(k) for k, f in (("dot", V.dot), ("d2", V.squared_distance), ("cosine", V.cosine_distance))])
+
+
+# --- metrics ---------------------------------------------------------------------------------------------------------
+
+_XLN = "CASE WHEN {0} > 0 THEN {0} * ln({0}) ELSE 0 END"
+_JS = f"0.5 * {_XLN.format('p')} + 0.5 * {_XLN.format('q')} - CASE WHEN p + q > 0 THEN (p + q) / 2 * ln((p + q) / 2) ELSE 0 END"
+
+
+@query(f"WITH {P.PAIR_LONG} SELECT round(avg(d), 6) AS jsd FROM (SELECT i, j, greatest(sum({_JS}), 0) AS d FROM pr GROUP BY 1, 2)")
+def jsd(spark, d):
+    return metrics.jsd(*P.two_sides(spark, d)).select(F.round("jsd", 6).alias("jsd"))
+
+
+@query(f"WITH {P.PAIR_LONG} SELECT round(avg(d), 6) AS jsd FROM (SELECT i, j, greatest(sum({_JS}), 0) AS d FROM pr WHERE j = i + 1 GROUP BY 1, 2)")
+def jsd_pairwise(spark, d):
+    a, b = P.two_sides(spark, d)
+    return a.join(b.select((F.col("id") - 1).alias("id"), F.col("vec").alias("w")), "id").agg(F.round(F.avg(V.jensen_shannon(F.col("vec"), F.col("w"))), 6).alias("jsd"))
+
+
+@query(f"WITH {P.PAIR_LONG} SELECT round(avg(d), 6) AS cross_entropy FROM (SELECT i, j, (-sum(pe * ln(qe + 1e-9)) - sum(qe * ln(pe + 1e-9))) / 2 AS d FROM pr GROUP BY 1, 2)")
+def cross_entropy(spark, d):
+    return metrics.cross_entropy(*P.two_sides(spark, d)).select(F.round("cross_entropy", 6).alias("cross_entropy"))
+
+
+@query(f"WITH {P.PAIR_LONG} SELECT round(avg(d), 6) AS cross_entropy FROM (SELECT i, j, -sum(pe * ln(qe + 1e-9)) AS d FROM pr GROUP BY 1, 2)")
+def cross_entropy_one_way(spark, d):
+    return metrics.cross_entropy(*P.two_sides(spark, d), symmetric=False).select(F.round("cross_entropy", 6).alias("cross_entropy"))
+
+
+@query(f"WITH {P.PROF} SELECT round(avg(list_cosine_distance(a.v, b.v)), 6) AS cosine_distance FROM a, b")
+def cosine_distance(spark, d):
+    return metrics.cosine_distance(*P.two_sides(spark, d)).select(F.round("cosine_distance", 6).alias("cosine_distance"))
+
+
+_K = "sum(exp(-g * pow(list_distance(x.v, y.v), 2)))"
+
+
+@query(
+    f"WITH {P.PROF}, sg AS (SELECT 1 / (2 * pow(median(list_distance(a.v, b.v)), 2) + 1e-9) AS g FROM a, b), na AS (SELECT count(*) AS m FROM a), nb AS (SELECT count(*) AS n FROM b), "
+    f"kaa AS (SELECT {_K} AS s FROM a x, a y, sg), kbb AS (SELECT {_K} AS s FROM b x, b y, sg), kab AS (SELECT {_K} AS s FROM a x, b y, sg) "
+    "SELECT round(greatest((kaa.s - m) / (m * (m - 1) + 1e-9) + (kbb.s - n) / (n * (n - 1) + 1e-9) - 2 * kab.s / (m * n), 0), 6) AS mmd FROM kaa, kbb, kab, na, nb"
+)
+def mmd(spark, d):
+    return metrics.mmd(*P.two_sides(spark, d)).select(F.round("mmd", 6).alias("mmd"))
+
+
+@query(f"WITH {P.PROF} SELECT round((SELECT avg(list_distance(x.v, y.v)) FROM a x, a y WHERE x.id <> y.id), 6) AS intra_a, round((SELECT avg(list_distance(x.v, y.v)) FROM b x, b y WHERE x.id <> y.id), 6) AS intra_b, round((SELECT avg(list_distance(x.v, y.v)) FROM a x, b y), 6) AS inter")
+def scatter_summary(spark, d):
+    return metrics.scatter_summary(*P.two_sides(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("intra_a", "intra_b", "inter")])
+
+
+def _knn_sql(left: str, right: str, k: int, where: str = "TRUE") -> str:
+    return f"SELECT i, j, r, d FROM (SELECT x.id AS i, y.id AS j, list_distance(x.v, y.v) AS d, row_number() OVER (PARTITION BY x.id ORDER BY list_distance(x.v, y.v), y.id) AS r FROM {left} x, {right} y WHERE {where}) WHERE r <= {k}"
+
+
+@query(f"WITH {P.VSIDES} SELECT i, j, CAST(r AS INTEGER) AS rank, round(d, 6) AS dist FROM ({_knn_sql('a', 'b', 5)})")
+def knn_edges(spark, d):
+    a, b = P.vector_sides(spark, d)
+    return neighbors.knn(a, b, 5).select("i", "j", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
+
+
+@query(f"WITH {P.VSIDES}, ab AS ({_knn_sql('a', 'b', 15)}), ba AS ({_knn_sql('b', 'a', 15)}) SELECT ab.i, ab.j FROM ab JOIN ba ON ab.i = ba.j AND ab.j = ba.i")
+def mutual_nn(spark, d):
+    a, b = P.vector_sides(spark, d)
+    return neighbors.mutual_nn(a, b, 15, 15)
+
+
+@query(
+    f"WITH {P.VSIDES}, u AS (SELECT id, v, 0 AS s FROM a UNION ALL SELECT id, v, 1 FROM b), e AS ({_knn_sql('u', 'u', 15, 'x.id <> y.id')}), "
+    "c AS (SELECT s, count(*) AS n FROM u GROUP BY 1), w AS (SELECT e.i, x.s, sum(CASE WHEN x.s = y.s THEN 1 ELSE 0 END) AS same FROM e JOIN u x ON x.id = e.i JOIN u y ON y.id = e.j GROUP BY 1, 2) "
+    "SELECT round(avg(CASE WHEN same > 15.0 * n / (SELECT count(*) FROM u) THEN 1.0 ELSE 0.0 END), 6) AS kbet FROM w JOIN c USING (s)"
+)
+def kbet_nopca(spark, d):
+    return metrics.kbet(*P.vector_sides(spark, d), pca=False).select(F.round("kbet", 6).alias("kbet"))
+
+
+@query()
+def kbet(spark, d):
+    return metrics.kbet(*P.vector_sides(spark, d)).select(F.round("kbet", 6).alias("kbet"))
+
+
+@query()
+def ilisi(spark, d):
+    return metrics.ilisi(*P.vector_sides(spark, d)).select(F.round("ilisi", 6).alias("ilisi"))
+
+
+# --- correction ------------------------------------------------------------------------------------------------------
+
+_HVG = (
+    f"{P.EMB}, f AS (SELECT CAST(pos - 1 AS INTEGER) AS feature, avg(x) AS mean, var_pop(x) AS var FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb) GROUP BY 1), "
+    "ends AS (SELECT min(mean) AS lo, max(mean) AS hi FROM f WHERE var > 0), "
+    "bn AS (SELECT f.*, greatest(0, len(list_filter(range(21), lambda i: CASE WHEN i = 20 THEN hi ELSE lo + i * (hi - lo) / 20 END < mean)) - 1) AS bin FROM f, ends WHERE var > 0), "
+    "z AS (SELECT feature, coalesce((var - avg(var) OVER (PARTITION BY bin)) / (stddev_samp(var) OVER (PARTITION BY bin) + 1e-6), 0) AS dispersion FROM bn)"
+)
+
+
+@query(f"WITH {_HVG} SELECT feature, round(dispersion, 5) AS dispersion FROM z ORDER BY z.dispersion DESC, feature LIMIT 20")
+def hvg(spark, d):
+    return correct.highly_variable(P.embeddings(spark, d), 20).select("feature", F.round("dispersion", 5).alias("dispersion"))
+
+
+_UNIT = (
+    f"{P.EMB}, nm AS (SELECT vec_id AS id, label, v, sqrt(list_inner_product(v, v)) AS n FROM emb), un AS (SELECT id, label, list_transform(v, lambda x: x / n) AS v FROM nm), "
+    "a AS (SELECT id, v FROM un WHERE label % 2 = 0), b AS (SELECT id, v FROM un WHERE label % 2 = 1)"
+)
+
+
+def _cos_sql(left: str, right: str, k: int) -> str:
+    return f"SELECT i, j FROM (SELECT x.id AS i, y.id AS j, row_number() OVER (PARTITION BY x.id ORDER BY 1 - list_inner_product(x.v, y.v), y.id) AS r FROM {left} x, {right} y) WHERE r <= {k}"
+
+
+@query(
+    f"WITH {_UNIT}, ab AS ({_cos_sql('a', 'b', 5)}), ba AS ({_cos_sql('b', 'a', 5)}), pr AS (SELECT ab.i, ab.j FROM ab JOIN ba ON ab.i = ba.j AND ab.j = ba.i), "
+    "fl AS (SELECT id, v, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM (SELECT * FROM a UNION ALL SELECT * FROM b)), "
+    "st AS (SELECT i AS me, j AS you FROM pr UNION ALL SELECT j, i FROM pr), mv AS (SELECT me, m.pos, sum(y.x - m.x) AS s FROM st JOIN fl m ON m.id = st.me JOIN fl y ON y.id = st.you AND y.pos = m.pos GROUP BY 1, 2) "
+    "SELECT fl.id, CAST(fl.pos - 1 AS INTEGER) AS pos, round(fl.x + 0.1 * coalesce(s, 0), 5) AS x FROM fl LEFT JOIN mv ON me = fl.id AND mv.pos = fl.pos"
+)
+def scanorama(spark, d):
+    got = correct.scanorama(*P.vector_sides(spark, d), k=5)
+    return _long(got.source.unionByName(got.target), "id", digits=5)
+
+
+@query(
+    f"WITH {_UNIT}, ab AS ({_knn_sql('a', 'b', 15)}), ba AS ({_knn_sql('b', 'a', 15)}), pr AS (SELECT ab.i, ab.j FROM ab JOIN ba ON ab.i = ba.j AND ab.j = ba.i), "
+    "fa AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a), fb AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM b), "
+    "mc AS (SELECT j, fa.pos, avg(fa.x - fb.x) AS c FROM pr JOIN fa ON fa.id = i JOIN fb ON fb.id = j AND fb.pos = fa.pos GROUP BY 1, 2), "
+    "w AS (SELECT t.id, m.id AS j, exp(-(1 - list_inner_product(t.v, m.v))) AS w FROM b t, b m WHERE m.id IN (SELECT j FROM pr)) "
+    "SELECT w.id, CAST(mc.pos - 1 AS INTEGER) AS pos, round(sum(w * c) / sum(w), 5) AS x FROM w JOIN mc USING (j) GROUP BY 1, 2"
+)
+def mnn_correction(spark, d):
+    a, b = (correct.cosine_rows(x) for x in P.vector_sides(spark, d))
+    return _long(correct.mnn_vectors(a, b, 15), "id", "corr", digits=5)
+
+
+def _means(got: correct.Corrected) -> DataFrame:
+    return _long(got.source.unionByName(got.target), "id", digits=5)
+
+
+@query()
+def mnn_full(spark, d):
+    return _means(correct.mnn(*P.vector_sides(spark, d), k=15, hvg=50))
+
+
+@query()
+def coral(spark, d):
+    return _means(correct.coral(*P.vector_sides(spark, d)))
+
+
+@query()
+def harmony(spark, d):
+    return _means(correct.harmony(*P.vector_sides(spark, d)))
+
+
+@query()
+def metric_report(spark, d):
+    return report.metric_table(*P.vector_sides(spark, d), "even", "odd")
+
+
+@query()
+def method_report(spark, d):
+    return report.method_table(*P.two_sides(spark, d), {"MNN": {"k": 15}, "Scanorama": {"k": 5}}, {k: v for k, v in correct.METHODS.items() if k in ("CORAL", "Scanorama")})
+
+
+# --- space, layout, sequences ----------------------------------------------------------------------------------------
+
+
+@query()
+def kmeans(spark, d):
+    assigned, _, _ = space.kmeans(P.embeddings(spark, d), 8)
+    return assigned.select("vec_id", "cluster", F.round("d2", 6).alias("d2"))
+
+
+@query()
+def kmeans_traverse(spark, d):
+    stats = [(k, s["objective"], s["imbalance"]) for k, (_, _, s) in zip((4, 8), space.kmeans_range(P.embeddings(spark, d), [4, 8]), strict=True)]
+    return spark.createDataFrame(stats, "k int, objective double, imbalance double")
+
+
+@query(f"WITH {P.EMB}, {P.CENT}, {P.NEAR}, n AS (SELECT cluster, count(*) AS n, sum(d2) AS s FROM near GROUP BY 1) SELECT round(sum(s) / sum(n), 6) AS objective, round(10.0 * sum(n * n) / pow(sum(n), 2), 6) AS imbalance FROM n")
+def cluster_stats(spark, d):
+    got = encode.nearest_centroid(P.embeddings(spark, d), P.centroids(spark, d))
+    return space.cluster_stats(got, 10).select(F.round("objective", 6).alias("objective"), F.round("imbalance", 6).alias("imbalance"))
+
+
+@query(f"WITH {P.EMB}, {P.CENT}, {P.NEAR} SELECT cluster, count(vec_id) AS n FROM cent LEFT JOIN near USING (cluster) GROUP BY 1")
+def cluster_members(spark, d):
+    c = P.centroids(spark, d)
+    return space.members(encode.nearest_centroid(P.embeddings(spark, d), c), c).select("cluster", "n")
+
+
+@query()
+def spectral(spark, d):
+    return space.spectral(P.centroids(spark, d), 3)[0]
+
+
+@query()
+def layout(spark, d):
+    e = P.embeddings(spark, d).select(F.col("vec_id").alias("id"), "vec", "label")
+    return space.layout(e).select("id", "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(
+    "WITH s AS (SELECT value AS score, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events), r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s), "
+    "n AS (SELECT sum(label) AS p, count(*) - sum(label) AS q FROM s) SELECT round((sum(r) - max(p) * (max(p) + 1) / 2.0) / (CAST(max(p) AS DOUBLE) * max(q)), 6) AS auc FROM r, n WHERE label = 1"
+)
+def roc_auc(spark, d):
+    ev = P.table(spark, d, "events").select(F.col("value").alias("score"), (F.col("event_type") == "error").cast("int").alias("label"))
+    return classify.roc_auc(ev).select(F.round("auc", 6).alias("auc"))
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS pearson FROM lineitem")
+def pearson(spark, d):
+    return classify.pearson(P.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("pearson", 6).alias("pearson"))
+
+
+@query()
+def classifier_scores(spark, d):
+    rows = P.embeddings(spark, d).withColumn("label", (F.col("label") % 2).cast("int"))
+    model = classify.train(rows, iterations=20)
+    return classify.predict(model, rows).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+def _segments(spark):
+    v = [("V", i, f"TRBV{i}-1*01", f"TRBV{i}-1*01", "DTGITQTPKYLVTAMGSKRTMKREHLGHDSMYWYRQKAKKSLEFMFYYNCKEFIENKTVPNHF" + "ACDE"[i % 4] + "CASS") for i in range(1, 31)]
+    j = [("J", i, f"TRBJ1-{i}*01", f"TRBJ1-{i}*01", "NTEAFFGQGTRLTVV") for i in range(1, 8)]
+    return spark.createDataFrame(v + j, "kind string, ord long, id string, gene string, seq string")
+
+
+def _receptors(spark, d):
+    e = F.col("event_id")
+    return P.table(spark, d, "events").select(
+        "event_id", F.concat(F.lit("TCRBV"), F.lpad((e % 40).cast("string"), 2, "0"), F.lit("-01")).alias("v"), F.concat(F.lit("TRBJ1-"), (e % 9).cast("string")).alias("j"),
+        F.concat(F.lit("CASS"), F.element_at(F.array(*[F.lit(x) for x in ("LG", "PT", "QQ")]), (e % 3 + 1).cast("int")), F.lit("NTEAFF")).alias("cdr3"),
+    )
+
+
+@query()
+def full_seq(spark, d):
+    return reconstruct.full_sequences(_receptors(spark, d), _segments(spark)).select("event_id", "full_seq")
+
+
+@query()
+def substitution_encoding(spark, d):
+    rows = encoders.encode_column(_receptors(spark, d), "cdr3", encoders.substitution_encoder())
+    return rows.select("event_id", F.size("vec").alias("width"), F.round(V.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query()
+def factor_encoding(spark, d):
+    factors = {a: [float(np.round(np.sin(i * k + 1), 3)) for k in range(1, 6)] for i, a in enumerate(strings.ALPHABET[:-1])}
+    rows = encoders.encode_column(_receptors(spark, d), "cdr3", encoders.factor_encoder(factors, 20))
+    return rows.select("event_id", F.size("vec").alias("width"), F.round(V.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query("SELECT user_id AS sample, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def windowed_counts(spark, d):
+    from ..streaming.encode_stream import windowed_counts as windowed
+
+    ev = P.table(spark, d, "events").select("ts", F.col("user_id").alias("sample"), F.col("value").alias("freq"))
+    return windowed(ev).select("sample", F.col("window.start").alias("start"), "n", F.round("total", 4).alias("total"))
