@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, input_partitions, pa_schema
@@ -245,8 +245,13 @@ def _with_texts(texts: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with its columns; of rows that repeat a doc_id one stays."""
+    """The rows of ``docs`` that stand for their group, with its columns.
+
+    Of rows that repeat a doc_id the first by text stays; rows without doc_id all stay.
+    """
     cols = docs.columns
-    kept = linked(docs, words, similarity).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    firsts = docs.dropDuplicates(["doc_id"])
-    return firsts.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").select(*cols)
+    kept = linked(docs, words, similarity).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    whole = docs.where("doc_id is not null").select(F.struct(*cols).alias("row"))
+    first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
+    stay = whole.join(kept, F.col("row.doc_id") == F.col("kept_id"), "left_semi").withColumn("nth", first).where("nth = 1")
+    return stay.select(*[F.col(f"row.`{c}`").alias(c) for c in cols]).unionByName(docs.where("doc_id is null"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 CHUNK = 256
 #: Weights of the sources in order, repeating.
@@ -159,19 +159,17 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, most: float =
     Needs columns doc_id, source and text.
     """
     cols = docs.columns
-    sized = docs.withColumn("_size", size_of(F.col("text")))
-    key = Window.partitionBy("doc_id", "source", "size")
-    got = copies(cut(sizes(docs)), seed, weights, most, share).where("copies > 0")
-    got = got.withColumn("_n", F.row_number().over(key.orderBy(F.desc("copies")))).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_s"), "_n", "copies"
+    size, n = free_name("size", cols), free_name("n", cols)
+    decided = copies(cut(sizes(docs)), seed, weights, most, share).where("copies > 0")
+    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
+    got = decided.withColumn("n", F.row_number().over(same)).select(
+        F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "n").alias("got"), "copies"
     )
-    mine = Window.partitionBy("doc_id", "source", "_size")
-    numbered = sized.withColumn("_n", F.row_number().over(mine.orderBy("text")))
+    mine = Window.partitionBy("doc_id", "source", size).orderBy("text")
+    numbered = docs.withColumn(size, size_of(F.col("text"))).withColumn(n, F.row_number().over(mine)).select(F.struct(*cols, size, n).alias("row"))
     on = (
-        numbered["doc_id"].eqNullSafe(got["_id"]) & numbered["source"].eqNullSafe(got["_source"])
-        & (numbered["_size"] == got["_s"]) & (numbered["_n"] == got["_n"])
-    )
-    return (
-        numbered.join(got, on, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*[numbered[c] for c in cols])
+        F.col("row.doc_id").eqNullSafe(F.col("got.i")) & F.col("row.source").eqNullSafe(F.col("got.s"))
+        & (F.col(f"row.{size}") == F.col("got.z")) & (F.col(f"row.{n}") == F.col("got.n"))
     )
+    repeated = numbered.join(got, on, "inner").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(f"row.`{c}`").alias(c) for c in cols])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut
+from .common import crc_mod, cut, free_name
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "comma_dot", "pipe", "bang", "symbol", "line_bytes",
@@ -126,8 +126,8 @@ def fit(rows: DataFrame, shrink: float = 0.3, ridge: float = 0.05) -> Model:
     return Model(means, factors, float(np.log(n[1] / n[0])))
 
 
-def score(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` (with stats) and their score; a score for every row."""
+def score(rows: DataFrame, model: Model, stats: str = "stats", out: str = "score") -> DataFrame:
+    """``rows`` (with statistics) and their score; a score for every row."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # 2 * 16 * 17 numbers
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -136,7 +136,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
             yield pa.array(shared.value.score(x))
 
     run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return rows.withColumn("score", F.arrow_udf(run, "double")(F.col("stats")))
+    return rows.withColumn(out, F.arrow_udf(run, "double")(F.col(stats)))
 
 
 def labelled(stats: DataFrame, labels: DataFrame, fold: int | None = 1) -> DataFrame:
@@ -161,4 +161,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, fold: int | None = 1, least: f
     cols = docs.columns
     stats = with_statistics(docs.select("doc_id", "text")).drop("text")
     model = fit(labelled(stats, labels, fold))
-    return score(with_statistics(docs), model).where(F.col("score") >= least).select(*cols)
+    mine, mark = free_name("stats", cols), free_name("score", cols)
+    return score(with_statistics(docs, out=mine), model, mine, mark).where(F.col(mark) >= least).select(*cols)

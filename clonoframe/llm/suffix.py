@@ -359,10 +359,10 @@ def cut_text(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tup
 
 
 def with_ranges(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_ranges`` of the covered byte ranges of its text (null: none); every row stays."""
-    ranges = covered(docs).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("_ranges"))
+    """``docs`` with a column ``__cf_ranges`` of the covered byte ranges of its text (null: none); every row stays."""
+    ranges = covered(docs).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("__cf_ranges"))
     key = F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32))
-    return docs.withColumn("_k", key).join(ranges.withColumnRenamed("k", "_k"), "_k", "left").drop("_k")
+    return docs.withColumn("__cf_k", key).join(ranges.withColumnRenamed("k", "__cf_k"), "__cf_k", "left").drop("__cf_k")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -384,4 +384,4 @@ def removed(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows, schema)
 
-    return with_ranges(docs.select("doc_id", "text")).select("doc_id", "text", "_ranges").mapInArrow(run, ddl)
+    return with_ranges(docs.select("doc_id", "text")).select("doc_id", "text", "__cf_ranges").mapInArrow(run, ddl)

@@ -117,16 +117,16 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     spark = pages.sparkSession
     keyed = (
         rules.where("host is not null and path is not null")
-        .groupBy("host", "path").agg(F.max("verdict").alias("_v"))  # "block" > "allow"
+        .groupBy("host", "path").agg(F.max("verdict").alias("__cf_v"))  # "block" > "allow"
         .select(
-            F.concat("host", F.lit("\0"), "path").alias("_key"), F.concat("host", "path").alias("_rule"), "_v",
-            (F.length("host") + F.length("path")).alias("_len"), F.length("host").alias("_hlen"), F.length("path").alias("_plen"),
+            F.concat("host", F.lit("\0"), "path").alias("__cf_key"), F.concat("host", "path").alias("__cf_rule"), "__cf_v",
+            (F.length("host") + F.length("path")).alias("__cf_len"), F.length("host").alias("__cf_hlen"), F.length("path").alias("__cf_plen"),
         )
     )
-    stats = keyed.groupBy("_plen").count().collect()  # listed path lengths: one row each
-    lengths = sorted(r["_plen"] for r in stats)
+    stats = keyed.groupBy("__cf_plen").count().collect()  # listed path lengths: one row each
+    lengths = sorted(r["__cf_plen"] for r in stats)
     bloom = spark.sparkContext.broadcast(
-        build_filter(keyed.select(F.col("_key").alias("key")), sum(r["count"] for r in stats), max_filter_mb=max_filter_mb)
+        build_filter(keyed.select(F.col("__cf_key").alias("key")), sum(r["count"] for r in stats), max_filter_mb=max_filter_mb)
     )
 
     def hits(hosts: pa.Array, paths: pa.Array) -> pa.Array:
@@ -141,20 +141,20 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     hits.__annotations__ = {"hosts": pa.Array, "paths": pa.Array, "return": pa.Array}
     base = parse_urls(pages.drop("host", "path", "rule", "verdict"), url)
     own = base.columns
-    seen = base.withColumn("_hits", F.arrow_udf(hits, "array<string>")("host", "path"))
-    width = F.greatest(F.size("_hits"), F.lit(1))
+    seen = base.withColumn("__cf_hits", F.arrow_udf(hits, "array<string>")("host", "path"))
+    width = F.greatest(F.size("__cf_hits"), F.lit(1))
     joined = (
-        seen.withColumn("_n", width).select(*own, "_n", F.explode_outer("_hits").alias("_key"))
-        .join(keyed, "_key", "left")
+        seen.withColumn("__cf_n", width).select(*own, "__cf_n", F.explode_outer("__cf_hits").alias("__cf_key"))
+        .join(keyed, "__cf_key", "left")
     )
     # Rows that are equal in all columns are counted, so repeated rows come back as often as they came.
     best = joined.groupBy(*own).agg(
-        F.max(F.struct(F.coalesce("_len", F.lit(-1)), F.coalesce("_hlen", F.lit(-1)), F.col("_rule"), F.col("_v"))).alias("_best"),
-        (F.count(F.lit(1)) / F.first("_n")).cast("int").alias("_times"),
+        F.max(F.struct(F.coalesce("__cf_len", F.lit(-1)), F.coalesce("__cf_hlen", F.lit(-1)), F.col("__cf_rule"), F.col("__cf_v"))).alias("__cf_best"),
+        (F.count(F.lit(1)) / F.first("__cf_n")).cast("int").alias("__cf_times"),
     )
     return best.select(
-        *own, F.col("_best._rule").alias("rule"), F.coalesce("_best._v", F.lit(default)).alias("verdict"), "_times",
-    ).withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).drop("_times")
+        *own, F.col("__cf_best.__cf_rule").alias("rule"), F.coalesce("__cf_best.__cf_v", F.lit(default)).alias("verdict"), "__cf_times",
+    ).withColumn("__cf_times", F.explode(F.array_repeat(F.lit(0), F.col("__cf_times")))).drop("__cf_times")
 
 
 def op3(pages: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    slim = docs.select("doc_id", "lang", "source", "n_chars", "text")
+    ids = bpe.encode(slim, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return ids.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
