@@ -11,7 +11,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.p
 def spark():
     from clonoframe.session import local_session
 
-    s = local_session(shuffle_partitions=4)
+    s = local_session(cores="4", shuffle_partitions=4, memory="3g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
