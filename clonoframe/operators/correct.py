@@ -151,8 +151,8 @@ def variance_scale(ref: np.ndarray, new: np.ndarray, corr: np.ndarray, rows: lis
             rest = (m - x) - np.outer((m - x) @ g, g)
             return p, np.exp(-(rest**2).sum(axis=1) / sigma)
 
-        own = float(new[i] @ g)
         p, w = along(new)
+        own = p[i]  # the same product, so that the row counts itself
         rank = w[p <= own].sum() / w.sum()
         q, v = along(ref)
         order = np.argsort(q, kind="stable")
