@@ -296,3 +296,31 @@ def test_vector_columns(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, b array<double>")
     r = df.select(V.l2_normalize(F.col("a")).alias("n"), V.cosine_distance(F.col("a"), F.col("b")).alias("c"), V.standardize(F.col("b")).alias("s")).first()
     assert r.n == pytest.approx([0.6, 0.8]) and r.c is None and r.s == [0, 0]
+
+
+def test_workflows(spark, tmp_path):
+    from clonoframe.plans import workflows as W
+
+    rng = np.random.default_rng(11)
+    seqs = ["CASS" + "".join(rng.choice(list("ACDEFGHIKL"), 6)) + "F" for _ in range(40)]
+    built = W.build_space(spark.createDataFrame([(s,) for s in seqs], "sequence string"), 4, 2)
+    assert built["mapping"].count() == 4 and built["functional"].count() == 2
+    features = {}
+    for d in ("one", "two"):
+        folder = tmp_path / d
+        folder.mkdir()
+        for i in range(3):
+            pick = rng.choice(seqs, 10)
+            (folder / f"s{i}.tsv").write_text("full_seq\tfrequencyCount\n" + "".join(f"{s}\t{k + 1}\n" for k, s in enumerate(pick)) + "Failure\t9\n")
+        (folder / "zero.tsv").write_text("other\n1\n")
+        enc, samples = W.encode_dataset(spark, W.EncodeConfig(d, neg_dir=str(folder)), built["centroids"])
+        assert samples.count() == 4 and enc.agg(F.sum("diversity")).first()[0] == 30
+        features[d] = W.dataset_features(enc, samples, built["mapping"], 4, 2)
+        assert features[d].count() == 4
+    table = W.compare(features, {"CrossEntropy": metrics.cross_entropy, "CosineDistance": metrics.cosine_distance})
+    row = table.first()
+    assert (row.Dataset1, row.Dataset2, row.n_samples_1) == ("one", "two", 4) and row.CosineDistance != row.CosineDistance
+    with pytest.raises(ValueError):
+        W.EncodeConfig("x")
+    with pytest.raises(Exception, match="finite"):
+        W.assert_finite(side(spark, [[float("nan")]])).collect()
