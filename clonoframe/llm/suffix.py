@@ -11,7 +11,7 @@ Over a corpus, 200-byte strings are dealt by content, so that equal ones always
 1. The anchor of a 200-byte string is its K-byte string with the least hash (leftmost at ties). A scan counts anchors; those
    that occur twice or more go into a Bloom filter of bounded size (false positives cost work, not results).
 2. A second scan emits, for each occurrence of a possibly repeated anchor, the segment: the union of the 200-byte strings with that
-   anchor. Segments are shuffled by anchor.
+   anchor. Equal segments are combined, with all their places, before they are shuffled by anchor.
 3. Segments of one anchor that are equal are repeated as a whole. For the others the common anchor becomes one symbol, contexts
    are cut to what they share with any other segment, and the suffix array of their concatenation puts equal
    strings side by side.
@@ -37,6 +37,8 @@ from .urlfilter import BLOCK_WORDS, block_bits, maybe
 
 LENGTH = 200
 K = 64
+#: About how much the scan holds of segments to combine equal ones before they are shuffled.
+COMBINE_BYTES = 64 << 20
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -218,27 +220,23 @@ def repeated_starts(segments: list[tuple[bytes, int]], length: int = LENGTH, k:
     return out
 
 
-def group_ranges(rows: list[tuple[bytes, int, tuple]], length: int = LENGTH, k: int = K) -> list[tuple]:
-    """Covered ranges of the segments of one anchor: (location, start, end), relative to the segments."""
+def group_ranges(rows: list[tuple[bytes, int, int, list]], length: int = LENGTH, k: int = K) -> list[tuple]:
+    """Covered ranges of the segments of one anchor: (location, start, end), relative to the segments.
+
+    ``rows``: bytes, anchor's place, number of occurrences, their distinct locations.
+    """
     seen: dict[tuple[bytes, int], list] = {}
-    for seg, p, where in rows:
-        seen.setdefault((seg, p), []).append(where)
-    if len(rows) < 2:
-        return []
-    out = [(w, 0, len(s)) for (s, _), ws in seen.items() if len(ws) > 1 for w in ws]
-    if len(seen) > 1:
-        segments = list(seen)
-        if any(len(ws) == 1 for ws in seen.values()):
-            for key, starts in zip(segments, repeated_starts(segments, length, k), strict=True):
-                if starts and len(seen[key]) == 1:
-                    starts.sort()
-                    a = b = starts[0]
-                    for x in starts[1:] + [None]:
-                        if x is not None and x <= b + length:
-                            b = x
-                        else:
-                            out.append((seen[key][0], a, b + length))
-                            a = b = x
+    for seg, p, n, where in rows:
+        own = seen.setdefault((seg, p), [0, set()])
+        own[0] += n
+        own[1].update(where)
+    out = [(w, 0, len(s)) for (s, _), (n, ws) in seen.items() if n > 1 for w in ws]
+    single = [n == 1 for n, _ in seen.values()]
+    if len(seen) > 1 and any(single):
+        for (_, ws), starts, alone in zip(seen.values(), repeated_starts(list(seen), length, k), single, strict=True):
+            if starts and alone:
+                (where,) = ws
+                out += [(where, a, b) for a, b in merge([(x, x + length) for x in starts])]
     return out
 
 
@@ -282,12 +280,26 @@ def covered(docs: DataFrame) -> DataFrame:
     """Covered ranges: k (the text's key), a, b (bytes); ranges may overlap and repeat."""
     spark = docs.sparkSession
     bloom = spark.sparkContext.broadcast(_repeated_filter(docs))
-    seg_ddl = "h long, seg binary, p int, k binary, at long"
+    seg_ddl = "h long, seg binary, p int, n long, ks array<binary>, ats array<long>"
     seg_schema = pa_schema(spark, seg_ddl)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Equal segments are combined here as far as memory allows, so that copies and periodic texts give few rows.
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def flush():
+            rows = []
+            for (h, seg, p), (n, ws) in held.items():
+                rows.append((h, seg, p, n, [w[0] for w in ws], [w[1] for w in ws]))
+                if len(rows) == 4096:
+                    yield _batch(rows, seg_schema)
+                    rows = []
+            if rows:
+                yield _batch(rows, seg_schema)
+            held.clear()
+
         for batch in batches:
-            rows: list[tuple] = []
             for t in batch.column(0).to_pylist():
                 if not t or len(t) * 4 < LENGTH:
                     continue
@@ -299,15 +311,20 @@ def covered(docs: DataFrame) -> DataFrame:
                 if not len(hit):
                     continue
                 key = _text_key(raw)
-                rows += [
-                    (x, raw[a : b + LENGTH], q - a, key, a)
-                    for x, q, a, b in zip(h[hit].view(np.int64).tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True)
-                ]
-                if len(rows) >= 20000:
-                    yield _batch(rows, seg_schema)
-                    rows = []
-            if rows:
-                yield _batch(rows, seg_schema)
+                for x, q, a, b in zip(h[hit].view(np.int64).tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+                    name = (x, raw[a : b + LENGTH], q - a)
+                    own = held.get(name)
+                    if own is None:
+                        held[name] = own = [0, set()]
+                        size += b + LENGTH - a + 300
+                    own[0] += 1
+                    before = len(own[1])
+                    own[1].add((key, a))
+                    size += 100 * (len(own[1]) - before)
+                if size > COMBINE_BYTES:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     segments = docs.select("text").mapInArrow(emit, seg_ddl)
     dealt = segments.repartition(input_partitions(spark), "h").sortWithinPartitions("h")
@@ -317,11 +334,11 @@ def covered(docs: DataFrame) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, [], []
         for batch in batches:
-            for h, seg, p, key, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, seg, p, n, ks, ats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if h != now:
                     out += group_ranges(held)
                     now, held = h, []
-                held.append((seg, p, (key, at)))
+                held.append((seg, p, n, list(zip(ks, ats, strict=True))))
             if len(out) > 4096:
                 yield _batch([(w[0], w[1] + a, w[1] + b) for w, a, b in out], schema)
                 out = []
