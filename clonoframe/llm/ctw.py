@@ -8,7 +8,7 @@ A text is scored as its bytes (A-Z in lower case) and one end mark; contexts bef
 
 What is gathered: for each group of documents the distinct (DEPTH+1)-byte strings with their counts in training documents, and
 the distinct words likewise, as packed sorted arrays dealt into shards by the two nearest context bytes (words: by hash). A shard
-merges all groups' arrays, so its tables are whole from depth 2 down; depths 0 and 1 have at most 65,536 entries and
+merges all groups' arrays by a tree, so its tables are whole from depth 2 down; depths 0 and 1 have at most 65,536 entries and
 are finished on the driver. The shards then send each group the log-probabilities of its own strings, and texts meet them by group.
 No table of the corpus's strings is broadcast or collected, and everything gathered grows with the input.
 
@@ -31,6 +31,8 @@ from .shingles import lower_bytes, mix, word_hashes
 DEPTH = 5
 #: Text of one group, in bytes.
 GROUP = 32 << 20
+#: Inputs of a node when tables are merged, and groups that one task answers.
+FAN = 64
 END = np.uint64(1)  # key of the end token
 _LN10 = np.log(10.0)
 
@@ -251,7 +253,7 @@ def _gather(docs: DataFrame, shards: int, depth: int) -> DataFrame:
                 for s in range(shards):
                     at = order[ends[s] : ends[s + 1]]
                     if len(at):
-                        rows.append((now, s, kind, pack(keys[at]), pack(counts[at].astype(np.uint32))))
+                        rows.append((now, s, kind, pack(keys[at]), pack(counts[at].astype(np.int64))))
                 if rows:
                     yield _batch(rows, schema)
 
@@ -274,26 +276,43 @@ def _gather(docs: DataFrame, shards: int, depth: int) -> DataFrame:
     return docs.select("gid", "train", "text").mapInArrow(run, _BLOBS)
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch], words: bool):
-    """Of rows sorted by shard: (shard, [(gid, keys, counts)])."""
-    now, held = None, []
-    for batch in batches:
-        for gid, shard, kind, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind is not words:
-                continue
-            if shard != now:
-                if held:
-                    yield held
-                now, held = shard, []
-            held.append((gid, unpack(keys, np.uint64), unpack(counts, np.uint32)))
-    if held:
-        yield held
+def _merged(blobs: DataFrame, groups: int, n: int) -> DataFrame:
+    """shard, words, keys, counts: one row for each table, merged over the groups by a tree of FAN inputs a node.
+
+    A node holds at most FAN packed arrays, each no larger than the table that it is part of; a table's size is the number of its distinct strings.
+    """
+    ddl = "gid long, shard int, words boolean, keys binary, counts binary"
+    schema = pa_schema(blobs.sparkSession, ddl)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close():
+            keys, counts = summed([k for k, _ in held], [c for _, c in held])
+            return _batch([(*now, pack(keys), pack(counts.astype(np.int64)))], schema)
 
-def _model(held: list, depth: int) -> tuple:
-    keys, counts = summed([k for _, k, _ in held], [c for _, _, c in held])
+        for batch in batches:
+            for gid, shard, kind, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (gid, shard, kind) != now:
+                    if held:
+                        yield close()
+                    now, held = (gid, shard, kind), []
+                held.append((unpack(keys, np.uint64), unpack(counts, np.int64)))
+                if len(held) >= 8:
+                    held = [summed([k for k, _ in held], [c for _, c in held])]
+        if held:
+            yield close()
+
+    while True:
+        up = blobs.withColumn("gid", F.floor(F.col("gid") / FAN)).repartition(n, "gid", "shard", "words").sortWithinPartitions("gid", "shard", "words")
+        blobs, groups = up.mapInArrow(run, ddl), -(-groups // FAN)
+        if groups <= 1:
+            return blobs.select("shard", "words", "keys", "counts")
+
+
+def _model(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple:
     tables = levels(keys, counts, depth, 2)
-    return keys, counts, tables, weigh(tables, depth, 2)
+    return tables, weigh(tables, depth, 2)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -311,50 +330,63 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
         .withColumn("gid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     )
     blobs = cut(_gather(dealt.repartition(max(n, 1), "gid").sortWithinPartitions("gid"), n, depth))
-    sharded = blobs.repartition(n, "shard", "words").sortWithinPartitions("words", "shard", "gid")
+    merged = cut(_merged(blobs, groups, n))
 
-    # First pass over the shards: sums for depths 0 and 1, and the words' totals. At most 2 * 65,536 + 2 keys.
+    # First pass over the tables: sums for depths 0 and 1, and the words' totals. At most 2 * 65,536 + 2 keys.
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
         counts, below, words = np.zeros((256, 256)), np.zeros((256, 256)), np.zeros(2)
-        for held in _by_shard(batches, False):
-            keys, c, tables, weights = _model(held, depth)
-            np.add.at(counts, ((keys >> np.uint64(8 * depth)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)), c)
-            for i in range(8):
-                node = tables[2].bits[i][0]
-                np.add.at(below, ((node >> np.uint64(8 + i)).astype(np.int64), (1 << i) | (node & np.uint64((1 << i) - 1)).astype(np.int64)), weights[2][i][2])
-        for held in _by_shard(batches, True):
-            _, c = summed([k for _, k, _ in held], [c for _, _, c in held])
-            words += (c.sum(), (c > 0).sum())
+        for batch in batches:
+            for kind, packed, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, c = unpack(packed, np.uint64), unpack(numbers, np.int64)
+                if kind:
+                    words += (c.sum(), (c > 0).sum())
+                    continue
+                tables, weights = _model(keys, c, depth)
+                np.add.at(counts, ((keys >> np.uint64(8 * depth)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)), c)
+                for i in range(8):
+                    node = tables[2].bits[i][0]
+                    np.add.at(below, ((node >> np.uint64(8 + i)).astype(np.int64), (1 << i) | (node & np.uint64((1 << i) - 1)).astype(np.int64)), weights[2][i][2])
         flat = np.concatenate([counts.ravel(), below.ravel(), words])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["i", "v"])
 
-    got = sharded.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    got = merged.select("words", "keys", "counts").mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     flat = np.zeros(2 * 65536 + 2)
     if got.num_rows:
         flat[got.column("i").to_numpy()] = got.column("v").to_numpy()
     top = spark.sparkContext.broadcast(Top(flat[:65536].reshape(256, 256), flat[65536 : 2 * 65536].reshape(256, 256)))
     train_tokens, vocabulary = int(flat[-2]), int(flat[-1])
 
-    # Second pass: each group gets the values of its own strings and words.
-    answer_ddl = "gid long, doc_id long, train boolean, text string, words boolean, keys binary, answers binary"
-    answer_schema = pa_schema(spark, answer_ddl)
+    # Second pass: each group gets the values of its own strings and words. A table goes to every batch of FAN groups; a task
+    # holds one table and one group's array at a time.
+    value_ddl = "shard int, words boolean, keys binary, answers binary"
+    value_schema = pa_schema(spark, value_ddl)
 
-    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        for kind in (False, True):
-            for held in _by_shard(batches, kind):
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, kind, packed, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, c = unpack(packed, np.uint64), unpack(numbers, np.int64)
                 if kind:
-                    keys, value = summed([k for _, k, _ in held], [c for _, _, c in held])
-                    value = value.astype(np.float64)
+                    value = c.astype(np.float64)
                 else:
-                    keys, _, tables, weights = _model(held, depth)
-                    value = top.value.finish(keys, predict(tables, weights, depth, 2), depth).astype(np.float32)
-                for gid, own, _ in held:
-                    yield _batch([(gid, None, None, None, kind, pack(own), pack(value[np.searchsorted(keys, own)]))], answer_schema)
+                    value = top.value.finish(keys, predict(*_model(keys, c, depth), depth, 2), depth).astype(np.float32)
+                yield _batch([(shard, kind, packed, pack(value))], value_schema)
 
-    told = sharded.mapInArrow(answers, answer_ddl)
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = value = None
+        for batch in batches:
+            for gid, kind, packed, table in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if gid is None:
+                    keys, value = unpack(packed, np.uint64), unpack(table, np.float64 if kind else np.float32)
+                else:
+                    yield _batch([(gid, None, None, None, kind, packed, pack(value[np.searchsorted(keys, unpack(packed, np.uint64))]))], answer_schema)
+
+    answer_ddl = "gid long, doc_id long, train boolean, text string, words boolean, keys binary, answers binary"
+    answer_schema = pa_schema(spark, answer_ddl)
+    tables = merged.mapInArrow(values, value_ddl).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit((groups - 1) // FAN)))).withColumn("gid", F.lit(None).cast("long"))
+    asked = blobs.select("gid", "shard", "words", "keys", F.lit(None).cast("binary").alias("answers"), F.floor(F.col("gid") / FAN).cast("int").alias("b"))
+    met = tables.select(asked.columns).unionByName(asked).repartition(n, "shard", "words", "b").sortWithinPartitions("shard", "words", "b", F.col("gid").asc_nulls_first())
+    told = met.select("gid", "words", "keys", "answers").mapInArrow(answers, answer_ddl)
     none = F.lit(None)
     texts = dealt.select("gid", "doc_id", "train", "text", none.cast("boolean").alias("words"), none.cast("binary").alias("keys"), none.cast("binary").alias("answers"))
     met = told.unionByName(texts).repartition(n, "gid").sortWithinPartitions("gid", F.col("words").asc_nulls_last())
