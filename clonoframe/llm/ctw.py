@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, input_partitions, pa_schema
+from .common import crc_mod, cut, input_partitions, pa_schema, slots
 from .shingles import lower_bytes, mix, word_hashes
 
 DEPTH = 5
@@ -329,7 +329,9 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (crc_mod("doc_id", folds) != held_fold).alias("train"))
         .withColumn("gid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     )
-    blobs = cut(_gather(dealt.repartition(max(n, 1), "gid").sortWithinPartitions("gid"), n, depth))
+    # Groups are dealt to tasks in turn, by numbers whose hashes are their own tasks.
+    task = F.element_at(F.array(*[F.lit(x) for x in slots(spark, n)]), (F.pmod("gid", F.lit(n)) + 1).cast("int"))
+    blobs = cut(_gather(dealt.repartition(n, task).sortWithinPartitions("gid"), n, depth))
     merged = cut(_merged(blobs, groups, n))
 
     # First pass over the tables: sums for depths 0 and 1, and the words' totals. At most 2 * 65,536 + 2 keys.
@@ -389,7 +391,7 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
     told = met.select("gid", "words", "keys", "answers").mapInArrow(answers, answer_ddl)
     none = F.lit(None)
     texts = dealt.select("gid", "doc_id", "train", "text", none.cast("boolean").alias("words"), none.cast("binary").alias("keys"), none.cast("binary").alias("answers"))
-    met = told.unionByName(texts).repartition(n, "gid").sortWithinPartitions("gid", F.col("words").asc_nulls_last())
+    met = told.unionByName(texts).repartition(n, task).sortWithinPartitions("gid", F.col("words").asc_nulls_last())
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     schema = pa_schema(spark, ddl)
     norm = float(np.log10(train_tokens + vocabulary + 1))

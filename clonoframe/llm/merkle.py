@@ -23,10 +23,10 @@ from dataclasses import dataclass
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_partitions, pa_schema
+from .common import input_partitions, pa_schema, slots
 
 _LEAF = re.compile(r".{8,}?[nrst.,;|]\s+|.+", re.S)
 _BLANK = re.compile(r"\n(?:[ \t]*\n)+")
@@ -120,13 +120,6 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _slots(spark: SparkSession, n: int) -> list[int]:
-    """For each of n tasks a number that ``repartition(n, column)`` deals to it; where none is found, any number."""
-    rows = spark.range(24 * n).select(F.col("id").cast("int").alias("i")).withColumn("p", F.pmod(F.hash("i"), F.lit(n)))
-    found = {r["p"]: r["i"] for r in rows.groupBy("p").agg(F.min("i").alias("i")).collect()}
-    return [found.get(p, p) for p in range(n)]
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts, of their edited texts, and the likeness to both and to the next document.
 
@@ -165,8 +158,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         ).alias("_to"),
     ).select(F.col("_to.r").alias("_r"), F.col("_to.copy").alias("_copy"), "doc_id", "text")
     # One range a task: each range is dealt by a number whose hash is its own task.
-    slots = _slots(spark, len(there))
-    slot = F.create_map(*[F.lit(x) for r, s in zip(there, slots, strict=True) for x in (r, s)])
+    numbers = slots(spark, len(there))
+    slot = F.create_map(*[F.lit(x) for r, s in zip(there, numbers, strict=True) for x in (r, s)])
     dealt = spread.repartition(len(there), slot[F.col("_r")]).sortWithinPartitions(
         F.col("_r"), F.col("_copy"), F.col("doc_id").desc_nulls_last(), F.col("text").desc()
     )
