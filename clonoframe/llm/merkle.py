@@ -1,7 +1,8 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and short leaves.
 
-A section ends after blank lines, a paragraph at a line's end, and a leaf at the first space after at least
-eight characters that follows one of a few letters or signs: leaf borders depend on nearby text only, so an
+A section ends after blank lines, a paragraph at a line's end, and a leaf where a hash of the last four
+characters, whatever they are, falls into a fixed share, after LEAST characters at least and MOST at most:
+leaf borders depend on nearby text only, so an
 edit moves few of them. All pieces keep their separators; together they are the text. A leaf's hash
 covers its text, an inner hash its children's hashes, each with its level's prefix. Equal roots mean equal texts;
 where roots differ, following differing branches finds the edits (``edits``).
@@ -22,13 +23,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import input_partitions, pa_schema, slots
 
-_LEAF = re.compile(r".{8,}?[nrst.,;|]\s+|.+", re.S)
+#: Characters of a leaf, and the share of borders among all places (the mean is near LEAST + 1 / share).
+LEAST, MOST, _SHARE = 8, 64, 1 / 12
+_MUL, _BELOW = np.uint32(0x9E3779B1), np.uint32(2**32 * _SHARE)
 _BLANK = re.compile(r"\n(?:[ \t]*\n)+")
 _hash = partial(hashlib.blake2b, digest_size=16)
 
@@ -54,25 +58,43 @@ def _cut(text: str, start: int, end: int, at: re.Pattern) -> list[tuple[int, int
 _LINE = re.compile(r"\n")
 
 
+def _borders(text: str) -> list[int]:
+    """Places where a leaf may end: those whose last four characters have a hash in the fixed share."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(c) < 4:
+        return []
+    h = c[:-3] * _MUL
+    for k in (1, 2, 3):
+        h += c[k : len(c) - 3 + k]
+        h *= _MUL
+    return (np.flatnonzero(h < _BELOW) + 4).tolist()
+
+
 def tree(text: str | None, known: dict[str, bytes] | None = None) -> Tree:
     """The Merkle tree of a whole text. ``known`` may hold leaf hashes of a related text; it gets this text's."""
     text = text or ""
     known = {} if known is None else known
     sections, leaves = [], Counter()
-    top = _hash(b"\x03")
+    top, borders, at = _hash(b"\x03"), _borders(text), 0
+    borders.append(len(text) + LEAST + MOST)
     for a, b in _cut(text, 0, len(text), _BLANK):
         paragraphs, mid = [], _hash(b"\x02")
         for c, d in _cut(text, a, b, _LINE):
             low, p, own = _hash(b"\x01"), c, []
-            pieces = _LEAF.findall(text, c, d)
-            leaves.update(pieces)
-            for piece in pieces:
+            pieces = []
+            while p < d:
+                while borders[at] < p + LEAST:
+                    at += 1
+                q = min(d, p + MOST, borders[at])
+                piece = text[p:q]
+                pieces.append(piece)
                 h = known.get(piece)
                 if h is None:
                     h = known[piece] = _hash(b"\x00" + piece.encode("utf-8", "surrogatepass")).digest()
                 low.update(h)
-                own.append((h, p, p + len(piece)))
-                p += len(piece)
+                own.append((h, p, q))
+                p = q
+            leaves.update(pieces)
             h = low.digest()
             mid.update(h)
             paragraphs.append((h, c, d, own))

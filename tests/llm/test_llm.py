@@ -388,6 +388,30 @@ def test_merkle_finds_edits():
     assert merkle.likeness(a, b) > 0.9 and merkle.likeness(merkle.tree(""), merkle.tree(None)) == 1 and merkle.likeness(a, merkle.tree("")) == 0
 
 
+def test_merkle_leaves_of_any_text():
+    rng = random.Random(4)
+    kinds = {
+        "capitals": words(rng, 200).upper(),
+        "symbols": " ".join("".join(rng.choice("abcdeo") for _ in range(6)) + rng.choice("!%$&#") for _ in range(150)),
+        "no spaces": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1000)),
+        "digits": "".join(rng.choice("0123456789") for _ in range(1000)),
+        "CJK": "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1000)),
+        "beyond 16 bits": "".join(chr(rng.randrange(0x20000, 0x2A000)) for _ in range(1000)),
+        "Cyrillic": " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(7)) for _ in range(120)),
+        "one letter": "x" * 1000,
+        "plain": words(rng, 200),
+    }
+    for name, text in kinds.items():
+        a, b = merkle.tree(text), merkle.tree(merkle.edited_text(text, "~" * len(text)))
+        assert "".join(text[p:q] for s in a.sections for g in s[3] for _, p, q in g[3]) == text
+        assert max(map(len, a.leaves)) <= merkle.MOST and 0.58 < merkle.likeness(a, b) <= 0.67, name
+        # One changed character moves few borders, and the edit is named to a few leaves.
+        at = len(text) // 2
+        c = merkle.tree(text[:at] + "~" + text[at + 1 :])
+        ((x, _),) = merkle.edits(a, c)
+        assert x[0] <= at < x[1] and (name == "one letter" or merkle.likeness(a, c) > 0.8 and x[1] - x[0] < 200), name
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
