@@ -3,7 +3,7 @@
 Base rules (kinds ``assign``, ``access``, ``hex``) are leftmost non-overlapping matches of each kind. The
 method adds kind ``entropy``: candidates are maximal runs of base64-like characters; over each run a window slides,
 whose character counts, and with them the sum of c*log2(c), are updated by one character in and one
-out. Windows at or above their class's threshold merge into spans. Allow-listed candidates (identifiers
+out. Once a window is at or above its class's threshold, the whole candidate is a span. Allow-listed candidates (identifiers
 of known form, placeholders, alphabets) give no entropy span; base spans always stay.
 
 Offsets are code points, ends exclusive. Null texts count as empty and have no spans.
@@ -30,11 +30,21 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: (class, its characters, window, bits a character at least); the first class that holds a whole window counts.
+#: (class, its characters, window, bits a character at least). A window counts for every class that holds it whole.
 CLASSES = (
     ("hex", frozenset("0123456789abcdefABCDEF"), 20, 3.0),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 24, 4.0),
+    ("lower", frozenset("abcdefghijklmnopqrstuvwxyz0123456789"), 20, 3.35),
+    ("upper", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, 3.35),
+    ("short", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.65),
+    ("letters", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 4.1),
 )
+#: Classes for candidates that are too short for a window of class base64.
+SHORT, LONG = frozenset({"short", "letters"}), 24
+#: Classes whose spans need a letter and a digit: long words aren't secrets.
+MIXED = frozenset({"lower", "upper", "short"})
+_WHOLE = {name: re.compile(f"[{re.escape(''.join(sorted(chars)))}]{{{window}}}") for name, chars, window, _ in CLASSES}
+_LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(r".*(EXAMPLE|example|PLACEHOLDER|placeholder|your[-_]).*"),
@@ -69,23 +79,22 @@ def entropy_windows(run: str, chars: frozenset, window: int, bits: float) -> lis
     return spans
 
 
-def entropy_spans(text: str, allow=ALLOW) -> list[tuple[int, int]]:
-    found = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if any(a.fullmatch(run) for a in allow):
+def secret_like(run: str) -> bool:
+    """Whether any window of any class in ``run`` is at or above its threshold."""
+    for name, chars, window, bits in CLASSES:
+        if name in SHORT and len(run) >= LONG or not _WHOLE[name].search(run):
             continue
-        spans: list[tuple[int, int]] = []
-        for _, chars, window, bits in CLASSES:
-            spans += entropy_windows(run, chars, window, bits)
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        found += [(m.start() + a, m.start() + b) for a, b in merged]
-    return found
+        for a, b in entropy_windows(run, chars, window, bits):
+            if name not in MIXED or _LETTER.search(run, a, b) and _DIGIT.search(run, a, b):
+                return True
+    return False
+
+
+def entropy_spans(text: str, allow=ALLOW) -> list[tuple[int, int]]:
+    """The candidates that hold a secret, each from its first to its last character."""
+    return [
+        m.span() for m in CANDIDATE.finditer(text) if not any(a.fullmatch(m[0]) for a in allow) and secret_like(m[0])
+    ]
 
 
 def scan(text: str | None, allow=ALLOW) -> list[tuple[int, int, str]]:

@@ -103,6 +103,20 @@ def test_entropy_is_incremental():
     assert secret_scan.entropy_spans("x 123e4567-e89b-12d3-a456-426614174000 y") == []
 
 
+def test_entropy_finds_and_masks_whole_tokens():
+    rng = random.Random(6)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {"base36": low + "0123456789", "base32": low + "234567", "upper base32": low.upper() + "234567", "base62": low + low.upper() + "0123456789"}
+    for name, signs in kinds.items():
+        for n in (20, 21, 22, 23, 24, 32, 40):
+            tokens = ["".join(rng.choice(signs) for _ in range(n)) for _ in range(400)]
+            found = [t for t in tokens if secret_scan.entropy_spans(f"key {t} end")]
+            assert len(found) >= 0.92 * len(tokens), (name, n, len(found))
+            assert all(secret_scan.redact_text(f"key {t} end") == "key [SECRET] end" for t in found), (name, n)
+    for plain in ("internationalization", "donaudampfschifffahrtsgesellschaft", "INTERNATIONALISATION", "x" * 40, "well-known-and-long-slugs"):
+        assert secret_scan.entropy_spans(f"a {plain} b") == [], plain
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
