@@ -168,12 +168,11 @@ def parse(data: bytes) -> Stream:
 
     A header is taken as a frame's if a fitting header, a tag or the end of the data follows its frame;
     after foreign bytes the search goes on at the next byte 255. A frame cut off by the end is not one.
+    An ID3v1 tag stands in the last 128 bytes, after the last frame: the same letters within a frame are its data.
     """
     out, p, n = Stream(), 0, len(data)
     last: Header | None = None
-    if n >= 128 and data[-128:-125] == b"TAG":
-        n -= 128
-        out.tags["id3v1"] = data[n + 3 : n + 33].split(b"\0")[0]
+    tag1 = n - 128 if n >= 128 and data[-128:-125] == b"TAG" else n
     known: dict[int, Header | None] = {}
 
     def at(q: int) -> Header | None:
@@ -186,9 +185,13 @@ def parse(data: bytes) -> Stream:
 
     crcs: dict[bytes, int] = {}
     while p < n:
+        if p == tag1:
+            out.tags["id3v1"] = data[p + 3 : p + 33].split(b"\0")[0]
+            break
+        end = tag1 if p < tag1 else n
         if data[p] == 0x49 and (tag := _id3v2(data, p)):
             out.tags |= {k: v for k, v in tag[1].items() if k not in out.tags}
-            p = min(n, tag[0])
+            p = min(end, tag[0])
             continue
         h = at(p)
         fits = h is not None and p + h.size <= n and (last is None or _same(last, h))
@@ -198,11 +201,12 @@ def parse(data: bytes) -> Stream:
             fits = q == n or data[q : q + 3] in (b"ID3", b"TAG") or after is not None and _same(h, after)
         if not fits:
             if h is None and last is not None and data.find(b"\xff", p) < 0:
-                out.skipped += n - p
-                break
+                out.skipped += end - p
+                p = end
+                continue
             q = data.find(b"\xff", p + 1)
             i = data.find(b"ID3", p + 1) if not out.frames else -1
-            q = min(x for x in (q, i, n) if x >= 0)
+            q = min(x for x in (q, i, end) if x >= 0)
             out.skipped += q - p
             p = q
             continue
@@ -283,8 +287,11 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
     def row(doc_id, text):
         raw = (text or "").encode()
-        media = store(pad(raw))
+        payload = pad(raw)
+        media = store(payload)
         got, s = load(media)
+        if got != payload:
+            raise ValueError(f"doc_id {doc_id}: the stream doesn't give its payload back")
         return (
             doc_id, len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(media),
             hashlib.sha256(media).hexdigest(), feature(s), len(s.frames), float(s.seconds), s.crc_bad,

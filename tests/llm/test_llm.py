@@ -539,6 +539,20 @@ def test_mpeg_parser():
     assert mpeg.header(0xFFFBF064) is None and mpeg.parse(b"").frames == [] and mpeg.parse(b"\xff" * 5000).frames == []
 
 
+def test_mpeg_text_like_a_tag(spark):
+    texts = ["x" * (576 * k + 505) + "TAG" + "y" * m for k in (0, 1, 3) for m in (0, 68)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for r in mpeg.media_columns(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        p = mpeg.pad(texts[r.doc_id].encode())
+        assert (r.payload_bytes, r.payload_sha256, r.n_frames) == (len(p), hashlib.sha256(p).hexdigest(), len(p) // 576)
+    media = mpeg.store(mpeg.pad(texts[3].encode()))
+    tag = b"TAG" + b"title".ljust(125, b"\0")
+    for end, skipped in ((tag, 0), (b"junk" + tag, 648 + 4), (b"junk\xff" + tag, 648 + 5)):  # no frame before junk
+        s = mpeg.parse(media + end)
+        assert s.tags["id3v1"] == b"title" and s.skipped == skipped and len(s.frames) >= 1
+    assert len(mpeg.parse(media + tag).frames) == 2 and "id3v1" not in mpeg.parse(media).tags
+
+
 def test_parse_column(spark):
     rows = [(1, bytearray(mpeg.store(mpeg.pad(b"abc")))), (2, None), (3, bytearray(b"")), (4, bytearray(b"noise" * 100))]
     got = {r.k: r for r in mpeg.parse_column(spark.createDataFrame(rows, "k long, media binary"), "k", "media").collect()}
