@@ -397,7 +397,9 @@ def metric_report(spark, d):
 
 @query()
 def method_report(spark, d):
-    return report.method_table(*P.two_sides(spark, d), {"MNN": {"k": 15}, "Scanorama": {"k": 5}}, {k: v for k, v in correct.METHODS.items() if k in ("CORAL", "Scanorama")})
+    a, b = P.two_sides(spark, d)
+    hvg = {"hvg": 50} if len(a.first()["vec"]) > 50 else {}  # all features, where there are no more than that
+    return report.method_table(a, b, {"MNN": {"k": 15} | hvg, "Scanorama": {"k": 5} | hvg})
 
 
 # --- space, layout, sequences ----------------------------------------------------------------------------------------

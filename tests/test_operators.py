@@ -324,3 +324,11 @@ def test_workflows(spark, tmp_path):
         W.EncodeConfig("x")
     with pytest.raises(Exception, match="finite"):
         W.assert_finite(side(spark, [[float("nan")]])).collect()
+
+
+def test_method_report_has_all_methods(spark):
+    from clonoframe.plans import registry
+
+    got = {r.Method: r for r in registry.queries()["method_report"](spark, "/root/testdata/sf0.01").collect()}
+    assert list(got) == ["Baseline", "CORAL", "Harmony", "MNN", "Scanorama"]
+    assert all(math.isfinite(r.JSD) and math.isfinite(r.JSD_improvement) for r in got.values())
