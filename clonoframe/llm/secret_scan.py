@@ -4,7 +4,8 @@ Base rules (kinds ``assign``, ``access``, ``hex``) are leftmost non-overlapping
 method adds kind ``entropy``: candidates are maximal runs of base64-like characters; over each run a window slides,
 whose character counts, and with them the sum of c*log2(c), are updated by one character in and one
 out. Once a window is at or above its class's threshold, the whole candidate is a span. Allow-listed candidates (identifiers
-of known form, placeholders, alphabets) give no entropy span; base spans always stay.
+of known form, rules) give no entropy span. Allow-listed pieces (placeholders, alphabets) cut a candidate into parts
+that are judged and masked each for itself. Base spans always stay.
 
 Offsets are code points, ends exclusive. Null texts count as empty and have no spans.
 """
@@ -47,10 +48,23 @@ _WHOLE = {name: re.compile(f"[{re.escape(''.join(sorted(chars)))}]{{{window}}}")
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r".*(EXAMPLE|example|PLACEHOLDER|placeholder|your[-_]).*"),
     re.compile(r"[-=_+/]+"),  # rules of tables and headings
-    re.compile(r".*(abcdefghijklm|ABCDEFGHIJKLM|0123456789ab|0123456789AB).*"),
 )
+
+
+def _begun(first: str, rest: str) -> str:
+    """A pattern of ``first`` and as much of ``rest`` as follows in order."""
+    tail = ""
+    for c in reversed(rest):
+        tail = f"(?:{c}{tail})?"
+    return first + tail
+
+
+PIECE = re.compile("|".join((
+    "EXAMPLE|example|PLACEHOLDER|placeholder|your[-_]",
+    _begun("abcdefghijklm", "nopqrstuvwxyz"), _begun("ABCDEFGHIJKLM", "NOPQRSTUVWXYZ"),
+    _begun("0123456789ab", "cdefghijklmnopqrstuvwxyz"), _begun("0123456789AB", "CDEFGHIJKLMNOPQRSTUVWXYZ"),
+)))
 _CLOGC = [0.0] + [c * log2(c) for c in range(1, 4096)]
 
 
@@ -91,10 +105,15 @@ def secret_like(run: str) -> bool:
 
 
 def entropy_spans(text: str, allow=ALLOW) -> list[tuple[int, int]]:
-    """The candidates that hold a secret, each from its first to its last character."""
-    return [
-        m.span() for m in CANDIDATE.finditer(text) if not any(a.fullmatch(m[0]) for a in allow) and secret_like(m[0])
-    ]
+    """The candidates, or their parts between allow-listed pieces, that hold a secret, each as a whole."""
+    found = []
+    for m in CANDIDATE.finditer(text):
+        run = m[0]
+        if any(a.fullmatch(run) for a in allow):
+            continue
+        cuts = [0, *(x for p in PIECE.finditer(run) for x in p.span()), len(run)]
+        found += [(m.start() + a, m.start() + b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if secret_like(run[a:b])]
+    return found
 
 
 def scan(text: str | None, allow=ALLOW) -> list[tuple[int, int, str]]:
