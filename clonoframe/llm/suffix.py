@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import filter_of, maybe
 from .common import cut, input_partitions, pa_schema
 from .shingles import _B, _powers, mix
-from .urlfilter import BLOCK_WORDS, block_bits, maybe
 
 LENGTH = 200
 K = 64
@@ -240,7 +241,7 @@ def group_ranges(rows: list[tuple[bytes, int, int, list]], length: int = LENGTH,
     return out
 
 
-def _repeated_filter(docs: DataFrame, max_filter_mb: int = 64) -> np.ndarray:
+def _repeated_filter(docs: DataFrame, max_filter_mb: int = 64) -> Broadcast:
     """A Bloom filter of the anchors that occur more than once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,33 +254,13 @@ def _repeated_filter(docs: DataFrame, max_filter_mb: int = 64) -> np.ndarray:
     twice = cut(
         docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     )
-    n = twice.count()
-    n_blocks = int(max(1, min(n * 16 // 512 + 1, max_filter_mb * 2**20 // 64)))
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, mask = block_bits(batch.column(0).to_numpy().view(np.uint64), n_blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block)] + [pa.array(mask[:, w].view(np.int64)) for w in range(BLOCK_WORDS)], names=["block"] + [f"w{w}" for w in range(BLOCK_WORDS)]
-            )
-
-    merged = (
-        twice.mapInArrow(bits, "block long, " + ", ".join(f"w{w} long" for w in range(BLOCK_WORDS)))
-        .groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(BLOCK_WORDS)])
-    )
-    out = np.zeros((n_blocks, BLOCK_WORDS), np.uint64)
-    got = merged.toArrow()  # at most n_blocks rows
-    if got.num_rows:
-        at = got.column("block").to_numpy()
-        for w in range(BLOCK_WORDS):
-            out[at, w] = got.column(f"w{w}").to_numpy().view(np.uint64)
-    return out
+    return filter_of(twice, max_filter_mb)
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """Covered ranges: k (the text's key), a, b (bytes); ranges may overlap and repeat."""
     spark = docs.sparkSession
-    bloom = spark.sparkContext.broadcast(_repeated_filter(docs))
+    bloom = _repeated_filter(docs)
     seg_ddl = "h long, seg binary, p int, n long, ks array<binary>, ats array<long>"
     seg_schema = pa_schema(spark, seg_ddl)
 

@@ -15,15 +15,13 @@ Null URLs and URLs without ``://`` have an empty host and path and so fit no key
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_WORDS = 8  # of 64 bits: 512-bit blocks, one cache line
-BITS_SET = 6
+from .bloom import build, maybe
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict): the contract's rules.
 RULES = [
@@ -42,57 +40,15 @@ def parse_urls(pages: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def hash_keys(keys: list[str]) -> np.ndarray:
     import xxhash
 
     return np.fromiter((xxhash.xxh64_intdigest(k.encode()) for k in keys), np.uint64, len(keys))
 
 
-def block_bits(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each hash its block and its mask of BLOCK_WORDS words."""
-    block = (_mix(hashes) >> np.uint64(16)) % np.uint64(n_blocks)
-    mask = np.zeros((len(hashes), BLOCK_WORDS), np.uint64)
-    h = _mix(hashes ^ np.uint64(0x9E3779B97F4A7C15))
-    for k in range(BITS_SET):
-        bit = (h >> np.uint64(9 * k)) & np.uint64(511)
-        mask[np.arange(len(hashes)), (bit >> np.uint64(6)).astype(np.int64)] |= np.uint64(1) << (bit & np.uint64(63))
-    return block.astype(np.int64), mask
-
-
 def build_filter(keys: DataFrame, n_keys: int, bits_per_key: int = 16, max_filter_mb: int = 64) -> np.ndarray:
-    """The filter of a table with one column ``key``: (blocks, words). Its size is bounded by ``max_filter_mb``."""
-    n_blocks = int(max(1, min(n_keys * bits_per_key // 512 + 1, max_filter_mb * 2**20 // 64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, mask = block_bits(hash_keys(batch.column(0).to_pylist()), n_blocks)
-            cols = [pa.array(block)] + [pa.array(mask[:, w].view(np.int64)) for w in range(BLOCK_WORDS)]
-            yield pa.RecordBatch.from_arrays(cols, names=["block"] + [f"w{w}" for w in range(BLOCK_WORDS)])
-
-    rows = (
-        keys.select("key").mapInArrow(run, "block long, " + ", ".join(f"w{w} long" for w in range(BLOCK_WORDS)))
-        .groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(BLOCK_WORDS)])
-    )
-    out = np.zeros((n_blocks, BLOCK_WORDS), np.uint64)
-    got = rows.toArrow()  # at most n_blocks rows, a bounded number
-    if got.num_rows:
-        at = got.column("block").to_numpy()
-        for w in range(BLOCK_WORDS):
-            out[at, w] = got.column(f"w{w}").to_numpy().view(np.uint64)
-    return out
-
-
-def maybe(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes the filter may hold."""
-    block, mask = block_bits(hashes, len(bloom))
-    return ((bloom[block] & mask) == mask).all(axis=1)
+    """The filter of a table with one string column ``key``; its size is bounded by ``max_filter_mb``."""
+    return build(keys.select("key"), n_keys, lambda c: hash_keys(c.to_pylist()), bits_per_key, max_filter_mb)
 
 
 def candidates(host: str, path: str, lengths: list[int]) -> list[str]:

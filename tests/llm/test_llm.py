@@ -154,9 +154,10 @@ def plain_components(rows, k, percent):
     return {d: (len(sets[i]), low[find(i)]) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("block", [400_000, 150])
-def test_minhash(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "many"), [(400_000, 4096), (150, 4096), (400_000, 7), (150, 5)])
+def test_minhash(spark, monkeypatch, block, many):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "MEMBERS", many)
     rng = random.Random(3)
     rows, base = [], [words(rng, 90) for _ in range(3)]
     for i in range(90):
