@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are split before the library sees them, at boundaries that are safe: just before a
-plain space that follows an ASCII letter or digit. No match of the pre-splitting pattern covers such a
-pair of characters, and no look-ahead of the pattern looks past it, so encoding the pieces
-one after another gives the ids of the whole text. A text without any such boundary goes to the library
-as one piece. Decoding joins raw bytes, so pieces that end inside a character do no harm.
+Long texts are split before the library sees them, at boundaries that are safe for patterns of runs of one kind
+(letters, digits, other signs, white space) with an optional space in front, as PATTERN is: between any other character and white
+space, and between a letter and a punctuation mark or a combining mark. No match covers such a
+pair of characters, and no look-ahead looks past it from the left, so encoding the pieces
+one after another gives the ids of the whole text. A text without any such boundary is one match
+and goes to the library as one piece. Decoding joins raw bytes, so pieces that end inside a character do no harm.
+
+Ids are gathered in flat 32-bit buffers, a few hundred texts at a time, never as lists of Python numbers for a whole batch.
 
 Null texts count as empty; an empty text has no ids and decodes to no bytes.
 """
@@ -14,9 +17,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +30,12 @@ from .common import free_name, map_rows
 
 #: Target length, in characters, of the pieces of a long text.
 PIECE = 65536
-_SAFE = re.compile(r"(?<=[0-9A-Za-z])(?= )")
+#: Letters of scripts whose code charts are settled, and marks that may follow them without white space.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u052f\u05d0-\u05ea\u0620-\u064a\u0904-\u0939\u0e01-\u0e30\u0e32\u0e33\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_MARKS = "!-&(-/:-@\\[-`{-~\u00ab\u00bb\u0301\u060c\u061b\u061f\u064b-\u0652\u0964\u0965\u0e31\u0e34-\u0e3a\u2013\u2014\u2018-\u201e\u2026\u3001\u3002\u3008-\u3011\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+_SAFE = re.compile(rf"(?<=\S)(?=[ \t\n\r])|(?<=[{_LETTERS}])(?=[{_MARKS}])")
+#: Texts whose ids or bytes are gathered before they go into a flat buffer.
+_SLICE = 256
 
 
 @lru_cache(maxsize=4)
@@ -49,16 +59,31 @@ def split_safely(text: str, piece: int = PIECE) -> list[str]:
     return out
 
 
-def encode_text(text: str | None, enc: tiktoken.Encoding, piece: int = PIECE) -> list[int]:
-    """Ids of a whole text; strings of special tokens are ordinary text."""
+def ids_of(text: str | None, enc: tiktoken.Encoding, piece: int = PIECE) -> np.ndarray:
+    """Ids of a whole text as 32-bit numbers; strings of special tokens are ordinary text."""
     if not text:
-        return []
+        return np.zeros(0, np.uint32)
     if len(text) <= piece:
-        return enc.encode_ordinary(text)
-    ids: list[int] = []
-    for part in split_safely(text, piece):
-        ids += enc.encode_ordinary(part)
-    return ids
+        return enc.encode_to_numpy(text, disallowed_special=())
+    return np.concatenate([enc.encode_to_numpy(part, disallowed_special=()) for part in split_safely(text, piece)])
+
+
+def encode_text(text: str | None, enc: tiktoken.Encoding, piece: int = PIECE) -> list[int]:
+    """Ids of a whole text as a list."""
+    return ids_of(text, enc, piece).tolist()
+
+
+def _gather(values: pa.Array, f: Callable[[object], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and the flat results of ``f`` over a column, without a list of a whole batch's Python values."""
+    lengths, parts = [0], []
+    for start in range(0, len(values), _SLICE):
+        got = [f(x) for x in values.slice(start, _SLICE).to_pylist()]
+        lengths += [len(x) for x in got]
+        parts.append(np.concatenate(got))
+    ends = np.cumsum(lengths, dtype=np.int64)
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise ValueError("one Arrow batch has more than 2**31 ids; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return ends.astype(np.int32), np.concatenate(parts) if parts else np.zeros(0)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -66,51 +91,69 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ou
 
     Clashing column names get underscores in front of ours. Every row stays, in any state.
     """
-    name = free_name(out, docs.columns)
 
-    def setup():
-        return (encoding(rank_file, pattern),)
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoding(rank_file, pattern)
+        for col in it:
+            offsets, ids = _gather(col, lambda t: ids_of(t, enc))
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
 
-    return _append(docs, text, lambda t, enc: encode_text(t, enc), f"array<int>", name, setup)
+    return _append(docs, text, run, "array<int>", out)
 
 
 def decode(rows: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """``rows`` with a binary column ``out``: the raw bytes that the ids stand for (null ids: none)."""
-    name = free_name(out, rows.columns)
 
-    def setup():
-        return (encoding(rank_file, pattern),)
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoding(rank_file, pattern)
+        for col in it:
+            offsets, raw = _gather(col, lambda x: np.frombuffer(enc.decode_bytes(x) if x else b"", np.uint8))
+            yield pa.BinaryArray.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(offsets), pa.py_buffer(raw.astype(np.uint8))])
 
-    return _append(rows, ids, lambda x, enc: enc.decode_bytes(x) if x else b"", "binary", name, setup)
+    return _append(rows, ids, run, "binary", out)
 
 
-def _append(df: DataFrame, column: str, f, kind: str, name: str, setup) -> DataFrame:
-    """A column from an Arrow-batched Python function, beside all others."""
-    import pyarrow as pa
-    from pyspark.sql.functions import arrow_udf
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with columns ``ids`` (array<int>) and ``round_trip``: whether the decoded ids are the text's bytes.
 
-    to = pa.list_(pa.int32()) if kind.startswith("array") else pa.binary()
+    Both come from one pass, so a task holds one batch of texts and its flat ids. Clashing column names get underscores in front of ours.
+    """
+    both = free_name("both", docs.columns)
 
-    def run(it):
-        (enc,) = setup()
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoding(rank_file, pattern)
         for col in it:
-            yield pa.array([f(x, enc) for x in col.to_pylist()], to)
+            same: list[bool] = []
+
+            def one(t):
+                ids = ids_of(t, enc)
+                same.append(enc.decode_bytes(ids.tolist()) == (t or "").encode("utf-8", "surrogatepass"))
+                return ids
 
-    from collections.abc import Iterator
+            offsets, ids = _gather(col, one)
+            yield pa.StructArray.from_arrays(
+                [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), pa.array(same, pa.bool_())], names=["ids", "round_trip"]
+            )
 
+    got = _append(docs, text, run, "struct<ids:array<int>,round_trip:boolean>", both)
+    names = {n: free_name(n, docs.columns) for n in ("ids", "round_trip")}
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{both}.{n}").alias(to) for n, to in names.items()])
+
+
+def _append(df: DataFrame, column: str, run, kind: str, out: str) -> DataFrame:
+    """A column from an Arrow-batched Python function, beside all others."""
+    # Annotations are strings in this module; the UDF's kind is read from real types.
     run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return df.withColumn(name, arrow_udf(run, kind)(F.col(column)))
+    return df.withColumn(free_name(out, df.columns), F.arrow_udf(run, kind)(F.col(column)))
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encode, then decode the ids."""
 
     def row(doc_id, text, enc):
-        ids = encode_text(text, enc)
-        packed = array("I", ids)
-        assert packed.itemsize == 4
-        back = enc.decode_bytes(ids)
-        return doc_id, len(ids), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()
+        ids = ids_of(text, enc)
+        back = enc.decode_bytes(ids.tolist())
+        return doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()
 
     return map_rows(
         docs, ["doc_id", "text"], row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
