@@ -1,7 +1,8 @@
 """The training-data pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 1. quality: rejected documents go. 2. near-duplicates: one document of each group stays. 3. secrets are
-masked in the texts. 4. sources are mixed to their target weights: rows repeat or go. 5. texts become token ids.
+masked in the texts. 4. sources are mixed to their target weights: rows repeat or go. 5. texts become token ids, which are decoded
+again and compared with the text.
 Every stage works on all that the stage before it kept; all but the last return the columns of ``documents``.
 """
 
@@ -35,9 +36,10 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and whether decoding them gives the text back."""
     slim = docs.select("doc_id", "lang", "source", "n_chars", "text")
-    ids = bpe.encode(slim, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return ids.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    both = bpe.round_trip(slim, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return both.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ STAGES = [
     ("MinHash near-dedup", stage_near_duplicates),
     ("secret scans", stage_secrets),
     ("mixing sources to target weights", stage_mix),
-    ("byte-level BPE encoding", stage_encode),
+    ("byte-level BPE encoding and decoding", stage_encode),
 ]
 
 #: No SQL expresses the classifier's sums, the signatures or the tokenizer; the stages are tested against plain versions.
