@@ -1,14 +1,19 @@
 """Mixing sources to target weights by pivotal dependent rounding; DataFrame functions only.
 
-A document of source s gets ``target(s) / size(s)`` copies: the whole part for sure, the fraction by rounding. Rounding
-takes two fractional documents and moves mass, in words, from one to the other until one of the two has a whole
-number; which way is drawn so that every expectation stays. Words are kept exactly by each step, so a
-source's total misses its target by less than one document at the end.
+A document of source s is worth ``target(s) / size(s)`` copies: the whole part for sure, the fraction by rounding. Rounding
+takes two partners and moves mass, in words, from one to the other until one of the two has a whole
+number; which way is drawn so that every expectation stays, and words are kept exactly by each step.
 
-Documents are dealt into chunks of at most ``CHUNK`` by (source, hash of the row); each chunk is folded to one
-residual document (large ones first, so that the residual tends to be a small one), residuals are dealt into chunks again, and so on: a reduction tree whose depth is the
-logarithm of the largest source's documents. A hot source has proportionally more buckets. Draws are hashes of the seed, the level and the two
-documents, so reruns agree. Only ids, sources and sizes are shuffled.
+1. The ``CHUNK`` largest documents of a source are settled one after another, the largest first; each one's partner is the pool of all smaller
+   documents of the source, which have one rate in common. So a long document's fraction is made up for by many short ones, not left
+   to the end.
+2. The other documents are dealt into chunks of at most ``CHUNK`` by (source, hash of the row); in a chunk each document's partner is the pool
+   of the smaller ones of the chunk. What is left of a chunk is one document, as a rule among its smallest.
+3. These residuals are dealt into chunks again and rounded pair by pair, and so on: a reduction tree whose depth is the
+   logarithm of the largest source's documents. A hot source has proportionally more buckets.
+
+A source's total misses its target by less than the one document that is left at the end and drawn alone. A pool's rate stays between 0 and ``most``, rounded up.
+Draws are hashes of the seed, the level and the documents, so reruns agree. Only ids, sources and sizes are shuffled.
 
 Null texts have size 0; documents of size 0 and sources without words take nothing. Null sources form one source, the
 last. Rows that agree in doc_id, source and size are interchangeable: copies go to them in the order of their texts.
@@ -16,10 +21,12 @@ last. Rows that agree in doc_id, source and size are interchangeable: copies go
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, input_partitions
 
 CHUNK = 256
 #: Weights of the sources in order, repeating.
@@ -37,28 +44,32 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, shar
 
     Sources by code point, null last, weigh ``weights`` in turn, and share ``share`` of all sizes; a target above ``most``
     times its source's size stops there and the excess is shared again by weight. That ends at target =
-    min(most * size, level * weight) for one level, found from running sums over the sources in the order in which they stop.
+    min(most * size, level * weight) for one level, which rises from sum to sum until no more source stops.
     """
+    spark = sized.sparkSession
+    n = input_partitions(spark)
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
-    # One row a source from here on.
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
+    # One row a source from here on. Ranks: by ranges of sources, each range counted; a range's offset is the count of those before it.
+    per = cut(per.repartitionByRange(n, F.col("source").asc_nulls_last()).withColumn("_p", F.spark_partition_id()))
+    counts = {r["_p"]: r["count"] for r in per.groupBy("_p").count().collect()}  # one row a range
+    if not counts:
+        return per.select("source", "source_size", "source_docs", F.lit(0.0).alias("target"))
+    offsets = F.array(*[F.lit(sum(k for q, k in counts.items() if q < p)) for p in range(max(counts) + 1)])
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(F.col("source").asc_nulls_last())) - 1
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((inside + F.element_at(offsets, F.col("_p") + 1)) % len(weights) + 1).cast("int"))
     cap = F.col("source_size") * F.lit(float(most))
-    whole = Window.partitionBy()
-    upto = Window.orderBy("_stop", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("_w", w).withColumn("_stop", cap / F.col("_w"))
-    level = (
-        (F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum(cap).over(upto), F.lit(0.0)))
-        / (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(upto), F.lit(0.0)))
-    )
-    # The level that holds if this source and all later ones don't stop; the first source that it doesn't stop has the right one.
-    found = ranked.withColumn("_level", level).withColumn(
-        "_right", F.min(F.when(F.col("_level") <= F.col("_stop"), F.struct("_stop", F.col("source").isNull().alias("_n"), "source", "_level"))).over(whole)
-    )
-    return found.select(
-        "source", "source_size", "source_docs",
-        F.least(cap, F.coalesce(F.col("_right._level") * F.col("_w"), cap)).alias("target"),
-    )
+    per = cut(per.withColumn("_w", w).withColumn("_cap", cap))
+    total, free = per.agg(F.sum("source_size"), F.sum("_w")).first()
+    total = float(total) * share
+    level, before = total / free, None
+    while level != before:
+        before = level
+        stops = F.col("_cap") <= F.col("_w") * F.lit(level)
+        held, free = per.agg(F.sum(F.when(stops, F.col("_cap"))), F.sum(F.when(~stops, F.col("_w")))).first()
+        if not free:
+            break
+        level = max(level, (total - (held or 0.0)) / free)
+    return per.select("source", "source_size", "source_docs", F.least(F.col("_cap"), F.lit(level) * F.col("_w")).alias("target"))
 
 
 def _draw(seed: int, level: int, a: Column, b: Column) -> Column:
@@ -94,44 +105,108 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def _settle(items: Column, rate: Column, pool: Column, most: int, seed: int, level: int) -> Column:
+    """Pivotal rounding of an array of (doc_id, size), large ones first, each against the pool of those after it and of ``pool`` more words.
+
+    All have ``rate`` copies in common. Gives done (doc_id, size, whole, x = 0), held (the one that is left, or null) and the pool's rate at the end.
+    """
+    kind = "struct<doc_id:bigint,size:bigint,whole:bigint,x:double>"
+    none = F.lit(None).cast(kind)
+
+    def put(item: Column, copies: Column, x: Column) -> Column:
+        return F.struct(item["doc_id"].alias("doc_id"), item["size"].alias("size"), copies.cast("long").alias("whole"), x.cast("double").alias("x"))
+
+    def step(acc: Column, item: Column) -> Column:
+        r, size = acc["rate"], item["size"].cast("double")
+        rest = acc["rest"] - size
+        low = F.floor(r + F.lit(1e-9))
+        x = F.greatest(r - low, F.lit(0.0))
+        whole = x <= 1e-9
+        up, down = F.least((1 - x) * size, r * rest), F.least(x * size, (F.lit(most) - r) * rest)
+        is_up = _draw(seed, level, item["doc_id"], item["size"]) < down / (up + down)
+        moved = F.when(is_up, up).otherwise(-down)
+        full = F.when(is_up, (1 - x) * size <= r * rest).otherwise(x * size <= (F.lit(most) - r) * rest)
+        alone = (rest <= 0) | (up + down <= 0)
+        # The document is settled, or the pool is used up and the document is what is left.
+        settled = put(item, low + F.when(is_up, 1).otherwise(0), F.lit(0.0))
+        left = put(item, low, F.when(alone, x).otherwise(F.least(F.greatest(x + moved / size, F.lit(0.0)), F.lit(1.0))))
+        after = F.when(whole | alone, r).otherwise(F.least(F.greatest(r - moved / rest, F.lit(0.0)), F.lit(most)))
+        stays = whole | (~alone & full)
+        return F.struct(
+            after.alias("rate"), rest.alias("rest"),
+            F.when(stays, acc["held"]).otherwise(left).alias("held"),
+            F.when(stays, F.concat(acc["done"], F.array(F.when(whole, put(item, low, F.lit(0.0))).otherwise(settled)))).otherwise(acc["done"]).alias("done"),
+        )
+
+    words = F.aggregate(items, pool.cast("double"), lambda acc, i: acc + i["size"])
+    start = F.struct(rate.cast("double").alias("rate"), words.alias("rest"), none.alias("held"), F.array().cast(f"array<{kind}>").alias("done"))
+    return F.aggregate(items, start, step)
+
+
 def copies(sized: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, most: float = MOST, share: float = 1.0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for every row of ``sized`` (doc_id, source, size)."""
     goal = cut(targets(sized, weights, most, share))
+    top = math.ceil(most)  # copies that a document may get
     biggest = goal.agg(F.max("source_docs")).first()[0] or 0
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = (
-        sized.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-        .withColumn("_rate", rate).withColumn("whole", F.floor(F.col("_rate") + F.lit(1e-12)))
-        .withColumn("x", F.greatest(F.col("_rate") - F.col("whole"), F.lit(0.0)))
-    )
     keep = ["doc_id", "source", "size", "source_size", "target"]
-    is_open = (F.col("size") > 0) & (F.col("x") > 1e-9)
-    settled = rows.where(~is_open).select(*keep, F.when(F.col("size") > 0, F.col("whole")).otherwise(F.lit(0)).cast("long").alias("copies"))
-    left = rows.where(is_open).select(*keep, "source_docs", "whole", "x")
+    key = F.struct("size", F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("h"))
+    # The largest documents of each source and, if there are more, the key of the next one; a task keeps few rows of a source before the shuffle.
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(key.desc()))
+    tops = sized.where("size > 0").withColumn("_k", rank).where(F.col("_k") <= CHUNK + 1).groupBy("source").agg(
+        F.max(F.when(F.col("_k") == CHUNK + 1, key)).alias("_next"), F.collect_list(F.struct(key.alias("key"), "doc_id", "size")).alias("_all")
+    )
+    large = F.array_sort(F.filter("_all", lambda i: F.col("_next").isNull() | (i["key"] > F.col("_next"))), lambda a, b: F.when(a["key"] > b["key"], -1).when(a["key"] < b["key"], 1).otherwise(0))
+    named = goal.select(F.col("source").alias("_s"), "source_size", "source_docs", "target")
+    first = cut(
+        tops.select("source", "_next", F.transform(large, lambda i: F.struct(i["doc_id"].alias("doc_id"), i["size"].alias("size"))).alias("_items"))
+        .join(named, F.col("source").eqNullSafe(F.col("_s")), "inner")
+        .withColumn("_rest", F.col("source_size") - F.aggregate("_items", F.lit(0).cast("long"), lambda acc, i: acc + i["size"]))
+        .withColumn("_got", _settle(F.col("_items"), F.col("target") / F.col("source_size"), F.col("_rest"), top, seed, -1))
+        .select("source", "source_size", "target", "source_docs", "_next", "_got")
+    )
+
+    def of(rows: DataFrame, part: str, *more: str) -> DataFrame:
+        """One row for each document in ``part``."""
+        each = rows.select("source", "source_size", "target", *more, F.col(part).alias("_d"))
+        return each.select(F.col("_d.doc_id").alias("doc_id"), "source", F.col("_d.size").alias("size"), "source_size", "target", *more, F.col("_d.whole").alias("whole"), F.col("_d.x").alias("x"))
+
+    def done(rows: DataFrame) -> DataFrame:
+        settled = of(rows.withColumn("_e", F.explode("_got.done")), "_e")
+        return settled.select(*keep, (F.col("whole") + F.round("x").cast("long")).alias("copies"))
+
+    def held(rows: DataFrame) -> DataFrame:
+        return of(rows.where("_got.held is not null").withColumn("_e", F.col("_got.held")), "_e", "source_docs")
+
+    # The others have the rate that is left. Sources and sizes without words take nothing.
+    rates = first.select(F.col("source").alias("_s"), "_next", F.col("_got.rate").alias("_rate"))
+    nothing = sized.where("size = 0").join(named, F.col("source").eqNullSafe(F.col("_s")), "left").select(*keep, F.lit(0).cast("long").alias("copies"))
+    small = (
+        sized.where("size > 0").join(rates.where("_next is not null"), F.col("source").eqNullSafe(F.col("_s")), "inner").where(key <= F.col("_next")).drop("_s")
+        .join(named, F.col("source").eqNullSafe(F.col("_s")), "inner").drop("_s")
+    )
     levels, n = 0, biggest
     while n > 1 or levels == 0:
         levels, n = levels + 1, -(-n // (CHUNK // 2))
-    parts = [settled]
+    parts, left = [nothing, done(first)], None
     for level in range(levels):
         last = level == levels - 1
-        buckets = F.lit(1) if last else F.greatest(F.lit(1), F.ceil(F.col("source_docs") / float(CHUNK * (CHUNK // 2) ** level)).cast("long"))
-        dealt = left.withColumn("_h", F.xxhash64(F.lit(seed + 1), F.lit(level), "doc_id", "size")).withColumn("_b", F.pmod("_h", buckets))
+        buckets = F.lit(1) if last and level else F.greatest(F.lit(1), F.ceil(F.col("source_docs") / float(CHUNK * (CHUNK // 2) ** level)).cast("long"))
+        dealt = (small if level == 0 else left).withColumn("_h", F.xxhash64(F.lit(seed + 1), F.lit(level), "doc_id", "size")).withColumn("_b", F.pmod("_h", buckets))
         # At the last level each source has few residuals; before that, repeated rows that meet in a bucket are cut into chunks.
-        by = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size", "x")
-        chunk = F.lit(0) if last else F.floor((F.row_number().over(by) - 1) / CHUNK)
+        by = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size", *([] if level == 0 else ["x"]))
+        chunk = F.lit(0) if last and level else F.floor((F.row_number().over(by) - 1) / CHUNK)
+        item = [(-F.col("size")).alias("_s"), "_h", "doc_id", "size", *([] if level == 0 else ["whole", "x"])]
+        if level == 0:
+            how = _settle(F.transform("_items", lambda i: F.struct(i["doc_id"].alias("doc_id"), i["size"].alias("size"))), F.col("_rate"), F.lit(0), top, seed, level)
+        else:
+            how = _fold(F.transform("_items", lambda i: F.struct(i["doc_id"].alias("doc_id"), i["size"].alias("size"), i["whole"].alias("whole"), i["x"].alias("x"))), seed, level)
+        first_of = [F.first(c).alias(c) for c in ("source_size", "target", "source_docs", *(["_rate"] if level == 0 else []))]
         folded = cut(
-            dealt.withColumn("_chunk", chunk).groupBy("source", "_b", "_chunk")
-            .agg(
-                F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("source_docs").alias("source_docs"),
-                F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("_s"), "_h", "doc_id", "size", "whole", "x"))).alias("_items"),
-            )
-            .withColumn("_got", _fold(F.transform("_items", lambda i: F.struct(i["doc_id"].alias("doc_id"), i["size"].alias("size"), i["whole"].alias("whole"), i["x"].alias("x"))), seed, level))
-            .select("source", "source_size", "target", "source_docs", "_got")
+            dealt.withColumn("_chunk", chunk).groupBy("source", "_b", "_chunk").agg(*first_of, F.array_sort(F.collect_list(F.struct(*item))).alias("_items"))
+            .withColumn("_got", how).select("source", "source_size", "target", "source_docs", "_got")
         )
-        decided = folded.select("source", "source_size", "target", F.explode("_got.done").alias("_d"))
-        held = folded.where("_got.held is not null").select("source", "source_size", "target", "source_docs", F.col("_got.held").alias("_d"))
-        parts.append(decided.select(F.col("_d.doc_id").alias("doc_id"), "source", F.col("_d.size").alias("size"), "source_size", "target", (F.col("_d.whole") + F.round("_d.x").cast("long")).alias("copies")))
-        left = held.select(F.col("_d.doc_id").alias("doc_id"), "source", F.col("_d.size").alias("size"), "source_size", "target", "source_docs", F.col("_d.whole").alias("whole"), F.col("_d.x").alias("x"))
+        parts.append(done(folded))
+        left = held(folded).unionByName(held(first)) if level == 0 else held(folded)
     # At most one document of a source is left: it is drawn alone.
     alone = _draw(seed, levels, F.col("doc_id"), F.col("size")) < F.col("x")
     parts.append(left.select(*keep, (F.col("whole") + alone.cast("long")).alias("copies")))
