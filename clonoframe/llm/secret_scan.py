@@ -31,7 +31,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: (class, its characters, window, bits a character at least). A window counts for every class that holds it whole.
+#: (class, its characters, window, bits a character at least). A candidate is secret-like if any class holds one of its windows
+#: whole at or above its threshold.
 CLASSES = (
     ("hex", frozenset("0123456789abcdefABCDEF"), 20, 3.0),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 24, 4.0),
@@ -46,7 +47,10 @@ SHORT, LONG = frozenset({"short", "letters"}), 24
 MIXED = frozenset({"lower", "upper", "short"})
 _WHOLE = {name: re.compile(f"[{re.escape(''.join(sorted(chars)))}]{{{window}}}") for name, chars, window, _ in CLASSES}
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
+#: Words joined as in paths and identifiers: words in one case or capitalised, a few digits after them, short numbers.
+_WORD = r"(?:[A-Z]?[a-z]{2,18}(?:[A-Z][a-z]{2,18})*|[a-z]|[A-Z]{1,12})[0-9]{0,3}|[0-9]{1,4}"
 ALLOW = (
+    re.compile(rf"[-=_+/]*(?:{_WORD})(?:[-=_+/]+(?:{_WORD}))*[-=_+/]*"),  # paths and identifiers
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(r"[-=_+/]+"),  # rules of tables and headings
 )

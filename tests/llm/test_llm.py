@@ -128,6 +128,19 @@ def test_allowed_pieces_spare_only_themselves():
         assert secret_scan.entropy_spans(f"a {plain} b") == [], plain
 
 
+def test_entropy_precision_and_recall():
+    rng = random.Random(8)
+    vocabulary = "lib python site packages numpy core src main java org apache spark sql catalyst test resources usr local share Doc README index html img static v2 py3 2024 http client Util".split()
+    plain = ["/".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 9))) for _ in range(400)]
+    plain += ["_".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 7))) for _ in range(200)] + ["getUserNameFromSessionContext", "AbstractFactoryBeanProviderImpl"]
+    assert sum(bool(secret_scan.entropy_spans(t)) for t in plain) <= 0.01 * len(plain)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for alphabet in (b64, b64[26:62], b64[:26] + b64[52:62], "0123456789abcdef"):
+        for n, least in ((24, 0.9), (32, 0.97), (40, 0.99)):
+            tokens = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+            assert np.mean([bool(secret_scan.entropy_spans(f"key {t} end")) for t in tokens]) >= least, (alphabet, n)
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
