@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut, free_name, input_partitions
 
 CHUNK = 256
+#: Sources whose targets are broadcast; beyond that many they are joined by a shuffle, which adaptive execution splits at hot sources.
+BROADCAST_SOURCES = 100_000
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
 MOST = 3.0
@@ -147,7 +149,9 @@ def copies(sized: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, most: floa
     """doc_id, source, size, source_size, target, copies for every row of ``sized`` (doc_id, source, size)."""
     goal = cut(targets(sized, weights, most, share))
     top = math.ceil(most)  # copies that a document may get
-    biggest = goal.agg(F.max("source_docs")).first()[0] or 0
+    biggest, sources = goal.agg(F.max("source_docs"), F.count(F.lit(1))).first()
+    biggest = biggest or 0
+    side = F.broadcast if sources <= BROADCAST_SOURCES else lambda df: df
     keep = ["doc_id", "source", "size", "source_size", "target"]
     key = F.struct("size", F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("h"))
     # The largest documents of each source and, if there are more, the key of the next one; a task keeps few rows of a source before the shuffle.
@@ -156,7 +160,7 @@ def copies(sized: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, most: floa
         F.max(F.when(F.col("_k") == CHUNK + 1, key)).alias("_next"), F.collect_list(F.struct(key.alias("key"), "doc_id", "size")).alias("_all")
     )
     large = F.array_sort(F.filter("_all", lambda i: F.col("_next").isNull() | (i["key"] > F.col("_next"))), lambda a, b: F.when(a["key"] > b["key"], -1).when(a["key"] < b["key"], 1).otherwise(0))
-    named = goal.select(F.col("source").alias("_s"), "source_size", "source_docs", "target")
+    named = side(goal.select(F.col("source").alias("_s"), "source_size", "source_docs", "target"))
     first = cut(
         tops.select("source", "_next", F.transform(large, lambda i: F.struct(i["doc_id"].alias("doc_id"), i["size"].alias("size"))).alias("_items"))
         .join(named, F.col("source").eqNullSafe(F.col("_s")), "inner")
@@ -181,7 +185,7 @@ def copies(sized: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, most: floa
     rates = first.select(F.col("source").alias("_s"), "_next", F.col("_got.rate").alias("_rate"))
     nothing = sized.where("size = 0").join(named, F.col("source").eqNullSafe(F.col("_s")), "left").select(*keep, F.lit(0).cast("long").alias("copies"))
     small = (
-        sized.where("size > 0").join(rates.where("_next is not null"), F.col("source").eqNullSafe(F.col("_s")), "inner").where(key <= F.col("_next")).drop("_s")
+        sized.where("size > 0").join(side(rates.where("_next is not null")), F.col("source").eqNullSafe(F.col("_s")), "inner").where(key <= F.col("_next")).drop("_s")
         .join(named, F.col("source").eqNullSafe(F.col("_s")), "inner").drop("_s")
     )
     levels, n = 0, biggest

@@ -176,7 +176,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in it:
-            yield pa.array([redact_text(t, mark) for t in col.to_pylist()], pa.string())
+            parts = [pa.array([redact_text(t, mark) for t in col.slice(k, 256).to_pylist()], pa.string()) for k in range(0, len(col), 256)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     # Annotations are strings in this module; the UDF's kind is read from real types.
     run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
