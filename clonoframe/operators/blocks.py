@@ -56,17 +56,21 @@ def cells(left: DataFrame, right: DataFrame, reduce: Callable, ddl: str, id_type
 
         def close():
             if held[0] and held[2]:
-                rows = list(reduce(held[0], np.array(held[1], float), held[2], np.array(held[3], float)))
+                rows = list(reduce(held[0], np.concatenate(held[1]), held[2], np.concatenate(held[3])))
                 for i in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 10_000], strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for x, y, s, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # Rows come sorted by cell and side; each run of equal keys is taken as one slice of the batch's matrix.
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if batch.num_rows else []
+            for p, q in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                x, y, s = keys[:, p].tolist()
                 if (x, y) != now:
                     yield from close()
                     now, held = (x, y), ([], [], [], [])
-                held[2 * s].append(i)
-                held[2 * s + 1].append(v)
+                held[2 * s].extend(batch.column(3).slice(p, q - p).to_pylist())
+                held[2 * s + 1].append(matrix(batch.column(4).slice(p, q - p)))
         yield from close()
 
     return dealt.mapInArrow(run, ddl)

@@ -284,6 +284,13 @@ def harmony_matrix(
         ent = np.where(r > 0, r * np.log(np.where(r > 0, r, 1)), 0).sum()
         return float((r * d).sum() + sigma * ent + sigma * (r * ((th * np.log((o + 1) / (e + 1))) @ phi.T).T).sum())
 
+    def settled(values: list[float], window: int, eps: float, signed: bool) -> bool:
+        """Whether the mean of the last ``window`` values fell by less than a share ``eps`` from that of the ``window`` before the last value."""
+        if len(values) < window + 1:
+            return False
+        old, new = sum(values[-window - 1 : -1]), sum(values[-window:])
+        return (old - new if signed else abs(old - new)) < eps * abs(old)
+
     trace = [objective(2 * (1 - z @ y.T))]
     for _ in range(outer):
         own: list[float] = []
@@ -302,10 +309,8 @@ def harmony_matrix(
                 e += np.outer(r[at].sum(axis=0), share)
                 o += r[at].T @ phi[at]
             own.append(objective(d))
-            if it > 3 and len(own) >= 4:
-                old, new = sum(own[-4:-1]), sum(own[-3:])
-                if (old - new) / abs(old) < eps_inner:
-                    break
+            if it > 3 and settled(own, 3, eps_inner, signed=False):
+                break
         trace.append(own[-1])
         out = z0.copy()
         one = np.hstack([np.ones((n, 1)), phi])
@@ -316,7 +321,7 @@ def harmony_matrix(
             w[0] = 0
             out -= weighted @ w
         z = unit(out)
-        if (trace[-2] - trace[-1]) / abs(trace[-2]) < eps_outer:
+        if len(trace) > 3 and settled(trace, 1, eps_outer, signed=True):
             break
     return out, trace
 

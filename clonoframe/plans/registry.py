@@ -397,6 +397,7 @@ def metric_report(spark, d):
 
 @query()
 def method_report(spark, d):
+    """The baseline and all four correction methods."""
     a, b = P.two_sides(spark, d)
     hvg = {"hvg": 50} if len(a.first()["vec"]) > 50 else {}  # all features, where there are no more than that
     return report.method_table(a, b, {"MNN": {"k": 15} | hvg, "Scanorama": {"k": 5} | hvg})

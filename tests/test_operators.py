@@ -332,3 +332,32 @@ def test_method_report_has_all_methods(spark):
     got = {r.Method: r for r in registry.queries()["method_report"](spark, "/root/testdata/sf0.01").collect()}
     assert list(got) == ["Baseline", "CORAL", "Harmony", "MNN", "Scanorama"]
     assert all(math.isfinite(r.JSD) and math.isfinite(r.JSD_improvement) for r in got.values())
+
+
+def test_median_of_tied_distances(spark):
+    from clonoframe.operators import metrics
+
+    # 1,210,000 distances: all 1 but one row's; the median's bin holds one value that occurs over a million times.
+    a = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(1100)], "id long, vec array<double>")
+    b = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(1099)] + [(1099, [3.0, 4.0])], "id long, vec array<double>")
+    assert metrics.median_distance(a, b) == 1.0
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(7, 3)), rng.normal(size=(6, 3))
+    frames = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>") for m in (x, y)]
+    want = np.median(np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2)))
+    assert abs(metrics.median_distance(*frames) - want) < 1e-12
+
+
+def test_harmony_ends_by_its_rules():
+    from clonoframe.operators.correct import harmony_matrix
+
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(40, 4)) + [3, 0, 0, 0], rng.normal(size=(40, 4)) + [0, 3, 0, 0]])
+    batch = np.repeat([0, 1], 40)
+    out, trace = harmony_matrix(x, batch, clusters=4, eps_outer=10.0)
+    assert len(trace) == 4  # the outer rule needs four values, however small the change
+    _, full = harmony_matrix(x, batch, clusters=4, eps_outer=-10.0, outer=6)
+    assert len(full) == 7 and full[:4] == trace
+    # The two batches' means move towards each other.
+    gap = lambda m: np.linalg.norm(m[:40].mean(axis=0) - m[40:].mean(axis=0))
+    assert gap(out) < 0.5 * gap(x)
