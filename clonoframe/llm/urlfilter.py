@@ -1,8 +1,8 @@
 """URL filters: a blocked Bloom filter of listed keys in front of an exact hash join.
 
 A listed key is a canonical host and path, ``host/path``; it fits its host and all subdomains if the URL's path starts
-with its path. A URL's candidate keys are its host suffixes, each with the beginnings of its path that are as long as some
-listed path. Candidates go through the filter inside one Arrow-batched pass; the few possible hits are joined exactly with
+with its path. A URL's candidate keys are its host's suffixes after dots that are as long as some listed host, each with the beginnings of its path
+that are as long as some listed path; so their number follows the list, not the URL. Candidates of distinct (host, path) go through the filter inside one Arrow-batched pass; the few possible hits are joined exactly with
 the listed keys, which removes false positives, and the longest key gives the verdict (equal lengths: the longer
 host). URLs that no key fits get the default verdict.
 
@@ -10,6 +10,8 @@ The filter is built from partitions' blocks, merged by block, and never exceeds
 only lets more false positives through to the join, and results stay the same. Spark broadcasts the listed keys only
 under its own size threshold; else the join shuffles, and adaptive execution splits hot keys.
 
+Rows meet the verdicts of their (host, path) at the end, so pages may have columns of any type.
+
 Null URLs and URLs without ``://`` have an empty host and path and so fit no key. Repeated rows stay repeated.
 """
 
@@ -51,13 +53,12 @@ def build_filter(keys: DataFrame, n_keys: int, bits_per_key: int = 16, max_filte
     return build(keys.select("key"), n_keys, lambda c: hash_keys(c.to_pylist()), bits_per_key, max_filter_mb)
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Keys that could fit: host suffixes at dots times beginnings of the path with a listed length."""
-    if not host:
-        return []
-    starts = [0] + [i + 1 for i, c in enumerate(host) if c == "."]
-    ends = [n for n in lengths if n <= len(path)]
-    return [host[s:] + "\0" + path[:n] for s in starts for n in ends if s < len(host)]
+def candidates(host: str, path: str, hosts: list[int], paths: list[int]) -> list[str]:
+    """Keys that could fit: host suffixes at dots and beginnings of the path, each of a listed length."""
+    n = len(host)
+    tails = [host[n - k :] for k in hosts if 0 < k <= n and (k == n or host[n - k - 1] == ".")]
+    heads = [path[:k] for k in paths if k <= len(path)] if tails else []
+    return [t + "\0" + h for t in tails for h in heads]
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -79,14 +80,14 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
             (F.length("host") + F.length("path")).alias("__cf_len"), F.length("host").alias("__cf_hlen"), F.length("path").alias("__cf_plen"),
         )
     )
-    stats = keyed.groupBy("__cf_plen").count().collect()  # listed path lengths: one row each
-    lengths = sorted(r["__cf_plen"] for r in stats)
+    lengths = keyed.groupBy("__cf_hlen", "__cf_plen").count().collect()  # pairs of lengths that occur: their number is bounded by what hosts and paths may have
+    hosts, paths = sorted({r["__cf_hlen"] for r in lengths}), sorted({r["__cf_plen"] for r in lengths})
     bloom = spark.sparkContext.broadcast(
-        build_filter(keyed.select(F.col("__cf_key").alias("key")), sum(r["count"] for r in stats), max_filter_mb=max_filter_mb)
+        build_filter(keyed.select(F.col("__cf_key").alias("key")), sum(r["count"] for r in lengths), max_filter_mb=max_filter_mb)
     )
 
-    def hits(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        each = [candidates(h, p, lengths) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)]
+    def hits(hs: pa.Array, ps: pa.Array) -> pa.Array:
+        each = [candidates(h, p, hosts, paths) for h, p in zip(hs.to_pylist(), ps.to_pylist(), strict=True)]
         flat = [k for x in each for k in x]
         keep = maybe(bloom.value, hash_keys(flat)) if flat else np.zeros(0, bool)
         ends = np.cumsum([len(x) for x in each], dtype=np.int64)
@@ -94,23 +95,18 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         offsets = np.concatenate([[0], held[ends]]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array([k for k, y in zip(flat, keep, strict=True) if y], pa.string()))
 
-    hits.__annotations__ = {"hosts": pa.Array, "paths": pa.Array, "return": pa.Array}
+    hits.__annotations__ = {"hs": pa.Array, "ps": pa.Array, "return": pa.Array}
     base = parse_urls(pages.drop("host", "path", "rule", "verdict"), url)
     own = base.columns
-    seen = base.withColumn("__cf_hits", F.arrow_udf(hits, "array<string>")("host", "path"))
-    width = F.greatest(F.size("__cf_hits"), F.lit(1))
-    joined = (
-        seen.withColumn("__cf_n", width).select(*own, "__cf_n", F.explode_outer("__cf_hits").alias("__cf_key"))
-        .join(keyed, "__cf_key", "left")
+    found = base.select("host", "path").distinct().withColumn("__cf_key", F.explode(F.arrow_udf(hits, "array<string>")("host", "path")))
+    best = found.join(keyed, "__cf_key").groupBy("host", "path").agg(
+        F.max(F.struct("__cf_len", "__cf_hlen", "__cf_rule", "__cf_v")).alias("__cf_best")
     )
-    # Rows that are equal in all columns are counted, so repeated rows come back as often as they came.
-    best = joined.groupBy(*own).agg(
-        F.max(F.struct(F.coalesce("__cf_len", F.lit(-1)), F.coalesce("__cf_hlen", F.lit(-1)), F.col("__cf_rule"), F.col("__cf_v"))).alias("__cf_best"),
-        (F.count(F.lit(1)) / F.first("__cf_n")).cast("int").alias("__cf_times"),
+    verdicts = best.select(F.struct("host", "path").alias("__cf_on"), "__cf_best")
+    same = (F.col("host") == F.col("__cf_on.host")) & (F.col("path") == F.col("__cf_on.path"))
+    return base.join(verdicts, same, "left").select(
+        *[F.col(f"`{c}`") for c in own], F.col("__cf_best.__cf_rule").alias("rule"), F.coalesce("__cf_best.__cf_v", F.lit(default)).alias("verdict")
     )
-    return best.select(
-        *own, F.col("__cf_best.__cf_rule").alias("rule"), F.coalesce("__cf_best.__cf_v", F.lit(default)).alias("verdict"), "__cf_times",
-    ).withColumn("__cf_times", F.explode(F.array_repeat(F.lit(0), F.col("__cf_times")))).drop("__cf_times")
 
 
 def op3(pages: DataFrame) -> DataFrame:

@@ -237,6 +237,17 @@ def test_urls(spark):
     assert out.count() == df.count() and {"_n", "html", "rule"} <= set(out.columns)
 
 
+def test_urls_of_any_shape(spark):
+    rows = [(1, "https://" + "a." * 100_000 + "example.com/en/x", {"k": "v"}), (2, "https://" + "." * 5000 + "com/", {}), (3, None, None), (3, None, None), (4, "http://example.com/en/", {"a": "b"})]
+    df = spark.createDataFrame(rows, "page_id long, url string, more map<string,string>")
+    got = urlfilter.judge(df, urlfilter.rules_table(spark))
+    assert got.columns == ["page_id", "url", "more", "host", "path", "rule", "verdict"]
+    assert Counter((r.page_id, r.rule, r.verdict) for r in got.collect()) == Counter(
+        [(1, "example.com/en/", "block"), (2, "com/", "allow"), (3, None, "allow"), (3, None, "allow"), (4, "example.com/en/", "block")]
+    )
+    assert len(urlfilter.candidates("a." * 50_000 + "net", "/es/x", [3, 12], [1, 4])) == 2
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = [f"k{i}" for i in range(5000)]
     bloom = urlfilter.build_filter(spark.createDataFrame([(k,) for k in keys], "key string"), 5000)
