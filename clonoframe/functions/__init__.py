@@ -1,0 +1,3 @@
+"""Functions on columns: vectors, strings, sequence encoders."""
+
+__all__ = ["encoders", "strings", "vectors"]

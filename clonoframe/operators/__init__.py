@@ -1,0 +1,3 @@
+"""Operators on repertoires: tables in, tables out."""
+
+__all__ = ["blocks", "classify", "correct", "encode", "metrics", "neighbors", "preprocess", "reconstruct", "report", "space"]

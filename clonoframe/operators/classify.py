@@ -9,12 +9,20 @@ from pyspark.sql import functions as F
 
 
 def roc_auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Area under the ROC curve from mid-ranks of distinct scores; null without both classes.
+    """Area under the ROC curve from mid-ranks of distinct scores; null without both classes. Rows without a score don't count.
 
-    Scores are counted first, so the running sum goes over distinct scores.
+    Scores are counted first. Distinct scores are dealt into ranges between quantiles; the running sum goes over each range,
+    from the sum of the ranges below it (one row a range on the driver).
     """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per = rows.groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = sorted(set(rows.where(F.col(score).isNotNull()).approxQuantile(score, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    ranged = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(score))) if cuts else F.lit(0)
+    per = per.where(F.col(score).isNotNull()).withColumn("_r", ranged)
+    sums = {r["_r"]: r["n"] for r in per.groupBy("_r").agg(F.sum("n").alias("n")).collect()}
+    before = F.element_at(F.array(*[F.lit(sum(v for q, v in sums.items() if q < r)).cast("long") for r in range(len(cuts) + 1)]), F.col("_r") + 1)
+    inside = F.sum("n").over(Window.partitionBy("_r").orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
+    below = before + F.coalesce(inside, F.lit(0))
     return per.withColumn("_u", F.col("p") * (below + F.col("n") / 2.0)).agg(
         F.expr("try_divide(sum(_u), cast(sum(p) as double) * sum(n))").alias("auc")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,12 +11,17 @@ from pyspark.sql import functions as F
 from .correct import METHODS, Corrected
 from .metrics import METRICS, jsd, kbet
 
+_LOG = logging.getLogger(__name__)
+
 
 def _value(f: Callable, *args, **kw) -> float:
     try:
         v = f(*args, **kw).first()[0]
         return float("nan") if v is None else float(v)
-    except Exception:  # noqa: BLE001 - the table says which failed
+    except ValueError:  # the input doesn't fit the metric
+        return float("nan")
+    except Exception:  # noqa: BLE001 - the table says which failed, the log says why
+        _LOG.exception("%s failed", getattr(f, "__name__", f))
         return float("nan")
 
 
@@ -39,7 +45,10 @@ def method_table(source: DataFrame, target: DataFrame, options: dict[str, dict]
         try:
             got = f(source, target, **(options or {}).get(name, {}))
             own = score(got.source, got.target)
+        except ValueError:
+            own = (float("nan"), float("nan"))
         except Exception:  # noqa: BLE001
+            _LOG.exception("%s failed", name)
             own = (float("nan"), float("nan"))
         rows.append((name, *own, base[0] - own[0], base[1] - own[1]))
     return source.sparkSession.createDataFrame(rows, "Method string, JSD double, kBET double, JSD_improvement double, kBET_improvement double")

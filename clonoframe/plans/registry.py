@@ -194,7 +194,7 @@ def label_of_last(spark, d):
     return preprocess.label_of_last(P.table(spark, d, "events"), "user_id", "event_type", "event_id")
 
 
-@query()
+@query("SELECT c_custkey FROM customer ORDER BY md5('0:' || c_custkey), c_custkey LIMIT 100")
 def downsample(spark, d):
     return preprocess.downsample(P.table(spark, d, "customer").select("c_custkey"), 100, "c_custkey")
 
@@ -481,16 +481,30 @@ def full_seq(spark, d):
     return reconstruct.full_sequences(_receptors(spark, d), _segments(spark)).select("event_id", "full_seq")
 
 
-@query()
+def _norm_sql(squares: dict[str, float], length: int, d: int, filler: str | None) -> str:
+    """SQL of factor_encoding and substitution_encoding: the norm from each residue's squared norm; ``filler`` pads to ``length``."""
+    values = ", ".join(f"('{a}', CAST({v!r} AS DOUBLE))" for a, v in squares.items())
+    pad = f" + ({length} - length(cdr3)) * (SELECT q FROM t WHERE a = '{filler}')" if filler else ""
+    return (
+        f"WITH t(a, q) AS (VALUES {values}), r AS (SELECT event_id, 'CASS' || (['LG', 'PT', 'QQ'])[event_id % 3 + 1] || 'NTEAFF' AS cdr3 FROM events), "
+        f"c AS (SELECT event_id, cdr3, unnest(string_split(left(cdr3, {length}), '')) AS a FROM r) "
+        f"SELECT event_id, CAST({length * d} AS INTEGER) AS width, round(sqrt(sum(coalesce(q, 0)){pad}), 6) AS norm FROM c LEFT JOIN t USING (a) GROUP BY event_id, cdr3"
+    )
+
+
+_FACTORS = {a: [float(np.round(np.sin(i * k + 1), 3)) for k in range(1, 6)] for i, a in enumerate(strings.ALPHABET[:-1])}
+_CODE = encoders.principal_code(encoders.substitution_matrix(), 4)
+
+
+@query(_norm_sql({a: float((_CODE[i] ** 2).sum()) for i, a in enumerate(strings.ALPHABET)}, 30, 4, "-"))
 def substitution_encoding(spark, d):
     rows = encoders.encode_column(_receptors(spark, d), "cdr3", encoders.substitution_encoder())
     return rows.select("event_id", F.size("vec").alias("width"), F.round(V.norm(F.col("vec")), 6).alias("norm"))
 
 
-@query()
+@query(_norm_sql({a: sum(x * x for x in v) for a, v in _FACTORS.items()}, 20, 5, None))
 def factor_encoding(spark, d):
-    factors = {a: [float(np.round(np.sin(i * k + 1), 3)) for k in range(1, 6)] for i, a in enumerate(strings.ALPHABET[:-1])}
-    rows = encoders.encode_column(_receptors(spark, d), "cdr3", encoders.factor_encoder(factors, 20))
+    rows = encoders.encode_column(_receptors(spark, d), "cdr3", encoders.factor_encoder(_FACTORS, 20))
     return rows.select("event_id", F.size("vec").alias("width"), F.round(V.norm(F.col("vec")), 6).alias("norm"))
 
 

@@ -1,0 +1,3 @@
+"""Readers and writers."""
+
+__all__ = ["repertoire"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,23 @@ def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     raise ValueError(f"neither .csv nor .tsv: {first}")
 
 
+def headers_of(spark: SparkSession, paths: list[str], threads: int = 32) -> dict[str, tuple[str, ...]]:
+    """The header of each tab-separated file: its first line, read by the file system's client, some files at a time; no Spark job."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def one(path: str) -> tuple[str, tuple[str, ...]]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(p.getFileSystem(conf).open(p), "UTF-8"))
+        try:
+            line = reader.readLine() or ""
+        finally:
+            reader.close()
+        return path, tuple(c.strip().strip('"') for c in line.lstrip("\ufeff").split("\t"))
+
+    with ThreadPoolExecutor(threads) as pool:
+        return dict(pool.map(one, paths))
+
+
 def read_repertoires(spark: SparkSession, paths: list[str], dataset: str = "", aliases: dict = ALIASES) -> DataFrame:
     """The clonotypes of repertoire files, one sample a file, by header names.
 
@@ -66,8 +85,8 @@ def read_repertoires(spark: SparkSession, paths: list[str], dataset: str = "", a
     through ``samples_of``. NaN frequencies become null.
     """
     headers: dict[tuple, list[str]] = {}
-    for p in paths:  # headers only: one line a file
-        headers.setdefault(tuple(spark.read.csv(p, sep="\t", header=True).columns), []).append(p)
+    for p, columns in headers_of(spark, paths).items():
+        headers.setdefault(columns, []).append(p)
     parts = []
     for columns, files in headers.items():
         pick = {k: next((c for c in names if c in columns), None) for k, names in aliases.items()}
@@ -75,7 +94,7 @@ def read_repertoires(spark: SparkSession, paths: list[str], dataset: str = "", a
             continue
         df = spark.read.csv(files, sep="\t", header=True, mode="PERMISSIVE")
         parts.append(df.select(
-            F.lit(dataset).alias("dataset"), sample_name(F.col("_metadata.file_path")).alias("sample"), F.monotonically_increasing_id().alias("row_id"),
+            F.lit(dataset).alias("dataset"), sample_name(F.col("_metadata.file_path")).alias("sample"),
             *[(F.col(f"`{pick[k]}`") if pick[k] else F.lit(None).cast("string")).alias(k) for k in ("cdr3", "v", "j")],
             F.expr(f"nanvl(try_cast(`{pick['freq']}` as double), null)").alias("freq"), F.col(f"`{pick['full_seq']}`").alias("full_seq"),
         ))
@@ -86,7 +105,8 @@ def read_repertoires(spark: SparkSession, paths: list[str], dataset: str = "", a
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # Numbered over all header groups, so that no number repeats.
+    return out.select("dataset", "sample", F.monotonically_increasing_id().alias("row_id"), "cdr3", "v", "j", "freq", "full_seq")
 
 
 def samples_of(spark: SparkSession, paths: list[str], label: int | None = None, dataset: str = "") -> DataFrame:

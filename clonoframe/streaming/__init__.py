@@ -1,0 +1,3 @@
+"""Incremental encoding and windowed counts."""
+
+__all__ = ["encode_stream"]

@@ -361,3 +361,33 @@ def test_harmony_ends_by_its_rules():
     # The two batches' means move towards each other.
     gap = lambda m: np.linalg.norm(m[:40].mean(axis=0) - m[40:].mean(axis=0))
     assert gap(out) < 0.5 * gap(x)
+
+
+def test_readers_and_writers(spark, tmp_path):
+    one, two = tmp_path / "a.tsv", tmp_path / "b.tsv"
+    one.write_text("full_seq\tfrequencyCount\tv\nAAA\t2\tx\nCCC\tNaN\ty\n")
+    two.write_text("frequencyCount\tother\tfull_seq\n5\tq\tGGG\n")
+    (tmp_path / "c.tsv").write_text("nothing\there\n1\t2\n")
+    paths = repertoire.list_files(spark, str(tmp_path))
+    assert [set(h) for h in repertoire.headers_of(spark, paths).values()][2] == {"nothing", "here"}
+    got = repertoire.read_repertoires(spark, paths).collect()
+    assert sorted((r.sample, r.full_seq, r.freq, r.v) for r in got if r.freq is not None) == [("a.tsv", "AAA", 2.0, "x"), ("b.tsv", "GGG", 5.0, None)]
+    assert len(got) == 3 and len({r.row_id for r in got}) == 3
+    (tmp_path / "s.txt").write_text("CASS\nCAW\nCASS\n")
+    assert sorted(r.sequence for r in repertoire.read_sequences(spark, str(tmp_path / "s.txt")).collect()) == ["CASS", "CASS", "CAW"]
+
+
+def test_downsample_and_auc_are_exact(spark):
+    import hashlib
+
+    keys = list(range(3000))
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    for n in (0, 1, 700, 3000, 5000):
+        got = sorted(r.k for r in preprocess.downsample(rows, n, "k", 3).collect())
+        assert got == sorted(sorted(keys, key=lambda k: hashlib.md5(f"3:{k}".encode()).hexdigest())[:n])
+    rng = np.random.default_rng(1)
+    pairs = [(float(s), int(y)) for s, y in zip(rng.integers(0, 40, 500), rng.integers(0, 2, 500), strict=True)]
+    pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    want = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
+    assert abs(classify.roc_auc(spark.createDataFrame(pairs, "score double, label int")).first()[0] - want) < 1e-12
+    assert classify.roc_auc(spark.createDataFrame([(1.0, 1)], "score double, label int")).first()[0] is None
