@@ -15,10 +15,12 @@ OUT_ROWS = 512
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; set one only where none is set (tests)."""
+    """Use the shared folder that the session names. Where none is set, a local master (tests) gets one of its own; a cluster gets an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or f"/tmp/clonoframe-checkpoint-{uuid.uuid4().hex}")
 
 

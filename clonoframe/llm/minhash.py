@@ -356,3 +356,20 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     nth = F.row_number().over(Window.partitionBy("s.doc_id", "s.th").orderBy("th"))
     once = met.where("s is null").select("row").union(met.where("s is not null").withColumn("nth", nth).where("nth = 1").select("row"))
     return rows.where(~doubt).select("row").union(once).select(*[F.col(f"row.`{c}`").alias(c) for c in cols])
+
+
+#: op2's whole result in SQL: every pair that shares a shingle is counted, components come by recursion. For small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id
+), m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urlfilter.ORACLE}
+    return {"op2_minhash_dedup": minhash.ORACLE, "op3_url_filter": urlfilter.ORACLE}
