@@ -147,7 +147,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled once, into ranges of doc_id whose bounds are quantiles of the column. Besides its
     own rows each range gets a copy of the next range's first rows, so that every row meets its successor in
-    its own task; a task holds two texts and trees at a time.
+    its own task; a task holds two texts and trees at a time. ``edits``: the ranges of the text and of the edited one (start:end>start:end,
+    code points) under the differing branches of the two trees, comma-joined.
     """
     spark = docs.sparkSession
     n = input_partitions(spark)
@@ -213,7 +214,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 _OUT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double, n_sections long, n_leaves long"
+    "near_edited double, near_next double, n_sections long, n_leaves long, edits string"
 )
 
 
@@ -224,6 +225,7 @@ def _result(held: tuple, following: str, after: Tree) -> tuple:
     return (
         doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.root, e.root,
         likeness(own, e), likeness(own, after), len(own.sections), sum(own.leaves.values()),
+        ",".join(f"{a}:{b}>{c}:{d}" for (a, b), (c, d) in edits(own, e)),
     )
 
 

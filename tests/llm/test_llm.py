@@ -457,6 +457,47 @@ def test_merkle_finds_edits():
     assert merkle.likeness(a, b) > 0.9 and merkle.likeness(merkle.tree(""), merkle.tree(None)) == 1 and merkle.likeness(a, merkle.tree("")) == 0
 
 
+def plain_leaves(text):
+    """Leaves by their definition, character by character."""
+
+    def border(q):
+        h = 0
+        for c in text[q - 4 : q]:
+            h = ((h + ord(c)) * 0x9E3779B1) % 2**32
+        return q >= 4 and h < 2**32 // 12
+
+    out, p = [], 0
+    while p < len(text):
+        q = p + 1
+        while q < len(text) and text[q - 1] != "\n" and q - p < merkle.MOST and not (q - p >= merkle.LEAST and border(q)):
+            q += 1
+        out.append(text[p:q])
+        p = q
+    return out
+
+
+def test_merkle_likeness_and_edits_by_plain_rules(spark, cases):
+    rng = random.Random(12)
+    texts = [r[1] or "" for r in cases] + ["\u65e5\u672c\u8a9e" * 200, words(rng, 400).upper(), "\n\n".join(words(rng, 30) for _ in range(9))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in merkle.fingerprints(df).collect()}
+
+    def dice(a, b):
+        x, y = Counter(plain_leaves(a)), Counter(plain_leaves(b))
+        return 1.0 if a == b else 2 * sum(len(s) * min(k, y[s]) for s, k in x.items()) / (len(a) + len(b))
+
+    for i, t in enumerate(texts):
+        after = texts[i - 1]  # the next in descending order; after the last the first
+        edited = merkle.edited_text(t, after)
+        assert abs(got[i].near_edited - dice(t, edited)) < 1e-12 and abs(got[i].near_next - dice(t, after)) < 1e-12
+        assert got[i].n_leaves == len(plain_leaves(t))
+        # What lies outside the ranges is the same text, in order; what doesn't differ has none.
+        ranges = [tuple(map(int, x.replace(">", ":").split(":"))) for x in got[i].edits.split(",") if x]
+        assert bool(ranges) == (t != edited)
+        keep = lambda s, k: [s[b:a] for b, a in zip([0] + [r[k + 1] for r in ranges], [r[k] for r in ranges] + [len(s)], strict=True)]
+        assert keep(t, 0) == keep(edited, 2)
+
+
 def test_merkle_leaves_of_any_text():
     rng = random.Random(4)
     kinds = {
