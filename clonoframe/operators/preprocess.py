@@ -74,7 +74,7 @@ def common_features(tables: list[DataFrame]) -> list[str]:
 def downsample(rows: DataFrame, n: int, key: str = "sample", seed: int = 0) -> DataFrame:
     """``n`` rows by the order of a seeded MD5 of the key: the same ones at every run.
 
-    Rows are counted by the first four digits; only the digits' group in which the n-th row lies is sorted, the groups before it stay whole.
+    Rows are counted by the first four digits; only the digits' group in which the n-th row lies is cut, the groups before it stay whole. Rows come in that order.
     """
     hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")))
     per = {r["g"]: r["count"] for r in hashed.groupBy(F.substring("_h", 1, 4).alias("g")).count().collect()}  # at most 65,536 rows, and one of null keys
@@ -85,10 +85,10 @@ def downsample(rows: DataFrame, n: int, key: str = "sample", seed: int = 0) -> D
             break
         left -= per[g]
     if edge is None and sum(per.values()) <= n:
-        return hashed.drop("_h")
+        return hashed.orderBy("_h", key).drop("_h")
     group = F.coalesce(F.substring("_h", 1, 4), F.lit("g"))  # null keys come last
     last = hashed.where(group == (edge or "g")).orderBy("_h", key).limit(left)
-    return hashed.where(group < (edge or "g")).unionByName(last).drop("_h")
+    return hashed.where(group < (edge or "g")).unionByName(last).orderBy("_h", key).drop("_h")
 
 
 def datasets_by_size(rows: DataFrame) -> DataFrame:
