@@ -59,3 +59,8 @@ def standardize(v: Column) -> Column:
     mean = total(v) / n
     sd = F.sqrt(total(F.transform(v, lambda x: (x - mean) * (x - mean))) / n)
     return l2_normalize(F.transform(v, lambda x: F.when(sd > 0, (x - mean) / sd).otherwise(F.lit(0.0))))
+
+
+def edge_weight(a: Column, b: Column, sigma: float = 15.0) -> Column:
+    """Weight of a link between two strengths: exp(-a * b / (2 sigma^2))."""
+    return F.exp(-a * b / F.lit(2.0 * sigma * sigma))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -46,5 +47,15 @@ def predict(model, rows: DataFrame, vec: str = "vec") -> DataFrame:
     return out.withColumn("score", F.get(vector_to_array(raw), F.lit(1))).select(*rows.columns, "score")
 
 
+def save_model(model, path: str) -> None:
+    """The fitted head as a pipeline at ``path`` (any folder that Spark writes to); an older one there is replaced."""
+    PipelineModel([model]).write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    """What ``save_model`` wrote; ``predict`` takes it."""
+    return PipelineModel.load(path)
+
+
 def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.agg(F.corr(x, y).alias("pearson"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -41,22 +42,32 @@ def feature_stats(rows: DataFrame) -> DataFrame:
     return rows.select(F.posexplode(F.col("vec").cast("array<double>")).alias("feature", "x")).groupBy("feature").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
 
 
+def unit_rows(rows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """One row, ``unit``: whether every row's squared length is 1 within ``tolerance``; true for an empty table, and rows without a vector don't count."""
+    return rows.agg(F.coalesce(F.bool_and(F.abs(V.dot(F.col("vec"), F.col("vec")) - 1) < tolerance), F.lit(True)).alias("unit"))
+
+
 def highly_variable(rows: DataFrame, n: int, bins: int = 20) -> DataFrame:
     """feature, dispersion of the ``n`` features with the highest dispersion: variance against the variances of features with like means.
 
     Features without variance don't count. Bins are of equal width, closed on the right; a bin of one feature gives 0; ties go to the lower
-    feature. Without binning (one mean only) dispersion is relative to that one bin. n above the width is a ValueError.
+    feature. Where means can't be binned (no feature varies, or a mean isn't finite) features rank by their variance alone, which then stands
+    in ``dispersion``; variances that aren't numbers come last. n above the width is a ValueError.
     """
     if n > _width(rows):
         raise ValueError("more features wanted than there are")
-    s = feature_stats(rows).where("var > 0")
-    ends = s.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
+    inf = float("inf")
+    stats = feature_stats(rows)
+    varies = F.nanvl("var", F.lit(inf)) > 0
+    ends = stats.where(varies).agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
+    ends = ends.withColumn("binned", F.coalesce((F.abs(F.nanvl("lo", F.lit(inf))) < inf) & (F.abs(F.nanvl("hi", F.lit(inf))) < inf), F.lit(False)))
+    s = stats.join(ends, F.lit(True)).where(varies | ~F.col("binned"))
     edges = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.when(i == bins, F.col("hi")).otherwise(F.col("lo") + i * (F.col("hi") - F.col("lo")) / bins))
-    binned = s.join(ends, F.lit(True)).withColumn("bin", F.greatest(F.lit(0), F.size(F.filter(edges, lambda e: e < F.col("mean"))) - 1))
+    placed = s.withColumn("bin", F.greatest(F.lit(0), F.size(F.filter(edges, lambda e: e < F.col("mean"))) - 1))
     w = Window.partitionBy("bin")
     z = (F.col("var") - F.avg("var").over(w)) / (F.stddev_samp("var").over(w) + 1e-6)
-    scored = binned.withColumn("dispersion", F.coalesce(F.nanvl(z, F.lit(0.0)), F.lit(0.0)))
-    return scored.orderBy(F.desc("dispersion"), "feature").limit(n).select("feature", "dispersion")
+    score = F.when(F.col("binned"), F.coalesce(F.nanvl(z, F.lit(0.0)), F.lit(0.0))).otherwise(F.nanvl("var", F.lit(-1.0)))
+    return placed.withColumn("dispersion", score).orderBy(F.desc("dispersion"), "feature").limit(n).select("feature", "dispersion")
 
 
 def _chosen(both: DataFrame, hvg: int | None) -> list[int] | None:
@@ -232,28 +243,47 @@ def mnn_many(batches: list[DataFrame], order: list[int] | None = None, **kw) ->
 # --- panorama --------------------------------------------------------------------------------------------------------
 
 
-def scanorama(source: DataFrame, target: DataFrame, k: int = 20, alpha: float = 0.1, hvg: int | None = None, lexical_columns: bool = False) -> Corrected:
-    """Both sides step towards their mutual neighbours (cosine): x += alpha * sum(partner - x), from the original positions at once.
+def panorama(datasets: list[DataFrame], k: int = 20, alpha: float = 0.1, hvg: int | None = None, lexical_columns: bool = False) -> tuple[list[DataFrame], list[int] | None]:
+    """Every dataset's rows step towards their mutual neighbours (cosine) in all other datasets: x += alpha * sum(partner - x), from the original positions at once.
 
-    Rows are L2-normalised. Without mutual neighbours nothing moves. ``lexical_columns`` pastes features in the order of their
-    numbers as text, as a scrambled table would have them; the default keeps each in its place.
+    Rows are L2-normalised. Each two datasets are matched once (k is cut to their sizes); all steps are summed in one pass over the links, keyed by
+    dataset and id, so ids may repeat between datasets. Without mutual neighbours nothing moves; one dataset alone is only normalised.
+    ``lexical_columns`` pastes features in the order of their numbers as text, as a scrambled table would have them; the default keeps each in its place.
+    Returns the corrected datasets and the features that took part (None: all).
     """
-    features = _chosen(_arrays(source).unionByName(_arrays(target)), hvg)
-    a, b = cosine_rows(_take(source, features)), cosine_rows(_take(target, features))
-    k = max(1, min(k, a.count(), b.count()))
-    pairs = mutual_nn(a, b, k, k, metric="cosine")
-
-    def step(side: DataFrame, other: DataFrame, own: str, their: str) -> DataFrame:
-        met = pairs.join(side.select(F.col("id").alias(own), F.col("vec").alias("x")), own).join(other.select(F.col("id").alias(their), F.col("vec").alias("y")), their)
-        moved = _sum_vectors(met.select(own, F.zip_with("x", "y", lambda x, y: y - x).alias("vec")), own).select(F.col(own).alias("id"), "s")
-        return side.join(moved, "id", "left").select("id", F.coalesce(F.zip_with("vec", "s", lambda x, y: x + F.lit(alpha) * y), F.col("vec")).alias("vec"))
-
-    x, y = step(a, b, "i", "j"), step(b, a, "j", "i")
+    features = None
+    if hvg is not None:
+        pool = _arrays(datasets[0])
+        for d in datasets[1:]:
+            pool = pool.unionByName(_arrays(d))
+        features = _chosen(pool, hvg)
+    units = [cosine_rows(_take(d, features)) for d in datasets]
+    sizes = [u.count() for u in units]
+    tagged = [u.select(F.struct(F.lit(n).alias("ds"), "id").alias("key"), "vec") for n, u in enumerate(units)]
+    rows, links = tagged[0], None
+    for t in tagged[1:]:
+        rows = rows.unionByName(t)
+    for i, j in combinations(range(len(units)), 2):
+        near = max(1, min(k, sizes[i], sizes[j]))
+        one, other = F.struct(F.lit(i).alias("ds"), F.col("i").alias("id")), F.struct(F.lit(j).alias("ds"), F.col("j").alias("id"))
+        met = mutual_nn(units[i], units[j], near, near, metric="cosine").select(F.explode(F.array(F.struct(one.alias("me"), other.alias("you")), F.struct(other.alias("me"), one.alias("you")))).alias("l")).select("l.*")
+        links = met if links is None else links.unionByName(met)
+    moved = rows
+    if links is not None:
+        pairs = links.join(rows.select(F.col("key").alias("me"), F.col("vec").alias("x")), "me").join(rows.select(F.col("key").alias("you"), F.col("vec").alias("y")), "you")
+        steps = _sum_vectors(pairs.select("me", F.zip_with("x", "y", lambda x, y: y - x).alias("vec")), "me").select(F.col("me").alias("key"), "s")
+        moved = rows.join(steps, "key", "left").select("key", F.coalesce(F.zip_with("vec", "s", lambda x, y: x + F.lit(alpha) * y), F.col("vec")).alias("vec"))
+    out = [moved.where(F.col("key.ds") == n).select("key.id", "vec") for n in range(len(units))]
     if lexical_columns and features is not None:
         place = sorted(range(len(features)), key=str)
-        scramble = lambda df: df.select("id", F.array(*[F.get("vec", F.lit(i)) for i in place]).alias("vec"))
-        x, y = scramble(x), scramble(y)
-    return Corrected(_paste(source, x, features), _paste(target, y, features), features)
+        out = [x.select("id", F.array(*[F.get("vec", F.lit(i)) for i in place]).alias("vec")) for x in out]
+    return [_paste(d, x, features) for d, x in zip(datasets, out, strict=True)], features
+
+
+def scanorama(source: DataFrame, target: DataFrame, **kw) -> Corrected:
+    """``panorama`` of two sides."""
+    (x, y), features = panorama([source, target], **kw)
+    return Corrected(x, y, features)
 
 
 # --- soft clustering -------------------------------------------------------------------------------------------------

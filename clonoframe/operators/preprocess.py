@@ -71,6 +71,12 @@ def common_features(tables: list[DataFrame]) -> list[str]:
     return sorted(shared, key=lambda c: (re.sub(r"\d+$", "", c), int(m[0]) if (m := re.search(r"\d+$", c)) else -1))
 
 
+def project_common(tables: list[DataFrame], keys: tuple = ("id",)) -> list[DataFrame]:
+    """Each table cut to its ``keys`` and the features that all tables have, in one order (``common_features``)."""
+    shared = [c for c in common_features(tables) if c not in keys]
+    return [t.select(*keys, *shared) for t in tables]
+
+
 def downsample(rows: DataFrame, n: int, key: str = "sample", seed: int = 0) -> DataFrame:
     """``n`` rows by the order of a seeded MD5 of the key: the same ones at every run.
 

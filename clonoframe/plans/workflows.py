@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encoders import encode_column, substitution_encoder
-from ..operators import encode, metrics, preprocess, report, space
+from ..operators import correct, encode, metrics, preprocess, report, space
 from ..sources import repertoire
 
 
@@ -44,6 +44,20 @@ def build_space(sequences: DataFrame, k: int, functional: int, encoder: Callable
     return {"assigned": assigned, "centroids": centroids, "mapping": mapping, "functional": means}
 
 
+def sequence_labels(sequences: DataFrame, k: int, encoder: Callable | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(sequence, cluster) for each distinct sequence, and the centroids: encoded, then k-means."""
+    rows = assert_finite(encode_column(sequences.select("sequence").where("sequence is not null").distinct(), "sequence", encoder or substitution_encoder()))
+    assigned, centroids, _ = space.kmeans(rows, k, seed=seed)
+    return assigned.select("sequence", "cluster"), centroids
+
+
+def align_all(datasets: dict[str, DataFrame], **kw) -> dict[str, DataFrame]:
+    """The panorama of any number of datasets' features by name (``correct.panorama``'s options)."""
+    names = sorted(datasets)
+    out, _ = correct.panorama([datasets[n] for n in names], **kw)
+    return dict(zip(names, out, strict=True))
+
+
 def encode_dataset(spark: SparkSession, config: EncodeConfig, centroids: DataFrame, encoder: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """(encoded, samples): long-form counts and sums with labels, and every sample, also those without usable rows."""
     encoded, samples = [], []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clonoframe.functions import encoders, strings
 from clonoframe.functions import vectors as V
 from clonoframe.operators import classify, correct, encode, metrics, neighbors, preprocess, reconstruct, space
+from clonoframe.plans import workflows
 from clonoframe.sources import repertoire
 from clonoframe.streaming import encode_stream
 
@@ -391,3 +392,68 @@ def test_downsample_and_auc_are_exact(spark):
     want = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
     assert abs(classify.roc_auc(spark.createDataFrame(pairs, "score double, label int")).first()[0] - want) < 1e-12
     assert classify.roc_auc(spark.createDataFrame([(1.0, 1)], "score double, label int")).first()[0] is None
+
+
+def test_panorama_of_three(spark):
+    """Against a plain loop over all pairs of datasets; ids repeat between them."""
+    rng = np.random.default_rng(11)
+    xs = [rng.normal(size=(n, 5)) for n in (14, 9, 11)]
+    us = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in xs]
+    want, k = [u.copy() for u in us], 4
+    for i in range(3):
+        for j in range(3):
+            if i != j:
+                cos = us[i] @ us[j].T
+                for a in range(len(us[i])):
+                    for b in range(len(us[j])):
+                        if b in np.argsort(-cos[a])[:k] and a in np.argsort(-cos[:, b])[:k]:
+                            want[i][a] += 0.1 * (us[j][b] - us[i][a])
+    got, features = correct.panorama([side(spark, x) for x in xs], k=k)
+    assert features is None
+    for g, w in zip(got, want, strict=True):
+        assert np.allclose(np.array([r.vec for r in g.orderBy("id").collect()]), w)
+    alone, _ = correct.panorama([side(spark, xs[0])])
+    assert np.allclose(np.array([r.vec for r in alone[0].orderBy("id").collect()]), us[0])
+    named = workflows.align_all({"b": side(spark, xs[1]), "a": side(spark, xs[0])}, k=k, hvg=3)
+    assert list(named) == ["a", "b"] and named["b"].count() == 9
+
+
+def test_variance_ranks_where_means_cannot_be_binned(spark):
+    flat = correct.highly_variable(side(spark, [[1.0, 2.0, 3.0]] * 3), 2).collect()
+    assert [(r.feature, r.dispersion) for r in flat] == [(0, 0.0), (1, 0.0)]
+    odd = correct.highly_variable(side(spark, [[1.0, 0.0, float("inf")], [2.0, 9.0, 1.0]]), 3).collect()
+    assert [r.feature for r in odd] == [1, 0, 2]
+
+
+def test_unit_rows_common_features_and_weights(spark):
+    assert correct.unit_rows(side(spark, [[0.6, 0.8], [1.0, 0.0]])).first()["unit"] and not correct.unit_rows(side(spark, [[1.0, 1.0]])).first()["unit"]
+    assert correct.unit_rows(side(spark, [[1.0, 1.0]]).limit(0)).first()["unit"]
+    a, b = spark.createDataFrame([(1, 2, 3, 4)], "id int, f10 int, f2 int, x int"), spark.createDataFrame([(5, 6, 7)], "f2 int, id int, f10 int")
+    got = preprocess.project_common([a, b])
+    assert got[0].columns == got[1].columns == ["id", "f2", "f10"] and tuple(got[1].first()) == (6, 5, 7)
+    w = spark.range(1).select(V.edge_weight(F.lit(3.0), F.lit(4.0), 2.0).alias("w")).first()["w"]
+    assert w == pytest.approx(np.exp(-12 / 8))
+
+
+def test_tokens(spark):
+    vocab = {"<pad>": 0, "<cls>": 1, "<sep>": 2, "<unk>": 3, "A": 4, "C": 5}
+    t = spark.createDataFrame([("ACX",), ("",), (None,)], "s string").select(strings.token_ids(F.col("s"), vocab).alias("t"))
+    assert [r.t for r in t.collect()] == [[1, 4, 5, 3, 2], [1, 2], [1, 2]]
+    padded = t.select(strings.pad_tokens(F.col("t"), 4).alias("p"), strings.token_mask(F.col("t"), 4).alias("m")).collect()
+    assert [(r.p, r.m) for r in padded] == [([1, 4, 5, 3, 2], [1] * 5), ([1, 2, 0, 0], [1, 1, 0, 0]), ([1, 2, 0, 0], [1, 1, 0, 0])]
+
+
+def test_saved_heads_score_alike(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3) + 2 * (i % 2)], i % 2) for i in range(40)], "id int, vec array<double>, label int")
+    model = classify.train(rows, iterations=10)
+    classify.save_model(model, str(tmp_path / "head"))
+    score = lambda m: [r.score for r in classify.predict(m, rows).orderBy("id").collect()]
+    assert score(classify.load_model(str(tmp_path / "head"))) == pytest.approx(score(model))
+
+
+def test_sequence_labels(spark):
+    seqs = spark.createDataFrame([("CASSF",), ("CASSF",), ("CWWWWWF",), (None,)], "sequence string")
+    labels, centroids = workflows.sequence_labels(seqs, 2)
+    got = {r.sequence: r.cluster for r in labels.collect()}
+    assert set(got) == {"CASSF", "CWWWWWF"} and len(set(got.values())) == 2 and centroids.count() == 2
