@@ -318,7 +318,35 @@ def kbet(spark, d):
     return metrics.kbet(*P.vector_sides(spark, d)).select(F.round("kbet", 6).alias("kbet"))
 
 
-@query()
+@query(
+    f"WITH {P.PROF}, z AS (SELECT id, pos, (x - avg(x) OVER (PARTITION BY pos)) / stddev_pop(x) OVER (PARTITION BY pos) AS x FROM prof), "
+    f"u AS (SELECT id, id % 2 AS s, list(x ORDER BY pos) AS v FROM z GROUP BY id), e AS ({_knn_sql('u', 'u', 5, 'x.id <> y.id')}), "
+    "c AS (SELECT s, count(*) AS n FROM u GROUP BY 1), w AS (SELECT e.i, x.s, sum(CASE WHEN x.s = y.s THEN 1 ELSE 0 END) AS same FROM e JOIN u x ON x.id = e.i JOIN u y ON y.id = e.j GROUP BY 1, 2) "
+    "SELECT round(avg(CASE WHEN same > 5.0 * n / (SELECT count(*) FROM u) THEN 1.0 ELSE 0.0 END), 6) AS kbet FROM w JOIN c USING (s)"
+)
+def kbet_profiles(spark, d):
+    """All components are kept (there are fewer than 10 features), so neighbours are those of the z-scores, which SQL can find."""
+    return metrics.kbet(*P.two_sides(spark, d), k=5).select(F.round("kbet", 6).alias("kbet"))
+
+
+def _entropy_sql(beta: str) -> str:
+    total = f"list_sum(list_transform(d, lambda x: exp(-x * {beta})))"
+    return f"CASE WHEN {total} > 0 THEN ln({total}) + {beta} * list_sum(list_transform(d, lambda x: x * exp(-x * {beta}))) / {total} ELSE 0 END"
+
+
+@query(
+    f"WITH RECURSIVE {P.VSIDES}, least_side AS (SELECT least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS n), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('0:' || id), id) AS r FROM (SELECT id, v, '0' AS s FROM a UNION ALL SELECT id, v, '1' FROM b)), "
+    f"u AS (SELECT s || '|' || id AS id, v, s FROM r, least_side WHERE r <= n), e AS ({_knn_sql('u', 'u', 90, 'x.id <> y.id')}), "
+    "g AS (SELECT i, list(d ORDER BY r) AS d, list(left(j, 1) ORDER BY r) AS f FROM e GROUP BY 1), "
+    f"w(i, d, f, beta, lo, hi, t, h) AS (SELECT i, d, f, CAST(1 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0, {_entropy_sql('1.0')} FROM g UNION ALL "
+    f"SELECT i, d, f, nb, nlo, nhi, t + 1, {_entropy_sql('nb')} FROM (SELECT i, d, f, t, CASE WHEN h > ln(30) THEN coalesce((beta + hi) / 2, beta * 2) ELSE coalesce((beta + lo) / 2, beta / 2) END AS nb, "
+    "CASE WHEN h > ln(30) THEN beta ELSE lo END AS nlo, CASE WHEN h > ln(30) THEN hi ELSE beta END AS nhi FROM w WHERE abs(h - ln(30)) >= 1e-5 AND t < 49)), "
+    "fin AS (SELECT i, any_value(d) AS d, any_value(f) AS f, max_by(beta, t) AS beta FROM w GROUP BY 1), "
+    "long AS (SELECT i, unnest(list_transform(d, lambda x: exp(-x * beta))) AS p, unnest(f) AS f FROM fin), "
+    "ix AS (SELECT i, 1 / (pow(sum(CASE WHEN f = '0' THEN p ELSE 0 END) / sum(p), 2) + pow(sum(CASE WHEN f = '1' THEN p ELSE 0 END) / sum(p), 2) + 1e-9) AS x FROM long GROUP BY 1) "
+    "SELECT CASE WHEN (SELECT n FROM least_side) <= 90 THEN 1.0 ELSE round(least(greatest(2 - median(x), 0), 1), 6) END AS ilisi FROM ix"
+)
 def ilisi(spark, d):
     return metrics.ilisi(*P.vector_sides(spark, d)).select(F.round("ilisi", 6).alias("ilisi"))
 
@@ -359,6 +387,21 @@ def scanorama(spark, d):
     return _long(got.source.unionByName(got.target), "id", digits=5)
 
 
+@query(
+    f"WITH {P.EMB}, nm AS (SELECT vec_id AS id, label % 3 AS g, v, sqrt(list_inner_product(v, v)) AS n FROM emb), un AS (SELECT id, g, list_transform(v, lambda x: x / n) AS v FROM nm), "
+    "nn AS (SELECT i, j FROM (SELECT x.id AS i, y.id AS j, row_number() OVER (PARTITION BY x.id, y.g ORDER BY 1 - list_inner_product(x.v, y.v), y.id) AS r FROM un x JOIN un y ON x.g <> y.g) WHERE r <= 5), "
+    "pr AS (SELECT p.i, p.j FROM nn p JOIN nn q ON p.i = q.j AND p.j = q.i), fl AS (SELECT id, g, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM un), "
+    "mv AS (SELECT i, m.pos, sum(y.x - m.x) AS s FROM pr JOIN fl m ON m.id = i JOIN fl y ON y.id = j AND y.pos = m.pos GROUP BY 1, 2) "
+    "SELECT g AS dataset, fl.id, CAST(fl.pos - 1 AS INTEGER) AS pos, round(fl.x + 0.1 * coalesce(s, 0), 5) AS x FROM fl LEFT JOIN mv ON i = fl.id AND mv.pos = fl.pos"
+)
+def panorama(spark, d):
+    e = P.embeddings(spark, d).select((F.col("label") % 3).alias("dataset"), F.col("vec_id").alias("id"), "vec")
+    got, _ = correct.panorama([e.where(F.col("dataset") == g).select("id", "vec") for g in range(3)], k=5)
+    kind = e.schema["dataset"].dataType
+    parts = [g.select(F.lit(n).cast(kind).alias("dataset"), "id", F.posexplode("vec").alias("pos", "x")) for n, g in enumerate(got)]
+    return preprocess.merge_datasets(*parts).select("dataset", "id", "pos", F.round("x", 5).alias("x"))
+
+
 @query(
     f"WITH {_UNIT}, ab AS ({_knn_sql('a', 'b', 15)}), ba AS ({_knn_sql('b', 'a', 15)}), pr AS (SELECT ab.i, ab.j FROM ab JOIN ba ON ab.i = ba.j AND ab.j = ba.i), "
     "fa AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a), fb AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM b), "
@@ -375,7 +418,25 @@ def _means(got: correct.Corrected) -> DataFrame:
     return _long(got.source.unionByName(got.target), "id", digits=5)
 
 
-@query()
+@query(
+    f"WITH {_HVG}, hv AS (SELECT list(feature ORDER BY feature) AS fs FROM (SELECT feature FROM z ORDER BY dispersion DESC, feature LIMIT 50)), "
+    "sub AS (SELECT vec_id AS id, label, list_transform(fs, lambda i: v[i + 1]) AS v FROM emb, hv), un AS (SELECT id, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM sub), "
+    "a AS (SELECT id, v FROM un WHERE label % 2 = 0), b AS (SELECT id, v FROM un WHERE label % 2 = 1), "
+    f"ab AS ({_knn_sql('a', 'b', 15)}), ba AS ({_knn_sql('b', 'a', 15)}), pr AS (SELECT ab.i, ab.j FROM ab JOIN ba ON ab.i = ba.j AND ab.j = ba.i), "
+    "fa AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a), fb AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM b), "
+    "mc AS (SELECT j, fa.pos, avg(fa.x - fb.x) AS c FROM pr JOIN fa ON fa.id = i JOIN fb ON fb.id = j AND fb.pos = fa.pos GROUP BY 1, 2), "
+    "w AS (SELECT t.id, m.id AS j, exp(-(1 - list_inner_product(t.v, m.v))) AS w FROM b t, b m WHERE m.id IN (SELECT j FROM pr)), "
+    "cr AS (SELECT w.id, mc.pos, sum(w * c) / sum(w) AS c FROM w JOIN mc USING (j) GROUP BY 1, 2), cl AS (SELECT id, list(c ORDER BY pos) AS c FROM cr GROUP BY 1), "
+    "gv AS (SELECT b.id, v, c, sqrt(list_inner_product(c, c)) AS len, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) AS g FROM b JOIN cl USING (id)), "
+    "ray AS (SELECT *, list_inner_product(v, g) AS p FROM gv), "
+    "near AS (SELECT ray.id, m.side, m.id AS other, list_inner_product(m.v, g) AS q, ray.p, pow(list_distance(m.v, ray.v), 2) AS d2 FROM ray, (SELECT 0 AS side, id, v FROM a UNION ALL SELECT 1, id, v FROM b) m), "
+    "wt AS (SELECT *, exp(-(d2 - pow(q - p, 2))) AS w FROM near), rk AS (SELECT id, sum(CASE WHEN q <= p OR other = id THEN w ELSE 0 END) / sum(w) AS rank FROM wt WHERE side = 1 GROUP BY 1), "
+    "cum AS (SELECT id, q, sum(w) OVER (PARTITION BY id ORDER BY q, other ROWS UNBOUNDED PRECEDING) AS s, sum(w) OVER (PARTITION BY id) AS total FROM wt WHERE side = 0), "
+    "hit AS (SELECT id, coalesce(min(CASE WHEN s > rank * total THEN q END), max(q)) AS q FROM cum JOIN rk USING (id) GROUP BY 1), sc AS (SELECT ray.*, greatest((hit.q - p) / len, 1) AS scale FROM ray JOIN hit USING (id)), "
+    "part AS (SELECT id, unnest(fs) AS feature, unnest(v) AS x FROM a, hv UNION ALL SELECT id, unnest(fs), unnest(list_transform(list_zip(v, c), lambda t: t[1] + scale * t[2])) FROM sc, hv), "
+    "whole AS (SELECT vec_id AS id, unnest(v) AS x, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos FROM emb) "
+    "SELECT whole.id, pos, round(coalesce(part.x, whole.x), 5) AS x FROM whole LEFT JOIN part ON part.id = whole.id AND feature = pos"
+)
 def mnn_full(spark, d):
     return _means(correct.mnn(*P.vector_sides(spark, d), k=15, hvg=50))
 
@@ -385,6 +446,17 @@ def coral(spark, d):
     return _means(correct.coral(*P.vector_sides(spark, d)))
 
 
+@query(
+    f"WITH {P.VSIDES}, fl AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM b) SELECT CAST(p.pos - 1 AS INTEGER) AS i, CAST(q.pos - 1 AS INTEGER) AS j, round(avg(p.x), 4) AS mean, "
+    "round(covar_samp(p.x, q.x), 4) AS cov FROM fl p JOIN fl q ON q.id = p.id AND q.pos >= p.pos GROUP BY 1, 2"
+)
+def coral_moments(spark, d):
+    """Means and covariances of the aligned source: they are the target's."""
+    got = correct.coral(*P.vector_sides(spark, d)).source
+    wide = got.select("vec", F.posexplode("vec").alias("i", "x")).select("i", "x", F.posexplode("vec").alias("j", "y")).where("j >= i")
+    return wide.groupBy("i", "j").agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.covar_samp("x", "y"), 4).alias("cov"))
+
+
 @query()
 def harmony(spark, d):
     return _means(correct.harmony(*P.vector_sides(spark, d)))
@@ -476,7 +548,38 @@ def _receptors(spark, d):
     )
 
 
-@query()
+def _align_sql(name: str, source: str) -> str:
+    """Tables ``{name}`` (k, a, b, x, y): the aligned rows of each pair of strings of ``source`` (k, a, b), by a table of suffixes' scores and a walk through it."""
+    n, m = "length(a)", "length(b)"
+    cell = lambda i, j: f"(CASE WHEN {i} < {n} AND {j} < {m} THEN best[({n} - 1 - ({i})) * {m} + {m} - ({j})] ELSE 0 END)"
+    down, right, both = (f"(CASE WHEN {c} THEN best[{at}] ELSE 0 END)" for c, at in ((f"t >= {m}", f"t - {m} + 1"), (f"t % {m} > 0", "t"), (f"t >= {m} AND t % {m} > 0", f"t - {m}")))
+    same = f"substr(a, {n} - t // {m}, 1) = substr(b, {m} - t % {m}, 1)"
+    pair = f"substr(a, i + 1, 1) = substr(b, j + 1, 1) AND {cell('i', 'j')} = {cell('i + 1', 'j + 1')} + 1"
+    gap = f"{cell('i', 'j + 1')} = {cell('i', 'j')}"
+    return (
+        f"{name}_t(k, a, b, t, best) AS (SELECT k, a, b, 0, CAST([] AS INTEGER[]) FROM {source} UNION ALL SELECT k, a, b, t + 1, list_append(best, CAST(greatest({down}, {right}, CASE WHEN {same} THEN {both} + 1 ELSE 0 END) AS INTEGER)) "
+        f"FROM {name}_t WHERE t < {n} * {m}), "
+        f"{name}_w(k, a, b, best, i, j, x, y) AS (SELECT k, a, b, best, 0, 0, '', '' FROM {name}_t WHERE t = {n} * {m} UNION ALL SELECT k, a, b, best, CASE WHEN pair OR NOT gap THEN i + 1 ELSE i END, CASE WHEN pair OR gap THEN j + 1 ELSE j END, "
+        f"x || CASE WHEN pair OR NOT gap THEN substr(a, i + 1, 1) ELSE '-' END, y || CASE WHEN pair OR gap THEN substr(b, j + 1, 1) ELSE '-' END "
+        f"FROM (SELECT *, {pair} AS pair, {gap} AS gap FROM {name}_w WHERE i < {n} AND j < {m})), "
+        f"{name} AS (SELECT k, a, b, x || substr(a, i + 1) || repeat('-', {m} - j) AS x, y || repeat('-', {n} - i) || substr(b, j + 1) AS y FROM {name}_w WHERE i = {n} OR j = {m})"
+    )
+
+
+@query(
+    "WITH RECURSIVE r AS (SELECT event_id, event_id % 40 AS vn, event_id % 9 AS jn, 'CASS' || (['LG', 'PT', 'QQ'])[event_id % 3 + 1] || 'NTEAFF' AS cdr3 FROM events), "
+    "vs AS (SELECT CAST(unnest(range(1, 31)) AS BIGINT) AS vn), vseq AS (SELECT vn, 'DTGITQTPKYLVTAMGSKRTMKREHLGHDSMYWYRQKAKKSLEFMFYYNCKEFIENKTVPNHF' || substr('ACDE', CAST(vn % 4 + 1 AS BIGINT), 1) || 'CASS' AS v FROM vs), "
+    "js AS (SELECT CAST(unnest(range(1, 8)) AS BIGINT) AS jn, 'NTEAFFGQGTRLTVV' AS j), "
+    "f AS (SELECT event_id, cdr3, v, coalesce(js.j, (SELECT j FROM js WHERE jn = 1)) AS j FROM r LEFT JOIN vseq USING (vn) LEFT JOIN js USING (jn)), "
+    "s1 AS (SELECT DISTINCT cdr3 || '|' || right(v, 5) AS k, cdr3 AS a, right(v, 5) AS b FROM f WHERE v IS NOT NULL), "
+    + _align_sql("p", "s1")
+    + ", c1 AS (SELECT k, left(b, CAST(least(length(x) - length(ltrim(x, '-')), 2) AS BIGINT)) || a AS core FROM p), "
+    "s2 AS (SELECT DISTINCT core || '|' || j AS k, core AS a, j AS b FROM f JOIN c1 ON c1.k = cdr3 || '|' || right(v, 5)), "
+    + _align_sql("q", "s2")
+    + ", c2 AS (SELECT k, a || right(y, CAST(length(x) - length(rtrim(x, '-')) AS BIGINT)) AS core FROM q), "
+    "o AS (SELECT event_id, left(v, length(v) - 5) || c2.core AS s FROM f LEFT JOIN c1 ON c1.k = cdr3 || '|' || right(v, 5) LEFT JOIN c2 ON c2.k = c1.core || '|' || j) "
+    "SELECT event_id, CASE WHEN length(s) > 50 THEN s ELSE 'Failure' END AS full_seq FROM o"
+)
 def full_seq(spark, d):
     return reconstruct.full_sequences(_receptors(spark, d), _segments(spark)).select("event_id", "full_seq")
 
