@@ -239,6 +239,23 @@ def vector_functions(spark, d):
     return e.join(n, "vec_id").select("vec_id", *[F.round(f(F.col("vec"), F.col("w")), 6).alias(k) for k, f in (("dot", V.dot), ("d2", V.squared_distance), ("cosine", V.cosine_distance))])
 
 
+def _eigen_sql(name: str, source: str, n: int, squarings: int = 24) -> str:
+    """Table ``{name}`` (vs): the first ``n`` eigenvectors of the symmetric matrix ``m`` of ``source``, by repeated squaring and deflation; largest entries are positive."""
+    square = "list_transform(s, lambda r: list_transform(s, lambda q: list_inner_product(r, q) / list_inner_product(flatten(s), flatten(s))))"
+    top = "list_transform(s, lambda r, i: r[i])"
+    return (
+        f"{name}_w(c, t, m, s, vs) AS (SELECT 0, 0, m, m, CAST([] AS DOUBLE[][]) FROM {source} UNION ALL SELECT CASE WHEN t < {squarings} THEN c ELSE c + 1 END, CASE WHEN t < {squarings} THEN t + 1 ELSE 0 END, "
+        f"CASE WHEN t < {squarings} THEN m ELSE less END, CASE WHEN t < {squarings} THEN {square} ELSE less END, CASE WHEN t < {squarings} THEN vs ELSE list_append(vs, v) END "
+        "FROM (SELECT *, list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - lam * v[i] * v[j])) AS less FROM (SELECT *, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS lam FROM "
+        "(SELECT c, t, m, s, vs, list_transform(col, lambda x: x / sqrt(list_inner_product(col, col)) * sign(col[list_position(list_transform(col, lambda y: abs(y)), list_max(list_transform(col, lambda y: abs(y))))])) AS v FROM "
+        f"(SELECT *, s[list_position({top}, list_max({top}))] AS col FROM {name}_w WHERE c < {n}))))), {name} AS (SELECT vs FROM {name}_w WHERE c = {n})"
+    )
+
+
+def _cov_sql(long: str) -> str:
+    return f"SELECT list(r ORDER BY p) AS m FROM (SELECT p, list(c ORDER BY q) AS r FROM (SELECT a.pos AS p, b.pos AS q, covar_pop(a.x, b.x) AS c FROM {long} a JOIN {long} b ON a.id = b.id GROUP BY 1, 2) GROUP BY 1)"
+
+
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
 _XLN = "CASE WHEN {0} > 0 THEN {0} * ln({0}) ELSE 0 END"
@@ -313,7 +330,14 @@ def kbet_nopca(spark, d):
     return metrics.kbet(*P.vector_sides(spark, d), pca=False).select(F.round("kbet", 6).alias("kbet"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {P.EMB}, fl AS (SELECT vec_id AS id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb), "
+    f"z AS (SELECT id, pos, (x - avg(x) OVER (PARTITION BY pos)) / stddev_pop(x) OVER (PARTITION BY pos) AS x FROM fl), cv AS ({_cov_sql('z')}), {_eigen_sql('pc', 'cv', 10)}, "
+    "zv AS (SELECT id, list(x ORDER BY pos) AS v FROM z GROUP BY 1), u AS (SELECT zv.id, label % 2 AS s, list_transform(vs, lambda w: list_inner_product(w, zv.v)) AS v FROM zv JOIN emb ON vec_id = zv.id, pc), "
+    f"e AS ({_knn_sql('u', 'u', 15, 'x.id <> y.id')}), c AS (SELECT s, count(*) AS n FROM u GROUP BY 1), "
+    "w AS (SELECT e.i, x.s, sum(CASE WHEN x.s = y.s THEN 1 ELSE 0 END) AS same FROM e JOIN u x ON x.id = e.i JOIN u y ON y.id = e.j GROUP BY 1, 2) "
+    "SELECT round(avg(CASE WHEN same > 15.0 * n / (SELECT count(*) FROM u) THEN 1.0 ELSE 0.0 END), 6) AS kbet FROM w JOIN c USING (s)"
+)
 def kbet(spark, d):
     return metrics.kbet(*P.vector_sides(spark, d)).select(F.round("kbet", 6).alias("kbet"))
 
@@ -507,7 +531,26 @@ def spectral(spark, d):
     return space.spectral(P.centroids(spark, d), 3)[0]
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {P.EMB}, {P.CENT}, pair AS (SELECT p.cluster AS i, q.cluster AS j, exp(-0.1 * pow(list_distance(p.c, q.c), 2)) AS a FROM cent p, cent q), sc AS (SELECT i, 1 / sqrt(sum(a)) AS s FROM pair GROUP BY 1), "
+    "af AS (SELECT list(r ORDER BY i) AS m FROM (SELECT pair.i, list(a * x.s * y.s ORDER BY pair.j) AS r FROM pair JOIN sc x ON x.i = pair.i JOIN sc y ON y.i = pair.j GROUP BY 1)), "
+    f"{_eigen_sql('ev', 'af', 3)}, pt AS (SELECT i, s, row_number() OVER (ORDER BY i) AS nr FROM sc), co AS (SELECT i, nr, d, s * vs[d][nr] AS x FROM pt, ev, (SELECT unnest(range(1, 4)) AS d)), "
+    "way AS (SELECT code, i, d, x, (code // CAST(pow(3, nr - 1) AS BIGINT)) % 3 AS g FROM (SELECT unnest(range(CAST(pow(3, (SELECT count(*) FROM pt)) AS BIGINT))) AS code) k, co), "
+    "val AS (SELECT code, sum(q) AS v FROM (SELECT code, g, d, pow(sum(x), 2) / count(*) AS q FROM way GROUP BY 1, 2, 3) GROUP BY 1), best AS (SELECT max_by(code, v) AS code FROM val), "
+    "got AS (SELECT DISTINCT i, g FROM way JOIN best USING (code)) SELECT i AS \"primary\", min(i) OVER (PARTITION BY g) AS func FROM got"
+)
+def spectral_partition(spark, d):
+    """The functional clusters named by their least member: SQL tries every partition."""
+    m = space.spectral(P.centroids(spark, d), 3)[0]
+    least = m.groupBy("func").agg(F.min("primary").alias("least"))
+    return m.join(least, "func").select("primary", F.col("least").alias("func"))
+
+
+@query(
+    f"WITH RECURSIVE {P.EMB}, fl AS (SELECT vec_id AS id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb), cv AS ({_cov_sql('fl')}), {_eigen_sql('pc', 'cv', 2)}, "
+    "mid AS (SELECT list(x ORDER BY pos) AS mid FROM (SELECT pos, avg(x) AS x FROM fl GROUP BY 1)) "
+    "SELECT vec_id AS id, label, round(list_inner_product(v, vs[1]) - list_inner_product(mid, vs[1]), 6) AS x, round(list_inner_product(v, vs[2]) - list_inner_product(mid, vs[2]), 6) AS y FROM emb, pc, mid"
+)
 def layout(spark, d):
     e = P.embeddings(spark, d).select(F.col("vec_id").alias("id"), "vec", "label")
     return space.layout(e).select("id", "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
