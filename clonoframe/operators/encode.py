@@ -15,6 +15,10 @@ from . import blocks
 BROADCAST_BYTES = 64 << 20
 
 
+def _bytes(centroids: DataFrame) -> int:
+    return centroids.select((F.count(F.lit(1)) * F.max(F.size("vec")) * 8).alias("b")).first()["b"] or 0
+
+
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, vec: str = "vec", key: str | None = None) -> DataFrame:
     """``rows`` with ``cluster`` and ``d2`` of the nearest centroid (cluster, vec); ties go to the lowest cluster.
 
@@ -22,8 +26,7 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, vec: str = "vec", ke
     meet blocks of centroids by ``key``, a unique column of ``rows``, and the least of each row wins.
     """
     spark = rows.sparkSession
-    size = centroids.select((F.count(F.lit(1)) * F.max(F.size("vec")) * 8).alias("b")).first()["b"] or 0
-    if size <= BROADCAST_BYTES:
+    if _bytes(centroids) <= BROADCAST_BYTES:
         got = sorted((r["cluster"], r["vec"]) for r in centroids.select("cluster", "vec").collect())
         shared = spark.sparkContext.broadcast((np.array([g[0] for g in got]), np.array([g[1] for g in got], float)))
 
@@ -45,7 +48,10 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, vec: str = "vec", ke
     if key is None:
         raise ValueError("so many centroids need a unique key of the rows")
 
+    kind = "long" if dict(rows.dtypes)[key] in ("bigint", "int") else "string"
+
     def least(ids, x, cs, c):
+        cs = [int(i) for i in cs]
         own = (c * c).sum(axis=1)
         order = np.argsort(cs)
         best = order[(own[order] - 2 * x @ c[order].T).argmin(axis=1)]
@@ -54,12 +60,28 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, vec: str = "vec", ke
 
     part = blocks.cells(
         rows.select(F.col(key).alias("id"), F.col(vec).alias("vec")), centroids.select(F.col("cluster").cast("long").alias("id"), "vec"),
-        least, "id long, cluster int, d2 double", id_type="long",
+        least, f"id {kind}, cluster int, d2 double", id_type=kind,
     )
     best = part.groupBy("id").agg(F.min(F.struct("d2", "cluster")).alias("m")).select(F.col("id").alias(key), F.col("m.cluster").alias("cluster"), F.col("m.d2").alias("d2"))
     return rows.join(best, key)
 
 
+def assign(rows: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataFrame:
+    """``nearest_centroid`` for rows without a unique key, with any number of centroids.
+
+    Where centroids are too many to broadcast, distinct vectors (by the SHA-256 of their entries as text, which is exact) meet the blocks of centroids,
+    and rows get their cluster by that key. Streams need the broadcast and raise ValueError beyond it.
+    """
+    if _bytes(centroids) <= BROADCAST_BYTES:
+        return nearest_centroid(rows, centroids, vec)
+    if rows.isStreaming:
+        raise ValueError("a stream takes centroids up to the size of a broadcast")
+    exact = F.col(vec).cast("array<double>")
+    keyed = rows.withColumn("_vk", F.sha2(F.array_join(F.transform(exact, lambda x: x.cast("string")), ",", "null"), 256))
+    found = nearest_centroid(keyed.groupBy("_vk").agg(F.any_value(exact).alias("vec")), centroids, key="_vk")
+    return keyed.join(found.select("_vk", "cluster", "d2"), "_vk").select(*rows.columns, "cluster", "d2")
+
+
 def centroid_mean(rows: DataFrame, group: str = "label", vec: str = "vec") -> DataFrame:
     """(group, vec): mean vector of each group, summed by position."""
     long = rows.select(group, F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "x"))
@@ -75,11 +97,11 @@ def count_and_sum(assigned: DataFrame, by: tuple = ("sample",), freq: str = "fre
 
 
 def encode_samples(clonotypes: DataFrame, centroids: DataFrame, vec: str = "vec", by: tuple = ("sample",), drop_failed: bool = True) -> DataFrame:
-    """Scan, nearest centroid, count and sum: one shuffle, on sample and cluster."""
+    """Scan, nearest centroid, count and sum: one shuffle, on sample and cluster (where centroids can be broadcast; see ``assign``)."""
     from .preprocess import drop_failures
 
     rows = drop_failures(clonotypes, "full_seq") if drop_failed and "full_seq" in clonotypes.columns else clonotypes
-    return count_and_sum(nearest_centroid(rows, centroids, vec), by)
+    return count_and_sum(assign(rows, centroids, vec), by)
 
 
 def dense(encoded: DataFrame, samples: DataFrame, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .correct import lloyd
-from .encode import nearest_centroid
+from .encode import assign
 from .metrics import principal_components
 
 
@@ -18,7 +18,7 @@ def kmeans(rows: DataFrame, k: int, vec: str = "vec", iterations: int = 100, see
     spark = rows.sparkSession
     model = KMeans(k=k, maxIter=iterations, tol=0.0, seed=seed, featuresCol="_f").fit(rows.withColumn("_f", array_to_vector(F.col(vec).cast("array<double>"))))
     centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, vec array<double>")
-    assigned = nearest_centroid(rows, centroids, vec)
+    assigned = assign(rows, centroids, vec)
     return assigned, centroids, cluster_stats(assigned, k).first().asDict()
 
 

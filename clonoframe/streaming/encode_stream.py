@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.encode import nearest_centroid
+from ..operators.encode import assign
 
 
 def stream_clonotypes(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100, fmt: str = "parquet") -> DataFrame:
@@ -16,7 +16,7 @@ def stream_clonotypes(spark: SparkSession, path: str, schema: str, files_per_bat
 
 def encode_stream(rows: DataFrame, centroids: DataFrame, by: tuple = ("sample",)) -> DataFrame:
     """Streaming counts and sums: state is one row for each (sample, cluster); use output mode update or complete."""
-    assigned = nearest_centroid(rows, centroids)
+    assigned = assign(rows, centroids)
     f = F.nanvl(F.col("freq").cast("double"), F.lit(None).cast("double"))
     return assigned.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("diversity"), F.coalesce(F.sum(f), F.lit(0.0)).alias("abundance"))
 
@@ -29,6 +29,6 @@ def windowed_counts(rows: DataFrame, time: str = "ts", late: str = "10 minutes",
 def run_to_parts(rows: DataFrame, path: str, checkpoint: str, centroids: DataFrame) -> StreamingQuery:
     """Write assigned rows to Parquet parts until the input is used up; a restart with the same checkpoint goes on after the last part."""
     return (
-        nearest_centroid(rows, centroids).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        assign(rows, centroids).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).outputMode("append").start()
     )

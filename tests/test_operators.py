@@ -457,3 +457,16 @@ def test_sequence_labels(spark):
     labels, centroids = workflows.sequence_labels(seqs, 2)
     got = {r.sequence: r.cluster for r in labels.collect()}
     assert set(got) == {"CASSF", "CWWWWWF"} and len(set(got.values())) == 2 and centroids.count() == 2
+
+
+def test_many_centroids_need_no_key(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(30, 4))
+    rows = spark.createDataFrame([(f"s{i % 3}", float(i), [float(v) for v in x[i // 2]]) for i in range(60)], "sample string, freq double, vec array<double>")
+    c = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(12, 4)))], "cluster int, vec array<double>")
+    read = lambda: sorted(tuple(r) for r in encode.encode_samples(rows, c).collect())
+    small = read()
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", 10)
+    assert read() == small and sum(r[2] for r in small) == 60
+    tie = spark.createDataFrame([(10, [1.0]), (9, [1.0])], "cluster int, vec array<double>")
+    assert encode.assign(side(spark, [[0], [0]]), tie).select("id", "cluster").orderBy("id").collect() == [(0, 9), (1, 9)]
