@@ -470,3 +470,19 @@ def test_many_centroids_need_no_key(spark, monkeypatch):
     assert read() == small and sum(r[2] for r in small) == 60
     tie = spark.createDataFrame([(10, [1.0]), (9, [1.0])], "cluster int, vec array<double>")
     assert encode.assign(side(spark, [[0], [0]]), tie).select("id", "cluster").orderBy("id").collect() == [(0, 9), (1, 9)]
+
+
+def test_radial_head_parts_rings(spark):
+    rng = np.random.default_rng(14)
+    angle, label = rng.uniform(0, 2 * np.pi, 120), np.arange(120) % 2
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1) * (1 + 2 * label)[:, None]
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], int(label[i])) for i in range(120)], "id int, vec array<double>, label int")
+    gamma = classify.scaled_gamma(rows)
+    assert gamma == pytest.approx(1 / (2 * x.var()))
+    mapped = classify.radial_features(rows, gamma, n=2000)
+    z = np.array([r.vec for r in mapped.orderBy("id").collect()])
+    assert np.abs(z @ z.T - np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2))).max() < 0.15
+    few = classify.radial_features(rows, gamma, n=64)
+    auc = lambda r: value(classify.roc_auc(classify.predict(classify.train(r, iterations=20), r)))
+    assert auc(few) > 0.99 > 0.9 > auc(rows)
+    assert classify.radial_features(rows.limit(0), gamma).count() == 0
