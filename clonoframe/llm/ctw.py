@@ -18,7 +18,7 @@ all estimates at one half.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,17 @@ from pyspark.sql import functions as F
 from .common import crc_mod, cut, input_partitions, pa_schema, slots
 from .shingles import lower_bytes, mix, word_hashes
 
-DEPTH = 5
+DEPTH = 7
 #: Text of one group, in bytes.
-GROUP = 32 << 20
-#: Inputs of a node when tables are merged, and groups that one task answers.
+GROUP = 16 << 20
+#: Inputs of a node when tables are merged.
 FAN = 64
+#: Groups that one copy of a table answers.
+ANSWERED = 256
+#: Entries of a table that are weighed at once.
+PIECE = 1 << 18
+#: Bytes of texts that are looked up at once.
+LOOKUP = 1 << 20
 END = np.uint64(1)  # key of the end token
 _LN10 = np.log(10.0)
 
@@ -103,75 +109,90 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _gammaln(n0 + 0.5) + _gammaln(n1 + 0.5) - 2 * _G_HALF - _gammaln(n0 + n1 + 1.0)
 
 
-class Level:
-    """The nodes of one depth: for each bit the sorted node keys (context, leading bits), their counts, and the node of each entry."""
+_SMALL = 4096
+_LG_HALF = _gammaln(np.arange(_SMALL) + 0.5)
+_LG_ONE = _gammaln(np.arange(_SMALL) + 1.0)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys = keys  # context << 8 | byte, sorted, distinct
-        self.bits = []
-        for i in range(8):
-            node = keys >> np.uint64(8 - i)
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            bit = (keys >> np.uint64(7 - i)) & np.uint64(1)
-            n = np.add.reduceat(counts, first) if len(keys) else counts
-            n1 = np.add.reduceat(np.where(bit == 1, counts, 0), first) if len(keys) else counts
-            index = np.zeros(len(keys), np.int64)
-            index[first[1:]] = 1
-            self.bits.append((node[first], n - n1, n1, np.cumsum(index), bit))
-
-
-def levels(keys: np.ndarray, counts: np.ndarray, depth: int, lowest: int) -> dict[int, Level]:
-    """Tables of the depths ``lowest`` to ``depth``."""
-    out = {depth: Level(keys, counts)}
-    for d in range(depth - 1, lowest - 1, -1):
-        upper = out[d + 1]
-        short = (upper.keys >> np.uint64(16)) << np.uint64(8) | upper.keys & np.uint64(255)
-        n = counts if d == depth - 1 else last
-        k, last = summed([short], [n])
-        out[d] = Level(k, last)
+
+def _table_log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """``log_kt``, with small counts looked up."""
+    total = n0 + n1
+    out = _LG_HALF[np.minimum(n0, _SMALL - 1)] + _LG_HALF[np.minimum(n1, _SMALL - 1)] - 2 * _G_HALF - _LG_ONE[np.minimum(total, _SMALL - 1)]
+    large = np.flatnonzero(total >= _SMALL)
+    out[large] = log_kt(n0[large], n1[large])
     return out
 
 
-def weigh(tables: dict[int, Level], depth: int, lowest: int) -> dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """For each depth and bit: log estimate, log product of the children, log weighted probability of each node."""
-    out: dict[int, list] = {}
-    for d in range(depth, lowest - 1, -1):
-        out[d] = []
-        for i in range(8):
-            node, n0, n1, _, _ = tables[d].bits[i]
-            kt = log_kt(n0, n1)
-            if d == depth:
-                out[d].append((kt, kt, kt))
-                continue
-            low = tables[d + 1].bits[i][0]
-            mask = np.uint64((1 << i) - 1)
-            parent = (low >> np.uint64(8 + i)) << np.uint64(i) | low & mask
-            below = np.bincount(np.searchsorted(node, parent), weights=out[d + 1][i][2], minlength=len(node))
-            out[d].append((kt, below, np.logaddexp(kt, below) - np.log(2)))
-    return out
+def _starts(a: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], a[1:] != a[:-1]])
 
 
-def predict(tables: dict[int, Level], weights: dict, depth: int, lowest: int) -> np.ndarray:
-    """For each entry of the deepest table and each bit: the probability of its bit, mixed from ``depth`` up to ``lowest``."""
-    keys = tables[depth].keys
-    p = np.empty((8, len(keys)))
-    where: dict[int, np.ndarray] = {depth: np.arange(len(keys))}
+def contexts(keys: np.ndarray, counts: np.ndarray, depth: int, lowest: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """For the depths ``lowest`` to ``depth``: distinct (context, byte) keys, their counts, and the place of each key of the next depth."""
+    out = {depth: (keys, counts, None)}
     for d in range(depth - 1, lowest - 1, -1):
-        short = keys >> np.uint64(8 * (depth - d + 1)) << np.uint64(8) | keys & np.uint64(255)
-        where[d] = np.searchsorted(tables[d].keys, short)
+        k, c, _ = out[d + 1]
+        short = (k >> np.uint64(16)) << np.uint64(8) | k & np.uint64(255)
+        order = np.argsort(short, kind="stable")
+        ranked = short[order]
+        new = _starts(ranked)
+        place = np.empty(len(k), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        first = np.flatnonzero(new)
+        out[d] = (ranked[first], np.add.reduceat(c[order], first), place)
+    return out
+
+
+def weigh(keys: np.ndarray, counts: np.ndarray, depth: int, lowest: int, want: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """For each bit: the nodes of depth ``lowest``, their log weighted probabilities, and (if wanted) the probability of the bit of
+    each entry, mixed from ``depth`` up to ``lowest``. One bit's nodes are held at a time."""
+    tables = contexts(keys, counts, depth, lowest)
     for i in range(8):
+        made: dict[int, tuple] = {}
+        below = None  # log products of the children, by the nodes of the depth at hand
         for d in range(depth, lowest - 1, -1):
-            _, n0, n1, index, bits = tables[d].bits[i]
-            own = index[where[d]]
-            bit = bits[where[d]]
-            kt = (np.where(bit == 1, n1[own], n0[own]) + 0.5) / (n0[own] + n1[own] + 1.0)
-            if d == depth:
-                p[i] = kt
-            else:
-                a, b, _ = weights[d][i]
-                w = 1 / (1 + np.exp(np.clip(b - a, -700, 700)))[own]
-                p[i] = w * kt + (1 - w) * p[i]
-    return p
+            k, c, _ = tables[d]
+            node = k >> np.uint64(8 - i)
+            new = _starts(node)
+            first, own = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
+            bit = (k >> np.uint64(7 - i)).astype(np.uint8) & np.uint8(1)
+            n = np.add.reduceat(c, first)
+            n1 = np.add.reduceat(np.where(bit == 1, c, 0), first)
+            kt = _table_log_kt(n - n1, n1)
+            w, weight = None, kt
+            if d < depth:
+                up, there = made[d + 1][:2], tables[d][2]
+                # The first entry of a deeper node leads to its parent.
+                below = np.bincount(own[there[up[0]]], weights=up[1], minlength=len(first))
+                w, weight = 1 / (1 + np.exp(np.clip(below - kt, -700, 700))), np.logaddexp(kt, below) - np.log(2)
+            made[d] = (first, weight, own, n, n1, w, bit)
+        p = None
+        if want:
+            steps = {depth: np.arange(len(keys), dtype=np.int32)}
+            for d in range(depth - 1, lowest - 1, -1):
+                steps[d] = tables[d][2][steps[d + 1]]
+            for d in range(depth, lowest - 1, -1):
+                _, _, own, n, n1, w, bit = made[d]
+                at = own[steps[d]]
+                ones = n1[at]
+                kt = (np.where(bit[steps[d]] == 1, ones, n[at] - ones) + 0.5) / (n[at] + 1.0)
+                p = kt if d == depth else w[at] * kt + (1 - w[at]) * p
+        first, weight = made[lowest][:2]
+        yield (tables[lowest][0] >> np.uint64(8 - i))[first], weight, p
+
+
+def pieces(keys: np.ndarray, depth: int) -> Iterator[slice]:
+    """Slices of a table that hold whole pairs of nearest bytes, of about PIECE entries; a larger pair is a slice of its own."""
+    pair = keys >> np.uint64(8 * (depth - 1))
+    ends = np.append(np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(keys)) if len(keys) else []
+    start = last = 0
+    for end in ends:
+        if end - start > PIECE and last > start:
+            yield slice(start, last)
+            start = last
+        last = end
+    if last > start:
+        yield slice(start, last)
 
 
 class Top:
@@ -194,18 +215,18 @@ class Top:
         self.p1 = (n1 + 0.5) / (n0 + n1 + 1)
         self.p0 = (m1 + 0.5) / (m0 + m1 + 1)
 
-    def finish(self, keys: np.ndarray, p: np.ndarray, depth: int) -> np.ndarray:
-        """log10 of the probability of each entry's byte, from the predictions of depth 2."""
+    def finish(self, keys: np.ndarray, bits: Iterable[np.ndarray], depth: int) -> np.ndarray:
+        """log10 of the probability of each entry's byte, from the predictions of depth 2, bit by bit."""
         near = (keys >> np.uint64(8 * depth)).astype(np.int64)
         byte = (keys & np.uint64(255)).astype(np.int64)
         out = np.zeros(len(keys))
-        for i in range(8):
+        for i, p in enumerate(bits):
             lead = (1 << i) | byte >> (8 - i)
             bit = byte >> (7 - i) & 1
             a = self.p1[near, lead]
             b = self.p0[lead]
             w1, w0 = self.w1[near, lead], self.w0[lead]
-            q = w1 * np.where(bit == 1, a, 1 - a) + (1 - w1) * p[i]
+            q = w1 * np.where(bit == 1, a, 1 - a) + (1 - w1) * p
             out += np.log(w0 * np.where(bit == 1, b, 1 - b) + (1 - w0) * q)
         return out / _LN10
 
@@ -237,7 +258,7 @@ def _gather(docs: DataFrame, shards: int, depth: int) -> DataFrame:
                             keys.append(u)
                             counts.append(c if train else np.zeros(len(u), np.int64))
                     parts[kind].append(summed(keys, counts))
-                    if len(parts[kind]) >= 6:
+                    if len(parts[kind]) >= 5:
                         parts[kind] = [summed([k for k, _ in parts[kind]], [c for _, c in parts[kind]])]
                     waiting[kind] = []
 
@@ -267,7 +288,7 @@ def _gather(docs: DataFrame, shards: int, depth: int) -> DataFrame:
                 waiting[False].append((strings(raw, depth), train))
                 waiting[True].append((np.append(word_hashes(raw), END), train))
                 size += len(raw)
-                if size >= 2 << 20:
+                if size >= LOOKUP:
                     settle()
                     size = 0
         if now is not None:
@@ -310,11 +331,6 @@ def _merged(blobs: DataFrame, groups: int, n: int) -> DataFrame:
             return blobs.select("shard", "words", "keys", "counts")
 
 
-def _model(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple:
-    tables = levels(keys, counts, depth, 2)
-    return tables, weigh(tables, depth, 2)
-
-
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -343,11 +359,10 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
                 if kind:
                     words += (c.sum(), (c > 0).sum())
                     continue
-                tables, weights = _model(keys, c, depth)
                 np.add.at(counts, ((keys >> np.uint64(8 * depth)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)), c)
-                for i in range(8):
-                    node = tables[2].bits[i][0]
-                    np.add.at(below, ((node >> np.uint64(8 + i)).astype(np.int64), (1 << i) | (node & np.uint64((1 << i) - 1)).astype(np.int64)), weights[2][i][2])
+                for part in pieces(keys, depth):
+                    for i, (node, weight, _) in enumerate(weigh(keys[part], c[part], depth, 2, False)):
+                        np.add.at(below, ((node >> np.uint64(8 + i)).astype(np.int64), (1 << i) | (node & np.uint64((1 << i) - 1)).astype(np.int64)), weight)
         flat = np.concatenate([counts.ravel(), below.ravel(), words])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["i", "v"])
@@ -359,7 +374,7 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
     top = spark.sparkContext.broadcast(Top(flat[:65536].reshape(256, 256), flat[65536 : 2 * 65536].reshape(256, 256)))
     train_tokens, vocabulary = int(flat[-2]), int(flat[-1])
 
-    # Second pass: each group gets the values of its own strings and words. A table goes to every batch of FAN groups; a task
+    # Second pass: each group gets the values of its own strings and words. A table goes to every batch of ANSWERED groups; a task
     # holds one table and one group's array at a time.
     value_ddl = "shard int, words boolean, keys binary, answers binary"
     value_schema = pa_schema(spark, value_ddl)
@@ -371,7 +386,9 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
                 if kind:
                     value = c.astype(np.float64)
                 else:
-                    value = top.value.finish(keys, predict(*_model(keys, c, depth), depth, 2), depth).astype(np.float32)
+                    value = np.empty(len(keys), np.float32)
+                    for part in pieces(keys, depth):
+                        value[part] = top.value.finish(keys[part], (p for _, _, p in weigh(keys[part], c[part], depth, 2, True)), depth)
                 yield _batch([(shard, kind, packed, pack(value))], value_schema)
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,8 +402,8 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
 
     answer_ddl = "gid long, doc_id long, train boolean, text string, words boolean, keys binary, answers binary"
     answer_schema = pa_schema(spark, answer_ddl)
-    tables = merged.mapInArrow(values, value_ddl).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit((groups - 1) // FAN)))).withColumn("gid", F.lit(None).cast("long"))
-    asked = blobs.select("gid", "shard", "words", "keys", F.lit(None).cast("binary").alias("answers"), F.floor(F.col("gid") / FAN).cast("int").alias("b"))
+    tables = merged.mapInArrow(values, value_ddl).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit((groups - 1) // ANSWERED)))).withColumn("gid", F.lit(None).cast("long"))
+    asked = blobs.select("gid", "shard", "words", "keys", F.lit(None).cast("binary").alias("answers"), F.floor(F.col("gid") / ANSWERED).cast("int").alias("b"))
     met = tables.select(asked.columns).unionByName(asked).repartition(n, "shard", "words", "b").sortWithinPartitions("shard", "words", "b", F.col("gid").asc_nulls_first())
     told = met.select("gid", "words", "keys", "answers").mapInArrow(answers, answer_ddl)
     none = F.lit(None)
@@ -397,17 +414,32 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
     norm = float(np.log10(train_tokens + vocabulary + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tables, ready = None, {True: [], False: []}, {}
+        now, tables, ready, waiting, size = None, {True: [], False: []}, {}, [], 0
 
-        def look(kind: bool, keys: np.ndarray) -> np.ndarray:
+        def look(kind: bool, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Places of the arrays, sorted by key, and the values there."""
             known, value = ready[kind]
-            return value[np.searchsorted(known, np.sort(keys))]
+            k = np.concatenate(keys)
+            order = np.argsort(k)
+            return np.repeat(np.arange(len(keys), dtype=np.int32), [len(x) for x in keys])[order], value[np.searchsorted(known, k[order])]
+
+        def close() -> pa.RecordBatch:
+            of, c = look(True, [np.append(word_hashes(raw), END) for _, _, raw in waiting])
+            tokens = np.bincount(of, minlength=len(waiting))
+            known = np.bincount(of[c > 0], minlength=len(waiting))
+            base = np.bincount(of, weights=np.log10(c + 1), minlength=len(waiting)) - tokens * norm
+            of, v = look(False, [strings(raw, depth) for _, _, raw in waiting])
+            s = np.bincount(of, weights=v, minlength=len(waiting))
+            bits = -s / np.log10(2) / np.array([len(raw) + 1 for _, _, raw in waiting])
+            columns = [[x for x, _, _ in waiting], [not t for _, t, _ in waiting], tokens, known, np.full(len(waiting), train_tokens), base, s, bits]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            rows = []
             for gid, doc_id, train, text, kind, keys, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if gid != now:
-                    now, tables, ready = gid, {True: [], False: []}, {}
+                    if waiting:
+                        yield close()
+                    now, tables, ready, waiting, size = gid, {True: [], False: []}, {}, [], 0
                 if keys is not None:
                     tables[kind].append((unpack(keys, np.uint64), unpack(value, np.float64 if kind else np.float32)))
                     continue
@@ -415,14 +447,15 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
                     for k in (True, False):
                         a = np.concatenate([x for x, _ in tables[k]])
                         order = np.argsort(a)
-                        ready[k] = (a[order], np.concatenate([y for _, y in tables[k]])[order])
-                    tables = {}
+                        a = a[order]
+                        ready[k] = (a, np.concatenate([y for _, y in tables.pop(k)])[order])
                 raw = lower_bytes(text)
-                c = look(True, np.append(word_hashes(raw), END))
-                base = float(np.log10(c + 1).sum() - len(c) * norm)
-                s = float(look(False, strings(raw, depth)).sum(dtype=np.float64))
-                rows.append((doc_id, not train, len(c), int((c > 0).sum()), train_tokens, base, s, -s / np.log10(2) / (len(raw) + 1)))
-            if rows:
-                yield _batch(rows, schema)
+                waiting.append((doc_id, train, raw))
+                size += len(raw)
+                if size >= LOOKUP:
+                    yield close()
+                    waiting, size = [], 0
+        if waiting:
+            yield close()
 
     return met.mapInArrow(run, ddl)

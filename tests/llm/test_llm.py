@@ -323,16 +323,17 @@ def plain_ctw(train, texts, depth):
     return out
 
 
-def test_ctw(spark):
+@pytest.mark.parametrize("depth", [3, ctw.DEPTH])
+def test_ctw(spark, depth):
     rng = random.Random(9)
     rows = [(i, words(rng, rng.randint(0, 12))) for i in range(60)] + [(60, None), (61, "Ünï"), (None, "of"), (5, "of the"), (5, "of the")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gid", F.lit("clash"))
     low = [(i, (t or "").encode().lower()) for i, t in rows]
     learn = [zlib.crc32(str(i if i is not None else "").encode()) % 7 != 2 for i, _ in rows]
-    want = plain_ctw([t for (_, t), y in zip(low, learn, strict=True) if y], [t for _, t in low], 3)
+    want = plain_ctw([t for (_, t), y in zip(low, learn, strict=True) if y], [t for _, t in low], depth)
     counts = Counter(w for (_, t), y in zip(low, learn, strict=True) if y for w in [*t.split(), None])
     n, v = sum(counts.values()), len(counts)
-    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3), r.held_out) for r in ctw.score(df, depth=3, group=300).collect())
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3), r.held_out) for r in ctw.score(df, depth=depth, group=300).collect())
     plain = sorted(
         (str(i), len(t.split()) + 1, sum(w in counts for w in [*t.split(), None]), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*t.split(), None]), 6), round(s, 3), not y)
         for (i, t), s, y in zip(low, want, learn, strict=True)
@@ -341,6 +342,22 @@ def test_ctw(spark):
     assert max(abs(a[5] - b[5]) for a, b in zip(got, plain, strict=True)) < 0.01
 
 
+def test_ctw_pieces(monkeypatch):
+    raw = words(random.Random(4), 400).encode()
+    keys, counts = np.unique(ctw.strings(raw, 4), return_counts=True)
+    whole = list(ctw.weigh(keys, counts, 4, 2, True))
+    monkeypatch.setattr(ctw, "PIECE", 7)
+    cuts = list(ctw.pieces(keys, 4))
+    assert len(cuts) > 20 and [s.start for s in cuts[1:]] == [s.stop for s in cuts[:-1]] and (cuts[0].start, cuts[-1].stop) == (0, len(keys))
+    parts = [list(ctw.weigh(keys[s], counts[s], 4, 2, True)) for s in cuts]
+    for i, row in enumerate(whole):
+        for j, a in enumerate(row):
+            assert np.array_equal(a, np.concatenate([p[i][j] for p in parts]))
+    assert list(ctw.pieces(keys[:0], 4)) == []
+    n = np.array([0, 1, 4095, 4096, 10**7])
+    assert np.allclose(ctw._table_log_kt(n, n[::-1]), ctw.log_kt(n, n[::-1]), rtol=1e-12)
+
+
 def test_ctw_edges(docs, empty, cases):
     assert ctw.score(docs).count() == len(cases)
     assert ctw.score(empty).count() == 0
