@@ -240,57 +240,68 @@ def _shard(keys: np.ndarray, words: bool, shards: int, depth: int) -> np.ndarray
     return (mix(keys if words else keys >> np.uint64(8 * (depth - 1))) >> np.uint64(20)) % np.uint64(shards)
 
 
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches as Python values, a few at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            yield from zip(*(c.to_pylist() for c in batch.slice(start, 64).columns), strict=True)
+
+
 def _gather(docs: DataFrame, shards: int, depth: int) -> DataFrame:
     """Packed distinct strings and words of each group of documents, by shard, with training counts."""
     schema = pa_schema(docs.sparkSession, _BLOBS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, waiting, size = None, {True: [], False: []}, {True: [], False: []}, 0
+        now, parts, waiting, fresh, size = None, {}, {True: [], False: []}, 0, 0
 
         def settle():
+            nonlocal fresh
             for kind in (True, False):
-                if waiting[kind]:
-                    keys, counts = [], []
-                    for train in (True, False):
-                        own = [k for k, t in waiting[kind] if t is train]
-                        if own:
-                            u, c = np.unique(np.concatenate(own), return_counts=True)
-                            keys.append(u)
-                            counts.append(c if train else np.zeros(len(u), np.int64))
-                    parts[kind].append(summed(keys, counts))
-                    if len(parts[kind]) >= 5:
-                        parts[kind] = [summed([k for k, _ in parts[kind]], [c for _, c in parts[kind]])]
-                    waiting[kind] = []
-
-        def close():
-            settle()
-            for kind in (True, False):
-                keys, counts = summed([k for k, _ in parts[kind]], [c for _, c in parts[kind]])
-                parts[kind] = []
-                to = _shard(keys, kind, shards, depth)
+                keys, counts = [], []
+                for train in (True, False):
+                    own = [k for k, t in waiting[kind] if t is train]
+                    if own:
+                        u, c = np.unique(np.concatenate(own), return_counts=True)
+                        keys.append(u)
+                        counts.append(c if train else np.zeros(len(u), np.int64))
+                waiting[kind] = []
+                k, c = summed(keys, counts)
+                to = _shard(k, kind, shards, depth)
                 order = np.argsort(to, kind="stable")
                 ends = np.searchsorted(to[order], np.arange(shards + 1, dtype=np.uint64))
-                rows = []
-                for s in range(shards):
+                for s in np.flatnonzero(np.diff(ends)).tolist():
                     at = order[ends[s] : ends[s + 1]]
-                    if len(at):
-                        rows.append((now, s, kind, pack(keys[at]), pack(counts[at].astype(np.int64))))
-                if rows:
-                    yield _batch(rows, schema)
+                    parts.setdefault((kind, s), []).append((k[at], c[at]))
+                fresh += len(k)
+            if fresh >= 4 * LOOKUP:
+                compact()
+
+        def compact():
+            nonlocal fresh
+            for at, held in parts.items():
+                if len(held) > 1:
+                    parts[at] = [summed([k for k, _ in held], [c for _, c in held])]
+            fresh = 0
 
-        for batch in batches:
-            for gid, train, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if gid != now:
-                    if now is not None:
-                        yield from close()
-                    now, size = gid, 0
-                raw = lower_bytes(text)
-                waiting[False].append((strings(raw, depth), train))
-                waiting[True].append((np.append(word_hashes(raw), END), train))
-                size += len(raw)
-                if size >= LOOKUP:
-                    settle()
-                    size = 0
+        def close():
+            settle()
+            compact()
+            rows = [(now, s, kind, pack(k), pack(c)) for (kind, s), ((k, c),) in parts.items()]
+            parts.clear()
+            yield _batch(rows, schema)
+
+        for gid, train, text in _rows(batches):
+            if gid != now:
+                if now is not None:
+                    yield from close()
+                now, size = gid, 0
+            raw = lower_bytes(text)
+            waiting[False].append((strings(raw, depth), train))
+            waiting[True].append((np.append(word_hashes(raw), END), train))
+            size += len(raw)
+            if size >= LOOKUP:
+                settle()
+                size = 0
         if now is not None:
             yield from close()
 
@@ -312,15 +323,14 @@ def _merged(blobs: DataFrame, groups: int, n: int) -> DataFrame:
             keys, counts = summed([k for k, _ in held], [c for _, c in held])
             return _batch([(*now, pack(keys), pack(counts.astype(np.int64)))], schema)
 
-        for batch in batches:
-            for gid, shard, kind, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (gid, shard, kind) != now:
-                    if held:
-                        yield close()
-                    now, held = (gid, shard, kind), []
-                held.append((unpack(keys, np.uint64), unpack(counts, np.int64)))
-                if len(held) >= 8:
-                    held = [summed([k for k, _ in held], [c for _, c in held])]
+        for gid, shard, kind, keys, counts in _rows(batches):
+            if (gid, shard, kind) != now:
+                if held:
+                    yield close()
+                now, held = (gid, shard, kind), []
+            held.append((unpack(keys, np.uint64), unpack(counts, np.int64)))
+            if len(held) >= 8:
+                held = [summed([k for k, _ in held], [c for _, c in held])]
         if held:
             yield close()
 
@@ -380,25 +390,23 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
     value_schema = pa_schema(spark, value_ddl)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, kind, packed, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, c = unpack(packed, np.uint64), unpack(numbers, np.int64)
-                if kind:
-                    value = c.astype(np.float64)
-                else:
-                    value = np.empty(len(keys), np.float32)
-                    for part in pieces(keys, depth):
-                        value[part] = top.value.finish(keys[part], (p for _, _, p in weigh(keys[part], c[part], depth, 2, True)), depth)
-                yield _batch([(shard, kind, packed, pack(value))], value_schema)
+        for shard, kind, packed, numbers in _rows(batches):
+            keys, c = unpack(packed, np.uint64), unpack(numbers, np.int64)
+            if kind:
+                value = c.astype(np.float64)
+            else:
+                value = np.empty(len(keys), np.float16)
+                for part in pieces(keys, depth):
+                    value[part] = top.value.finish(keys[part], (p for _, _, p in weigh(keys[part], c[part], depth, 2, True)), depth)
+            yield _batch([(shard, kind, packed, pack(value))], value_schema)
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = value = None
-        for batch in batches:
-            for gid, kind, packed, table in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if gid is None:
-                    keys, value = unpack(packed, np.uint64), unpack(table, np.float64 if kind else np.float32)
-                else:
-                    yield _batch([(gid, None, None, None, kind, packed, pack(value[np.searchsorted(keys, unpack(packed, np.uint64))]))], answer_schema)
+        for gid, kind, packed, table in _rows(batches):
+            if gid is None:
+                keys, value = unpack(packed, np.uint64), unpack(table, np.float64 if kind else np.float16)
+            else:
+                yield _batch([(gid, None, None, None, kind, packed, pack(value[np.searchsorted(keys, unpack(packed, np.uint64))]))], answer_schema)
 
     answer_ddl = "gid long, doc_id long, train boolean, text string, words boolean, keys binary, answers binary"
     answer_schema = pa_schema(spark, answer_ddl)
@@ -434,27 +442,28 @@ def score(docs: DataFrame, depth: int = DEPTH, folds: int = 7, held_fold: int =
             columns = [[x for x, _, _ in waiting], [not t for _, t, _ in waiting], tokens, known, np.full(len(waiting), train_tokens), base, s, bits]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for gid, doc_id, train, text, kind, keys, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if gid != now:
-                    if waiting:
-                        yield close()
-                    now, tables, ready, waiting, size = gid, {True: [], False: []}, {}, [], 0
-                if keys is not None:
-                    tables[kind].append((unpack(keys, np.uint64), unpack(value, np.float64 if kind else np.float32)))
-                    continue
-                if not ready:
-                    for k in (True, False):
-                        a = np.concatenate([x for x, _ in tables[k]])
-                        order = np.argsort(a)
-                        a = a[order]
-                        ready[k] = (a, np.concatenate([y for _, y in tables.pop(k)])[order])
-                raw = lower_bytes(text)
-                waiting.append((doc_id, train, raw))
-                size += len(raw)
-                if size >= LOOKUP:
+        for gid, doc_id, train, text, kind, keys, value in _rows(batches):
+            if gid != now:
+                if waiting:
                     yield close()
-                    waiting, size = [], 0
+                now, tables, ready, waiting, size = gid, {True: [], False: []}, {}, [], 0
+            if keys is not None:
+                tables[kind].append((unpack(keys, np.uint64), unpack(value, np.float64 if kind else np.float16)))
+                continue
+            if not ready:
+                for k in (True, False):
+                    a, v = np.concatenate([x for x, _ in tables[k]]), np.concatenate([y for _, y in tables[k]])
+                    del tables[k]
+                    order = np.argsort(a)
+                    a = a[order]
+                    ready[k] = (a, v[order])
+                    del a, v, order
+            raw = lower_bytes(text)
+            waiting.append((doc_id, train, raw))
+            size += len(raw)
+            if size >= LOOKUP:
+                yield close()
+                waiting, size = [], 0
         if waiting:
             yield close()
 
