@@ -30,7 +30,7 @@ from .shingles import lower_bytes, mix, word_hashes
 
 DEPTH = 7
 #: Text of one group, in bytes.
-GROUP = 48 << 20
+GROUP = 32 << 20
 #: Inputs of a node when tables are merged.
 FAN = 64
 #: Groups that one copy of a table answers.
