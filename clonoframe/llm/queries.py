@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, ctw, merkle, minhash, mixing, mpeg, quality, secret_scan, suffix, urlfilter
+from . import bpe, collocations, crosstok, ctw, merkle, minhash, mixing, mpeg, quality, secret_scan, suffix, topk, urlfilter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,9 +57,25 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_url_filter, op4_byte_bpe, op5_ctw_score, op6_pivotal_mix, op7_merkle_fingerprint, op8_quality_qda, op9_suffix_dedup, op10_mpeg_audio)}
+    all_ = (
+        op1_secret_scan, op2_minhash_dedup, op3_url_filter, op4_byte_bpe, op5_ctw_score, op6_pivotal_mix, op7_merkle_fingerprint, op8_quality_qda, op9_suffix_dedup, op10_mpeg_audio,
+        op11_collocations, op12_cross_tokenizer, op13_threshold_topk,
+    )
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": minhash.ORACLE, "op3_url_filter": urlfilter.ORACLE}
+    return {"op2_minhash_dedup": minhash.ORACLE, "op3_url_filter": urlfilter.ORACLE, "op11_collocations": collocations.ORACLE, "op13_threshold_topk": topk.ORACLE}
