@@ -5,7 +5,9 @@ Long texts are split before the library sees them, at boundaries that are safe f
 space, and between a letter and a punctuation mark or a combining mark. No match covers such a
 pair of characters, and no look-ahead looks past it from the left, so encoding the pieces
 one after another gives the ids of the whole text. A text without any such boundary is one match
-and goes to the library as one piece. Decoding joins raw bytes, so pieces that end inside a character do no harm.
+and goes to the library as one piece. White space is the exception, as the library's pattern engine steps back over each of its characters and has a bound: in texts longer
+than a piece, runs of ``RUN`` or more are taken out by the pattern's own rule. All of a run at the end of the text is one match, elsewhere all but its last character, which goes with what follows; such a
+match is encoded as bytes, without the pattern. Decoding joins raw bytes, so pieces that end inside a character do no harm.
 
 Ids are gathered in flat 32-bit buffers, a few hundred texts at a time, never as lists of Python numbers for a whole batch.
 
@@ -34,6 +36,9 @@ PIECE = 65536
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u052f\u05d0-\u05ea\u0620-\u064a\u0904-\u0939\u0e01-\u0e30\u0e32\u0e33\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 _MARKS = "!-&(-/:-@\\[-`{-~\u00ab\u00bb\u0301\u060c\u061b\u061f\u064b-\u0652\u0964\u0965\u0e31\u0e34-\u0e3a\u2013\u2014\u2018-\u201e\u2026\u3001\u3002\u3008-\u3011\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
 _SAFE = re.compile(rf"(?<=\S)(?=[ \t\n\r])|(?<=[{_LETTERS}])(?=[{_MARKS}])")
+#: White space as the pattern's engine has it, and the length of a run that is matched by rule.
+_SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+RUN = 4096
 #: Texts whose ids or bytes are gathered before they go into a flat buffer.
 _SLICE = 256
 
@@ -59,13 +64,24 @@ def split_safely(text: str, piece: int = PIECE) -> list[str]:
     return out
 
 
-def ids_of(text: str | None, enc: tiktoken.Encoding, piece: int = PIECE) -> np.ndarray:
+def ids_of(text: str | None, enc: tiktoken.Encoding, piece: int = PIECE, run: int = RUN) -> np.ndarray:
     """Ids of a whole text as 32-bit numbers; strings of special tokens are ordinary text."""
     if not text:
         return np.zeros(0, np.uint32)
     if len(text) <= piece:
         return enc.encode_to_numpy(text, disallowed_special=())
-    return np.concatenate([enc.encode_to_numpy(part, disallowed_special=()) for part in split_safely(text, piece)])
+    parts, at = [], 0
+
+    def plain(end: int) -> None:
+        parts.extend(enc.encode_to_numpy(p, disallowed_special=()) for p in split_safely(text[at:end], piece) if p)
+
+    for m in _SPACES.finditer(text):
+        if m.end() - m.start() >= run:
+            plain(m.start())
+            at = m.end() if m.end() == len(text) else m.end() - 1
+            parts.append(np.array(enc._encode_single_piece(text[m.start() : at]), np.uint32))
+    plain(len(text))
+    return np.concatenate(parts)
 
 
 def encode_text(text: str | None, enc: tiktoken.Encoding, piece: int = PIECE) -> list[int]:
