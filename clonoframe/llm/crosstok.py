@@ -6,7 +6,7 @@ Every token that is read against a residual overlaps the token that the residual
 
 Texts are cut before spaces that follow another sign than white space, where the spaces are not at the end of the text. Side A's pattern has no match over such
 a place, and no piece of side B has a space after another sign (checked when the model is loaded), so both sides' tokens end there and
-the segments' tokens in a row are the text's. Each distinct segment of a block is encoded and aligned once; a bounded memo keeps segments between blocks.
+the segments' tokens in a row are the text's. Each distinct segment of a block is encoded once, and all of them are aligned together, one token of each at a time.
 
 A block is some megabytes of texts in one task. Blocks, with each text's distinct linked id pairs, are written once. An id pair's count sums the blocks' own counts;
 texts then meet slices of the counts of bounded size, so no table is broadcast and no text's pairs become rows.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, pa_schema
 
-#: Characters of text of a block; segments that a worker keeps, and the length of the longest of them; id pairs of a slice; bytes of packed pairs that meet a slice in a task.
-BLOCK, MEMO, LONGEST, SLICE, MEET = 8 << 20, 150_000, 48, 2 << 20, 32 << 20
+#: Characters of text of a block; id pairs of a slice; bytes of packed pairs that meet a slice in a task.
+BLOCK, SLICE, MEET = 24 << 20, 2 << 20, 32 << 20
 #: Multiplier of A's ids in a pair's key.
 BASE = 1 << 20
 
@@ -49,55 +49,180 @@ def byte_of_sign() -> dict[str, int]:
 
 
 class Transducer:
-    """Aligns token rows by memoised transitions. ``a`` and ``b``: bytes of each side's tokens, by id."""
+    """Aligns many token rows at once by memoised transitions. ``a`` and ``b``: bytes of each side's tokens, by id.
 
-    def __init__(self, a, b, limit: int = 200_000):
+    A state is which side leads and its residual; state 0 has none. Transitions are kept as sorted keys (state, token) and their next states; -1 where the bytes differ.
+    """
+
+    def __init__(self, a, b, limit: int = 1_000_000):
         self.bytes = (a, b)
-        self.memo: dict = {}
         self.limit = limit
-
-    def step(self, lead: int, rest: bytes, token: int) -> tuple[int, bytes] | None:
-        """The state after the side that doesn't lead has given ``token``; None where the bytes differ."""
-        got = self.bytes[1 - lead][token]
-        if rest.startswith(got):
-            return lead, rest[len(got) :]
-        return (1 - lead, got[len(rest) :]) if got.startswith(rest) else None
-
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
-        """Ends of the groups in both rows, and links (A id, B id); None where the rows' bytes differ."""
-        rows, at, last = (a, b), [0, 0], [0, 0]
-        groups, links = [], []
-        memo = self.memo
-        lead, rest = 0, b""
-        while True:
-            if not rest:
-                if at[0] or at[1]:
-                    groups.append((at[0], at[1]))
-                if at[0] == len(a):
-                    return (groups, links) if at[1] == len(b) else None
-                last[0] = a[at[0]]
-                lead, rest = 0, self.bytes[0][last[0]]
-                at[0] += 1
-                continue
-            lag = 1 - lead
-            if at[lag] == len(rows[lag]):
-                return None
-            token = rows[lag][at[lag]]
-            at[lag] += 1
-            last[lag] = token
-            links.append((last[0], last[1]))
-            key = lead, rest, token
-            if key not in memo:
-                if len(memo) >= self.limit:
-                    memo.clear()
-                memo[key] = self.step(lead, rest, token)
-            if memo[key] is None:
-                return None
-            lead, rest = memo[key]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = {(0, b""): 0}
+        self.states = [(0, b"")]
+        self.leads = np.zeros(1024, np.int8)
+        self.keys, self.next = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.recent: dict[int, int] = {}
+        self.starts = np.full(BASE, -1, np.int64)
+
+    def state(self, lead: int, rest: bytes) -> int:
+        if not rest:
+            return 0
+        n = self.number.setdefault((lead, rest), len(self.states))
+        if n == len(self.states):
+            self.states.append((lead, rest))
+            if n == len(self.leads):
+                self.leads = np.concatenate([self.leads, np.zeros(n, np.int8)])
+            self.leads[n] = lead
+        return n
+
+    def step(self, key: int) -> int:
+        """The state after the lagging side has given a token."""
+        if key not in self.recent:
+            lead, rest = self.states[key // BASE]
+            got = self.bytes[1 - lead][key % BASE]
+            if rest.startswith(got):
+                self.recent[key] = self.state(lead, rest[len(got) :])
+            else:
+                self.recent[key] = self.state(1 - lead, got[len(rest) :]) if got.startswith(rest) else -1
+        return self.recent[key]
+
+    def begin(self, tokens: np.ndarray) -> np.ndarray:
+        """States in which side A leads by a whole token."""
+        for t in np.unique(tokens[self.starts[tokens] < 0]).tolist():
+            self.starts[t] = self.state(0, self.bytes[0][t])
+        return self.starts[tokens]
+
+    def follow(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.recent) > 4096:
+            more = np.array(list(self.recent.items()), np.int64)
+            every = np.concatenate([self.keys, more[:, 0]])
+            order = np.argsort(every, kind="stable")
+            self.keys, self.next, self.recent = every[order], np.concatenate([self.next, more[:, 1]])[order], {}
+        out = np.full(len(keys), -2, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            out = np.where(self.keys[at] == keys, self.next[at], -2)
+        unknown = np.flatnonzero(out == -2)
+        if len(unknown):
+            new, which = np.unique(keys[unknown], return_inverse=True)
+            out[unknown] = np.array([self.step(k) for k in new.tolist()], np.int64)[which]
+        return out
+
+    def align(self, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For rows ``a[a_at[r]:a_at[r + 1]]`` and ``b`` likewise: whether a row's bytes agree, (row, end in a, end in b) of each group, and (row, A id, B id) of each link, by row."""
+        if len(self.keys) + len(self.recent) > self.limit or len(self.states) > self.limit:
+            self.clear()
+        tokens, ends, at = (a, b), (a_at[1:], b_at[1:]), [a_at[:-1].copy(), b_at[:-1].copy()]
+        n = len(a_at) - 1
+        state, last, good = np.zeros(n, np.int64), np.zeros((2, n), np.int64), np.ones(n, bool)
+        groups, links = [np.zeros((3, 0), np.int64)], [np.zeros((3, 0), np.int64)]
+        active = np.arange(n)
+        while len(active) > FEW:
+            fresh = active[state[active] == 0]
+            ended = fresh[at[0][fresh] == ends[0][fresh]]
+            good[ended] = at[1][ended] == ends[1][ended]
+            fresh = fresh[at[0][fresh] < ends[0][fresh]]
+            last[0][fresh] = a[at[0][fresh]]
+            state[fresh] = self.begin(last[0][fresh])
+            at[0][fresh] += 1
+            active = active[state[active] > 0]
+            lag = 1 - self.leads[state[active]]
+            stays = np.ones(len(active), bool)
+            for side in (0, 1):
+                own = active[lag == side]
+                left = at[side][own] < ends[side][own]
+                good[own[~left]] = False
+                stays[lag == side] = left
+                own = own[left]
+                last[side][own] = tokens[side][at[side][own]]
+                at[side][own] += 1
+            active, lag = active[stays], lag[stays]
+            links.append(np.stack([active, last[0][active], last[1][active]]))
+            state[active] = self.follow(state[active] * BASE + np.where(lag == 0, last[0][active], last[1][active]))
+            closed = active[state[active] == 0]
+            groups.append(np.stack([closed, at[0][closed], at[1][closed]]))
+            good[active[state[active] < 0]] = False
+            active = active[state[active] >= 0]
+        for r in active.tolist():
+            # The few longest rows go on one by one.
+            now, i, j, own, out = int(state[r]), int(at[0][r]), int(at[1][r]), [], []
+            x, y = (int(v[r]) for v in last)
+            while now >= 0:
+                if now == 0:
+                    if i == a_at[r + 1]:
+                        break
+                    x, i = int(a[i]), i + 1
+                    now = int(self.begin(np.array([x]))[0])
+                    continue
+                if self.leads[now]:
+                    if i == a_at[r + 1]:
+                        now = -1
+                        break
+                    x, i = int(a[i]), i + 1
+                else:
+                    if j == b_at[r + 1]:
+                        now = -1
+                        break
+                    y, j = int(b[j]), j + 1
+                out.append((r, x, y))
+                now = self.step(now * BASE + (x if self.leads[now] else y))
+                if now == 0:
+                    own.append((r, i, j))
+            good[r] = now == 0 and j == b_at[r + 1]
+            groups.append(np.array(own, np.int64).reshape(-1, 3).T)
+            links.append(np.array(out, np.int64).reshape(-1, 3).T)
+
+        def by_row(parts: list[np.ndarray]) -> np.ndarray:
+            whole = np.concatenate(parts, axis=1)
+            whole = whole[:, good[whole[0]]]
+            return whole[:, np.argsort(whole[0], kind="stable")]
+
+        return good, by_row(groups), by_row(links)
+
+
+#: Rows left at which they go on one by one.
+FEW = 16
+
+
+def written(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of groups as text, one after another, and where each row's text begins: decimal ids, ``,`` between a side's ids, ``|`` between sides and ``;`` after each group."""
+    n = len(a_at) - 1
+    # Tokens in the order of the text: by group, A's before B's.
+    row, a_end, b_end = groups
+    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    a_from, b_from = (np.where(first, at[row], np.concatenate([[0], end[:-1]]) if len(end) else end) for at, end in ((a_at, a_end), (b_at, b_end)))
+    n_a, n_b = a_end - a_from, b_end - b_from
+    size = np.stack([n_a, n_b], axis=1).ravel()
+    source = np.stack([a_from, b_from + len(a)], axis=1).ravel()
+    start = np.cumsum(size) - size
+    place = np.repeat(source - start, size) + np.arange(size.sum())
+    ids = np.concatenate([a, b])[place]
+    sign = np.full(len(ids), ord(","), np.uint8)
+    ends = np.cumsum(size) - 1
+    sign[ends[0::2]], sign[ends[1::2]] = ord("|"), ord(";")
+    digits = 1 + (ids >= 10) + (ids >= 100) + (ids >= 1000) + (ids >= 10_000) + (ids >= 100_000) + (ids >= 1_000_000)
+    end = np.cumsum(digits + 1)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    out[end - 1] = sign
+    rest, at = ids.copy(), end - 2
+    for k in range(int(digits.max(initial=0))):
+        here = digits > k
+        out[at[here] - k] = 48 + rest[here] % 10
+        rest //= 10
+    tokens = np.bincount(row, n_a + n_b, n).astype(np.int64)
+    return out, np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(tokens)])]
+
+
+def _ragged(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    return np.fromiter((t for r in rows for t in r), np.int64, int(at[-1])), at
 
 
 class Pair:
-    """Two tokenizers and what is known of segments: (groups as text, A tokens, B tokens, groups, pair keys, links of each), or None."""
+    """Two tokenizers with their tokens' bytes, and the transducer between them."""
 
     def __init__(self, a_file: str, b_file: str):
         import sentencepiece
@@ -116,31 +241,28 @@ class Pair:
         b_bytes = [bytes([int(m[1], 16)]) if (m := hexed.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.transducer = Transducer(a_bytes, b_bytes)
-        self.memo: dict[str, tuple | None] = {}
+        self.a_lengths = np.zeros(max(a_bytes) + 1, np.int64)
+        for i, t in a_bytes.items():
+            self.a_lengths[i] = len(t)
 
     def segments(self, text: str) -> list[str]:
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def learn(self, wanted: list[str]) -> list[tuple | None]:
-        """What is to be known of segments, in order. Side B puts a space in front itself."""
-        ids = [e.ids for e in self.a.encode_batch_fast(wanted, add_special_tokens=False)]
-        return [self.record(s, a, b) for s, a, b in zip(wanted, ids, self.b.encode([s[1:] for s in wanted], num_threads=1), strict=True)]
-
-    def record(self, segment: str, a: list[int], b: list[int]) -> tuple | None:
-        table = self.transducer.bytes[0]
-        if b"".join([table[t] for t in a]) != segment.encode("utf-8", "surrogatepass"):
-            return None
-        got = self.transducer.align(a, b)
-        if got is None:
-            return None
-        parts, i, j = [], 0, 0
-        for p, q in got[0]:
-            parts.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            i, j = p, q
-        links: dict[int, int] = {}
-        for x, y in got[1]:
-            links[x * BASE + y] = links.get(x * BASE + y, 0) + 1
-        return ";".join(parts).encode(), len(a), len(b), len(got[0]), list(links), list(links.values())
+    def encode(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both sides' ids of segments, each with its ends. Side B puts a space in front itself."""
+        a, b = [], []
+        for i in range(0, len(wanted), 4096):
+            part = wanted[i : i + 4096]
+            a.append(_ragged([e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]))
+            b.append(_ragged(self.b.encode([s[1:] for s in part], num_threads=1)))
+        return *_joined(a), *_joined(b)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    before = np.cumsum([0, *(len(p) for p, _ in parts)])
+    return np.concatenate([p for p, _ in parts]), np.concatenate([[0], *(at[1:] + n for (_, at), n in zip(parts, before, strict=False))])
 
 
 @lru_cache(maxsize=2)
@@ -150,45 +272,54 @@ def pair(a_file: str, b_file: str) -> Pair:
 
 def block_rows(both: Pair, texts: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
     """For each text (n_a, n_b, n_groups, n_links, digest); then each text's number of distinct pairs, and their keys (sorted within a text) and numbers of links, text by text."""
-    rows, sizes, keys, links = [], [], [], []
     number: dict[str, int] = {}
-    split = [np.array([number.setdefault(s, len(number)) for s in both.segments(t)], np.int64) if t else None for t in texts]
-    if len(both.memo) > MEMO:
-        both.memo.clear()
-    unknown = [s for s in number if s not in both.memo]
-    known: dict[str, tuple | None] = {}
-    for i in range(0, len(unknown), 4096):
-        for s, r in zip(unknown[i : i + 4096], both.learn(unknown[i : i + 4096]), strict=True):
-            known[s] = r
-    records = [known[s] if s in known else both.memo[s] for s in number]
-    both.memo.update((s, r) for s, r in known.items() if len(s) <= LONGEST)
-    bad = np.array([r is None for r in records], bool)
-    count = np.array([[0, 0, 0] if r is None else r[1:4] for r in records], np.int64).reshape(-1, 3)
-    n_keys = np.array([0 if r is None else len(r[4]) for r in records], np.int64)
-    first = np.concatenate([[0], np.cumsum(n_keys)])
-    all_keys = np.array([k for r in records if r is not None for k in r[4]], np.int64)
-    all_links = np.array([k for r in records if r is not None for k in r[5]], np.int64)
+    split = [np.array([number.setdefault(s, len(number)) for s in both.segments(t)], np.int32) if t else None for t in texts]
+    wanted = list(number)
+    number.clear()
+    a, a_at, b, b_at = both.encode(wanted)
+    good, groups, links = both.transducer.align(a, a_at, b, b_at)
+    # Side B's bytes are those of side A, as they align; side A's are the segment's, if they are as many: it never changes a byte, it could only leave some out.
+    length = np.fromiter((len(s.encode("utf-8", "surrogatepass")) for s in wanted), np.int64, len(wanted))
+    good &= np.add.reduceat(np.append(both.a_lengths[a], 0), a_at[:-1]) == length if len(wanted) else good
+    n = len(wanted)
+    raw, raw_at = written(a, a_at, b, b_at, groups)
+    raw = raw.tobytes()
+    count = np.stack([np.diff(a_at), np.diff(b_at), np.bincount(groups[0], minlength=n)], axis=1)
+    # A segment's distinct pairs and how often each is linked.
+    key = links[1] * BASE + links[2]
+    order = np.lexsort((key, links[0]))
+    seg, key = links[0][order], key[order]
+    start = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
+    times_in = np.diff(np.append(start, len(key)))
+    seg, key = seg[start], key[start]
+    n_keys = np.bincount(seg, minlength=n)
+    first = np.cumsum(n_keys) - n_keys
+    rows, sizes, keys, counts = [], [], [], []
     for own in split:
-        if own is None or bad[own].any():
+        if own is None or not good[own].all():
             rows.append((0, 0, 0, 0, ""))
             sizes.append(0)
             continue
-        text = b";".join([records[i][0] for i in own.tolist()])
+        digest = hashlib.sha256()
+        for i in range(0, len(own), 65536):
+            part = own[i : i + 65536]
+            text = b"".join([raw[p:q] for p, q in zip(raw_at[part].tolist(), raw_at[part + 1].tolist(), strict=True)])
+            digest.update(text if i + 65536 < len(own) else text[:-1])
         used, times = np.unique(own, return_counts=True)
-        n = n_keys[used]
-        at = np.repeat(first[used] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        k, v = all_keys[at], all_links[at] * np.repeat(times, n)
+        m = n_keys[used]
+        at = np.repeat(first[used] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        k, v = key[at], times_in[at] * np.repeat(times, m)
         order = np.argsort(k)
         k, v = k[order], v[order]
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         k, v = k[start], np.add.reduceat(v, start) if len(start) else v
-        a, b, g = (times[:, None] * count[used]).sum(axis=0).tolist()
-        rows.append((a, b, g, int(v.sum()), hashlib.sha256(text).hexdigest()))
+        n_a, n_b, n_groups = (times @ count[used]).tolist()
+        rows.append((n_a, n_b, n_groups, int(v.sum()), digest.hexdigest()))
         sizes.append(len(k))
         keys.append(k)
-        links.append(v)
+        counts.append(v)
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return rows, np.array(sizes, np.int64), join(keys), join(links)
+    return rows, np.array(sizes, np.int64), join(keys), join(counts)
 
 
 def _pack(sizes: np.ndarray, keys: np.ndarray, links: np.ndarray) -> bytes:

@@ -7,7 +7,7 @@ kth score from one block (about ``BLOCK`` rows, broadcast), so that other blocks
 Every block meets every query; queries are streamed, so a task holds one block.
 
 Components are floor(scale * x) as whole numbers. Scores are exact: in 53 bits where these hold them, in Python's integers beyond; a score outside of 64 bits
-is returned as the nearest 64-bit number. Vectors that are null, or hold null, NaN or infinite components, take no part; vectors of different widths don't meet. A
+counts as the nearest 64-bit number. Vectors that are null, or hold null, NaN or infinite components, take no part; vectors of different widths don't meet. A
 row is not matched with rows of its own id. Ties go to smaller ids, null ids last. Every row that is a query counts as one, repeated
 ids too. Empty tables give no rows.
 """
@@ -43,6 +43,11 @@ def fit(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return as_int(x).astype(object), as_int(q).astype(object)
 
 
+def _held(score) -> int:
+    """A score, or the nearest number of 64 bits."""
+    return min(max(int(np.ceil(score)) if isinstance(score, float) else int(score), -(2**63)), 2**63 - 1)
+
+
 class Lists:
     """A block's rows with one sorted list a dimension."""
 
@@ -82,11 +87,11 @@ class Lists:
             if len(at) > k and score.dtype != object:
                 edge = np.partition(score, len(score) - k)[len(score) - k]
                 at, score = at[score >= edge], score[score >= edge]
-            best = sorted([*best, *((int(s), int(a)) for s, a in zip(score, at, strict=True))], key=lambda e: (-e[0], e[1]))[:k]
+            best = sorted([*best, *((_held(s), int(a)) for s, a in zip(score, at, strict=True))], key=lambda e: (-e[0], e[1]))[:k]
             if depth == n:
                 return best
             bound = (self.values[n - depth, plus] * q[plus]).sum() + (self.values[depth - 1, minus] * q[minus]).sum()
-            if (len(best) == k and best[-1][0] > bound) or (least is not None and least > bound):
+            if (len(best) == k and best[-1][0] > _held(bound)) or (least is not None and least > bound):
                 return best
             before, depth = depth, min(2 * depth, n)
 
@@ -163,7 +168,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id
                 out = [[], [], [], []]
                 for q, at, own, least in zip(x, cut.column(3).to_pylist(), cut.column(4).to_pylist(), cut.column(6).to_pylist(), strict=True):
                     for score, place in lists.search(own_rows, q, own, k, least):
-                        for col, value in zip(out, (at, own, lists.ids[place], min(max(score, -(2**63)), 2**63 - 1)), strict=True):
+                        for col, value in zip(out, (at, own, lists.ids[place], score), strict=True):
                             col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 

@@ -195,23 +195,46 @@ def test_alignment(spark, hostile, sizes):
     assert crosstok.align(spark.createDataFrame([], DOCS), A, B).count() == 0
 
 
-def test_transducer_alone():
-    rng = random.Random(1)
-    for _ in range(300):
-        text = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12)))
-        rows, sides = [], []
+def align_rows(tokens, rows):
+    a, a_at = crosstok._ragged([[tokens.index(t) for t in r[0]] for r in rows])
+    b, b_at = crosstok._ragged([[tokens.index(t) for t in r[1]] for r in rows])
+    return (a_at, b_at), *crosstok.Transducer(tokens, tokens).align(a, a_at, b, b_at)
+
+
+@pytest.mark.parametrize("n", [3, 300])
+def test_transducer_alone(n):
+    rng = random.Random(n)
+    tokens = [bytes(rng.choice(b"ab") for _ in range(k)) for k in (1, 2, 3, 4) for _ in range(2**k)]
+    tokens = sorted({b"a", b"b", *tokens})
+    rows, sides = [], []
+    for _ in range(n):
+        text = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40)))
+        own, cuts = [], []
         for _ in range(2):
-            cuts = sorted({0, len(text), *(rng.randint(0, len(text)) for _ in range(rng.randint(0, 6)))})
-            rows.append([text[p:q] for p, q in zip(cuts, cuts[1:], strict=False)])
-            sides.append(cuts)
-        names = sorted({t for r in rows for t in r})
-        groups, links = crosstok.Transducer(names, names).align(*([names.index(t) for t in r] for r in rows))
-        ends = sorted(set(sides[0]) & set(sides[1]))[1:]
-        assert [sides[0][p] for p, _ in groups] == [sides[1][q] for _, q in groups] == ends
-        want = Counter((names.index(text[p:q]), names.index(text[u:v])) for p, q in zip(sides[0], sides[0][1:], strict=False) for u, v in zip(sides[1], sides[1][1:], strict=False) if p < v and u < q)
-        assert Counter(links) == want
-    assert crosstok.Transducer([b"a", b"b"], [b"a", b"b"]).align([0], [1]) is None
-    assert crosstok.Transducer([b"a", b"b"], [b"a", b"b"]).align([0], [0, 1]) is None
+            at = [0]
+            while at[-1] < len(text):
+                at.append(at[-1] + rng.choice([k for k in (1, 2, 3, 4) if text[at[-1] : at[-1] + k] in tokens and at[-1] + k <= len(text)]))
+            own.append([text[p:q] for p, q in zip(at, at[1:], strict=False)])
+            cuts.append(at)
+        if rng.random() < 0.1:
+            own[1] = own[1][:-1] if rng.random() < 0.5 else [b"a" if t == b"b" else b"b" if t == b"a" else t for t in own[1]]
+        rows.append(own)
+        sides.append(cuts)
+    (a_at, b_at), good, groups, links = align_rows(tokens, rows)
+    for r, (own, cuts) in enumerate(zip(rows, sides, strict=True)):
+        same = b"".join(own[0]) == b"".join(own[1])
+        assert good[r] == same
+        if not same:
+            assert not (groups[0] == r).any() and not (links[0] == r).any()
+            continue
+        g = groups[:, groups[0] == r]
+        ends = sorted(set(cuts[0]) & set(cuts[1]))[1:]
+        assert [cuts[0][p - a_at[r]] for p in g[1]] == [cuts[1][q - b_at[r]] for q in g[2]] == ends
+        want = Counter(
+            (tokens.index(text), tokens.index(other)) for p, q, text in zip(cuts[0], cuts[0][1:], own[0], strict=False) for u, v, other in zip(cuts[1], cuts[1][1:], own[1], strict=False) if p < v and u < q
+        )
+        ours = links[1:, links[0] == r]
+        assert Counter(zip(ours[0].tolist(), ours[1].tolist(), strict=True)) == want
 
 
 # --- 13 --------------------------------------------------------------------------------------------------------------
@@ -225,8 +248,8 @@ def plain_topk(rows, k, step):
     out = []
     for q, v in good:
         if q is not None and q % step == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i or 0, i) for i, w in good if i != q and len(w) == len(v))
-            out += [(q, r, e[3], max(min(-e[0], 2**63 - 1), -(2**63))) for r, e in enumerate(found[:k], 1)]
+            found = sorted((-max(min(sum(a * b for a, b in zip(v, w, strict=True)), 2**63 - 1), -(2**63)), i is None, i or 0, i) for i, w in good if i != q and len(w) == len(v))
+            out += [(q, r, e[3], -e[0]) for r, e in enumerate(found[:k], 1)]
     return out
 
 
