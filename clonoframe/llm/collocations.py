@@ -1,6 +1,6 @@
 """Phrase collocations: count tries of depth 3 per shard, serialised sorted, merged by prefix range.
 
-A shard is some 16 MB of texts of one language. Each word position gives the string of at most three words from there to the end of its piece; the sorted distinct strings
+A shard is some 8 MB of texts of one language. Each word position gives the string of at most three words from there to the end of its piece; the sorted distinct strings
 with their counts are the shard's trie: the count of a phrase is the sum over the strings that start with it. Tries are written
 sorted, in chunks of bounded size, level by level (words, children, counts). Cut points of about equal weight are taken from the chunks' first strings;
 chunks are split there and each range merges its sorted runs. Ranges may end inside a word's or a word pair's children, so no word is too
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, pa_schema
 
 #: Bytes of text of a shard; entries of a chunk; entries, before they are merged, that a range should have; most cut points' candidates that reach the driver.
-SHARD, CHUNK, RANGE, SAMPLE = 16 << 20, 1 << 16, 1 << 20, 50_000
+SHARD, CHUNK, RANGE, SAMPLE = 8 << 20, 1 << 16, 1 << 19, 50_000
 #: Salts of the first of two rankings.
 SALTS = 256
 
@@ -37,15 +37,15 @@ _CLASS[[9, 32]] = 1
 _CLASS[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = 2
 _END = re.compile(rb"[.,;:!?\n-\r]")
 
-Run = tuple[list[bytes], np.ndarray, np.ndarray]  # words in order; (entries, 3) places in them from 1, 0: none; counts
+Run = tuple[pa.Array, np.ndarray, np.ndarray]  # words (binary) in order; (entries, 3) places in them from 1, 0: none; counts
 
 
 def _sorted_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct words in byte order, and each word's place among them."""
     d = words.dictionary_encode()
     order = pc.sort_indices(d.dictionary).to_numpy()
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     return d.dictionary.take(pa.array(order)), place[d.indices.to_numpy()]
 
 
@@ -54,10 +54,11 @@ def _summed(w: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.nd
     if not len(w):
         return w, np.zeros(0, np.int64)
     bits = int(w.max()).bit_length()
+    key = w[:, 0].astype(np.int64)
     if 3 * bits <= 63:
-        key = (w[:, 0] << (2 * bits)) | (w[:, 1] << bits) | w[:, 2]
+        key = ((key << bits | w[:, 1]) << bits) | w[:, 2]
     else:
-        _, pair = np.unique((w[:, 0] << 32) | w[:, 1], return_inverse=True)
+        _, pair = np.unique((key << 32) | w[:, 1], return_inverse=True)
         key = (pair << 32) | w[:, 2]
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -74,18 +75,19 @@ def trie(raw: bytes) -> Run:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return [], np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        return pa.array([], pa.binary()), np.zeros((0, 3), np.int32), np.zeros(0, np.int64)
     piece = np.searchsorted(np.flatnonzero(kind == 2), start)
     offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
     words = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
     known, ids = _sorted_words(words)
-    w = np.zeros((len(ids), 3), np.int64)
+    del data, kind, inside, edge, start, end, words
+    w = np.zeros((len(ids), 3), np.int32)
     w[:, 0] = ids + 1
     for k in (1, 2):
         if len(ids) > k:
             w[:-k, k] = np.where(piece[k:] == piece[:-k], ids[k:] + 1, 0)
     w, n = _summed(w, None)
-    return known.to_pylist(), w, n
+    return known, w, n
 
 
 def _levels(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +103,11 @@ def pack(run: Run) -> bytes:
     used = used[used > 0]
     w = np.searchsorted(used, w) + (w > 0)
     one, two = _levels(w)
-    texts = [words[i - 1] for i in used]
-    raw = b"".join(texts)
+    own = words.take(pa.array(used - 1))
+    ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1] if len(own) else np.zeros(1, np.int32)
+    raw = own.buffers()[2].to_pybytes()[ends[0] : ends[-1]] if len(own) else b""
     arrays = [
-        np.array([len(t) for t in texts]), np.diff(w[one, 0], prepend=0), np.diff(np.append(np.searchsorted(two, one), len(two))), w[two, 1], np.diff(np.append(two, len(w))), w[:, 2], n,
+        np.diff(ends), np.diff(w[one, 0], prepend=0), np.diff(np.append(np.searchsorted(two, one), len(two))), w[two, 1], np.diff(np.append(two, len(w))), w[:, 2], n,
     ]
     small = [a.astype(np.min_scalar_type(int(a.max(initial=0)))) for a in arrays]
     head = np.array([[len(a), a.itemsize] for a in small], "<u8").tobytes()
@@ -119,15 +122,15 @@ def unpack(blob: bytes) -> Run:
         arrays.append(np.frombuffer(data, f"<u{width}", size, at).astype(np.int64))
         at += size * width
     lengths, first, pairs, second, triples, third, n = arrays
-    ends = at + np.cumsum(lengths)
-    words = [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-    w = np.stack([np.repeat(np.repeat(np.cumsum(first), pairs), triples), np.repeat(second, triples), third], axis=1)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data[at:])])
+    w = np.stack([np.repeat(np.repeat(np.cumsum(first), pairs), triples), np.repeat(second, triples), third], axis=1).astype(np.int32)
     return words, w, n
 
 
 def entry(run: Run, i: int) -> tuple[bytes, ...]:
     """The words of an entry, without the missing ones."""
-    return tuple(run[0][k - 1] for k in run[1][i].tolist() if k)
+    return tuple(run[0][k - 1].as_py() for k in run[1][i].tolist() if k)
 
 
 def split(run: Run, cuts: list[tuple[bytes, ...]]) -> Iterator[tuple[int, Run]]:
@@ -153,49 +156,54 @@ def split(run: Run, cuts: list[tuple[bytes, ...]]) -> Iterator[tuple[int, Run]]:
     yield len(cuts), (words, w[lo:hi], n[lo:hi])
 
 
-def merge(runs: list[Run]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """One run of several: words as an Arrow array, places, summed counts. The sort is a merge of sorted runs."""
-    words, place = _sorted_words(pa.array([t for r in runs for t in r[0]], pa.binary()))
+def merge(runs: list[Run]) -> Run:
+    """One run of several. The sort is a merge of sorted runs."""
+    words, place = _sorted_words(pa.concat_arrays([r[0] for r in runs]))
     at, parts = 0, []
     for r in runs:
-        to = np.concatenate([[0], place[at : at + len(r[0])] + 1])
+        to = np.concatenate([np.zeros(1, np.int32), place[at : at + len(r[0])] + 1])
         parts.append(to[r[1]])
         at += len(r[0])
     w, n = _summed(np.concatenate(parts), np.concatenate([r[2] for r in runs]))
     return words, w, n
 
 
+def _place(words: pa.Array, word: bytes) -> int:
+    """A word's place from 1; 0 if it isn't there."""
+    at = bisect_left(range(len(words)), word, key=lambda i: words[i].as_py())
+    return at + 1 if at < len(words) and words[at].as_py() == word else 0
+
+
 NODES = "lang string, w1 string, w2 string, w3 string, f long, l1 long, l2 long, open boolean"
 
 
-def nodes(runs: list[Run], least: int, ends: list[tuple[bytes, ...]]) -> list[tuple]:
-    """(w1, w2, w3, f, l1, l2, open) of the phrases of a range that occur ``least`` times. ``ends`` are the range's cut points: phrases that start one may go on in another range;
-    they are open, whatever their count, and are no left part yet."""
-    words, w, n = merge(runs)
+def nodes(run: Run, least: int, ends: list[tuple[bytes, ...]]) -> list[pa.Array]:
+    """Columns (w1, w2, w3, f, l1, l2, open) of the phrases of a merged range that occur ``least`` times. ``ends`` are the range's cut points: phrases that start one may go on in another
+    range; they are open, whatever their count, and are no left part yet."""
+    words, w, n = run
     one, two = _levels(w)
     f1, f2 = np.add.reduceat(n, one), np.add.reduceat(n, two)
-    of1 = np.searchsorted(one, np.arange(len(n)), side="right") - 1
     of2 = np.searchsorted(two, np.arange(len(n)), side="right") - 1
-    place = {t: i + 1 for i, t in enumerate(words.to_pylist()) if any(t in e for e in ends)}
+    of1 = np.searchsorted(one, two, side="right") - 1
     open1, open2 = np.zeros(len(one), bool), np.zeros(len(two), bool)
     for e in ends:
-        if e and e[0] in place:
-            open1 |= w[one, 0] == place[e[0]]
-            if len(e) > 1 and e[1] in place:
-                open2 |= (w[two, 0] == place[e[0]]) & (w[two, 1] == place[e[1]])
-    text = ["", *(t.decode("utf-8", "surrogatepass") for t in words.to_pylist())]
-    out = []
-    for i in np.flatnonzero(open1 | (f1 >= least)).tolist():
-        out.append((text[w[one[i], 0]], None, None, int(f1[i]), None, None, bool(open1[i])))
-    for i in np.flatnonzero((w[two, 1] > 0) & (open2 | (f2 >= least))).tolist():
-        at = of1[two[i]]
-        a, b, _ = w[two[i]].tolist()
-        out.append((text[a], text[b], None, int(f2[i]), None if open1[at] else int(f1[at]), None, bool(open2[i])))
-    for i in np.flatnonzero((w[:, 2] > 0) & (n >= least)).tolist():
-        a, b, c = w[i].tolist()
-        p, q = of1[i], of2[i]
-        out.append((text[a], text[b], text[c], int(n[i]), None if open1[p] else int(f1[p]), None if open2[q] else int(f2[q]), False))
-    return out
+        if e and (p := _place(words, e[0])):
+            open1 |= w[one, 0] == p
+            if len(e) > 1 and (q := _place(words, e[1])):
+                open2 |= (w[two, 0] == p) & (w[two, 1] == q)
+    a = np.flatnonzero(open1 | (f1 >= least))
+    b = np.flatnonzero((w[two, 1] > 0) & (open2 | (f2 >= least)))
+    c = np.flatnonzero((w[:, 2] > 0) & (n >= least))
+    places = np.zeros((len(a) + len(b) + len(c), 3), np.int32)
+    places[: len(a), 0] = w[one[a], 0]
+    places[len(a) : len(a) + len(b), :2] = w[two[b], :2]
+    places[len(a) + len(b) :] = w[c]
+    f = np.concatenate([f1[a], f2[b], n[c]])
+    no = np.zeros(len(a), np.int64)
+    up1 = np.concatenate([no, np.where(open1[of1[b]], 0, f1[of1[b]]), np.where(open1[of1[of2[c]]], 0, f1[of1[of2[c]]])])
+    up2 = np.concatenate([no, np.zeros(len(b), np.int64), np.where(open2[of2[c]], 0, f2[of2[c]])])
+    texts = [words.take(pa.array(np.maximum(p - 1, 0), mask=p == 0)).cast(pa.string()) for p in places.T]
+    return [*texts, pa.array(f), pa.array(up1, mask=up1 == 0), pa.array(up2, mask=up2 == 0), pa.array(np.concatenate([open1[a], open2[b], np.zeros(len(c), bool)]))]
 
 
 def _pieces(raw: bytes, size: int) -> Iterator[bytes]:
@@ -269,9 +277,9 @@ def frequent(docs: DataFrame, least: int, shard: int = SHARD, chunk: int = CHUNK
         def close() -> Iterator[pa.RecordBatch]:
             if runs:
                 cuts = shared.value.get(now[0], [])
-                out = [(now[0], *r) for r in nodes(runs, least, cuts[max(0, now[1] - 1) : now[1] + 1])]
-                for a in range(0, len(out), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + 10_000], strict=True), schema, strict=True)], schema=schema)
+                out = nodes(merge(runs), least, cuts[max(0, now[1] - 1) : now[1] + 1])
+                runs.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(out[0]), pa.string()), *out], schema=schema)
 
         for batch in batches:
             for k in range(batch.num_rows):

@@ -419,7 +419,7 @@ def _answers(blocks: DataFrame, counts: DataFrame, slice_: int, meet: int) -> Da
                         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block]), pa.array([_pack(sizes, keys[mine], links[mine])])], names=["s", "n", "blob"])
 
     table = counts.mapInArrow(slices, "s int, n long, blob binary").select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("g"), F.lit(0).alias("tag"), "n", "blob")
-    asked = blocks.select("block", "pairs").mapInArrow(parts, "s int, n long, blob binary").select("s", F.pmod(F.xxhash64("n"), F.lit(n_groups)).alias("g"), F.lit(1).alias("tag"), "n", "blob")
+    asked = blocks.select("block", "pairs").mapInArrow(parts, "s int, n long, blob binary").select("s", F.pmod(F.shiftright("n", 32) + F.col("n"), F.lit(n_groups)).alias("g"), F.lit(1).alias("tag"), "n", "blob")
     dealt = table.unionByName(asked).repartition(n_slices * n_groups, "s", "g").sortWithinPartitions("s", "g", "tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
