@@ -71,13 +71,17 @@ def gap_padded(seq: str, length: int) -> str:
 
 
 def substitution_encoder(length: int = 30, d: int = 4, code: np.ndarray | None = None) -> Callable[[list[str]], np.ndarray]:
-    """Gap-padded sequences as concatenated residue codes (length * d numbers); unknown residues and long sequences raise ValueError."""
+    """Gap-padded sequences as concatenated residue codes (length * d numbers). Null, unknown residues and sequences longer than ``length`` give NaN, which ``encode_column`` makes null."""
     table = principal_code(substitution_matrix(), d) if code is None else code
+    place = {a: k for k, a in enumerate(ALPHABET)}
 
     def encode(seqs: list[str]) -> np.ndarray:
-        out = np.zeros((len(seqs), length * table.shape[1]))
+        at = np.full((len(seqs), length), -1)
         for i, s in enumerate(seqs):
-            out[i] = table[[ALPHABET.index(a) for a in gap_padded(s or "", length)]].ravel()
+            if s is not None and len(s) <= length:
+                at[i] = [place.get(a, -1) for a in gap_padded(s, length)]
+        out = table[at].reshape(len(seqs), -1)
+        out[(at < 0).any(axis=1)] = np.nan
         return out
 
     return encode
@@ -104,13 +108,26 @@ def mean_pooled(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def encode_column(df: DataFrame, seq: str, encoder: Callable[[list[str]], np.ndarray], out: str = "vec", batch: int = 2048) -> DataFrame:
-    """``df`` with the encoder's vectors as array<double>; the encoder gets at most ``batch`` sequences at a time."""
+    """``df`` with the encoder's vectors as array<double>; the encoder gets at most ``batch`` sequences at a time. Null sequences and rows that the encoder fills with NaN are null."""
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in it:
-            seqs = col.to_pylist()
-            parts = [np.asarray(encoder(seqs[i : i + batch]), float) for i in range(0, len(seqs), batch)]
-            yield pa.array([row for p in parts for row in p], pa.list_(pa.float64()))
+            seqs, rows = col.to_pylist(), []
+            for i in range(0, len(seqs), batch):
+                part = seqs[i : i + batch]
+                given = [s for s in part if s is not None]
+                got = iter(np.asarray(encoder(given), float) if given else [])
+                vectors = [None if s is None else next(got) for s in part]
+                rows += [None if v is None or (len(v) and np.isnan(v).all()) else v for v in vectors]
+            yield pa.array(rows, pa.list_(pa.float64()))
 
     run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return df.withColumn(out, F.arrow_udf(run, "array<double>")(F.col(seq)))
+
+
+#: Residues that the default encoder takes, by the column that it encodes: the longest CDR3, and the longest variable domain of either chain.
+DEFAULT_LENGTH = {"cdr3": 30, "full_seq": 160}
+
+
+def default_encoder(column: str = "full_seq") -> Callable[[list[str]], np.ndarray]:
+    return substitution_encoder(DEFAULT_LENGTH[column])

@@ -31,24 +31,35 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def cells(left: DataFrame, right: DataFrame, reduce: Callable, ddl: str, id_type: str = "string", block: int = BLOCK) -> DataFrame:
+def cells(
+    left: DataFrame, right: DataFrame, reduce: Callable, ddl: str, id_type: str = "string", block: int = BLOCK, sizes: tuple[int, int] | None = None, groups: list[tuple[int, int, int]] | None = None,
+) -> DataFrame:
     """Rows that ``reduce(left_ids, left_matrix, right_ids, right_matrix)`` yields as tuples of ``ddl``, for every cell.
 
-    ``left`` and ``right``: id, vec. Ids are strings or longs (``id_type``).
+    ``left`` and ``right``: id, vec. Ids are strings or longs (``id_type``). ``sizes``: the sides' numbers of rows, where they are known; else both are counted.
+    ``groups``: (group, left rows, right rows); then both sides have a column ``grp`` and only rows of one group meet.
     """
     spark = left.sparkSession
-    n_left = max(1, -(-left.count() // block))
-    n_right = max(1, -(-right.count() // block))
-
-    def side(df: DataFrame, own: int, other: int, is_left: bool) -> DataFrame:
-        b = F.pmod(F.xxhash64("id"), F.lit(own))
-        spread = df.select(F.col("id").cast(id_type).alias("id"), "vec", b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("o"))
+    if groups is None:
+        groups = [(0, *(sizes or (left.count(), right.count())))]
+        left, right = (df.withColumn("grp", F.lit(0)) for df in (left, right))
+    n_blocks = [(g, max(1, -(-n // block)), max(1, -(-m // block))) for g, n, m in groups]
+    table = spark.createDataFrame(n_blocks, "grp int, nx int, ny int")
+
+    def side(df: DataFrame, is_left: bool) -> DataFrame:
+        own, other = ("nx", "ny") if is_left else ("ny", "nx")
+        if len(n_blocks) == 1:
+            counted = df.where(F.col("grp") == n_blocks[0][0]).select("*", F.lit(n_blocks[0][1]).alias("nx"), F.lit(n_blocks[0][2]).alias("ny"))
+        else:
+            counted = df.join(table, "grp")
+        b = F.pmod(F.xxhash64("id"), F.col(own).cast("long"))
+        spread = counted.select("grp", F.col("id").cast(id_type).alias("id"), "vec", b.alias("b"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("o"))
         x, y = (F.col("b"), F.col("o").cast("long")) if is_left else (F.col("o").cast("long"), F.col("b"))
-        return spread.select(x.alias("x"), y.alias("y"), F.lit(0 if is_left else 1).alias("side"), "id", "vec")
+        return spread.select("grp", x.alias("x"), y.alias("y"), F.lit(0 if is_left else 1).alias("side"), "id", "vec")
 
-    both = side(left, n_left, n_right, True).unionByName(side(right, n_right, n_left, False))
-    tasks = min(n_left * n_right, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    dealt = both.repartition(tasks, "x", "y").sortWithinPartitions("x", "y", "side", "id")
+    both = side(left, True).unionByName(side(right, False))
+    tasks = min(sum(n * m for _, n, m in n_blocks), int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
+    dealt = both.repartition(max(1, tasks), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "side", "id")
     schema = arrow_schema(spark, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,15 +73,15 @@ def cells(left: DataFrame, right: DataFrame, reduce: Callable, ddl: str, id_type
 
         for batch in batches:
             # Rows come sorted by cell and side; each run of equal keys is taken as one slice of the batch's matrix.
-            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
             starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if batch.num_rows else []
             for p, q in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                x, y, s = keys[:, p].tolist()
-                if (x, y) != now:
+                *cell, s = keys[:, p].tolist()
+                if cell != now:
                     yield from close()
-                    now, held = (x, y), ([], [], [], [])
-                held[2 * s].extend(batch.column(3).slice(p, q - p).to_pylist())
-                held[2 * s + 1].append(matrix(batch.column(4).slice(p, q - p)))
+                    now, held = cell, ([], [], [], [])
+                held[2 * s].extend(batch.column(4).slice(p, q - p).to_pylist())
+                held[2 * s + 1].append(matrix(batch.column(5).slice(p, q - p)))
         yield from close()
 
     return dealt.mapInArrow(run, ddl)

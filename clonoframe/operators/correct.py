@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..state import checkpointed
 from . import blocks
 from .metrics import apply_affine, moments
 from .neighbors import mutual_nn
+from .soft import soft_align
 
 
 @dataclass
@@ -148,51 +150,92 @@ def mnn_vectors(ref: DataFrame, new: DataFrame, k: int, sigma: float = 1.0) -> D
     return new.select("id").join(smooth, "id", "left").select("id", F.coalesce("c", zero).alias("corr"))
 
 
-def variance_scale(ref: np.ndarray, new: np.ndarray, corr: np.ndarray, rows: list[int], sigma: float) -> np.ndarray:
-    """Scales (at least 1) of the corrections of some rows of ``new``: the reference's quantile at the row's weighted rank along the correction."""
-    out = np.ones(len(rows))
-    for k, i in enumerate(rows):
-        length = np.linalg.norm(corr[i])
-        if length == 0:
-            continue
-        g = corr[i] / length
-
-        def along(m, g=g, x=new[i]):
-            p = m @ g
-            rest = (m - x) - np.outer((m - x) @ g, g)
-            return p, np.exp(-(rest**2).sum(axis=1) / sigma)
-
-        p, w = along(new)
-        own = p[i]  # the same product, so that the row counts itself
-        rank = w[p <= own].sum() / w.sum()
-        q, v = along(ref)
-        order = np.argsort(q, kind="stable")
-        reach = np.cumsum(v[order]) > rank * v.sum()
-        at = order[int(reach.argmax())] if reach.any() else order[-1]
-        out[k] = max((q[at] - own) / length, 1.0)
-    return out
-
-
-def adjust_variance(ref: DataFrame, new: DataFrame, corr: DataFrame, sigma: float = 1.0, max_mb: int = 256) -> DataFrame:
-    """``corr`` scaled by ``variance_scale``. Every row needs all others, in sorted order; the two sides (one row a sample) are broadcast after a size check."""
-    d = _width(new)
-    n, m = ref.count(), new.count()
-    if (n + 2 * m) * d * 8 > max_mb << 20:
-        raise ValueError(f"variance adjustment holds both sides: more than {max_mb} MB; raise max_mb or leave it out")
-    r = np.array([x["vec"] for x in ref.orderBy("id").collect()])
-    both = new.join(corr, "id").orderBy("id").collect()
-    shared = ref.sparkSession.sparkContext.broadcast((r, np.array([x["vec"] for x in both]), np.array([x["corr"] for x in both]), {x["id"]: k for k, x in enumerate(both)}))
+#: Bins of one pass of the weighted quantile.
+QUANTILE_BINS = 64
+
+
+def _along(base: np.ndarray, direction: np.ndarray, other: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``other``'s rows along each direction, and their weights exp(-squared distance from the line / sigma); rows of ``base`` by rows of ``other``.
 
-    def run(batches):
-        a, b, c, at = shared.value
-        for p in batches:
-            scale = variance_scale(a, b, c, [at[i] for i in p["id"]], sigma)
-            p["corr"] = [(np.array(v) * s).tolist() for v, s in zip(p["corr"], scale, strict=True)]
-            yield p
+    Sums go over the dimensions one by one, so that a pair gives the same numbers in every block that it meets in.
+    """
+    place, apart = np.zeros((2, len(base), len(other)))
+    own = np.zeros(len(base))
+    for k in range(base.shape[1]):
+        place += direction[:, k, None] * other[:, k]
+        apart += (other[:, k] - base[:, k, None]) ** 2
+        own += direction[:, k] * base[:, k]
+    return place, np.exp(-np.maximum(apart - (place - own[:, None]) ** 2, 0) / sigma)
 
-    kind = dict(corr.dtypes)["id"]
-    n_tasks = int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return corr.repartition(n_tasks, "id").mapInPandas(run, f"id {kind}, corr array<double>")
+
+def adjust_variance(ref: DataFrame, new: DataFrame, corr: DataFrame, sigma: float = 1.0) -> DataFrame:
+    """``corr`` scaled, by 1 at least, to the reference's quantile at each row's weighted rank along its correction.
+
+    Nothing is collected or broadcast: blocks of rows meet blocks of either side and return, for each row, weight below it, or a weighted histogram of ``QUANTILE_BINS`` bins with each
+    bin's ends. Each further pass looks into the bin that holds the wanted weight, for the rows that aren't settled yet; a row is settled when its bin holds
+    one value.
+    """
+    kind = "long" if dict(new.dtypes)["id"] in ("bigint", "int") else "string"
+    length = V.norm(F.col("corr"))
+    rows = new.join(corr, "id").withColumn("length", length).where("length > 0")
+    rows = checkpointed(rows.select("id", "vec", F.transform("corr", lambda x: x / F.col("length")).alias("dir"), "length"))
+    n_rows, n_new, n_ref = rows.count(), new.count(), ref.count()
+    d = _width(new)
+    sides = rows.select("id", F.concat("vec", "dir").alias("vec"))
+
+    def ranks(ids, x, others, y):
+        place, w = _along(x[:, :d], x[:, d:], y, sigma)
+        own = np.zeros(len(x))
+        for k in range(d):
+            own += x[:, d + k] * x[:, k]
+        below = (w * (place <= own[:, None])).sum(axis=1)
+        return zip(ids, below.tolist(), w.sum(axis=1).tolist(), strict=True)
+
+    def spans(ids, x, others, y):
+        place, w = _along(x[:, :d], x[:, d:], y, sigma)
+        return zip(ids, w.sum(axis=1).tolist(), place.min(axis=1).tolist(), place.max(axis=1).tolist(), strict=True)
+
+    rank = blocks.cells(sides, new, ranks, f"id {kind}, b double, w double", id_type=kind, sizes=(n_rows, n_new)).groupBy("id").agg((F.sum("b") / F.sum("w")).alias("rank"))
+    span = blocks.cells(sides, ref, spans, f"id {kind}, w double, lo double, hi double", id_type=kind, sizes=(n_rows, n_ref)).groupBy("id").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    state = checkpointed(rows.join(rank, "id").join(span, "id").select("id", "vec", "dir", "length", (F.col("rank") * F.col("w")).alias("goal"), F.lit(0.0).alias("below"), "lo", "hi"))
+
+    def bins(ids, x, others, y):
+        place, w = _along(x[:, :d], x[:, d : 2 * d], y, sigma)
+        lo, hi = x[:, 2 * d, None], x[:, 2 * d + 1, None]
+        at = np.clip(((place - lo) / (hi - lo) * QUANTILE_BINS).astype(np.int64), 0, QUANTILE_BINS - 1)
+        # The greatest value has a bin of its own, so that every pass parts the ends.
+        at = np.where(place == hi, QUANTILE_BINS, at)
+        inside = (place >= lo) & (place <= hi)
+        i, j = np.nonzero(inside)
+        cell = i * (QUANTILE_BINS + 1) + at[i, j]
+        found, which = np.unique(cell, return_inverse=True)
+        weight = np.bincount(which, w[i, j], len(found))
+        low, high = np.full(len(found), np.inf), np.full(len(found), -np.inf)
+        np.minimum.at(low, which, place[i, j])
+        np.maximum.at(high, which, place[i, j])
+        for c, *values in zip(found.tolist(), weight.tolist(), low.tolist(), high.tolist(), strict=True):
+            yield ids[c // (QUANTILE_BINS + 1)], c % (QUANTILE_BINS + 1), *values
+
+    done = None
+    while True:
+        ready = state.where("lo = hi").select("id", "length", "vec", "dir", F.col("lo").alias("at"))
+        done = ready if done is None else done.unionByName(ready)
+        state = state.where("lo < hi")
+        left = state.count()
+        if not left:
+            break
+        packed = state.select("id", F.concat("vec", "dir", F.array("lo", "hi")).alias("vec"))
+        hist = blocks.cells(packed, ref, bins, f"id {kind}, bin int, w double, lo double, hi double", id_type=kind, sizes=(left, n_ref)).groupBy("id", "bin").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        up_to = F.sum("w").over(Window.partitionBy("id").orderBy("bin"))
+        placed = hist.withColumn("up", up_to).withColumnsRenamed({"lo": "l", "hi": "h"}).join(state.select("id", "goal", "below"), "id")
+        passed = F.col("below") + F.col("up") > F.col("goal")
+        ends = F.struct((F.col("below") + F.col("up") - F.col("w")).alias("below"), "l", "h")
+        # Where rounding leaves no bin beyond the goal, it is the greatest value.
+        last = F.struct(F.max("below").alias("below"), F.max("h").alias("l"), F.max("h").alias("h"))
+        hit = placed.groupBy("id").agg(F.coalesce(F.min_by(F.when(passed, ends), F.when(passed, F.col("bin"))), last).alias("hit"))
+        state = checkpointed(state.drop("below", "lo", "hi").join(hit, "id").select("id", "vec", "dir", "length", "goal", "hit.below", F.col("hit.l").alias("lo"), F.col("hit.h").alias("hi")))
+    scale = done.select("id", F.greatest((F.col("at") - V.dot(F.col("dir"), F.col("vec"))) / F.col("length"), F.lit(1.0)).alias("scale"))
+    return corr.join(scale, "id", "left").select("id", F.transform("corr", lambda x: x * F.coalesce("scale", F.lit(1.0))).alias("corr"))
 
 
 def _without_bio(corr: DataFrame, span: np.ndarray) -> DataFrame:
@@ -289,107 +332,11 @@ def scanorama(source: DataFrame, target: DataFrame, **kw) -> Corrected:
 # --- soft clustering -------------------------------------------------------------------------------------------------
 
 
-def harmony_matrix(
-    x: np.ndarray, batch: np.ndarray, clusters: int | None = None, sigma: float = 0.1, theta: float = 1.0, lam: float = 1.0, tau: float = 0.0,
-    block: float = 0.05, outer: int = 10, inner: int = 20, eps_inner: float = 1e-5, eps_outer: float = 1e-4, seed: int = 0, cluster_fn: Callable | None = None,
-) -> tuple[np.ndarray, list[float]]:
-    """Corrected rows of ``x`` (n x d) by maximum-diversity soft clustering with linear correction, and the objective after each outer round."""
-    n = len(x)
-    k = int(clusters or min(round(n / 30), 100))
-    if k < 2:
-        raise ValueError("too few rows for two clusters (45 at least); give the number of clusters")
-    rng = np.random.default_rng(seed)
-    names, which = np.unique(batch, return_inverse=True)
-    phi = np.eye(len(names))[which]  # n x b
-    share = phi.mean(axis=0)
-    th = np.full(len(names), theta) * (1 - np.exp(-((phi.sum(axis=0) / (k * tau)) ** 2)) if tau > 0 else 1.0)
-    unit = lambda m: m / np.where((s := np.linalg.norm(m, axis=-1, keepdims=True)) > 0, s, 1)
-    z, z0 = unit(x), x.copy()
-    y = unit((cluster_fn or lloyd)(z, k, rng))
-    soft = lambda d: (e := np.exp(-(d - d.min(axis=1, keepdims=True)) / sigma)) / e.sum(axis=1, keepdims=True)
-    r = soft(2 * (1 - z @ y.T))
-
-    def objective(d: np.ndarray) -> float:
-        e, o = np.outer(r.sum(axis=0), share), r.T @ phi
-        ent = np.where(r > 0, r * np.log(np.where(r > 0, r, 1)), 0).sum()
-        return float((r * d).sum() + sigma * ent + sigma * (r * ((th * np.log((o + 1) / (e + 1))) @ phi.T).T).sum())
-
-    def settled(values: list[float], window: int, eps: float, signed: bool) -> bool:
-        """Whether the mean of the last ``window`` values fell by less than a share ``eps`` from that of the ``window`` before the last value."""
-        if len(values) < window + 1:
-            return False
-        old, new = sum(values[-window - 1 : -1]), sum(values[-window:])
-        return (old - new if signed else abs(old - new)) < eps * abs(old)
-
-    trace = [objective(2 * (1 - z @ y.T))]
-    for _ in range(outer):
-        own: list[float] = []
-        for it in range(inner):
-            y = unit(r.T @ z)
-            d = 2 * (1 - z @ y.T)
-            base = soft(d)
-            e, o = np.outer(r.sum(axis=0), share), r.T @ phi
-            for at in np.array_split(rng.permutation(n), int(np.ceil(1 / block))):
-                if not len(at):
-                    continue
-                e -= np.outer(r[at].sum(axis=0), share)
-                o -= r[at].T @ phi[at]
-                got = base[at] * ((((e + 1) / (o + 1)) ** th) @ phi[at].T).T
-                r[at] = got / np.maximum(got.sum(axis=1, keepdims=True), 1e-300)
-                e += np.outer(r[at].sum(axis=0), share)
-                o += r[at].T @ phi[at]
-            own.append(objective(d))
-            if it > 3 and settled(own, 3, eps_inner, signed=False):
-                break
-        trace.append(own[-1])
-        out = z0.copy()
-        one = np.hstack([np.ones((n, 1)), phi])
-        ridge = np.diag([0.0] + [lam] * len(names))
-        for c in range(k):
-            weighted = one * r[:, c : c + 1]
-            w = np.linalg.solve(weighted.T @ one + ridge + 1e-12 * np.eye(len(ridge)), weighted.T @ z0)
-            w[0] = 0
-            out -= weighted @ w
-        z = unit(out)
-        if len(trace) > 3 and settled(trace, 1, eps_outer, signed=True):
-            break
-    return out, trace
-
-
-def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, restarts: int = 10, rounds: int = 25) -> np.ndarray:
-    """k-means centroids with k-means++ starts; the best of some restarts."""
-    best = None
-    for _ in range(restarts):
-        c = x[[rng.integers(len(x))]]
-        while len(c) < k:
-            d = ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1)
-            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
-        for _ in range(rounds):
-            d = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
-            own = d.argmin(axis=1)
-            c = np.array([x[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(k)])
-        cost = ((x - c[own]) ** 2).sum()
-        if best is None or cost < best[0]:
-            best = (cost, c)
-    return best[1]
-
-
-def harmony(source: DataFrame, target: DataFrame, max_rows: int = 200_000, **kw) -> Corrected:
-    """Harmony over both sides. Its blocks depend on one another, so one task holds all rows (one a sample); more than ``max_rows`` is a ValueError."""
-    rows = source.count() + target.count()
-    if rows > max_rows:
-        raise ValueError(f"{rows} rows; one task takes {max_rows} at most")
-    both = _arrays(source).withColumn("side", F.lit(0)).unionByName(_arrays(target).withColumn("side", F.lit(1)))
-
-    def run(p):
-        p = p.sort_values(["side", "id"])
-        out, _ = harmony_matrix(np.array(p["vec"].tolist()), p["side"].to_numpy(), **kw)
-        p["vec"] = out.tolist()
-        return p
-
-    kind = dict(both.dtypes)["id"]
-    got = both.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda p: run(p.drop(columns="_all")), f"id {kind}, vec array<double>, side int")
-    return Corrected(got.where("side = 0").select("id", "vec"), got.where("side = 1").select("id", "vec"))
+def harmony(source: DataFrame, target: DataFrame, **kw) -> Corrected:
+    """Maximum-diversity soft clustering of both sides with linear correction (``soft.soft_align``'s options), over any number of rows."""
+    side = lambda df, n: _arrays(df).select(F.struct(F.lit(n).alias("side"), "id").alias("key"), F.lit(n).alias("batch"), "vec")
+    got = soft_align(side(source, "0").unionByName(side(target, "1")), **kw).rows
+    return Corrected(*(got.where(F.col("key.side") == n).select("key.id", "vec") for n in ("0", "1")))
 
 
 #: Correction methods by name; each takes (source, target, **options).

@@ -1,51 +1,176 @@
-"""Exact k nearest neighbours and mutual neighbours, through blocks."""
+"""Exact k nearest neighbours and mutual neighbours, through blocks; large sides meet only where a neighbour can be."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..state import checkpointed
 from . import blocks
 
+#: Blocks of the right side from which on it is cut into cells around pivots; most pivots, which are broadcast.
+PRUNE_FROM, MOST_PIVOTS = 16, 4096
 
-def knn(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = False) -> DataFrame:
-    """(i, j, rank, dist): the k nearest rows of ``right`` for each of ``left`` (id, vec); ties by j; fewer rows than k give fewer edges.
 
-    Each cell returns its own k nearest, so k rows for each left row and right block are shuffled, not all pairs.
-    ``exclude_self``: a row is not its own neighbour, by id.
-    """
+def _nearest(k: int, metric: str, exclude_self: bool):
+    """A cell's own k nearest of each left row: candidates by one matrix product, their distances by differences."""
+    if metric not in ("euclidean", "cosine"):
+        raise ValueError(f"no metric {metric!r}")
 
     def nearest(ids, x, other, y):
         if metric == "cosine":
             nx, ny = (np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
             x, y = x / np.where(nx > 0, nx, 1), y / np.where(ny > 0, ny, 1)
-        elif metric != "euclidean":
-            raise ValueError(f"no metric {metric!r}")
-        other = list(other)
-        for i, v in zip(ids, x, strict=True):
-            d = 1 - y @ v if metric == "cosine" else np.sqrt(((y - v) ** 2).sum(axis=1))
-            take = min(len(d), k + 1)
-            edge = np.partition(d, take - 1)[take - 1]
-            near = sorted((float(d[a]), other[a]) for a in np.flatnonzero(d <= edge))
-            n = 0
-            for dist, j in near:
-                if exclude_self and j == i:
-                    continue
-                yield i, j, dist
-                n += 1
-                if n == k:
-                    break
-
-    kind = dict(left.dtypes)["id"]
-    kind = "long" if kind in ("bigint", "int") else "string"
-    edges = blocks.cells(left, right, nearest, f"i {kind}, j {kind}, dist double", id_type=kind)
+            near = 1 - x @ y.T
+        else:
+            near = (x * x).sum(axis=1)[:, None] - 2 * x @ y.T + (y * y).sum(axis=1)
+        names = np.array(other)
+        if exclude_self:
+            near[np.array(ids)[:, None] == names] = np.inf
+        take = min(len(y), k)
+        edge = np.partition(near, take - 1, axis=1)[:, take - 1 : take]
+        # Products are rounded; whatever is within the rounding of the edge is looked at by differences.
+        slack = 1e-10 * (1 + float((x * x).sum(axis=1).max()) + float((y * y).sum(axis=1).max()))
+        i, j = np.nonzero((near <= edge + slack) & (near < np.inf))
+        if metric == "cosine":
+            d = np.array([1 - y[q] @ x[p] for p, q in zip(i, j, strict=True)])
+        else:
+            d = np.sqrt(((y[j] - x[i]) ** 2).sum(axis=1))
+        order = np.lexsort((names[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.searchsorted(i, np.arange(len(x)))
+        best = np.flatnonzero(np.arange(len(i)) - first[i] < k)
+        return zip([ids[p] for p in i[best]], names[j[best]].tolist(), d[best].tolist(), strict=True)
+
+    return nearest
+
+
+@dataclass
+class Cells:
+    """Which left rows meet which groups of the right side: both sides with ``grp``, the groups' sizes, and the share of all (left row, right row) pairs that meet."""
+
+    left: DataFrame
+    right: DataFrame
+    groups: list[tuple[int, int, int]]
+    share: float
+
+
+def _spread(rows: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the rows, each as far as possible from those before it."""
+    chosen, away = [0], ((rows - rows[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(n, len(rows)):
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((rows - rows[chosen[-1]]) ** 2).sum(axis=1))
+    return rows[chosen]
+
+
+def metric_cells(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidean", pivots: int | None = None, seed: int = 0) -> Cells:
+    """Cells by pivots: right rows go to their nearest pivot, left rows to every pivot whose rows can be among their k nearest.
+
+    A pivot knows its radius and the distance of its (k + 1)th nearest row. A left row's (k + 1)th neighbour is no farther than some pivot plus that distance, or than all
+    rows of as many pivots as hold k + 1 rows; a pivot that is farther than this by more than its radius holds no neighbour (triangle inequality).
+    For cosine distances the rows are taken on the unit sphere, where half the squared distance is the cosine distance; zero vectors get axes of their own.
+    """
+    spark = left.sparkSession
+
+    def placed(x: np.ndarray, side: int) -> np.ndarray:
+        if metric == "euclidean":
+            return x
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        axes = np.zeros((len(x), 2))
+        axes[:, side] = n[:, 0] == 0
+        return np.hstack([x / np.where(n > 0, n, 1), axes])
+
+    n_left, n_right = left.count(), right.count()
+    p = pivots or min(MOST_PIVOTS, -(-n_right // blocks.BLOCK))
+    drawn = right.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(4 * p).select(F.col("vec").cast("array<double>").alias("vec")).collect()
+    shared = spark.sparkContext.broadcast(_spread(placed(np.array([r["vec"] for r in drawn], float), 1), p))
+
+    def apart(x: np.ndarray) -> np.ndarray:
+        c = shared.value
+        return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1), 0))
+
+    id_type = right.schema["id"].dataType.simpleString()
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = apart(placed(blocks.matrix(b.column(1)), 1))
+                at = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(d)), at])], names=["id", "vec", "grp", "away"])
+
+    homed = checkpointed(right.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(home, f"id {id_type}, vec array<double>, grp int, away double"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each pivot's k + 1 least distances among a task's rows."""
+        grp, away = np.zeros(0, np.int32), np.zeros(0)
+        for b in batches:
+            grp, away = np.concatenate([grp, b.column(0).to_numpy()]), np.concatenate([away, b.column(1).to_numpy()])
+            order = np.lexsort((away, grp))
+            grp, away = grp[order], away[order]
+            keep = np.arange(len(grp)) - np.searchsorted(grp, grp) <= k
+            grp, away = grp[keep], away[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(away)], names=["grp", "away"])
+
+    ranked = homed.select("grp", "away").mapInArrow(least, "grp int, away double").withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("away")))
+    inner = {r["grp"]: r["away"] for r in ranked.where(F.col("r") == k + 1).collect()}
+    about = {r["grp"]: (r["n"], r["radius"]) for r in homed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
+    groups = np.array(sorted(about))
+    count, radius = np.array([about[g][0] for g in groups]), np.array([about[g][1] for g in groups])
+    core = np.array([inner.get(g, np.inf) for g in groups])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = apart(placed(blocks.matrix(b.column(1)), 0))[:, groups]
+            reach = (d + core).min(axis=1)
+            order = np.argsort(d + radius, axis=1)
+            enough = (np.cumsum(count[order], axis=1) > k).argmax(axis=1)
+            if count.sum() > k:
+                rows = np.arange(len(d))
+                at = order[rows, enough]
+                reach = np.minimum(reach, d[rows, at] + radius[at])
+            slack = 1e-6 * (1 + d.max())
+            i, g = np.nonzero(d - radius <= reach[:, None] + slack)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(groups[g].astype(np.int32))], names=["id", "vec", "grp"])
+
+    left_type = left.schema["id"].dataType.simpleString()
+    met = checkpointed(left.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(meet, f"id {left_type}, vec array<double>, grp int"))
+    per = {r["grp"]: r["n"] for r in met.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = [(int(g), per.get(g, 0), about[g][0]) for g in groups.tolist()]
+    return Cells(met, homed.select("id", "vec", "grp"), [s for s in sizes if s[1]], sum(n * m for _, n, m in sizes) / max(1, n_left * n_right))
+
+
+def knn(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = False, sizes: tuple[int, int] | None = None, prune: bool | None = None) -> DataFrame:
+    """(i, j, rank, dist): the k nearest rows of ``right`` for each of ``left`` (id, vec); ties by j; fewer rows than k give fewer edges.
+
+    Each cell returns its own k nearest, so k rows for each left row and right block are shuffled, not all pairs.
+    ``exclude_self``: a row is not its own neighbour, by id. ``prune``: whether rows only meet ``metric_cells`` that can hold a neighbour (None: for sides of
+    PRUNE_FROM blocks or more); the edges are the same.
+    """
+    kind = "long" if dict(left.dtypes)["id"] in ("bigint", "int") else "string"
+    sizes = sizes or (left.count(), right.count())
+    if prune is None:
+        prune = sizes[1] >= PRUNE_FROM * blocks.BLOCK
+    ddl = f"i {kind}, j {kind}, dist double"
+    if prune and min(sizes):
+        c = metric_cells(left, right, k, metric)
+        edges = blocks.cells(c.left, c.right, _nearest(k, metric, exclude_self), ddl, id_type=kind, groups=c.groups)
+    else:
+        edges = blocks.cells(left, right, _nearest(k, metric, exclude_self), ddl, id_type=kind, sizes=sizes)
     w = Window.partitionBy("i").orderBy("dist", "j")
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("i", "j", "rank", "dist")
 
 
-def mutual_nn(a: DataFrame, b: DataFrame, k_a: int, k_b: int, metric: str = "euclidean") -> DataFrame:
+def mutual_nn(a: DataFrame, b: DataFrame, k_a: int, k_b: int, metric: str = "euclidean", sizes: tuple[int, int] | None = None) -> DataFrame:
     """(i, j): i of ``a`` among the k_a nearest of j, and j of ``b`` among the k_b nearest of i."""
-    ab = knn(a, b, k_b, metric).select("i", "j")
-    ba = knn(b, a, k_a, metric).select(F.col("j").alias("i"), F.col("i").alias("j"))
+    n, m = sizes or (a.count(), b.count())
+    ab = knn(a, b, k_b, metric, sizes=(n, m)).select("i", "j")
+    ba = knn(b, a, k_a, metric, sizes=(m, n)).select(F.col("j").alias("i"), F.col("i").alias("j"))
     return ab.join(ba, ["i", "j"])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .correct import lloyd
+from . import blocks
 from .encode import assign
 from .metrics import principal_components
 
@@ -33,28 +36,104 @@ def kmeans_range(rows: DataFrame, ks: list[int], **kw) -> list[tuple[DataFrame,
 
 
 def members(assigned: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataFrame:
-    """(cluster, vecs, n): the vectors of each cluster; a cluster without any has one zero vector and n = 0."""
-    bags = assigned.groupBy("cluster").agg(F.collect_list(vec).alias("vecs"), F.count(F.lit(1)).alias("n"))
-    zero = F.array(F.transform(centroids["vec"], lambda x: x * 0))
-    return centroids.join(bags, "cluster", "left").select("cluster", F.coalesce("vecs", zero).alias("vecs"), F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def spectral(centroids: DataFrame, k: int, gamma: float = 0.1, seed: int = 0, most: int = 8192) -> tuple[DataFrame, DataFrame]:
-    """(mapping primary to func, functional centroids): spectral clustering of the centroids, whose number is checked: one dense matrix on the driver."""
+    """(cluster, vec, n): the rows of each cluster, one a row, with the cluster's size; a cluster without any has one zero vector and n = 0."""
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    known = centroids.join(sizes, "cluster", "left").select("cluster", centroids["vec"].alias("_c"), F.coalesce("n", F.lit(0)).alias("n"))
+    rows = known.join(assigned.select("cluster", F.col(vec).alias("_v")), "cluster", "left")
+    return rows.select("cluster", F.coalesce("_v", F.transform("_c", lambda x: x * 0)).alias("vec"), "n")
+
+
+def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, restarts: int = 10, rounds: int = 25) -> np.ndarray:
+    """k-means centroids with k-means++ starts; the best of some restarts."""
+    best = None
+    for _ in range(restarts):
+        c = x[[rng.integers(len(x))]]
+        while len(c) < k:
+            d = np.min([((x - p) ** 2).sum(axis=1) for p in c], axis=0)
+            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
+        for _ in range(rounds):
+            d = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
+            own = d.argmin(axis=1)
+            c = np.array([x[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(k)])
+        cost = ((x - c[own]) ** 2).sum()
+        if best is None or cost < best[0]:
+            best = (cost, c)
+    return best[1]
+
+
+def _affinity_products(centroids: DataFrame, x: np.ndarray, gamma: float):
+    """The product of the affinity matrix exp(-gamma d^2) with a block of columns, by rows on the executors; the matrix never exists."""
     spark = centroids.sparkSession
-    n = centroids.count()
-    if n > most:
-        raise ValueError(f"{n} centroids; a dense affinity takes {most} at most")
+    points = spark.sparkContext.broadcast((x, (x * x).sum(axis=1)))
+    tasks = max(1, min(len(x) // 64, 4 * spark.sparkContext.defaultParallelism))
+    rows = spark.range(0, len(x), 1, tasks)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        columns = spark.sparkContext.broadcast(v)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p, own = points.value
+            for b in batches:
+                at = b.column(0).to_numpy()
+                for i in range(0, len(at), 256):
+                    k = at[i : i + 256]
+                    a = np.exp(-gamma * np.maximum(own[k, None] - 2 * p[k] @ p.T + own, 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(list(a @ columns.value), pa.list_(pa.float64()))], names=["i", "v"])
+
+        out = np.zeros(v.shape)
+        got = rows.mapInArrow(run, "i long, v array<double>").toArrow()
+        out[got.column("i").to_numpy()] = np.concatenate([blocks.matrix(c) for c in got.column("v").chunks]) if len(got) else 0
+        columns.destroy()
+        return out
+
+    return times
+
+
+def leading_vectors(times, scale: np.ndarray, k: int, seed: int = 0, extra: int = 8, rounds: int = 40, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` greatest eigenvalues and vectors of ``diag(scale) A diag(scale)``: block Lanczos with full orthogonalisation, restarted from its best vectors, until their residuals are below ``tol``."""
+    n, width = len(scale), min(len(scale), k + extra)
+    rng = np.random.default_rng(seed)
+    apply = lambda v: scale[:, None] * times(scale[:, None] * v)
+    block, _ = np.linalg.qr(rng.normal(size=(n, width)))
+    basis, images = block, apply(block)
+    for _ in range(rounds):
+        small = basis.T @ images
+        values, mix = np.linalg.eigh((small + small.T) / 2)
+        values, mix = values[::-1][:width], mix[:, ::-1][:, :width]
+        best, image = basis @ mix, images @ mix
+        apart = image - best * values
+        if np.linalg.norm(apart[:, :k], axis=0).max() < tol or basis.shape[1] >= n:
+            break
+        if basis.shape[1] > 6 * width:
+            basis, images = best, image
+        for _ in range(2):
+            apart -= basis @ (basis.T @ apart)
+        following, r = np.linalg.qr(apart)
+        following = following[:, np.abs(np.diag(r)) > 1e-14]
+        if not following.shape[1]:
+            break
+        basis, images = np.hstack([basis, following]), np.hstack([images, apply(following)])
+    return values[:k], best[:, :k]
+
+
+def spectral(centroids: DataFrame, k: int, gamma: float = 0.1, seed: int = 0, max_mb: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(mapping primary to func, functional centroids): spectral clustering of the centroids by their affinity exp(-gamma d^2).
+
+    The affinity matrix is only multiplied with, on the executors. The centroids and the Lanczos vectors (rows x 7 (k + 8)) are held by the driver, and broadcast block by block, up to ``max_mb``;
+    beyond, a ValueError: centroids are the result of a clustering and bounded by its k.
+    """
+    spark = centroids.sparkSession
+    n, width = centroids.count(), len(centroids.select("vec").first()["vec"])
+    if n * (width + 14 * (k + 8)) * 8 > max_mb << 20:
+        raise ValueError(f"{n} centroids need more than {max_mb} MB; raise max_mb")
     got = sorted((r["cluster"], r["vec"]) for r in centroids.select("cluster", "vec").collect())
     x = np.array([g[1] for g in got], float)
-    d2 = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ x.T + (x * x).sum(axis=1), 0)
-    a = np.exp(-gamma * d2)
-    s = 1 / np.sqrt(a.sum(axis=1))
-    values, vectors = np.linalg.eigh(a * np.outer(s, s))
-    e = vectors[:, np.argsort(-values)[:k]] * s[:, None]
-    rng = np.random.default_rng(seed)
-    c = lloyd(e, k, rng)
-    label = ((e[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+    times = _affinity_products(centroids, x, gamma)
+    s = 1 / np.sqrt(times(np.ones((n, 1)))[:, 0])
+    _, vectors = leading_vectors(times, s, k, seed)
+    e = vectors * s[:, None]
+    c = lloyd(e, k, np.random.default_rng(seed))
+    label = np.concatenate([((e[i : i + 4096, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, n, 4096)])
     mapping = spark.createDataFrame([(int(g[0]), int(y)) for g, y in zip(got, label, strict=True)], "primary int, func int")
     return mapping, functional_means(centroids, mapping)
 

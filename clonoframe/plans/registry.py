@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders, strings
 from ..functions import vectors as V
-from ..operators import classify, correct, encode, metrics, neighbors, preprocess, reconstruct, report, space
+from ..operators import classify, correct, encode, metrics, neighbors, preprocess, reconstruct, report, soft, space
 from . import proxy as P
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,6 +183,12 @@ def merge_datasets(spark, d):
     return preprocess.merge_datasets(ev, ev.where("user_id % 2 = 0")).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT dataset, count(*) AS n FROM (SELECT event_type AS dataset FROM events UNION ALL SELECT 'all' FROM events) GROUP BY 1")
+def merge_whole(spark, d):
+    ev = P.table(spark, d, "events").select(F.col("event_type").alias("dataset"), "user_id")
+    return preprocess.merge_datasets(ev, ev.select("user_id", F.lit("all").alias("dataset"))).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def metadata_join(spark, d):
     c = P.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("key"))
@@ -315,6 +321,12 @@ def knn_edges(spark, d):
     return neighbors.knn(a, b, 5).select("i", "j", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
+@query(f"WITH {P.VSIDES} SELECT i, j, CAST(r AS INTEGER) AS rank, round(d, 6) AS dist FROM ({_knn_sql('a', 'b', 5)})")
+def knn_pruned(spark, d):
+    """The same edges from cells around pivots."""
+    return neighbors.knn(*P.vector_sides(spark, d), 5, prune=True).select("i", "j", "rank", F.round("dist", 6).alias("dist"))
+
+
 @query(f"WITH {P.VSIDES}, ab AS ({_knn_sql('a', 'b', 15)}), ba AS ({_knn_sql('b', 'a', 15)}) SELECT ab.i, ab.j FROM ab JOIN ba ON ab.i = ba.j AND ab.j = ba.i")
 def mutual_nn(spark, d):
     a, b = P.vector_sides(spark, d)
@@ -486,6 +498,16 @@ def harmony(spark, d):
     return _means(correct.harmony(*P.vector_sides(spark, d)))
 
 
+@query("SELECT CAST(label % 2 AS VARCHAR) AS batch, count(*) AS n, true AS sums_to_one, true AS never_rises FROM embeddings GROUP BY 1")
+def harmony_invariants(spark, d):
+    """Every row's memberships sum to 1, and the objective never rises within a round."""
+    e = P.embeddings(spark, d).select(F.col("vec_id").alias("key"), (F.col("label") % 2).cast("string").alias("batch"), "vec")
+    got = soft.soft_align(e)
+    falls = all(y <= x for own in got.inner for x, y in zip(own, own[1:], strict=False))
+    one = F.abs(V.total(F.col("memberships")) - 1) < 1e-9
+    return got.rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.bool_and(one).alias("sums_to_one"), F.lit(falls).alias("never_rises"))
+
+
 @query()
 def metric_report(spark, d):
     return report.metric_table(*P.vector_sides(spark, d), "even", "odd")
@@ -508,6 +530,16 @@ def kmeans(spark, d):
     return assigned.select("vec_id", "cluster", F.round("d2", 6).alias("d2"))
 
 
+@query("SELECT count(*) AS n, true AS nearest, true AS objective_agrees FROM embeddings")
+def kmeans_invariants(spark, d):
+    """Every row is at its nearest centroid, and the objective is the mean squared distance to it."""
+    assigned, centroids, stats = space.kmeans(P.embeddings(spark, d), 8)
+    pairs = assigned.join(F.broadcast(centroids.select(F.col("cluster").alias("c"), F.col("vec").alias("cv"))))
+    d2 = V.squared_distance(F.col("vec"), F.col("cv"))
+    per = pairs.groupBy("vec_id").agg(F.min(d2).alias("least"), F.max(F.when(F.col("c") == F.col("cluster"), d2)).alias("own"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("own") <= F.col("least") + 1e-9).alias("nearest"), (F.abs(F.avg("own") - stats["objective"]) < 1e-9).alias("objective_agrees"))
+
+
 @query()
 def kmeans_traverse(spark, d):
     stats = [(k, s["objective"], s["imbalance"]) for k, (_, _, s) in zip((4, 8), space.kmeans_range(P.embeddings(spark, d), [4, 8]), strict=True)]
@@ -523,7 +555,7 @@ def cluster_stats(spark, d):
 @query(f"WITH {P.EMB}, {P.CENT}, {P.NEAR} SELECT cluster, count(vec_id) AS n FROM cent LEFT JOIN near USING (cluster) GROUP BY 1")
 def cluster_members(spark, d):
     c = P.centroids(spark, d)
-    return space.members(encode.nearest_centroid(P.embeddings(spark, d), c), c).select("cluster", "n")
+    return space.members(encode.nearest_centroid(P.embeddings(spark, d), c), c).select("cluster", "n").distinct()
 
 
 @query()
@@ -627,6 +659,25 @@ def full_seq(spark, d):
     return reconstruct.full_sequences(_receptors(spark, d), _segments(spark)).select("event_id", "full_seq")
 
 
+@query(
+    "WITH seg AS (SELECT i AS ord, 'TRBV' || i || '-1*01' AS id, 'DTGITQTPKYLVTAMGSKRTMKREHLGHDSMYWYRQKAKKSLEFMFYYNCKEFIENKTVPNHF' || substr('ACDE', CAST(i % 4 + 1 AS BIGINT), 1) || 'CASS' AS seq FROM range(1, 31) t(i)), "
+    "g AS (SELECT DISTINCT 'TCRBV' || lpad(CAST(event_id % 40 AS VARCHAR), 2, '0') || '-01' AS name, 'TRBV' || (event_id % 40) || '-1' AS g FROM events) "
+    "SELECT name, max_by(seq, ord) AS seq FROM g JOIN seg ON contains(id, g) OR contains(id, split_part(g, '-', 1)) GROUP BY 1"
+)
+def genes_compatible(spark, d):
+    """The last record whose id contains a name or its family."""
+    return reconstruct.resolve_genes(_receptors(spark, d).select(F.col("v").alias("name")), _segments(spark), "V", compat=True)
+
+
+@query(
+    "WITH RECURSIVE s AS (SELECT DISTINCT p_brand || '|' || left(p_type, 12) AS k, p_brand AS a, left(p_type, 12) AS b FROM part), " + _align_sql("p", "s")
+    + ", u AS (SELECT a, b, x, y, CAST(unnest(range(length(x))) AS INTEGER) AS step FROM p) SELECT a, b, step, CASE WHEN substr(x, step + 1, 1) <> '-' THEN CAST(length(replace(left(x, step), '-', '')) AS INTEGER) END AS a_at, "
+    "CASE WHEN substr(y, step + 1, 1) <> '-' THEN CAST(length(replace(left(y, step), '-', '')) AS INTEGER) END AS b_at FROM u"
+)
+def alignment_trace(spark, d):
+    return reconstruct.alignment_steps(P.table(spark, d, "part").select(F.col("p_brand").alias("a"), F.substring("p_type", 1, 12).alias("b")))
+
+
 def _norm_sql(squares: dict[str, float], length: int, d: int, filler: str | None) -> str:
     """SQL of factor_encoding and substitution_encoding: the norm from each residue's squared norm; ``filler`` pads to ``length``."""
     values = ", ".join(f"('{a}', CAST({v!r} AS DOUBLE))" for a, v in squares.items())

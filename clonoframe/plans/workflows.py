@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encoders import encode_column, substitution_encoder
+from ..functions.encoders import default_encoder, encode_column
 from ..operators import correct, encode, metrics, preprocess, report, space
 from ..sources import repertoire
 
@@ -24,6 +24,8 @@ class EncodeConfig:
     unlabeled_dir: str | None = None
     drop_failures: bool = True
     top: int | None = None
+    #: What is encoded: full_seq or cdr3.
+    column: str = "full_seq"
     groups: list = field(init=False)
 
     def __post_init__(self):
@@ -36,17 +38,21 @@ def assert_finite(rows: DataFrame, vec: str = "vec") -> DataFrame:
     return rows.where(F.when(bad, F.raise_error(F.lit(f"{vec} has entries that aren't finite")).cast("boolean")).otherwise(F.lit(True)))
 
 
-def build_space(sequences: DataFrame, k: int, functional: int, encoder: Callable | None = None, gamma: float = 0.1, seed: int = 0) -> dict[str, DataFrame]:
-    """assigned, centroids, mapping, functional of a table with a column ``sequence``."""
-    rows = assert_finite(encode_column(sequences.select("sequence"), "sequence", encoder or substitution_encoder()))
+def build_space(sequences: DataFrame, k: int, functional: int, encoder: Callable | None = None, gamma: float = 0.1, seed: int = 0, column: str = "full_seq") -> dict[str, DataFrame]:
+    """assigned, centroids, mapping, functional of a table with a column ``sequence``. Sequences that can't be encoded (unknown residues, too long) don't count.
+
+    ``column``: what the sequences are; it chooses the default encoder, as in ``encode_dataset``.
+    """
+    rows = assert_finite(encode_column(sequences.select("sequence"), "sequence", encoder or default_encoder(column)).where("vec is not null"))
     assigned, centroids, _ = space.kmeans(rows, k, seed=seed)
     mapping, means = space.spectral(centroids, functional, gamma, seed)
     return {"assigned": assigned, "centroids": centroids, "mapping": mapping, "functional": means}
 
 
-def sequence_labels(sequences: DataFrame, k: int, encoder: Callable | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(sequence, cluster) for each distinct sequence, and the centroids: encoded, then k-means."""
-    rows = assert_finite(encode_column(sequences.select("sequence").where("sequence is not null").distinct(), "sequence", encoder or substitution_encoder()))
+def sequence_labels(sequences: DataFrame, k: int, encoder: Callable | None = None, seed: int = 0, column: str = "full_seq") -> tuple[DataFrame, DataFrame]:
+    """(sequence, cluster) for each distinct sequence that can be encoded, and the centroids: encoded, then k-means."""
+    known = encode_column(sequences.select("sequence").where("sequence is not null").distinct(), "sequence", encoder or default_encoder(column))
+    rows = assert_finite(known.where("vec is not null"))
     assigned, centroids, _ = space.kmeans(rows, k, seed=seed)
     return assigned.select("sequence", "cluster"), centroids
 
@@ -59,14 +65,18 @@ def align_all(datasets: dict[str, DataFrame], **kw) -> dict[str, DataFrame]:
 
 
 def encode_dataset(spark: SparkSession, config: EncodeConfig, centroids: DataFrame, encoder: Callable | None = None) -> tuple[DataFrame, DataFrame]:
-    """(encoded, samples): long-form counts and sums with labels, and every sample, also those without usable rows."""
+    """(encoded, samples): long-form counts and sums with labels, and every sample, also those without usable rows.
+
+    Failed rows go before anything is encoded; sequences that can't be encoded (unknown residues, too long) don't count.
+    """
     encoded, samples = [], []
     for folder, label in config.groups:
         paths = repertoire.list_files(spark, folder)
         rows = repertoire.read_repertoires(spark, paths, config.dataset)
         if config.top is not None:
             rows = preprocess.top_clones(rows, config.top, drop_failed=config.drop_failures)
-        vectors = encode_column(rows.where("full_seq is not null"), "full_seq", encoder or substitution_encoder())
+        usable = preprocess.drop_failures(rows, "full_seq") if config.drop_failures else rows
+        vectors = encode_column(usable, config.column, encoder or default_encoder(config.column)).where("vec is not null")
         encoded.append(encode.encode_samples(vectors, centroids, by=("dataset", "sample"), drop_failed=config.drop_failures).withColumn("label", F.lit(label).cast("int")))
         samples.append(repertoire.samples_of(spark, paths, label, config.dataset))
     return preprocess.merge_datasets(*encoded), preprocess.merge_datasets(*samples)

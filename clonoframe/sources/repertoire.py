@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import sample_name
@@ -61,21 +61,29 @@ def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     raise ValueError(f"neither .csv nor .tsv: {first}")
 
 
-def headers_of(spark: SparkSession, paths: list[str], threads: int = 32) -> dict[str, tuple[str, ...]]:
-    """The header of each tab-separated file: its first line, read by the file system's client, some files at a time; no Spark job."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def source_path() -> Column:
+    """The path of a row's file as ``list_files`` has it: Spark's metadata escapes signs as URLs do."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
-    def one(path: str) -> tuple[str, tuple[str, ...]]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(p.getFileSystem(conf).open(p), "UTF-8"))
-        try:
-            line = reader.readLine() or ""
-        finally:
-            reader.close()
-        return path, tuple(c.strip().strip('"') for c in line.lstrip("\ufeff").split("\t"))
 
-    with ThreadPoolExecutor(threads) as pool:
-        return dict(pool.map(one, paths))
+def _place(path: str | Column) -> str | Column:
+    """A path without its file system, by which listed paths and rows' paths meet."""
+    pattern = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    return re.sub(pattern, "", path) if isinstance(path, str) else F.regexp_replace(path, pattern, "")
+
+
+def literal(path: str) -> str:
+    """A path whose signs stand for themselves in Spark's readers, which take patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def headers_of(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
+    """The header of each tab-separated file; one job over all files, which takes the first line of each file's first split. An empty file has the header ``('',)``."""
+    if not paths:
+        return {}
+    lines = spark.read.text([literal(p) for p in paths]).where("_metadata.file_block_start = 0").select(source_path().alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    first = {_place(r["path"]): r["line"] for r in lines.groupBy("path").agg(F.min_by("value", "at").alias("line")).collect()}
+    return {p: tuple(c.strip().strip('"') for c in first.get(_place(p), "").lstrip("\ufeff").split("\t")) for p in paths}
 
 
 def read_repertoires(spark: SparkSession, paths: list[str], dataset: str = "", aliases: dict = ALIASES) -> DataFrame:
@@ -92,9 +100,9 @@ def read_repertoires(spark: SparkSession, paths: list[str], dataset: str = "", a
         pick = {k: next((c for c in names if c in columns), None) for k, names in aliases.items()}
         if pick["full_seq"] is None or pick["freq"] is None:
             continue
-        df = spark.read.csv(files, sep="\t", header=True, mode="PERMISSIVE")
+        df = spark.read.csv([literal(f) for f in files], sep="\t", header=True, mode="PERMISSIVE")
         parts.append(df.select(
-            F.lit(dataset).alias("dataset"), sample_name(F.col("_metadata.file_path")).alias("sample"),
+            F.lit(dataset).alias("dataset"), sample_name(source_path()).alias("sample"),
             *[(F.col(f"`{pick[k]}`") if pick[k] else F.lit(None).cast("string")).alias(k) for k in ("cdr3", "v", "j")],
             F.expr(f"nanvl(try_cast(`{pick['freq']}` as double), null)").alias("freq"), F.col(f"`{pick['full_seq']}`").alias("full_seq"),
         ))

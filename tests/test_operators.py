@@ -1,6 +1,7 @@
 """Analytic cases, edge cases and independent NumPy versions of the engine's operators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clonoframe.functions import encoders, strings
 from clonoframe.functions import vectors as V
-from clonoframe.operators import classify, correct, encode, metrics, neighbors, preprocess, reconstruct, space
+from clonoframe.operators import classify, correct, encode, metrics, neighbors, preprocess, reconstruct, soft, space
 from clonoframe.plans import workflows
 from clonoframe.sources import repertoire
 from clonoframe.streaming import encode_stream
@@ -124,8 +125,10 @@ def test_encoders(spark):
     m = encoders.substitution_matrix()
     assert m.shape == (21, 21) and np.allclose(m, m.T) and m.max() == 1 and m[20, 20] == m.diagonal()[:20].min()
     assert encoders.substitution_encoder(15, 8)(["CASSF"]).shape == (1, 120)
-    with pytest.raises(ValueError):
-        encoders.substitution_encoder(3)(["CASSF"])
+    bad = encoders.substitution_encoder(3)(["CASSF", "CXS", "CAS"])
+    assert np.isnan(bad[:2]).all() and not np.isnan(bad[2]).any()
+    rows = encoders.encode_column(spark.createDataFrame([("CAS",), (None,), ("CASSF",), ("C*S",), ("",)], "s string"), "s", encoders.substitution_encoder(3))
+    assert [r.vec is None for r in rows.collect()] == [False, True, True, True, False]
     f = encoders.factor_encoder({"A": [1.0, 2.0]}, 3)
     assert f(["AXAA", "A"]).tolist() == [[1, 2, 0, 0, 1, 2], [1, 2, 0, 0, 0, 0]]
     assert encoders.mean_pooled(np.array([[[1.0], [3.0], [9.0]]]), np.array([[1, 1, 0]])).tolist() == [[2.0]]
@@ -157,6 +160,31 @@ def test_scanorama_pair(spark):
     assert got.source.first()["vec"] == pytest.approx(list(a + 0.1 * (b - a))) and got.target.first()["vec"] == pytest.approx(list(b + 0.1 * (a - b)))
 
 
+def plain_variance_scale(ref: np.ndarray, new: np.ndarray, corr: np.ndarray, rows: list[int], sigma: float) -> np.ndarray:
+    """Scales (at least 1) of the corrections of some rows of ``new``: the reference's quantile at the row's weighted rank along the correction."""
+    out = np.ones(len(rows))
+    for k, i in enumerate(rows):
+        length = np.linalg.norm(corr[i])
+        if length == 0:
+            continue
+        g = corr[i] / length
+
+        def along(m, g=g, x=new[i]):
+            p = m @ g
+            rest = (m - x) - np.outer((m - x) @ g, g)
+            return p, np.exp(-(rest**2).sum(axis=1) / sigma)
+
+        p, w = along(new)
+        own = p[i]  # the same product, so that the row counts itself
+        rank = w[p <= own].sum() / w.sum()
+        q, v = along(ref)
+        order = np.argsort(q, kind="stable")
+        reach = np.cumsum(v[order]) > rank * v.sum()
+        at = order[int(reach.argmax())] if reach.any() else order[-1]
+        out[k] = max((q[at] - own) / length, 1.0)
+    return out
+
+
 def test_mnn_numpy(spark):
     rng = np.random.default_rng(6)
     x, y = rng.normal(size=(25, 6)), rng.normal(size=(20, 6)) + 0.5
@@ -173,26 +201,96 @@ def test_mnn_numpy(spark):
     got = np.array([r.corr for r in correct.mnn_vectors(side(spark, a), side(spark, b), k).orderBy("id").collect()])
     assert np.allclose(got, want)
     full = correct.mnn(side(spark, x), side(spark, y, 100), k=k)
-    scale = correct.variance_scale(a, b, want, list(range(20)), 1.0)
+    scale = plain_variance_scale(a, b, want, list(range(20)), 1.0)
     assert np.allclose(np.array([r.vec for r in full.target.orderBy("id").collect()]), b + want * scale[:, None]) and (scale >= 1).all()
     assert np.allclose(np.array([r.vec for r in full.source.orderBy("id").collect()]), a)
-    assert correct.variance_scale(a, b, np.zeros_like(want), [0], 1.0)[0] == 1
+    assert plain_variance_scale(a, b, np.zeros_like(want), [0], 1.0)[0] == 1
     svd = correct.mnn(side(spark, x), side(spark, y, 100), k=k, hvg=4, svd_dim=1, variance=False)
     assert len(svd.features) == 4 and np.allclose(np.delete(np.array(svd.target.orderBy("id").first()["vec"]), svd.features), np.delete(y[0], svd.features))
     many = correct.mnn_many([side(spark, x), side(spark, y, 100)], k=k, variance=False)
     assert len(many) == 2 and many[1].count() == 20
 
 
-def test_harmony_mixes():
+def soft_rows(spark, x, batch):
+    return spark.createDataFrame([(i, str(b), v.tolist()) for i, (v, b) in enumerate(zip(x, batch, strict=True))], "key long, batch string, vec array<double>")
+
+
+def plain_soft(x, batch, block, centroids, sigma, theta, lam, outer, inner):
+    """Soft clustering and correction of whole matrices, with the same blocks and steps."""
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    phi, share = np.eye(batch.max() + 1)[batch], np.bincount(batch) / len(batch)
+    z, y = unit(x), unit(centroids)
+    weights = np.ones((block.max() + 1, len(y), phi.shape[1]))
+
+    def look(z, y, weights):
+        d = 2 * (1 - z @ y.T)
+        r = np.exp(-(d - d.min(axis=1, keepdims=True)) / sigma) * weights[block, :, batch]
+        r /= r.sum(axis=1, keepdims=True)
+        o = r.T @ phi
+        e = np.outer(o.sum(axis=1), share)
+        return r, (r * d).sum() + sigma * (r * np.log(r)).sum() + sigma * (o * theta * np.log((o + 1) / (e + 1))).sum()
+
+    trace = []
+    for _ in range(outer):
+        r, value = look(z, y, weights)
+        own, rate = [value], 1.0
+        for _ in range(inner):
+            rate = min(1.0, 2 * rate)
+            wanted = np.array([((np.outer((o := r[block != n].T @ phi[block != n]).sum(axis=1), share) + 1) / (o + 1)) ** theta for n in range(len(weights))])
+            following = unit(r.T @ z)
+            while True:
+                w = weights ** (1 - rate) * wanted**rate
+                new, value = look(z, following, w)
+                if value <= own[-1] or rate < 0.05:
+                    break
+                rate /= 2
+            if value > own[-1]:
+                break
+            y, weights, r = following, w, new
+            own.append(value)
+        trace.append(own)
+        out = x.copy()
+        one = np.hstack([np.ones((len(x), 1)), phi])
+        for k in range(len(y)):
+            by = one * r[:, k : k + 1]
+            b = np.linalg.solve(by.T @ one + np.diag([0.0] + [lam] * phi.shape[1]) + 1e-12 * np.eye(one.shape[1]), by.T @ x)
+            out -= by[:, 1:] @ b[1:]
+        z = unit(out)
+    return out, r, trace
+
+
+def test_soft_clustering_equals_whole_matrices(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(40, 4)) + c for c in ([4, 0, 0, 0], [0, 4, 0, 0], [4, 1, 0, 0], [0, 4, 2, 0])])
+    batch = np.repeat([0, 0, 1, 2], 40)
+    rows = soft_rows(spark, x, batch)
+    n = 10
+    block = np.array([r[0] for r in rows.orderBy("key").select(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(n))).collect()])
+    start = rng.normal(size=(3, 4))
+    got = soft.soft_align(rows, clusters=3, block=1 / n, sigma=0.3, theta=1.5, outer=3, inner=4, eps_outer=-1.0, eps_inner=-1.0, seed=5, cluster_fn=lambda *_: start)
+    out, r, trace = plain_soft(x, batch, block, start, 0.3, 1.5, 1.0, 3, 4)
+    table = got.rows.orderBy("key").collect()
+    assert np.allclose([t.vec for t in table], out) and np.allclose([t.memberships for t in table], r)
+    assert [len(i) for i in got.inner] == [len(i) for i in trace] and np.allclose(np.concatenate(got.inner), np.concatenate(trace))
+    assert all(b <= a for own in got.inner for a, b in zip(own, own[1:], strict=False))
+    assert [t.batch for t in table] == [str(b) for b in batch]
+    soft_direct, soft.DIRECT = soft.DIRECT, 0  # the sums that Spark adds by position
+    try:
+        again = soft.soft_align(rows, clusters=3, block=1 / n, sigma=0.3, theta=1.5, outer=1, inner=2, seed=5, cluster_fn=lambda *_: start)
+    finally:
+        soft.DIRECT = soft_direct
+    assert np.allclose(again.trace[0], trace[0][0])
+
+
+def test_harmony_mixes(spark):
     rng = np.random.default_rng(7)
     x = np.vstack([rng.normal(size=(60, 5)) + 2, rng.normal(size=(60, 5)) + 3])
-    batch = np.repeat([0, 1], 60)
-    out, trace = correct.harmony_matrix(x, batch, clusters=3)
-    gap = lambda m: np.linalg.norm(m[batch == 0].mean(axis=0) - m[batch == 1].mean(axis=0))
-    assert gap(out) < 0.7 * gap(x) and trace[1] <= trace[0]
-    assert np.array_equal(out, correct.harmony_matrix(x, batch, clusters=3)[0])
+    got = correct.harmony(side(spark, x[:60]), side(spark, x[60:]), clusters=3)
+    out = np.array([r.vec for t in (got.source, got.target) for r in t.orderBy("id").collect()])
+    gap = lambda m: np.linalg.norm(m[:60].mean(axis=0) - m[60:].mean(axis=0))
+    assert out.shape == x.shape and gap(out) < 0.7 * gap(x)
     with pytest.raises(ValueError):
-        correct.harmony_matrix(x[:20], batch[:20])
+        correct.harmony(side(spark, x[:20]), side(spark, x[60:80]))
 
 
 def test_hvg(spark):
@@ -224,8 +322,9 @@ def test_space(spark):
     flat = space.layout(side(spark, x))
     assert set(flat.columns) == {"id", "x", "y"}
     far = spark.createDataFrame([(0, [0.0, 0.0]), (1, [999.0, 999.0])], "cluster int, vec array<double>")
-    bags = {r.cluster: (r.n, len(r.vecs)) for r in space.members(encode.nearest_centroid(side(spark, x), far), far).collect()}
-    assert bags == {0: (60, 60), 1: (0, 1)}
+    rows = space.members(encode.nearest_centroid(side(spark, x), far), far)
+    assert {(r.cluster, r.n): r["count"] for r in rows.groupBy("cluster", "n").count().collect()} == {(0, 60): 60, (1, 0): 1}
+    assert rows.where("n = 0").first()["vec"] == [0, 0]
 
 
 def test_classify(spark):
@@ -349,17 +448,17 @@ def test_median_of_tied_distances(spark):
     assert abs(metrics.median_distance(*frames) - want) < 1e-12
 
 
-def test_harmony_ends_by_its_rules():
-    from clonoframe.operators.correct import harmony_matrix
-
+def test_harmony_ends_by_its_rules(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(size=(40, 4)) + [3, 0, 0, 0], rng.normal(size=(40, 4)) + [0, 3, 0, 0]])
-    batch = np.repeat([0, 1], 40)
-    out, trace = harmony_matrix(x, batch, clusters=4, eps_outer=10.0)
-    assert len(trace) == 4  # the outer rule needs four values, however small the change
-    _, full = harmony_matrix(x, batch, clusters=4, eps_outer=-10.0, outer=6)
-    assert len(full) == 7 and full[:4] == trace
+    rows = soft_rows(spark, x, np.repeat([0, 1], 40))
+    restarts = lambda rows, k, seed: space.lloyd(np.array([r.vec for r in rows.orderBy("vec").collect()]), k, np.random.default_rng(seed))
+    got = soft.soft_align(rows, clusters=4, eps_outer=10.0, cluster_fn=restarts)
+    assert len(got.trace) == 4  # the outer rule needs four values, however small the change
+    full = soft.soft_align(rows, clusters=4, eps_outer=-10.0, outer=5, cluster_fn=restarts)
+    assert len(full.trace) == 6 and np.allclose(full.trace[:4], got.trace)
     # The two batches' means move towards each other.
+    out = np.array([r.vec for r in got.rows.orderBy("key").collect()])
     gap = lambda m: np.linalg.norm(m[:40].mean(axis=0) - m[40:].mean(axis=0))
     assert gap(out) < 0.5 * gap(x)
 
@@ -486,3 +585,159 @@ def test_radial_head_parts_rings(spark):
     auc = lambda r: value(classify.roc_auc(classify.predict(classify.train(r, iterations=20), r)))
     assert auc(few) > 0.99 > 0.9 > auc(rows)
     assert classify.radial_features(rows.limit(0), gamma).count() == 0
+
+
+def test_spectral_by_products_equals_dense(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cluster int, vec array<double>")
+    a = np.exp(-0.1 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    times = space._affinity_products(frame, x, 0.1)
+    v = rng.normal(size=(300, 3))
+    assert np.allclose(times(v), a @ v)
+    s = 1 / np.sqrt(a.sum(axis=1))
+    want = np.linalg.eigvalsh(a * np.outer(s, s))[::-1][:6]
+    values, vectors = space.leading_vectors(lambda m: a @ m, s, 6)
+    assert np.allclose(values, want) and np.allclose((a * np.outer(s, s)) @ vectors, vectors * values, atol=1e-7)
+    # Four far groups of unequal size are found, whatever the number of centroids.
+    y = np.vstack([rng.normal(size=(n, 3)) * 0.3 + c for n, c in ((200, [0, 0, 0]), (90, [9, 0, 0]), (50, [0, 9, 0]), (20, [0, 0, 9]))])
+    mapping, _ = space.spectral(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "cluster int, vec array<double>"), 4)
+    got = [r.func for r in mapping.orderBy("primary").collect()]
+    assert [len(set(got[p:q])) for p, q in ((0, 200), (200, 290), (290, 340), (340, 360))] == [1] * 4 and len(set(got)) == 4
+    with pytest.raises(ValueError, match="MB"):
+        space.spectral(frame, 4, max_mb=0)
+
+
+def test_pruned_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(25, 8)) * 6
+    a, b = (np.vstack([c + rng.normal(size=(40, 8)) * 0.2 for c in centres]) for _ in range(2))
+    a[7], b[5], b[6] = 0, 0, b[7]
+    left, right = side(spark, a), side(spark, b)
+    for metric in ("euclidean", "cosine"):
+        cells = neighbors.metric_cells(left, right, 5, metric, pivots=25)
+        assert cells.share < 0.2, (metric, cells.share)
+        edges = [sorted(map(tuple, neighbors.knn(left, right, 5, metric, prune=p).collect())) for p in (True, False)]
+        assert edges[0] == edges[1]
+    edges = [sorted(map(tuple, neighbors.knn(left, left, 3, exclude_self=True, prune=p).collect())) for p in (True, False)]
+    assert edges[0] == edges[1] and not any(i == j for i, j, *_ in edges[0])
+    few = neighbors.knn(left.limit(3), right.limit(4), 9, prune=True)
+    assert few.count() == 12
+    assert neighbors.knn(left.limit(0), right, 3, prune=True).count() == 0 and neighbors.knn(left, right.limit(0), 3, prune=True).count() == 0
+
+
+def plain_inverse_simpson(d, first, perplexity):
+    entropy = lambda b: np.log((p := np.exp(-d * b)).sum()) + b * (d * p).sum() / p.sum()
+    lo, hi = 1e-12, 1e12
+    for _ in range(300):
+        mid = np.sqrt(lo * hi)
+        lo, hi = (mid, hi) if entropy(mid) > np.log(perplexity) else (lo, mid)
+    p = np.exp(-d * lo) / np.exp(-d * lo).sum()
+    return 1 / (p[first].sum() ** 2 + p[~first].sum() ** 2 + 1e-9)
+
+
+def test_inverse_simpson_of_many_rows():
+    rng = np.random.default_rng(1)
+    d = np.sort(rng.gamma(2, size=(40, 90)) * 10.0 ** rng.integers(-2, 3, size=(40, 1)), axis=1)
+    first = rng.random((40, 90)) < 0.4
+    want = [plain_inverse_simpson(x, f, 30) for x, f in zip(d, first, strict=True)]
+    assert np.allclose(metrics.inverse_simpson(d, first, 30), want, atol=1e-3)
+    one = metrics.inverse_simpson(d[:1], first[:1], 30)
+    assert one[0] == metrics.inverse_simpson(d, first, 30)[0]
+    assert np.allclose(metrics.inverse_simpson(np.zeros((1, 90)), first[:1], 30), 1 / (first[0].mean() ** 2 + (1 - first[0].mean()) ** 2))
+
+
+def plain_align(a: str, b: str) -> tuple[str, str]:
+    """A global alignment with the most equal pairs; gaps and unequal pairs cost nothing and unequal pairs aren't formed.
+
+    Of the best alignments it takes the one whose pairs come earliest in ``a``, then in ``b``; between pairs a's residues stand first.
+    """
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] and best[i + 1][j + 1] + 1 >= max(best[i + 1][j], best[i][j + 1]) else max(best[i + 1][j], best[i][j + 1])
+    x, y, i, j = [], [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1:
+            x.append(a[i])
+            y.append(b[j])
+            i, j = i + 1, j + 1
+        elif best[i][j + 1] == best[i][j]:
+            x.append("-")
+            y.append(b[j])
+            j += 1
+        else:
+            x.append(a[i])
+            y.append("-")
+            i += 1
+    return "".join(x) + a[i:] + "-" * (m - j), "".join(y) + "-" * (n - i) + b[j:]
+
+
+def test_alignments_of_a_batch(spark):
+    import time
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ACDEF-é") for _ in range(rng.randint(0, n)))
+    pairs = [(word(12), word(9)) for _ in range(300)] + [("", ""), ("A", ""), ("", "C"), ("A" * 40, "A" * 30)]
+    assert reconstruct.align_all(pairs) == [plain_align(a, b) for a, b in pairs]
+    cells, reconstruct.TABLE_CELLS = reconstruct.TABLE_CELLS, 500
+    try:
+        assert reconstruct.align_all(pairs) == [plain_align(a, b) for a, b in pairs]
+    finally:
+        reconstruct.TABLE_CELLS = cells
+    long = [("".join(rng.choice("ACDEFGHIKL") for _ in range(18)), "".join(rng.choice("ACDEFGHIKL") for _ in range(20))) for _ in range(3000)]
+    t = time.perf_counter()
+    many = reconstruct.align_all(long)
+    fast = time.perf_counter() - t
+    t = time.perf_counter()
+    assert many[:300] == [plain_align(a, b) for a, b in long[:300]]
+    assert fast < 10 * (time.perf_counter() - t) / 2  # as a rule ten times as fast; this leaves room for a busy machine
+    frame = spark.createDataFrame([("CASS", "ASF"), ("CASS", "ASF"), ("A", None)], "a string, b string")
+    assert [tuple(r) for r in reconstruct.alignments(frame).collect()] == [("CASS", "ASF", *plain_align("CASS", "ASF"), 2)]
+    steps = [tuple(r)[2:] for r in reconstruct.alignment_steps(frame).orderBy("step").collect()]
+    x, y = plain_align("CASS", "ASF")
+    assert steps == [(k, None if p == "-" else len(x[:k].replace("-", "")), None if q == "-" else len(y[:k].replace("-", ""))) for k, (p, q) in enumerate(zip(x, y, strict=True))]
+
+
+def test_compatible_genes(spark):
+    rng = random.Random(6)
+    records = [("V", i, f"X{i}|TRBV{rng.randint(1, 30)}{rng.choice(['', '-1', '-2'])}*0{rng.randint(1, 3)}|f", "", f"S{i}") for i in range(80)]
+    segments = spark.createDataFrame(records, "kind string, ord long, id string, gene string, seq string")
+    names = ["TCRBV05-01", "TRBV1", "TRBV1-1", "TRBV99", "TRBV3-2", "unresolved", None, "TRBV"]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: r.seq for r in reconstruct.resolve_genes(frame, segments, "V", compat=True).collect()}
+    limit, reconstruct.CATALOGUE = reconstruct.CATALOGUE, 0
+    try:
+        joined = {r.name: r.seq for r in reconstruct.resolve_genes(frame, segments, "V", compat=True).collect()}
+    finally:
+        reconstruct.CATALOGUE = limit
+    assert got == joined and got["TRBV"] == "S79" and "TRBV99" not in got
+    known = reconstruct.IdSubstrings([(3, "abcab", "x"), (1, "bca", "y"), (2, "zz", "z")])
+    for part in ("", "a", "b", "ca", "zz", "zzz", "abcab", "q"):
+        have = [k for k, name in enumerate(["bca", "zz", "abcab"]) if part in name]
+        assert known.latest(part) == (have[-1] if have else -1)
+
+
+def test_names_of_files(spark, tmp_path):
+    names = ["a b.tsv", "a%20b.tsv", "x+y.tsv", "p#1.tsv", "Große Probe é.tsv", "100%.tsv", "q=1&r.tsv", "w[1]{2}.tsv"]
+    for k, n in enumerate(names):
+        (tmp_path / n).write_text(f"full_seq\tfrequencyCount\nSEQ{k}\t{k + 1}\n")
+    paths = repertoire.list_files(spark, str(tmp_path))
+    assert sorted(p.rsplit("/", 1)[-1] for p in paths) == sorted(names)
+    rows = repertoire.read_repertoires(spark, paths, "d").collect()
+    assert {(r["sample"], r.full_seq) for r in rows} == {(n, f"SEQ{k}") for k, n in enumerate(names)}
+    assert {r["sample"] for r in repertoire.samples_of(spark, paths, 1, "d").collect()} == set(names)
+
+
+def test_default_encoding_of_full_sequences(spark, tmp_path):
+    from clonoframe.plans import workflows as W
+
+    rng = np.random.default_rng(8)
+    long = ["".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), n)) for n in (110, 112, 118, 125)]
+    (tmp_path / "s one.tsv").write_text("full_seq\tfrequencyCount\n" + "".join(f"{s}\t1\n" for s in [*long, long[0][:50] + "X" + long[0][50:], "A" * 200, "Failure"]))
+    built = W.build_space(spark.createDataFrame([(s,) for s in long], "sequence string"), 2, 2)
+    enc, samples = W.encode_dataset(spark, W.EncodeConfig("d", unlabeled_dir=str(tmp_path)), built["centroids"])
+    assert enc.agg(F.sum("diversity")).first()[0] == 4 and [r["sample"] for r in samples.collect()] == ["s one.tsv"]
+    dense = encode.dense(enc, samples, 2).first()
+    assert sum(dense.diversity) == 4
