@@ -7,8 +7,12 @@ edit moves few of them. All pieces keep their separators; together they are the
 covers its text, an inner hash its children's hashes, each with its level's prefix. Equal roots mean equal texts;
 where roots differ, following differing branches finds the edits (``edits``).
 
+A fingerprint is the root's hash and the tree in short: each leaf's length, 24 bits of its hash, and whether it ends a paragraph or a section. Likeness and edits of two
+documents are found from their fingerprints alone.
+
 Likeness of two trees is Dice's coefficient of their leaves, each with its length: 1 for equal
-texts, also for two empty ones; 0 where no leaf is shared. Null texts count as empty.
+texts, also for two empty ones; 0 where no leaf is shared. Equal branches at both ends are passed over, the leaves between them are compared as
+bags. Null texts count as empty.
 
 The edit of the query takes the next document in descending doc_id (null ids last, equal ids by text, descending too;
 after the last comes the first; a table of one row is its own next).
@@ -16,6 +20,7 @@ after the last comes the first; a table of one row is its own next).
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections import Counter
@@ -25,7 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import input_partitions, pa_schema, slots
@@ -34,6 +39,8 @@ from .common import input_partitions, pa_schema, slots
 LEAST, MOST, _SHARE = 8, 64, 1 / 12
 _MUL, _BELOW = np.uint32(0x9E3779B1), np.uint32(2**32 * _SHARE)
 _BLANK = re.compile(r"\n(?:[ \t]*\n)+")
+#: Characters of a text that ranges of one id are cut by; sampled rows of such ids that place these cuts (results don't depend on them).
+HEAD, SAMPLE = 32, 20_000
 _hash = partial(hashlib.blake2b, digest_size=16)
 
 
@@ -104,15 +111,63 @@ def tree(text: str | None, known: dict[str, bytes] | None = None) -> Tree:
     return Tree(top.hexdigest(), sections, leaves, len(text))
 
 
+def fingerprint(t: Tree) -> str:
+    """Root, ``-`` and, for each leaf, 24 bits of its hash and a byte (length - 1, 64: a paragraph ends, 128: a section ends) in base 64; no leaves for an empty text."""
+    out = bytearray()
+    for _, _, _, paragraphs in t.sections:
+        for _, _, _, leaves in paragraphs:
+            for h, p, q in leaves:
+                out += h[:3]
+                out.append(q - p - 1)
+            out[-1] |= 64
+        out[-1] |= 128
+    return f"{t.root}-{base64.b64encode(out).decode()}"
+
+
+def _leaves(short: str) -> np.ndarray:
+    """A fingerprint's leaves: 24 bits of hash, then a byte of length and marks."""
+    return np.frombuffer(base64.b64decode(short.split("-", 1)[1]), ">u4")
+
+
+def read(short: str) -> Tree:
+    """The tree of a fingerprint; leaves are known by their short hashes, inner nodes by their children's."""
+    sections, paragraphs, leaves, bag, at, n = [], [], [], Counter(), 0, 0
+    for word in _leaves(short).tolist():
+        key, size = (word >> 8, (word & 63) + 1), (word & 63) + 1
+        leaves.append((key, at, at + size))
+        bag[key] += 1
+        at += size
+        if word & 64:
+            paragraphs.append((tuple(x[0] for x in leaves), n, at, leaves))
+            n, leaves = at, []
+        if word & 128:
+            sections.append((tuple(x[0] for x in paragraphs), paragraphs[0][1], at, paragraphs))
+            paragraphs = []
+    return Tree(short.split("-", 1)[0], sections, bag, at)
+
+
+def likeness_of(a: str, b: str) -> float:
+    """``likeness`` of two documents from their fingerprints."""
+    if a.split("-", 1)[0] == b.split("-", 1)[0]:
+        return 1.0
+    x, y = _leaves(a), _leaves(b)
+    total = int((x & 63).sum() + len(x) + (y & 63).sum() + len(y))
+    x, y = x & 0xFFFFFF3F, y & 0xFFFFFF3F
+    n = min(len(x), len(y))
+    same = x[:n] == y[:n]
+    i = n if same.all() else int(same.argmin())
+    same = x[len(x) - (n - i) :][::-1] == y[len(y) - (n - i) :][::-1]
+    j = n - i if same.all() else int(same.argmin())
+    shared = int((x[:i] & 63).sum() + i + (x[len(x) - j :] & 63).sum() + j)
+    (u, k), (v, m) = (np.unique(s[i : len(s) - j], return_counts=True) for s in (x, y))
+    both, p, q = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    shared += int((np.minimum(k[p], m[q]) * ((both & 63) + 1)).sum())
+    return 2 * shared / total
+
+
 def likeness(a: Tree, b: Tree) -> float:
     """Dice's coefficient of the leaves, weighted by their lengths."""
-    if a.root == b.root:
-        return 1.0
-    total = a.n_chars + b.n_chars
-    if not total:
-        return 1.0
-    x, y = (a.leaves, b.leaves) if len(a.leaves) <= len(b.leaves) else (b.leaves, a.leaves)
-    return 2 * sum(min(k, y[s]) * len(s) for s, k in x.items() if s in y) / total
+    return likeness_of(fingerprint(a), fingerprint(b))
 
 
 def edits(a: Tree, b: Tree) -> list[tuple[tuple[int, int], tuple[int, int]]]:
@@ -145,7 +200,8 @@ def edited_text(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts, of their edited texts, and the likeness to both and to the next document.
 
-    Texts are shuffled once, into ranges of doc_id whose bounds are quantiles of the column. Besides its
+    Texts are shuffled once, into ranges of doc_id whose bounds are quantiles of the column; ids that fill several ranges, and null ids, are cut again by the first HEAD characters of their
+    texts (rows that are alike in both stay together). Besides its
     own rows each range gets a copy of the next range's first rows, so that every row meets its successor in
     its own task; a task holds two texts and trees at a time. ``edits``: the ranges of the text and of the edited one (start:end>start:end,
     code points) under the differing branches of the two trees, comma-joined.
@@ -154,26 +210,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = input_partitions(spark)
     ids = docs.select("doc_id")
     cuts = ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    bounds = sorted({int(c) for c in cuts or []}, reverse=True)
-    # Range 0 holds the largest ids; null ids, last of all, lie in the last range.
-    at = lambda c: F.when(c.isNull(), F.lit(len(bounds))).otherwise(
-        F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b > c)) if bounds else F.lit(0)
-    )
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_range", at(F.col("doc_id")))
-    # One row for each range; the bounds' number is fixed, so this is small whatever the input.
+    times = Counter(int(c) for c in cuts or [])
+    rows, nulls = ids.agg(F.count(F.lit(1)), F.count(F.when(F.col("doc_id").isNull(), F.lit(1)))).first()
+    # Ids that fill several ranges, and null ids (key null), are cut again by the beginnings of their texts.
+    hot: dict[int | None, int] = {v: k - 1 for v, k in times.items() if k > 1}
+    if n > 1 and (k := round(n * nulls / max(rows, 1))) > 1:
+        hot[None] = k - 1
+    head = F.substring(F.coalesce("text", F.lit("")), 1, HEAD) if hot else F.lit("")
+    within: dict[int | None, list[str]] = {}
+    if hot:
+        own = F.col("doc_id").isin([v for v in hot if v is not None]) | (F.col("doc_id").isNull() if None in hot else F.lit(False))
+        found = docs.where(own).select("doc_id", head.alias("h"))
+        for v, group in _by_id(found.sample(min(1.0, SAMPLE / rows), 3).limit(2 * SAMPLE).collect()).items():
+            group = sorted(group, reverse=True)
+            within[v] = sorted({group[i * len(group) // (hot[v] + 1)] for i in range(1, hot[v] + 1)}, reverse=True)
+
+    def at(c: Column, h: Column) -> Column:
+        """Range 0 holds the largest ids; null ids are the last."""
+        beyond = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(times)]), lambda b: b > c)) if times else F.lit(0)
+        out = F.when(c.isNull(), F.lit(len(times))).otherwise(beyond)
+        for v, heads in within.items():
+            later = F.size(F.filter(F.array(*[F.lit(t) for t in heads]), lambda t: t > h))
+            out = out + (F.when(c.isNull(), later).otherwise(F.lit(0)) if v is None else F.when(c.isNull() | (c < v), F.lit(len(heads))).when(c == v, later).otherwise(F.lit(0)))
+        return out
+
+    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), head.alias("_head")).withColumn("_range", at(F.col("doc_id"), F.col("_head")))
+    # One row for each range; the bounds' number is fixed, so this is small whatever the input. Null ids come after all others in this order, too.
     firsts = {
         r["_range"]: r["first"]
-        for r in ids.withColumn("_range", at(F.col("doc_id"))).groupBy("_range").agg(F.max("doc_id").alias("first")).collect()
+        for r in docs.select("doc_id", head.alias("_head")).withColumn("_range", at(F.col("doc_id"), F.col("_head"))).groupBy("_range").agg(F.max(F.struct("doc_id", "_head")).alias("first")).collect()
     }
     if not firsts:
         return spark.createDataFrame([], _OUT)
     there = sorted(firsts)
     before = {r: there[i - 1] for i, r in enumerate(there)}  # the first range follows the last
-    gets = [(r, firsts[r], before[r]) for r in there]
-    # The array of targets: the row's own range and, for the first id of a range, the range before.
-    first_of = F.create_map(*[F.lit(x) for r, f, _ in gets if f is not None for x in (r, f)]) if any(f is not None for _, f, _ in gets) else None
-    to = F.create_map(*[F.lit(x) for r, _, b in gets for x in (r, b)])
-    first_here = F.col("doc_id").eqNullSafe(first_of[F.col("_range")]) if first_of is not None else F.lit(True)
+    gets = [(r, *firsts[r], before[r]) for r in there]
+    # The array of targets: the row's own range and, for the first rows of a range, the range before.
+    first_of = F.create_map(*[x for r, i, h, _ in gets for x in (F.lit(r), F.struct(F.lit(i).cast("long").alias("i"), F.lit(h).alias("h")))])
+    first = first_of[F.col("_range")]
+    first_here = F.col("doc_id").eqNullSafe(first["i"]) & (F.col("_head") == first["h"])
+    to = F.create_map(*[F.lit(x) for r, _, _, b in gets for x in (r, b)])
     spread = ranged.select(
         "doc_id", "text", F.explode(
             F.when(first_here, F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy")), F.struct(to[F.col("_range")].alias("r"), F.lit(1).alias("copy"))))
@@ -189,7 +265,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     schema = pa_schema(spark, _OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, doc_id, text, tree, leaf hashes) that waits for its successor
+        held = None  # (range, doc_id, text, tree, fingerprint, leaf hashes) that waits for its successor
         rows: list[tuple] = []
         size = 0
         for batch in batches:
@@ -199,10 +275,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     continue  # only the first copied row follows a range
                 hashes: dict[str, bytes] = {}
                 t = tree(text, hashes)
+                short = fingerprint(t)
                 if held is not None and held[0] == r:
-                    rows.append(_result(held, text, t))
+                    rows.append(_result(held, text, short))
                     size += 1
-                held = None if copy else (r, doc_id, text, t, hashes)
+                held = None if copy else (r, doc_id, text, t, short, hashes)
                 if size >= 512:
                     yield _batch(rows, schema)
                     rows, size = [], 0
@@ -218,13 +295,21 @@ _OUT = (
 )
 
 
-def _result(held: tuple, following: str, after: Tree) -> tuple:
-    _, doc_id, text, own, hashes = held
+def _by_id(rows: list) -> dict[int | None, list[str]]:
+    out: dict[int | None, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["doc_id"], []).append(r["h"])
+    return out
+
+
+def _result(held: tuple, following: str, after: str) -> tuple:
+    _, doc_id, text, own, short, hashes = held
     edited = edited_text(text, following)
     e = own if edited == text else tree(edited, hashes)
+    changed = fingerprint(e)
     return (
-        doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.root, e.root,
-        likeness(own, e), likeness(own, after), len(own.sections), sum(own.leaves.values()),
+        doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), short, changed,
+        likeness_of(short, changed), likeness_of(short, after), len(own.sections), sum(own.leaves.values()),
         ",".join(f"{a}:{b}>{c}:{d}" for (a, b), (c, d) in edits(own, e)),
     )
 

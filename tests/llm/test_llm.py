@@ -515,6 +515,32 @@ def test_merkle_likeness_and_edits_by_plain_rules(spark, cases):
         assert keep(t, 0) == keep(edited, 2)
 
 
+def test_merkle_reads_fingerprints_alone(spark, cases):
+    rng = random.Random(3)
+    texts = [r[1] or "" for r in cases] + ["\n\n", "a\n\nb\n", "\n".join(words(rng, 40) for _ in range(20))]
+    for t in texts:
+        whole, back = merkle.tree(t), merkle.read(merkle.fingerprint(merkle.tree(t)))
+        shape = lambda x: [(a, b, [(c, d, [e[1:] for e in own]) for _, c, d, own in ps]) for _, a, b, ps in x.sections]
+        assert shape(whole) == shape(back) and back.root == whole.root and back.n_chars == len(t)
+    for a, b in zip(texts, texts[1:], strict=False):
+        e = merkle.edited_text(a, b)
+        trees = [merkle.tree(a), merkle.tree(e)]
+        assert merkle.edits(*trees) == merkle.edits(*(merkle.read(merkle.fingerprint(t)) for t in trees))
+
+
+def test_merkle_splits_hot_ids(spark):
+    rng = random.Random(5)
+    rows = [(None, words(rng, 30)) for _ in range(200)] + [(7, words(rng, 30)) for _ in range(150)] + [(i, words(rng, 30)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = merkle.fingerprints(df)
+    assert got.rdd.getNumPartitions() >= 4
+    sizes = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) <= 200
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = Counter((r[0], hashlib.sha256(merkle.edited_text(r[1], order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, r in enumerate(order))
+    assert Counter((r.doc_id, r.edited_sha256) for r in got.collect()) == want
+
+
 def test_merkle_leaves_of_any_text():
     rng = random.Random(4)
     kinds = {
