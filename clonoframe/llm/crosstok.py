@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, pa_schema
 
 #: Characters of text of a block; id pairs of a slice; bytes of packed pairs that meet a slice in a task.
-BLOCK, SLICE, MEET = 24 << 20, 2 << 20, 32 << 20
+BLOCK, SLICE, MEET = 16 << 20, 2 << 20, 32 << 20
 #: Multiplier of A's ids in a pair's key.
 BASE = 1 << 20
 
