@@ -124,12 +124,12 @@ def _sum_vectors(rows: DataFrame, key: str, weight: str | None = None) -> DataFr
     return per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("a"), F.max("n").alias("n")).select(key, F.transform("a", lambda e: e["s"]).alias("s"), "n")
 
 
-def mnn_vectors(ref: DataFrame, new: DataFrame, k: int, sigma: float = 1.0) -> DataFrame:
+def mnn_vectors(ref: DataFrame, new: DataFrame, k: int, sigma: float = 1.0, sizes: tuple[int, int] | None = None) -> DataFrame:
     """id, corr: smoothed correction of each row of ``new`` from the mutual neighbours of two cosine-normalised sides.
 
     Pair vectors are averaged for each matched row; every row takes their mean with weights exp(-(1 - cosine) / sigma). Without any pair it is zero.
     """
-    pairs = mutual_nn(ref, new, k, k)
+    pairs = mutual_nn(ref, new, k, k, sizes=sizes)
     diff = pairs.join(ref.select(F.col("id").alias("i"), F.col("vec").alias("a")), "i").join(new.select(F.col("id").alias("j"), F.col("vec").alias("b")), "j")
     matched = _sum_vectors(diff.select("j", F.zip_with("a", "b", lambda x, y: x - y).alias("vec")), "j").select("j", F.transform("s", lambda x: x / F.col("n")).alias("c"))
     # Position and mean pair vector of each matched row travel as one vector.
@@ -142,7 +142,8 @@ def mnn_vectors(ref: DataFrame, new: DataFrame, k: int, sigma: float = 1.0) -> D
             yield i, row.tolist(), float(s)
 
     kind = "long" if dict(new.dtypes)["id"] in ("bigint", "int") else "string"
-    parts = blocks.cells(new, points, cell, f"id {kind}, vec array<double>, w double", id_type=kind)
+    points = checkpointed(points)
+    parts = blocks.cells(new, points, cell, f"id {kind}, vec array<double>, w double", id_type=kind, sizes=(sizes[1] if sizes else new.count(), points.count()))
     long = parts.select("id", "w", F.posexplode("vec").alias("pos", "x")).groupBy("id", "pos").agg(F.sum("x").alias("s"), F.sum("w").alias("w"))
     per = long.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("a"), F.max("w").alias("w"))
     smooth = per.select("id", F.transform("a", lambda e: e["s"] / F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(1.0))).alias("c"))
@@ -256,9 +257,10 @@ def mnn(reference: DataFrame, moved: DataFrame, k: int = 20, sigma: float = 1.0,
     With ``hvg`` only that many features take part and are pasted into the original vectors. k is cut to the sides' sizes.
     """
     features = _chosen(_arrays(reference).unionByName(_arrays(moved)), hvg)
-    ref, new = cosine_rows(_take(reference, features)), cosine_rows(_take(moved, features))
-    k = max(1, min(k, ref.count(), new.count()))
-    corr = mnn_vectors(ref, new, k, sigma)
+    ref, new = (checkpointed(cosine_rows(_take(x, features))) for x in (reference, moved))
+    sizes = ref.count(), new.count()
+    k = max(1, min(k, *sizes))
+    corr = checkpointed(mnn_vectors(ref, new, k, sigma, sizes))
     if svd_dim:
         for side in (ref, new):
             corr = _without_bio(corr, bio_span(side, svd_dim))
@@ -300,7 +302,7 @@ def panorama(datasets: list[DataFrame], k: int = 20, alpha: float = 0.1, hvg: in
         for d in datasets[1:]:
             pool = pool.unionByName(_arrays(d))
         features = _chosen(pool, hvg)
-    units = [cosine_rows(_take(d, features)) for d in datasets]
+    units = [checkpointed(cosine_rows(_take(d, features))) for d in datasets]
     sizes = [u.count() for u in units]
     tagged = [u.select(F.struct(F.lit(n).alias("ds"), "id").alias("key"), "vec") for n, u in enumerate(units)]
     rows, links = tagged[0], None
@@ -309,7 +311,7 @@ def panorama(datasets: list[DataFrame], k: int = 20, alpha: float = 0.1, hvg: in
     for i, j in combinations(range(len(units)), 2):
         near = max(1, min(k, sizes[i], sizes[j]))
         one, other = F.struct(F.lit(i).alias("ds"), F.col("i").alias("id")), F.struct(F.lit(j).alias("ds"), F.col("j").alias("id"))
-        met = mutual_nn(units[i], units[j], near, near, metric="cosine").select(F.explode(F.array(F.struct(one.alias("me"), other.alias("you")), F.struct(other.alias("me"), one.alias("you")))).alias("l")).select("l.*")
+        met = mutual_nn(units[i], units[j], near, near, metric="cosine", sizes=(sizes[i], sizes[j])).select(F.explode(F.array(F.struct(one.alias("me"), other.alias("you")), F.struct(other.alias("me"), one.alias("you")))).alias("l")).select("l.*")
         links = met if links is None else links.unionByName(met)
     moved = rows
     if links is not None:

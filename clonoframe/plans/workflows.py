@@ -1,4 +1,4 @@
-"""The four end-to-end flows, from files to tables: build a space, encode datasets, compare them, correct them."""
+"""The end-to-end flows, from files to tables: reconstruct sequences, build a space, encode datasets, compare them, correct them."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encoders import default_encoder, encode_column
-from ..operators import correct, encode, metrics, preprocess, report, space
+from ..operators import correct, encode, metrics, preprocess, reconstruct, report, space
 from ..sources import repertoire
 
 
@@ -64,6 +64,23 @@ def align_all(datasets: dict[str, DataFrame], **kw) -> dict[str, DataFrame]:
     return dict(zip(names, out, strict=True))
 
 
+def reconstruct_files(spark: SparkSession, paths: str | list[str], v_fasta: str, j_fasta: str, out: str | None = None, columns: dict[str, str] | None = None, compat: bool = False, overwrite: bool = False) -> DataFrame:
+    """Tables with V, J and CDR3 columns to tables with ``full_seq``: germline segments from FASTA files, all other columns kept, written as TSV if ``out`` is given.
+
+    ``columns``: the names of v, j and cdr3 in the files.
+    """
+    names = {"v": "v", "j": "j", "cdr3": "cdr3"} | (columns or {})
+    rows = repertoire.read_table(spark, paths)
+    if missing := [c for c in names.values() if c not in rows.columns]:
+        raise ValueError(f"no column {', '.join(missing)}")
+    segments = repertoire.read_fasta(spark, v_fasta, "V").unionByName(repertoire.read_fasta(spark, j_fasta, "J"))
+    got = reconstruct.full_sequences(rows, segments, names["v"], names["j"], names["cdr3"], compat)
+    if out is None:
+        return got
+    repertoire.write_tsv(got, out, overwrite)
+    return spark.read.csv(out, sep="\t", header=True)
+
+
 def encode_dataset(spark: SparkSession, config: EncodeConfig, centroids: DataFrame, encoder: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """(encoded, samples): long-form counts and sums with labels, and every sample, also those without usable rows.
 

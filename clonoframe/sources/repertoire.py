@@ -86,11 +86,11 @@ def headers_of(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ..
     return {p: tuple(c.strip().strip('"') for c in first.get(_place(p), "").lstrip("\ufeff").split("\t")) for p in paths}
 
 
-def read_repertoires(spark: SparkSession, paths: list[str], dataset: str = "", aliases: dict = ALIASES) -> DataFrame:
+def read_repertoires(spark: SparkSession, paths: list[str], dataset: str = "", aliases: dict = ALIASES, with_path: bool = False) -> DataFrame:
     """The clonotypes of repertoire files, one sample a file, by header names.
 
     Files are read together by header; a file without a required column (full_seq, freq) gives no rows, and its sample survives
-    through ``samples_of``. NaN frequencies become null.
+    through ``samples_of``. NaN frequencies become null. ``with_path``: a column with the file's path, too.
     """
     headers: dict[tuple, list[str]] = {}
     for p, columns in headers_of(spark, paths).items():
@@ -105,16 +105,18 @@ def read_repertoires(spark: SparkSession, paths: list[str], dataset: str = "", a
             F.lit(dataset).alias("dataset"), sample_name(source_path()).alias("sample"),
             *[(F.col(f"`{pick[k]}`") if pick[k] else F.lit(None).cast("string")).alias(k) for k in ("cdr3", "v", "j")],
             F.expr(f"nanvl(try_cast(`{pick['freq']}` as double), null)").alias("freq"), F.col(f"`{pick['full_seq']}`").alias("full_seq"),
+            *([source_path().alias("path")] if with_path else []),
         ))
     if not parts:
         from ..schemas import CLONOTYPES
 
-        return spark.createDataFrame([], CLONOTYPES)
+        none = spark.createDataFrame([], CLONOTYPES)
+        return none.withColumn("path", F.lit("")) if with_path else none
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     # Numbered over all header groups, so that no number repeats.
-    return out.select("dataset", "sample", F.monotonically_increasing_id().alias("row_id"), "cdr3", "v", "j", "freq", "full_seq")
+    return out.select("dataset", "sample", F.monotonically_increasing_id().alias("row_id"), "cdr3", "v", "j", "freq", "full_seq", *(["path"] if with_path else []))
 
 
 def samples_of(spark: SparkSession, paths: list[str], label: int | None = None, dataset: str = "") -> DataFrame:
@@ -201,3 +203,18 @@ def describe_encoded(encoded: DataFrame) -> DataFrame:
 
 def write_scores(df: DataFrame, path: str, score: str = "score", label: str = "label") -> None:
     df.select(score, label).write.mode("errorifexists").csv(path)
+
+
+def write_embeddings(rows: DataFrame, path: str, key: str = "sample", overwrite: bool = False) -> None:
+    """Vectors of sequences, one folder a file (``key``). ``overwrite`` replaces the folders of the given files only; without it an existing path is an error."""
+    writer = rows.write.partitionBy(key)
+    if overwrite:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode("errorifexists").parquet(path)
+
+
+def read_embeddings(spark: SparkSession, path: str, key: str = "sample", files: list[str] | None = None) -> DataFrame:
+    """What ``write_embeddings`` wrote; of some ``files``, only their folders are read."""
+    rows = spark.read.option("basePath", path).parquet(path).withColumn(key, F.col(key).cast("string"))
+    return rows if files is None else rows.where(F.col(key).isin(files))

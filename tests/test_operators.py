@@ -741,3 +741,63 @@ def test_default_encoding_of_full_sequences(spark, tmp_path):
     assert enc.agg(F.sum("diversity")).first()[0] == 4 and [r["sample"] for r in samples.collect()] == ["s one.tsv"]
     dense = encode.dense(enc, samples, 2).first()
     assert sum(dense.diversity) == 4
+
+
+def test_stream_of_files(spark, tmp_path):
+    from clonoframe.plans import workflows as W
+
+    inbox, out, state = (str(tmp_path / n) for n in ("in box", "out", "state"))
+    (tmp_path / "in box").mkdir()
+    put = lambda name, text: (tmp_path / "in box" / name).write_text(text)
+    put("a 1.tsv", "full_seq\tfrequencyCount\nCASS\t2\nCASS\t3\nFailure\t9\nC*S\t1\n")
+    put("b.tsv", "other\tcount (templates/reads)\tfull_seq\nq\t5\tCAWW\n")
+    put("c.tsv", "nothing\n1\n")
+    vectors = lambda rows: encoders.encode_column(rows, "full_seq", encoders.substitution_encoder(8))
+    known = encoders.encode_column(spark.createDataFrame([(0, "CASS"), (1, "CAWW")], "cluster int, s string"), "s", encoders.substitution_encoder(8)).select("cluster", "vec")
+    run = lambda: encode_stream.encode_files(spark, inbox, out, state, known, vectors, "d", files_per_batch=1)
+    read = lambda: sorted((r["sample"], r.cluster, r.diversity, r.abundance) for r in spark.read.parquet(out).collect())
+    run()
+    first = [("a 1.tsv", 0, 2, 5.0), ("b.tsv", 1, 1, 5.0)]
+    assert read() == first
+    put("d.tsv", "full_seq\tfreq\nCASS\t1\n")
+    run()
+    assert read() == [*first, ("d.tsv", 0, 1, 1.0)]
+    # All batches again, as after a loss of the checkpoint: each file's rows stay once.
+    encode_stream.encode_files(spark, inbox, out, str(tmp_path / "other"), known, vectors, "d")
+    assert read() == [*first, ("d.tsv", 0, 1, 1.0)]
+    assert W.repertoire.read_repertoires(spark, [], with_path=True).columns[-1] == "path"
+
+
+def test_embedding_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("a b.tsv", "CASS", [1.0, 2.0]), ("a b.tsv", "CASS", [1.0, 2.0]), ("01", "CAW", [0.5])], "sample string, sequence string, vec array<double>")
+    path = str(tmp_path / "e")
+    repertoire.write_embeddings(rows, path)
+    back = repertoire.read_embeddings(spark, path)
+    assert sorted(map(tuple, back.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(Exception, match="exist"):
+        repertoire.write_embeddings(rows, path)
+    repertoire.write_embeddings(rows.where("sample = '01'").withColumn("sequence", F.lit("new")), path, overwrite=True)
+    assert repertoire.read_embeddings(spark, path, files=["01"]).first()["sequence"] == "new" and repertoire.read_embeddings(spark, path).count() == 3
+
+
+def test_reconstruct_files(spark, tmp_path):
+    from clonoframe.plans import workflows as W
+
+    v, j = "D" * 60 + "YLCASS", "NTEAFFGQGTRLTVV"
+    (tmp_path / "v.fasta").write_text(f">X1|TRBV5-1*01|Homo sapiens\n{v[:30]}\n{v[30:]}\n")
+    (tmp_path / "j.fasta").write_text(f">Y1|TRBJ1-1*01|Homo sapiens\n{j}\n")
+    (tmp_path / "r.tsv").write_text("vGene\tj\tcdr3\tn\nTCRBV05-01\tTCRBJ01-01\tCASSLGNTEAFF\t3\nunresolved\tTCRBJ01-01\tCASSF\t1\n")
+    got = W.reconstruct_files(spark, str(tmp_path / "r.tsv"), str(tmp_path / "v.fasta"), str(tmp_path / "j.fasta"), str(tmp_path / "out"), {"v": "vGene"})
+    rows = {r.n: r.full_seq for r in got.collect()}
+    assert rows == {"3": reconstruct.assemble(v, j, "CASSLGNTEAFF"), "1": "Failure"} and rows["3"].endswith("GQGTRLTVV")
+    with pytest.raises(ValueError, match="no column"):
+        W.reconstruct_files(spark, str(tmp_path / "r.tsv"), str(tmp_path / "v.fasta"), str(tmp_path / "j.fasta"))
+
+
+def test_scatter_by_pairs(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(30, 3)), rng.normal(size=(20, 3)) + 1
+    d = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    got = metrics.scatter_summary(side(spark, x), side(spark, y)).first()
+    for name, m in (("intra_a", d(x, x)[~np.eye(30, dtype=bool)]), ("intra_b", d(y, y)[~np.eye(20, dtype=bool)]), ("inter", d(x, y).ravel())):
+        assert got[name] == pytest.approx(m.mean()) and got[f"{name}_var"] == pytest.approx(m.var()) and got[f"{name}_cv"] == pytest.approx(m.std() / m.mean())
