@@ -1,3 +1,3 @@
 """Operators on repertoires: tables in, tables out."""
 
-__all__ = ["blocks", "classify", "correct", "encode", "metrics", "neighbors", "preprocess", "reconstruct", "report", "soft", "space"]
+__all__ = ["blocks", "classify", "correct", "encode", "graph_layout", "kernel_svm", "metrics", "neighbors", "networks", "preprocess", "reconstruct", "report", "soft", "space"]

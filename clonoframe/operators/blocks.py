@@ -85,3 +85,29 @@ def cells(
         yield from close()
 
     return dealt.mapInArrow(run, ddl)
+
+
+#: Numbers that tasks may send to the driver as they are; beyond, Spark adds them by position first.
+DIRECT = 1 << 21
+
+
+def summed(rows: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray], length: int, parts: int) -> np.ndarray:
+    """The sum over all rows of ``f(batch)``, a flat array of ``length``; each of the ``parts`` tasks gives one partial sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                got = f(b)
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+    partial = rows.mapInArrow(run, "v array<double>")
+    if parts * length <= DIRECT:
+        got = partial.toArrow()
+        return np.asarray(got.column("v").combine_chunks().flatten(), float).reshape(-1, length).sum(axis=0) if len(got) else np.zeros(length)
+    out = np.zeros(length)
+    for r in partial.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out

@@ -51,31 +51,13 @@ def starting_centroids(rows: DataFrame, k: int, seed: int) -> np.ndarray:
     return np.array([c.tolist() for c in model.clusterCenters()])
 
 
-#: Numbers that tasks may send to the driver as they are; beyond, Spark adds them by position first.
-DIRECT = 1 << 21
+def _sums(rows: DataFrame, f: Callable, length: int, parts: int) -> np.ndarray:
+    """The sum over all rows of ``f(z, z0, batch, block)``."""
 
+    def of_batch(b: pa.RecordBatch) -> np.ndarray:
+        return f(blocks.matrix(b.column(0)), blocks.matrix(b.column(1)), *(b.column(i).to_numpy().astype(np.int64) for i in (2, 3)))
 
-def _sums(rows: DataFrame, f: Callable, length: int, parts: int) -> np.ndarray:
-    """The sum over all rows of ``f(z, z0, batch, block)``, a flat array of ``length``; each of the ``parts`` tasks gives one partial sum."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            if b.num_rows:
-                at = [b.column(i).to_numpy().astype(np.int64) for i in (2, 3)]
-                got = f(blocks.matrix(b.column(0)), blocks.matrix(b.column(1)), *at)
-                total = got if total is None else total + got
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
-
-    partial = rows.select("z", "vec", "batch", "block").mapInArrow(run, "v array<double>")
-    if parts * length <= DIRECT:
-        got = partial.toArrow()
-        return np.asarray(got.column("v").combine_chunks().flatten(), float).reshape(-1, length).sum(axis=0) if len(got) else np.zeros(length)
-    out = np.zeros(length)
-    for r in partial.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
-    return out
+    return blocks.summed(rows.select("z", "vec", "batch", "block"), of_batch, length, parts)
 
 
 def ridge(o: np.ndarray, s: np.ndarray, lam: float) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders, strings
 from ..functions import vectors as V
-from ..operators import classify, correct, encode, metrics, neighbors, preprocess, reconstruct, report, soft, space
+from ..operators import classify, correct, encode, graph_layout, kernel_svm, metrics, neighbors, networks, preprocess, reconstruct, report, soft, space
 from . import proxy as P
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -609,6 +609,43 @@ def classifier_scores(spark, d):
     return classify.predict(model, rows).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+@query("SELECT count(*) AS n, true AS conditions FROM embeddings")
+def kernel_machine(spark, d):
+    """The cascade's vectors satisfy the optimality conditions over all rows."""
+    e = P.embeddings(spark, d).select(F.col("vec_id").alias("id"), (F.col("label") % 2).cast("int").alias("label"), "vec")
+    m = kernel_svm.train(e, c=1.0, gamma=1.0)
+    weights = spark.createDataFrame([(int(i), float(abs(w))) for i, w in zip(m.ids, m.weights, strict=True)], "id long, a double")
+    got = kernel_svm.predict(e, m).join(weights, "id", "left").withColumn("side", F.col("score") * F.when(F.col("label") == 1, F.lit(1.0)).otherwise(F.lit(-1.0)))
+    a = F.coalesce("a", F.lit(0.0))
+    fits = ((a >= m.c * (1 - 1e-9)) | (F.col("side") >= 1 - 2e-3)) & ((a <= 1e-9) | (F.col("side") <= 1 + 2e-3))
+    return got.agg(F.count(F.lit(1)).alias("n"), F.bool_and(fits).alias("conditions"))
+
+
+@query("SELECT count(*) AS n, true AS loss_falls, true AS codes_fit FROM embeddings")
+def autoencoder(spark, d):
+    """Codes of 8 numbers; the reconstruction error falls over the epochs."""
+    e = P.embeddings(spark, d).select(F.col("vec_id").alias("id"), "vec")
+    net = networks.autoencoder(e, 8, hidden=24, epochs=5, batch=250, rate=0.01)
+    codes = networks.apply(e, net, upto=2)
+    return codes.agg(F.count(F.lit(1)).alias("n"), F.lit(net.losses[-1] < net.losses[0]).alias("loss_falls"), F.bool_and(F.size("out") == 8).alias("codes_fit"))
+
+
+@query("SELECT label % 2 AS label, count(*) AS n, true AS loss_falls FROM embeddings GROUP BY 1")
+def network_head(spark, d):
+    """A head with one hidden layer, trained by mini-batches."""
+    e = P.embeddings(spark, d).select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("label"), "vec", F.array((F.col("label") % 2).cast("double")).alias("target"))
+    net = networks.fit(e, networks.Network.new((len(e.first()["vec"]), 16, 1)), "logistic", 5, batch=250, rate=0.01)
+    return networks.apply(e, net).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.lit(net.losses[-1] < net.losses[0]).alias("loss_falls"))
+
+
+@query("SELECT count(*) AS n, true AS finite, true AS spread FROM embeddings")
+def neighbour_layout(spark, d):
+    e = P.embeddings(spark, d).select(F.col("vec_id").alias("id"), "vec")
+    got = graph_layout.neighbour_layout(e, rounds=20)
+    inside = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return got.agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside("x") & inside("y")).alias("finite"), ((F.stddev("x") > 0) & (F.stddev("y") > 0)).alias("spread"))
+
+
 def _segments(spark):
     v = [("V", i, f"TRBV{i}-1*01", f"TRBV{i}-1*01", "DTGITQTPKYLVTAMGSKRTMKREHLGHDSMYWYRQKAKKSLEFMFYYNCKEFIENKTVPNHF" + "ACDE"[i % 4] + "CASS") for i in range(1, 31)]
     j = [("J", i, f"TRBJ1-{i}*01", f"TRBJ1-{i}*01", "NTEAFFGQGTRLTVV") for i in range(1, 8)]

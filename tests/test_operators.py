@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clonoframe.functions import encoders, strings
 from clonoframe.functions import vectors as V
-from clonoframe.operators import classify, correct, encode, metrics, neighbors, preprocess, reconstruct, soft, space
+from clonoframe.operators import blocks, classify, correct, encode, graph_layout, kernel_svm, metrics, neighbors, networks, preprocess, reconstruct, soft, space
 from clonoframe.plans import workflows
 from clonoframe.sources import repertoire
 from clonoframe.streaming import encode_stream
@@ -274,11 +274,11 @@ def test_soft_clustering_equals_whole_matrices(spark):
     assert [len(i) for i in got.inner] == [len(i) for i in trace] and np.allclose(np.concatenate(got.inner), np.concatenate(trace))
     assert all(b <= a for own in got.inner for a, b in zip(own, own[1:], strict=False))
     assert [t.batch for t in table] == [str(b) for b in batch]
-    soft_direct, soft.DIRECT = soft.DIRECT, 0  # the sums that Spark adds by position
+    direct, blocks.DIRECT = blocks.DIRECT, 0  # the sums that Spark adds by position
     try:
         again = soft.soft_align(rows, clusters=3, block=1 / n, sigma=0.3, theta=1.5, outer=1, inner=2, seed=5, cluster_fn=lambda *_: start)
     finally:
-        soft.DIRECT = soft_direct
+        blocks.DIRECT = direct
     assert np.allclose(again.trace[0], trace[0][0])
 
 
@@ -801,3 +801,112 @@ def test_scatter_by_pairs(spark):
     got = metrics.scatter_summary(side(spark, x), side(spark, y)).first()
     for name, m in (("intra_a", d(x, x)[~np.eye(30, dtype=bool)]), ("intra_b", d(y, y)[~np.eye(20, dtype=bool)]), ("inter", d(x, y).ravel())):
         assert got[name] == pytest.approx(m.mean()) and got[f"{name}_var"] == pytest.approx(m.var()) and got[f"{name}_cv"] == pytest.approx(m.std() / m.mean())
+
+
+def test_networks(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    net = networks.Network.new((3, 4, 2), 1)
+    x, y = rng.normal(size=(6, 3)), rng.normal(size=(6, 2))
+    got = networks.loss_and_gradient(net, x, y, "squared")
+    for k in range(0, len(net.parameters), 5):
+        ends = []
+        for step in (1e-5, -1e-5):
+            moved = networks.Network(net.widths, net.parameters.copy())
+            moved.parameters[k] += step
+            ends.append(networks.squared(moved.forward(x)[-1], y)[0])
+        assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(got[k], abs=1e-5)
+    x = rng.normal(size=(90, 3))
+    label = (x[:, 0] * x[:, 1] > 0).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist(), [float(t)]) for i, (v, t) in enumerate(zip(x, label, strict=True))], "id long, vec array<double>, target array<double>").repartition(3)
+    start = networks.Network.new((3, 8, 1), 2)
+    fitted = networks.fit(rows, start, "logistic", 4, batch=30, rate=0.05, seed=7)
+    # The same batches on whole matrices.
+    plain, adam, losses = networks.Network(start.widths, start.parameters.copy()), networks.Adam(np.zeros(41), np.zeros(41)), []
+    for epoch in range(4):
+        of = np.array([r[0] for r in rows.orderBy("id").select(F.pmod(F.xxhash64(F.lit(7), F.lit(epoch), "id"), F.lit(3))).collect()])
+        total = 0.0
+        for k in range(3):
+            g = networks.loss_and_gradient(plain, x[of == k], label[of == k][:, None], "logistic")
+            total += g[-2]
+            plain.parameters = adam.move(plain.parameters, g[:-2] / g[-1], 0.05 * (1 + np.cos(np.pi * (epoch * 3 + k) / 12)) / 2)
+        losses.append(total / 90)
+    assert np.allclose(fitted.losses, losses) and np.allclose(fitted.parameters, plain.parameters) and losses[-1] < losses[0]
+    # A run that ends early goes on where it was.
+    folder = str(tmp_path / "net")
+    store, seen = networks._store, []
+
+    def stop(*args):
+        store(*args)
+        seen.append(args[2])
+        if args[2] == 1:
+            raise RuntimeError("lost")
+
+    networks._store = stop
+    try:
+        with pytest.raises(RuntimeError):
+            networks.fit(rows, start, "logistic", 4, batch=30, rate=0.05, seed=7, folder=folder)
+    finally:
+        networks._store = store
+    again = networks.fit(rows, start, "logistic", 4, batch=30, rate=0.05, seed=7, folder=folder)
+    assert seen == [0, 1] and np.allclose(again.losses, losses) and np.allclose(again.parameters, plain.parameters)
+    with pytest.raises(ValueError):
+        networks.fit(rows, start, "logistic", 5, batch=30, rate=0.05, seed=7, folder=folder)
+    out = networks.apply(rows.unionByName(spark.createDataFrame([(99, None, None)], rows.schema)), fitted)
+    assert out.where("id = 99").first()["out"] is None and out.where("id < 90").first()["out"] is not None
+
+
+def test_autoencoder_beats_principal_components(spark):
+    rng = np.random.default_rng(5)
+    t = rng.uniform(-2, 2, size=(400, 1))
+    x = np.hstack([t, np.sin(2 * t), t**2 / 2]) + rng.normal(scale=0.02, size=(400, 3))
+    x -= x.mean(axis=0)
+    _, s, _ = np.linalg.svd(x)
+    linear = (s[1:] ** 2).sum() / 2 / len(x)
+    net = networks.autoencoder(side(spark, x), 1, hidden=16, epochs=120, batch=200, rate=0.03)
+    assert net.losses[-1] < 0.6 * linear
+    assert len(networks.apply(side(spark, x), net, upto=2).first()["out"]) == 1
+
+
+def test_kernel_machine_equals_one_solver(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(240, 2))
+    label = ((x**2).sum(axis=1) + rng.normal(scale=0.3, size=240) > 1.4).astype(int)
+    y = np.where(label == 1, 1.0, -1.0)
+    alpha, offset = kernel_svm.solve(x, y, 2.0, 0.8, tol=1e-6)
+    want = kernel_svm.kernel(x, x, 0.8) @ (alpha * y) + offset
+    # The solver's own conditions.
+    assert abs((alpha * y).sum()) < 1e-9 and (y * want)[alpha < 1e-9].min() > 1 - 1e-4 and (y * want)[alpha > 2 - 1e-9].max() < 1 + 1e-4
+    rows = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, label, strict=True))], "id long, vec array<double>, label int").repartition(3)
+    machine = kernel_svm.train(rows, 2.0, 0.8, part=50, tol=1e-6)
+    got = {r.id: r.score for r in kernel_svm.predict(rows, machine).collect()}
+    assert max(abs(got[i] - want[i]) for i in range(240)) < 1e-3 and len(machine.vectors) < 240
+    with pytest.raises(ValueError, match="support"):
+        kernel_svm.train(rows, 2.0, 0.8, part=50, most=3)
+    one = kernel_svm.train(rows.where("label = 1"), 2.0, 0.8)
+    assert all(r.score > 0 for r in kernel_svm.predict(rows, one).collect())
+
+
+def trustworthiness(x, y, k=10):
+    """The share of near rows of a layout that are near in the input, by ranks."""
+    n = len(x)
+    order = lambda m: np.argsort(((m[:, None] - m[None]) ** 2).sum(axis=2) + np.diag([np.inf] * n), axis=1)
+    rank = np.empty((n, n), int)
+    np.put_along_axis(rank, order(x), np.arange(n)[None].repeat(n, axis=0), axis=1)
+    near = np.take_along_axis(rank, order(y)[:, :k], axis=1)
+    return 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * np.maximum(near - k + 1, 0).sum()
+
+
+def test_neighbour_layout(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(30, 10)) * 0.4 + c for c in np.eye(10)[:7] * 4])
+    got = graph_layout.neighbour_layout(side(spark, x), k=10, rounds=60)
+    place = lambda df: np.array([[r.x, r.y] for r in df.orderBy("id").collect()])
+    y = place(got)
+    assert trustworthiness(x, y) > trustworthiness(x, place(space.layout(side(spark, x)))) + 0.03
+    assert np.array_equal(y, place(graph_layout.neighbour_layout(side(spark, x).repartition(5), k=10, rounds=60)))
+    d = np.sort(rng.gamma(2, size=(20, 15)), axis=1)
+    nearest, scale = graph_layout.rates(d)
+    assert np.allclose(np.exp(-(d - nearest[:, None]) / scale[:, None]).sum(axis=1), np.log2(15), atol=1e-6)
+    assert graph_layout.neighbour_layout(side(spark, x[:1])).count() == 1
+    with pytest.raises(ValueError):
+        graph_layout.neighbour_layout(side(spark, x), most=3)
