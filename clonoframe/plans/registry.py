@@ -279,6 +279,16 @@ def jsd_pairwise(spark, d):
     return a.join(b.select((F.col("id") - 1).alias("id"), F.col("vec").alias("w")), "id").agg(F.round(F.avg(V.jensen_shannon(F.col("vec"), F.col("w"))), 6).alias("jsd"))
 
 
+@query(
+    f"WITH {P.PAIR_LONG} SELECT i AS id, round(greatest(sum({_JS}), 0), 6) AS jsd, round(-sum(pe * ln(qe + 1e-9)), 6) AS cross_entropy FROM pr WHERE j = i + 1 GROUP BY 1"
+)
+def paired_metrics(spark, d):
+    a, b = P.two_sides(spark, d)
+    b = b.select((F.col("id") - 1).alias("id"), "vec")
+    both = metrics.paired(a, b, "JSD").select("id", F.round("distance", 6).alias("jsd"))
+    return both.join(metrics.paired(a, b, V.cross_entropy).select("id", F.round("distance", 6).alias("cross_entropy")), "id")
+
+
 @query(f"WITH {P.PAIR_LONG} SELECT round(avg(d), 6) AS cross_entropy FROM (SELECT i, j, (-sum(pe * ln(qe + 1e-9)) - sum(qe * ln(pe + 1e-9))) / 2 AS d FROM pr GROUP BY 1, 2)")
 def cross_entropy(spark, d):
     return metrics.cross_entropy(*P.two_sides(spark, d)).select(F.round("cross_entropy", 6).alias("cross_entropy"))
@@ -517,7 +527,7 @@ def metric_report(spark, d):
 def method_report(spark, d):
     """The baseline and all four correction methods."""
     a, b = P.two_sides(spark, d)
-    hvg = {"hvg": 50} if len(a.first()["vec"]) > 50 else {}  # all features, where there are no more than that
+    hvg = {"hvg": 50} if (first := a.first()) and len(first["vec"]) > 50 else {}  # all features, where there are no more than that
     return report.method_table(a, b, {"MNN": {"k": 15} | hvg, "Scanorama": {"k": 5} | hvg})
 
 

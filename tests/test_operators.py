@@ -910,3 +910,44 @@ def test_neighbour_layout(spark):
     assert graph_layout.neighbour_layout(side(spark, x[:1])).count() == 1
     with pytest.raises(ValueError):
         graph_layout.neighbour_layout(side(spark, x), most=3)
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    import time
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    batches = [["2020-01-01 10:05", "2020-01-01 12:30"], ["2020-01-01 12:26"], ["2020-01-01 10:10", "2020-01-01 12:25"], ["2020-01-01 15:00"], ["2020-01-01 15:01"]]
+    for k, times in enumerate(batches):
+        spark.createDataFrame([(t, "s", 1.0) for t in times], "t string, sample string, freq double").select(F.to_timestamp("t").alias("ts"), "sample", "freq").coalesce(1).write.parquet(str(source / f"b{k}"))
+        time.sleep(0.05)
+    rows = spark.readStream.schema("ts timestamp, sample string, freq double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
+    counts = encode_stream.windowed_counts(rows).select(F.col("window.start").alias("start"), "sample", "n", "total")
+    query = counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {str(r.start)[11:16]: r.n for r in spark.read.parquet(out).collect()}
+    # 10:10 came two batches after 12:30: its window had been closed. 12:25 came in time.
+    assert got == {"10:00": 1, "12:00": 3}
+
+
+def test_entry_points(spark, tmp_path):
+    from clonoframe.__main__ import main
+
+    rng = np.random.default_rng(3)
+    seqs = ["".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), 60)) for _ in range(40)]
+    (tmp_path / "db.txt").write_text("\n".join(seqs))
+    at = lambda n: str(tmp_path / n)
+    main(["space", at("db.txt"), "--clusters", "4", "--functional", "2", "--out", at("space")], spark)
+    for d in ("one", "two"):
+        (tmp_path / d).mkdir()
+        for k in range(2):
+            (tmp_path / d / f"s{k}.tsv").write_text("full_seq\tfreq\n" + "".join(f"{s}\t{i + 1}\n" for i, s in enumerate(rng.choice(seqs, 8))))
+        main(["encode", d, "--space", at("space"), "--unlabeled-dir", at(d), "--out", at(f"enc_{d}")], spark)
+    with pytest.raises(Exception, match="exist"):
+        main(["encode", "one", "--space", at("space"), "--unlabeled-dir", at("one"), "--out", at("enc_one")], spark)
+    with pytest.raises(ValueError):
+        main(["encode", "one", "--space", at("space"), "--out", at("none")], spark)
+    main(["compare", at("enc_one"), at("enc_two"), "--space", at("space"), "--out", at("table")], spark)
+    row = spark.read.csv(at("table"), sep="\t", header=True).first()
+    assert (row.Dataset1, row.Dataset2, row.n_samples_1) == ("one", "two", "2") and 0 <= float(row.JSD) <= np.log(2)
+    main(["correct", at("enc_one"), at("enc_two"), "--space", at("space"), "--out", at("methods")], spark)
+    assert [r.Method for r in spark.read.csv(at("methods"), sep="\t", header=True).collect()][0] == "Baseline"
