@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clonoframe.llm import bpe, collocations, crosstok, topk
+from clonoframe.llm import bpe, collocations, crosstok, quality, suffix, topk, urlfilter
 from clonoframe.llm import queries as Q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -284,3 +284,96 @@ def test_threshold_stops_early():
     got = lists.search(lists.rows.view(Counted), q, None, 10, None)
     assert [p for _, p in got] == np.lexsort((np.arange(4000), -(rows @ q)))[:10].tolist()
     assert sum(read) < 2000
+
+
+# --- SQL, whole tables, large lists ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op11_collocations", "op13_threshold_topk", "decoded_digests", "edited_digests", "payload_digests"])
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    df = Q.queries()[name](spark, folder)
+    want = c.sql(Q.oracle_sql()[name])
+    order = [df.columns.index(x) for x in want.columns]
+    assert sorted(want.columns) == sorted(df.columns)
+    assert Counter(tuple(r[k] for k in order) for r in df.collect()) == Counter(want.fetchall())
+
+
+def test_alignment_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, crosstok.align(docs, A, B).collect())) == sorted(plain_alignment(rows))
+
+
+def test_repeats_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    seen = Counter(t[i : i + 200] for _, t in texts for i in range(len(t) - 199))
+    want = {}
+    for i, t in texts:
+        gone = np.zeros(len(t) + 1, np.int64)
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone[k] += 1
+                gone[min(k + 200, len(t))] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        want[i] = (len(t), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removed(docs).collect()} == want
+
+
+def test_large_list_behind_a_small_filter(spark):
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 4)))
+    listed = {(f"{name()}.{name()}{i % 7}.net", rng.choice(["/", "/a/", f"/{name()}"]), rng.choice(["allow", "block"])) for i in range(60_000)}
+    best: dict = {}
+    for host, path, verdict in listed:
+        best[host, path] = max(verdict, best.get((host, path), ""))
+    hosts = [h for h, _ in rng.sample(sorted(best), 300)]
+    urls = [f"http://{rng.choice(['', 'www.', 'a.b.'])}{rng.choice([rng.choice(hosts), name() + '.net'])}/{rng.choice(['', 'a/', name()])}" for _ in range(1500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(sorted(listed), "host string, path string, verdict string")
+    lengths = {(len(h), len(p)) for h, p in best}
+    want, tried = {}, 0
+    for i, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)
+        keys = [(h, ("/" + path)[:k]) for h in (host[j:] for j in range(len(host)) if j == 0 or host[j - 1] == ".") for k in range(len(path) + 2)]
+        tried += sum((len(h), len(p)) in lengths for h, p in keys)
+        found = [(len(h) + len(p), len(h), h + p, best[h, p]) for h, p in keys if (h, p) in best]
+        want[i] = max(found)[2:] if found else (None, "allow")
+    got = {}
+    for size in (64, 1):
+        got[size] = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, rules, max_filter_mb=size).collect()}
+        assert got[size] == want
+    # A filter far too small lets nearly everything through, and the join takes it out again.
+    keys = [f"{h}\0{p}" for h, p in best]
+    frame = spark.createDataFrame([(k,) for k in keys], "key string")
+    others = [f"{name()}{name()}.org\0/{i}" for i in range(5000)]
+    for bits, share in ((16, 0.01), (1, 1.0)):
+        bloom = urlfilter.build_filter(frame, len(keys), bits_per_key=bits)
+        assert urlfilter.maybe(bloom, urlfilter.hash_keys(keys)).all()
+        assert urlfilter.maybe(bloom, urlfilter.hash_keys(others)).mean() <= share
+    assert 0 < sum(v[0] is not None for v in want.values()) < len(urls) and tried
+
+
+def test_quality_fit_equals_a_plain_discriminant(spark):
+    rng = np.random.default_rng(5)
+    d = len(quality.FEATURES)
+    y = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, d)) @ rng.normal(size=(d, d)) + y[:, None] * rng.normal(size=d)
+    rows = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)] + [(x[0].tolist(), None), (x[1].tolist(), 7)], "stats array<double>, label int").repartition(4)
+    model = quality.fit(rows, shrink=0.3, ridge=0.05)
+    pooled = sum(np.cov(x[y == c].T, bias=True) * (y == c).mean() for c in (0, 1))
+    density = []
+    for c in (0, 1):
+        own = x[y == c]
+        cov = 0.7 * np.cov(own.T, bias=True) + 0.3 * pooled + 0.05 * np.diag(np.diag(pooled))
+        gap = x - own.mean(axis=0)
+        density.append(-0.5 * (gap @ np.linalg.inv(cov) * gap).sum(axis=1) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(len(own)))
+    want = 1 / (1 + np.exp(-np.clip(density[1] - density[0], -40, 40)))
+    assert np.allclose(model.score(x), want, atol=1e-8)
