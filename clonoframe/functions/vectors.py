@@ -64,3 +64,10 @@ def standardize(v: Column) -> Column:
 def edge_weight(a: Column, b: Column, sigma: float = 15.0) -> Column:
     """Weight of a link between two strengths: exp(-a * b / (2 sigma^2))."""
     return F.exp(-a * b / F.lit(2.0 * sigma * sigma))
+
+
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """Mean of the vectors of an array of arrays where ``mask`` (array of booleans) is true; null where it is nowhere."""
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda e: e["m"]), lambda e: e["t"])
+    total = F.aggregate(kept, F.transform(F.get(kept, F.lit(0)), lambda x: x * 0.0), lambda a, t: F.zip_with(a, t, lambda x, y: x + y))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))

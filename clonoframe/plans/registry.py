@@ -758,3 +758,6 @@ def windowed_counts(spark, d):
 
     ev = P.table(spark, d, "events").select("ts", F.col("user_id").alias("sample"), F.col("value").alias("freq"))
     return windowed(ev).select("sample", F.col("window.start").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+from . import files  # noqa: E402, F401 - registers its queries
