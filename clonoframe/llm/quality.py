@@ -2,7 +2,7 @@
 
 Statistics of the whole text (shares of character kinds, lengths, repetition) are transformed to tame their tails,
 and summed per class (count, sums, cross products) on the executors; the driver gets one row for each class. Class
-covariances are shrunk towards the pooled one and its mean variance, factored once by Cholesky, and the factors go to
+covariances are shrunk towards the pooled one, with a ridge of a share of each feature's pooled variance, factored once by Cholesky, and the factors go to
 the executors with the scoring function: score = logistic(log-density difference + log prior odds), with
 Mahalanobis terms from triangular solves.
 
