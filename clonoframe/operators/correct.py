@@ -124,6 +124,21 @@ def _sum_vectors(rows: DataFrame, key: str, weight: str | None = None) -> DataFr
     return per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("a"), F.max("n").alias("n")).select(key, F.transform("a", lambda e: e["s"]).alias("s"), "n")
 
 
+def gathered(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, vec): for every row of ``rows`` the sum of w times the vector of j over its links (i, j, w); zeros without any."""
+    rows = _arrays(rows)
+    pulled = links.join(rows.select(F.col("id").alias("j"), "vec"), "j").select("i", "w", "vec")
+    per = _sum_vectors(pulled, "i", "w").select(F.col("i").alias("id"), "s")
+    return rows.join(per, "id", "left").select("id", F.coalesce("s", F.transform("vec", lambda x: x * 0)).alias("vec"))
+
+
+def rescaled(rows: DataFrame) -> DataFrame:
+    """(id, vec): z-scores of each feature over all rows (zero for a constant one), then rows of length 1."""
+    moments_ = feature_stats(rows).agg(F.array_sort(F.collect_list(F.struct("feature", "mean", F.sqrt("var").alias("sd")))).alias("m"))
+    z = F.zip_with("vec", "m", lambda x, f: F.when(f["sd"] > 0, (x - f["mean"]) / f["sd"]).otherwise(F.lit(0.0)))
+    return _arrays(rows).join(F.broadcast(moments_)).select("id", V.l2_normalize(z).alias("vec"))
+
+
 def mnn_vectors(ref: DataFrame, new: DataFrame, k: int, sigma: float = 1.0, sizes: tuple[int, int] | None = None) -> DataFrame:
     """id, corr: smoothed correction of each row of ``new`` from the mutual neighbours of two cosine-normalised sides.
 

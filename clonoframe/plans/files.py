@@ -150,3 +150,25 @@ def scatter_spread(spark, d):
     """Coefficients of variation of the distances within and between two datasets."""
     got = metrics.scatter_summary(*P.two_sides(spark, d))
     return got.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"{k}_cv").alias("cv")) for k in ("intra_a", "intra_b", "inter")])).alias("s")).select("s.k", F.round("s.cv", 5).alias("cv"))
+
+
+@query(
+    "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT id AS i, (id * 7) % (SELECT count(*) FROM e) AS j, (id % 5) / 4.0 AS w FROM e WHERE id % 3 > 0), "
+    "t AS (SELECT i AS id, p AS pos, sum(w * x) AS x FROM (SELECT i, w, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM l JOIN e ON e.id = l.j) GROUP BY 1, 2), "
+    "g AS (SELECT id, unnest(range(1, len(v) + 1)) AS pos FROM e) SELECT g.id, CAST(g.pos - 1 AS INTEGER) AS pos, round(coalesce(x, 0), 6) AS x FROM g LEFT JOIN t ON t.id = g.id AND t.pos = g.pos"
+)
+def gathered_vectors(spark, d):
+    e = P.embeddings(spark, d).select(F.col("vec_id").alias("id"), "vec")
+    n = e.count()
+    i = F.col("id")
+    links = e.where(i % 3 > 0).select(i.alias("i"), (i * 7 % n).alias("j"), ((i % 5) / F.lit(4.0)).alias("w"))
+    return correct.gathered(links, e).select("id", F.posexplode("vec").alias("pos", "x")).select("id", "pos", F.round("x", 6).alias("x"))
+
+
+@query(
+    "WITH e AS (SELECT vec_id AS id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY 1), "
+    "z AS (SELECT id, pos, (x - m) / s AS z FROM e JOIN m USING (pos)) SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(z / sqrt(sum(z * z) OVER (PARTITION BY id)), 6) AS x FROM z"
+)
+def rescaled_rows(spark, d):
+    e = P.embeddings(spark, d).select(F.col("vec_id").alias("id"), "vec")
+    return correct.rescaled(e).select("id", F.posexplode("vec").alias("pos", "x")).select("id", "pos", F.round("x", 6).alias("x"))
