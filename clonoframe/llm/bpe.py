@@ -27,6 +27,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from .common import free_name, map_rows
 
@@ -129,31 +130,35 @@ def decode(rows: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out:
     return _append(rows, ids, run, "binary", out)
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with columns ``ids`` (array<int>) and ``round_trip``: whether the decoded ids are the text's bytes.
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: bool = True) -> DataFrame:
+    """``docs`` with columns ``ids`` (array<int>) and ``round_trip``: whether the decoded ids are the text's bytes. Without ``keep`` the text goes.
 
-    Both come from one pass, so a task holds one batch of texts and its flat ids. Clashing column names get underscores in front of ours.
+    Both come from one pass, a few hundred texts at a time, so a task holds one incoming batch of texts and few ids. Clashing column names get underscores in front of ours.
     """
-    both = free_name("both", docs.columns)
-
-    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    others = [c for c in docs.columns if keep or c != text]
+    names = [free_name(n, docs.columns) for n in ("ids", "round_trip")]
+    place = [docs.columns.index(c) for c in others]
+    at = docs.columns.index(text)
+    kept = docs.select(*[F.col(f"`{c}`") for c in others]).schema
+    out = StructType([*kept.fields, StructField(names[0], ArrayType(IntegerType())), StructField(names[1], BooleanType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for col in it:
-            same: list[bool] = []
+        for batch in it:
+            for start in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(start, _SLICE)
+                same: list[bool] = []
 
-            def one(t):
-                ids = ids_of(t, enc)
-                same.append(enc.decode_bytes(ids.tolist()) == (t or "").encode("utf-8", "surrogatepass"))
-                return ids
+                def one(t, same=same):
+                    ids = ids_of(t, enc)
+                    same.append(enc.decode_bytes(ids.tolist()) == (t or "").encode("utf-8", "surrogatepass"))
+                    return ids
 
-            offsets, ids = _gather(col, one)
-            yield pa.StructArray.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), pa.array(same, pa.bool_())], names=["ids", "round_trip"]
-            )
+                offsets, ids = _gather(part.column(at), one)
+                got = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in place), *got], names=out.names)
 
-    got = _append(docs, text, run, "struct<ids:array<int>,round_trip:boolean>", both)
-    names = {n: free_name(n, docs.columns) for n in ("ids", "round_trip")}
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{both}.{n}").alias(to) for n, to in names.items()])
+    return docs.mapInArrow(run, out)
 
 
 def _append(df: DataFrame, column: str, run, kind: str, out: str) -> DataFrame:
