@@ -38,7 +38,7 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether decoding them gives the text back."""
     slim = docs.select("doc_id", "lang", "source", "n_chars", "text")
-    both = bpe.round_trip(slim, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    both = bpe.round_trip(slim, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=False)
     return both.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
