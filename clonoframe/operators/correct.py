@@ -151,19 +151,27 @@ def mnn_vectors(ref: DataFrame, new: DataFrame, k: int, sigma: float = 1.0, size
     points = new.join(matched, new["id"] == matched["j"]).select("id", F.concat("vec", "c").alias("vec"))
     d = _width(new)
 
-    def cell(ids, x, _, y):
-        w = np.exp(-(1 - x @ y[:, :d].T) / sigma)
-        for i, row, s in zip(ids, w @ y[:, d:], w.sum(axis=1), strict=True):
-            yield i, row.tolist(), float(s)
+    def smooth(ids, x):
+        total, weight = np.zeros(x.shape), np.zeros(len(x))
+
+        def add(_, y, __):
+            for s in blocks.strips(len(x), len(y)):
+                w = np.exp(-(1 - x[s] @ y[:, :d].T) / sigma)
+                total[s] += w @ y[:, d:]
+                weight[s] += w.sum(axis=1)
+
+        return add, lambda: [(ids, list(total), weight)]
 
     kind = "long" if dict(new.dtypes)["id"] in ("bigint", "int") else "string"
     points = checkpointed(points)
-    parts = blocks.cells(new, points, cell, f"id {kind}, vec array<double>, w double", id_type=kind, sizes=(sizes[1] if sizes else new.count(), points.count()))
-    long = parts.select("id", "w", F.posexplode("vec").alias("pos", "x")).groupBy("id", "pos").agg(F.sum("x").alias("s"), F.sum("w").alias("w"))
-    per = long.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("a"), F.max("w").alias("w"))
-    smooth = per.select("id", F.transform("a", lambda e: e["s"] / F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(1.0))).alias("c"))
+    parts, whole = blocks.swept(new, points, smooth, f"id {kind}, vec array<double>, w double", id_type=kind, sizes=(sizes[1] if sizes else new.count(), points.count()))
+    if not whole:
+        long = parts.select("id", "w", F.posexplode("vec").alias("pos", "x")).groupBy("id", "pos").agg(F.sum("x").alias("s"), F.sum("w").alias("w"))
+        per = long.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("a"), F.max("w").alias("w"))
+        parts = per.select("id", F.transform("a", lambda e: e["s"]).alias("vec"), "w")
+    smooth_rows = parts.select("id", F.transform("vec", lambda s: s / F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(1.0))).alias("c"))
     zero = F.array_repeat(F.lit(0.0), d)
-    return new.select("id").join(smooth, "id", "left").select("id", F.coalesce("c", zero).alias("corr"))
+    return new.select("id").join(smooth_rows, "id", "left").select("id", F.coalesce("c", zero).alias("corr"))
 
 
 #: Bins of one pass of the weighted quantile.
@@ -199,38 +207,59 @@ def adjust_variance(ref: DataFrame, new: DataFrame, corr: DataFrame, sigma: floa
     d = _width(new)
     sides = rows.select("id", F.concat("vec", "dir").alias("vec"))
 
-    def ranks(ids, x, others, y):
-        place, w = _along(x[:, :d], x[:, d:], y, sigma)
-        own = np.zeros(len(x))
+    def ranks(ids, x):
+        below, total, own = np.zeros((3, len(x)))
         for k in range(d):
             own += x[:, d + k] * x[:, k]
-        below = (w * (place <= own[:, None])).sum(axis=1)
-        return zip(ids, below.tolist(), w.sum(axis=1).tolist(), strict=True)
 
-    def spans(ids, x, others, y):
-        place, w = _along(x[:, :d], x[:, d:], y, sigma)
-        return zip(ids, w.sum(axis=1).tolist(), place.min(axis=1).tolist(), place.max(axis=1).tolist(), strict=True)
+        def add(_, y, __):
+            for s in blocks.strips(len(x), len(y)):
+                place, w = _along(x[s, :d], x[s, d:], y, sigma)
+                below[s] += (w * (place <= own[s, None])).sum(axis=1)
+                total[s] += w.sum(axis=1)
+
+        return add, lambda: [(ids, below, total)]
+
+    def spans(ids, x):
+        total, low, high = np.zeros(len(x)), np.full(len(x), np.inf), np.full(len(x), -np.inf)
+
+        def add(_, y, __):
+            for s in blocks.strips(len(x), len(y)):
+                place, w = _along(x[s, :d], x[s, d:], y, sigma)
+                total[s] += w.sum(axis=1)
+                low[s], high[s] = np.minimum(low[s], place.min(axis=1)), np.maximum(high[s], place.max(axis=1))
+
+        return add, lambda: [(ids, total, low, high)]
 
-    rank = blocks.cells(sides, new, ranks, f"id {kind}, b double, w double", id_type=kind, sizes=(n_rows, n_new)).groupBy("id").agg((F.sum("b") / F.sum("w")).alias("rank"))
-    span = blocks.cells(sides, ref, spans, f"id {kind}, w double, lo double, hi double", id_type=kind, sizes=(n_rows, n_ref)).groupBy("id").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rank = blocks.swept(sides, new, ranks, f"id {kind}, b double, w double", id_type=kind, sizes=(n_rows, n_new))[0].groupBy("id").agg((F.sum("b") / F.sum("w")).alias("rank"))
+    span = blocks.swept(sides, ref, spans, f"id {kind}, w double, lo double, hi double", id_type=kind, sizes=(n_rows, n_ref))[0].groupBy("id").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     state = checkpointed(rows.join(rank, "id").join(span, "id").select("id", "vec", "dir", "length", (F.col("rank") * F.col("w")).alias("goal"), F.lit(0.0).alias("below"), "lo", "hi"))
 
-    def bins(ids, x, others, y):
-        place, w = _along(x[:, :d], x[:, d : 2 * d], y, sigma)
-        lo, hi = x[:, 2 * d, None], x[:, 2 * d + 1, None]
-        at = np.clip(((place - lo) / (hi - lo) * QUANTILE_BINS).astype(np.int64), 0, QUANTILE_BINS - 1)
-        # The greatest value has a bin of its own, so that every pass parts the ends.
-        at = np.where(place == hi, QUANTILE_BINS, at)
-        inside = (place >= lo) & (place <= hi)
-        i, j = np.nonzero(inside)
-        cell = i * (QUANTILE_BINS + 1) + at[i, j]
-        found, which = np.unique(cell, return_inverse=True)
-        weight = np.bincount(which, w[i, j], len(found))
-        low, high = np.full(len(found), np.inf), np.full(len(found), -np.inf)
-        np.minimum.at(low, which, place[i, j])
-        np.maximum.at(high, which, place[i, j])
-        for c, *values in zip(found.tolist(), weight.tolist(), low.tolist(), high.tolist(), strict=True):
-            yield ids[c // (QUANTILE_BINS + 1)], c % (QUANTILE_BINS + 1), *values
+    def bins(ids, x):
+        size = QUANTILE_BINS + 1
+        weight, low, high = np.zeros(len(x) * size), np.full(len(x) * size, np.inf), np.full(len(x) * size, -np.inf)
+
+        def add(_, y, __):
+            for s in blocks.strips(len(x), len(y)):
+                place, w = _along(x[s, :d], x[s, d : 2 * d], y, sigma)
+                lo, hi = x[s, 2 * d, None], x[s, 2 * d + 1, None]
+                i, j = np.nonzero((place >= lo) & (place <= hi))
+                p, lo, hi = place[i, j], lo[i, 0], hi[i, 0]
+                at = np.clip(((p - lo) / (hi - lo) * QUANTILE_BINS).astype(np.int64), 0, QUANTILE_BINS - 1)
+                # The greatest value has a bin of its own, so that every pass parts the ends.
+                cell = i * size + np.where(p == hi, QUANTILE_BINS, at)
+                part = slice(s.start * size, s.stop * size)
+                weight[part] += np.bincount(cell, w[i, j], (s.stop - s.start) * size)
+                np.minimum.at(low[part], cell, p)
+                np.maximum.at(high[part], cell, p)
+
+        def done():
+            names = np.array(ids)
+            for a in range(0, len(weight), size * 1024):
+                c = a + np.flatnonzero(low[a : a + size * 1024] < np.inf)
+                yield names[c // size], (c % size).astype(np.int32), weight[c], low[c], high[c]
+
+        return add, done
 
     done = None
     while True:
@@ -241,7 +270,7 @@ def adjust_variance(ref: DataFrame, new: DataFrame, corr: DataFrame, sigma: floa
         if not left:
             break
         packed = state.select("id", F.concat("vec", "dir", F.array("lo", "hi")).alias("vec"))
-        hist = blocks.cells(packed, ref, bins, f"id {kind}, bin int, w double, lo double, hi double", id_type=kind, sizes=(left, n_ref)).groupBy("id", "bin").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        hist = blocks.swept(packed, ref, bins, f"id {kind}, bin int, w double, lo double, hi double", id_type=kind, sizes=(left, n_ref))[0].groupBy("id", "bin").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         up_to = F.sum("w").over(Window.partitionBy("id").orderBy("bin"))
         placed = hist.withColumn("up", up_to).withColumnsRenamed({"lo": "l", "hi": "h"}).join(state.select("id", "goal", "below"), "id")
         passed = F.col("below") + F.col("up") > F.col("goal")
