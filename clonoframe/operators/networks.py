@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..sources.repertoire import list_files
 from ..state import checkpointed
@@ -118,6 +119,32 @@ def load(spark: SparkSession, folder: str) -> tuple[int, Network, Adam, dict] |
     return got["epoch"], Network(tuple(got["widths"]), arrays["parameters"], got["losses"]), Adam(arrays["first"], arrays["second"], got["step"]), got["told"]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, x, y, n): the rows of each mini-batch in a partition, which come sorted by it, as two arrays of bytes."""
+
+    def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        x, y = (np.concatenate([blocks.matrix(h.column(c)) for h in held]) for c in (1, 2))
+        values = [held[0].column(0)[0].as_py()], [x.astype("<f8").tobytes()], [y.astype("<f8").tobytes()], [len(x)]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["b", "x", "y", "n"])
+
+    now, held = None, []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+        for p, q in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if keys[p] != now:
+                if held:
+                    yield row(held)
+                now, held = keys[p], []
+            held.append(batch.slice(p, q - p))
+    if held:
+        yield row(held)
+
+
+#: Most rows of a mini-batch in one task.
+PART = 4096
+
+
 def fit(
     rows: DataFrame, net: Network, loss: str, epochs: int, batch: int = 256, rate: float = 1e-3, seed: int = 0, x: str = "vec", y: str = "target", key: str = "id", folder: str | None = None,
 ) -> Network:
@@ -138,25 +165,35 @@ def fit(
             raise ValueError(f"{folder} holds another run")
         start, net, adam = last[0] + 1, last[1], last[2]
     net = Network(net.widths, net.parameters.copy(), list(net.losses))
-    parts = max(1, min(held.rdd.getNumPartitions(), -(-n // 4096)))
-    held = held.coalesce(parts).persist()
-    try:
-        for epoch in range(start, epochs):
-            dealt = held.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "key"), F.lit(per_epoch)))
+    # A mini-batch is one partition, or several of PART rows where it is large; a step runs over these only.
+    pieces = max(1, -(-batch // PART))
+    parts = pieces * min(per_epoch, max(1, -(-n // PART)))
+    groups = parts // pieces
+    for epoch in range(start, epochs):
+        b = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "key"), F.lit(per_epoch)).cast("int")
+        dealt = held.select(b.alias("b"), F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(pieces)).cast("int").alias("piece"), "key", "x", "y")
+        dealt = dealt.repartitionById(parts, F.pmod("b", F.lit(groups)) * pieces + F.col("piece")).sortWithinPartitions("b", "key")
+        packed = dealt.select("b", "x", "y").mapInArrow(_packed, "b int, x binary, y binary, n int").rdd.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
             total = np.zeros(2)
             for k in range(per_epoch):
                 now = Network(net.widths, net.parameters)
-                got = blocks.summed(
-                    dealt.where(F.col("b") == k).select("x", "y"), lambda b, now=now: loss_and_gradient(now, blocks.matrix(b.column(0)), blocks.matrix(b.column(1)), loss), size + 2, parts
-                )
+
+                def step(rows: Iterator, now=now, k=k) -> Iterator[np.ndarray]:
+                    for r in rows:
+                        if r["b"] == k:
+                            x, y = (np.frombuffer(r[c], "<f8").reshape(r["n"], -1) for c in ("x", "y"))
+                            yield loss_and_gradient(now, x, y, loss)
+
+                got = sum(spark.sparkContext.runJob(packed, step, [k % groups * pieces + i for i in range(pieces)]), np.zeros(size + 2))
                 if got[-1]:
                     net.parameters = adam.move(net.parameters, got[:-2] / got[-1], cosine_rate(epoch * per_epoch + k, epochs * per_epoch, rate))
                 total += got[-2:]
-            net.losses.append(float(total[0] / max(total[1], 1)))
-            if folder:
-                _store(spark, folder, epoch, net, adam, told)
-    finally:
-        held.unpersist()
+        finally:
+            packed.unpersist()
+        net.losses.append(float(total[0] / max(total[1], 1)))
+        if folder:
+            _store(spark, folder, epoch, net, adam, told)
     return net
 
 
