@@ -2,8 +2,8 @@
 
 A shard is some 8 MB of texts of one language. Each word position gives the string of at most three words from there to the end of its piece; the sorted distinct strings
 with their counts are the shard's trie: the count of a phrase is the sum over the strings that start with it. Tries are written
-sorted, in chunks of bounded size, level by level (words, children, counts). Cut points of about equal weight are taken from the chunks' first strings;
-chunks are split there and each range merges its sorted runs. Ranges may end inside a word's or a word pair's children, so no word is too
+sorted, in chunks of bounded size, level by level (words, children, counts). Cut points of about equal weight are taken from strings at even gaps from a random place of each chunk
+(shards are alike, so their chunks begin at about the same strings, whatever their number); chunks are split there and each range merges its sorted runs. Ranges may end inside a word's or a word pair's children, so no word is too
 frequent for a task; the few phrases that such an end divides are summed afterwards. In a merged range the walk from the root
 to a phrase gives the counts of its left parts. Right parts are suffix links: the phrase without its first word is looked up among the frequent
 phrases (a part is at least as frequent as the whole), and the link of a triple goes on to the link of its pair.
@@ -15,6 +15,7 @@ Repeated rows count each. Extra columns are ignored. An empty table gives no row
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ from .common import cut, pa_schema
 
 #: Bytes of text of a shard; entries of a chunk; entries, before they are merged, that a range should have; most cut points' candidates that reach the driver.
 SHARD, CHUNK, RANGE, SAMPLE = 8 << 20, 1 << 16, 1 << 19, 50_000
+#: Strings of a whole chunk that may be cut points.
+MARKS = 8
 #: Salts of the first of two rankings.
 SALTS = 256
 
@@ -216,8 +219,8 @@ def _pieces(raw: bytes, size: int) -> Iterator[bytes]:
 
 
 def _tries(docs: DataFrame, shard: int, chunk: int) -> DataFrame:
-    """(lang, first, entries, total, blob): the chunks of all shards' tries."""
-    ddl = "lang string, first array<binary>, entries long, total long, blob binary"
+    """(lang, marks, entries, total, blob): the chunks of all shards' tries."""
+    ddl = "lang string, marks array<array<binary>>, entries long, total long, blob binary"
     schema = pa_schema(docs.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +232,10 @@ def _tries(docs: DataFrame, shard: int, chunk: int) -> DataFrame:
                 whole = trie(b"\n".join(held.pop(lang)))
                 for a in range(0, len(whole[2]), chunk):
                     part = whole[0], whole[1][a : a + chunk], whole[2][a : a + chunk]
-                    row = lang, list(entry(part, 0)), len(part[2]), int(part[2].sum()), pack(part)
+                    blob = pack(part)
+                    gap = max(1, chunk // MARKS)
+                    marks = [list(entry(part, i)) for i in range(zlib.crc32(blob) % gap, len(part[2]), gap)]
+                    row = lang, marks, len(part[2]), int(part[2].sum()), blob
                     yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -246,20 +252,26 @@ def _tries(docs: DataFrame, shard: int, chunk: int) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text").mapInArrow(run, ddl)
 
 
+def cut_points(tries: DataFrame, per_range: int) -> tuple[int, dict[str, list[tuple[bytes, ...]]]]:
+    """The number of ranges, and each language's cut points between them."""
+    total, marks = tries.agg(F.sum("entries"), F.sum(F.size("marks"))).first()
+    n_ranges = max(1, -(-(total or 0) // per_range))
+    points: dict[str, list[tuple[bytes, ...]]] = {}
+    if n_ranges > 1 and marks:
+        # The sample only balances ranges; results don't depend on it.
+        drawn = tries.select("lang", F.explode("marks").alias("mark")).sample(min(1.0, SAMPLE / marks), 7).collect()
+        drawn = sorted((r["lang"].encode(), tuple(map(bytes, r["mark"]))) for r in drawn)
+        for k in sorted({i * len(drawn) // n_ranges for i in range(1, n_ranges)}):
+            if drawn and (not (own := points.setdefault(drawn[k][0].decode(), [])) or own[-1] != drawn[k][1]):
+                own.append(drawn[k][1])
+    return n_ranges, points
+
+
 def frequent(docs: DataFrame, least: int, shard: int = SHARD, chunk: int = CHUNK, per_range: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """(lang, w1, w2, w3, f, l1, l2) of all phrases of 1 to 3 words that occur ``least`` times (missing words and left parts null), and (lang, n): all words."""
     spark = docs.sparkSession
     tries = cut(_tries(docs, shard, chunk))
-    total, chunks = tries.agg(F.sum("entries"), F.count(F.lit(1))).first()
-    n_ranges = max(1, -(-(total or 0) // per_range))
-    points: dict[str, list[tuple[bytes, ...]]] = {}
-    if n_ranges > 1:
-        # The sample only balances ranges; results don't depend on it.
-        firsts = tries.select("lang", "first").sample(min(1.0, SAMPLE / chunks), 7).collect()
-        firsts = sorted((r["lang"].encode(), tuple(map(bytes, r["first"]))) for r in firsts)
-        for k in sorted({i * len(firsts) // n_ranges for i in range(1, n_ranges)}):
-            if firsts and (not (own := points.setdefault(firsts[k][0].decode(), [])) or own[-1] != firsts[k][1]):
-                own.append(firsts[k][1])
+    n_ranges, points = cut_points(tries, per_range)
     shared = spark.sparkContext.broadcast(points)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

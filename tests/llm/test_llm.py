@@ -759,3 +759,21 @@ def test_url_sql(spark):
     c.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SMALL}/pages.parquet')")
     want = Counter(c.sql(Q.oracle_sql()["op3_url_filter"]).fetchall())
     assert Counter(tuple(r) for r in Q.op3_url_filter(spark, SMALL).collect()) == want
+
+
+def test_ranges_of_collocations_stay_even(spark):
+    """Shards are alike, so their chunks begin at the same strings; ranges must not grow with the number of shards."""
+    import numpy as np
+
+    from clonoframe.llm import collocations as c
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{v:03d}" for v in rng.integers(0, 900, 700)) for _ in range(40)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1)
+    tries = c._tries(docs, 3000, 256).cache()
+    n_ranges, points = c.cut_points(tries, 512)
+    sizes = np.zeros(len(points["en"]) + 1)
+    for r in tries.collect():
+        for k, part in c.split(c.unpack(bytes(r["blob"])), points["en"]):
+            sizes[k] += len(part[2])
+    assert len(sizes) > 0.8 * n_ranges and sizes.max() < 3 * 512, (n_ranges, sizes.max())
