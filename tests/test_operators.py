@@ -886,6 +886,24 @@ def test_kernel_machine_equals_one_solver(spark):
     assert all(r.score > 0 for r in kernel_svm.predict(rows, one).collect())
 
 
+def test_kernel_machine_of_many_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x, label = rng.normal(size=(500, 3)), rng.integers(0, 2, 500)
+    y = np.where(label == 1, 1.0, -1.0)
+    alpha, offset = kernel_svm.solve(x, y, 1.0, 1.0, tol=1e-6)
+    want = kernel_svm.kernel(x, x, 1.0) @ (alpha * y) + offset
+    rows = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, label, strict=True))], "id long, vec array<double>, label int").repartition(3)
+    # Most rows are support vectors, many times as many as a working set or a part has rows.
+    monkeypatch.setattr(kernel_svm, "HELD", 48)
+    monkeypatch.setattr(kernel_svm, "PART", 40)
+    machine = kernel_svm.train(rows, 1.0, 1.0, part=40, tol=1e-6)
+    got = {r.id: r.score for r in kernel_svm.predict(rows, machine).collect()}
+    assert machine.size > 300 and not len(machine.vectors)
+    assert max(abs(got[i] - want[i]) for i in range(500)) < 1e-3
+    weights = {int(r.id): r.weight for r in machine.weighted(spark).collect()}
+    assert len(weights) == machine.size and max(abs(weights.get(i, 0.0) - alpha[i] * y[i]) for i in range(500)) < 1e-3
+
+
 def trustworthiness(x, y, k=10):
     """The share of near rows of a layout that are near in the input, by ranks."""
     n = len(x)
