@@ -114,17 +114,19 @@ def strips(rows: int, columns: int) -> Iterator[slice]:
         yield slice(i, min(rows, i + step))
 
 
-def swept(left: DataFrame, right: DataFrame, fold: Fold, ddl: str, id_type: str = "string", sizes: tuple[int, int] | None = None, square: bool = False) -> tuple[DataFrame, bool]:
+def swept(left: DataFrame, right: DataFrame, fold: Fold, ddl: str, id_type: str = "string", sizes: tuple[int, int] | None = None, square: bool = False, whole: bool = False) -> tuple[DataFrame, bool]:
     """Rows of ``ddl`` from ``fold`` for each cell of ``grid``, and whether each left block has met all right rows in one cell.
 
     ``left`` and ``right``: id, vec; ids are strings or longs (``id_type``). ``right`` may have a column ``tag`` (int); a step then holds rows of one tag only. ``fold(ids, x)`` is called with a left block
     and gives (add, done): ``add(ids, y, tag)`` takes the next right rows, ``done()`` yields tuples of columns. Cells without rows of either side give nothing. Where the second value is false,
     a left row gives one result for each right part. ``square`` is for folds with small results a left row or block: the shuffle is some 10 copies of a side then.
+    ``whole``: the second value is always true.
     """
     spark = left.sparkSession
     n, m = sizes or (left.count(), right.count())
     first = left.select(F.size("vec").alias("n")).first()
     nx, ny = grid(spark, n, m, first["n"] if first else 1, square)
+    ny = 1 if whole else ny
     at = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
 

@@ -452,6 +452,21 @@ def test_method_table_computes_sides_once(spark):
     assert 40 <= read.value <= 80
 
 
+def test_neighbours_folded_where_they_are(spark):
+    from clonoframe.operators import blocks, neighbors
+
+    x = np.random.default_rng(4).normal(size=(600, 3))
+    rows = side(spark, x)
+    got = neighbors.knn_folded(rows, rows, 4, lambda ids, near, dist: (ids, near[:, -1], dist[:, -1]), "i long, j long, d double", exclude_self=True).collect()
+    want = {r.i: (r.j, r.dist) for r in neighbors.knn(rows, rows, 4, exclude_self=True).where("rank = 4").collect()}
+    assert {r.i: (r.j, r.d) for r in got} == want and len(got) == 600
+    few = neighbors.knn_folded(rows.limit(3), rows.limit(3), 9, lambda ids, near, _: (ids, np.full(len(ids), near.shape[1])), "i long, n long", exclude_self=True).collect()
+    assert [r.n for r in few] == [2, 2, 2]
+    # Copies of both sides: right rows by left blocks, left rows by right parts.
+    (nx, ny), (sx, sy) = (blocks.grid(spark, 40_000, 40_000, 8, square=s) for s in (False, True))
+    assert sx * sy >= nx * ny and sx + sy < nx + ny
+
+
 def test_jsd_forms_no_pairs(spark, monkeypatch):
     from clonoframe.operators import blocks, metrics
 
