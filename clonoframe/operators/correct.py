@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -174,112 +174,178 @@ def mnn_vectors(ref: DataFrame, new: DataFrame, k: int, sigma: float = 1.0, size
     return new.select("id").join(smooth_rows, "id", "left").select("id", F.coalesce("c", zero).alias("corr"))
 
 
-#: Bins of one pass of the weighted quantile.
-QUANTILE_BINS = 64
+#: Bins of the first pass of the weighted quantile, and of each further one.
+FIRST_BINS, QUANTILE_BINS = 128, 64
 
 
-def _along(base: np.ndarray, direction: np.ndarray, other: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``other``'s rows along each direction, and their weights exp(-squared distance from the line / sigma); rows of ``base`` by rows of ``other``.
+def _exactly(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows, by the same sums for equal rows wherever they lie."""
+    out = np.empty(len(i))
+    for a in range(0, len(i), 1 << 14):
+        s = slice(a, a + (1 << 14))
+        out[s] = (x[i[s]] * y[j[s]]).sum(axis=1)
+    return out
 
-    Sums go over the dimensions one by one, so that a pair gives the same numbers in every block that it meets in.
+
+def _apart(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs of rows."""
+    out = np.empty(len(i))
+    for a in range(0, len(i), 1 << 14):
+        s = slice(a, a + (1 << 14))
+        out[s] = ((x[i[s]] - y[j[s]]) ** 2).sum(axis=1)
+    return out
+
+
+class _Lines:
+    """A block of rows with a direction of length 1 each: where other rows lie along it, and how much they weigh, exp(-squared distance from the line / sigma).
+
+    Places come from one matrix product, which rounds a pair differently from block to block; where ``slack`` decides, they are found again by ``_exactly``.
     """
-    place, apart = np.zeros((2, len(base), len(other)))
-    own = np.zeros(len(base))
-    for k in range(base.shape[1]):
-        place += direction[:, k, None] * other[:, k]
-        apart += (other[:, k] - base[:, k, None]) ** 2
-        own += direction[:, k] * base[:, k]
-    return place, np.exp(-np.maximum(apart - (place - own[:, None]) ** 2, 0) / sigma)
+
+    def __init__(self, base: np.ndarray, direction: np.ndarray, sigma: float):
+        self.base, self.direction, self.sigma = base, np.ascontiguousarray(direction), sigma
+        self.own = (self.direction * base).sum(axis=1)
+        self._left = np.hstack([2 * base, -(base * base).sum(axis=1)[:, None], np.full((len(base), 1), -1.0)]) / sigma
+        self._along = np.hstack([self.direction, -self.own[:, None]])
+
+    def met(self, y: np.ndarray) -> Iterator[tuple[np.ndarray, tuple, float, slice]]:
+        """Parts of some right rows, what their products need, their slack, and slices of this block: together small enough for a core's cache, as each number is touched some ten times."""
+        for a in range(0, len(y), 512):
+            part = y[a : a + 512]
+            right, slack = self.step(part), self.slack(part)
+            for i in range(0, len(self.base), 128):
+                yield part, right, slack, slice(i, min(len(self.base), i + 128))
+
+    def slack(self, y: np.ndarray) -> float:
+        return 1e-14 * (y.shape[1] + 10) * float(np.sqrt((y * y).sum(axis=1).max(initial=0)) + np.abs(self.own).max(initial=0))
+
+    def step(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the products of this block with some right rows need."""
+        one = np.ones((len(y), 1))
+        return np.hstack([y, one, (y * y).sum(axis=1)[:, None]]).T.copy(), np.hstack([y, one]).T.copy()
+
+    def along(self, s: slice, right: tuple) -> np.ndarray:
+        """Places beyond the rows' own."""
+        return self._along[s] @ right[1]
+
+    def weights(self, s: slice, right: tuple, along: np.ndarray) -> np.ndarray:
+        w = self._left[s] @ right[0]
+        w += along * along / self.sigma
+        np.minimum(w, 0, out=w)
+        return np.exp(w, out=w)
 
 
 def adjust_variance(ref: DataFrame, new: DataFrame, corr: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """``corr`` scaled, by 1 at least, to the reference's quantile at each row's weighted rank along its correction.
+    """``corr`` scaled, by 1 at least, to the reference's quantile at each row's weighted rank along its correction. Both sides are cosine-normalised.
 
-    Nothing is collected or broadcast: blocks of rows meet blocks of either side and return, for each row, weight below it, or a weighted histogram of ``QUANTILE_BINS`` bins with each
-    bin's ends. Each further pass looks into the bin that holds the wanted weight, for the rows that aren't settled yet; a row is settled when its bin holds
-    one value.
+    Nothing is collected or broadcast: a block of rows keeps its ranks and weighted histograms while all rows of the new side and then of the reference pass by, and knows then which of
+    ``FIRST_BINS`` bins holds the wanted weight. Each further sweep of the reference looks into the rows' bins only, by ``QUANTILE_BINS`` bins that keep their least and greatest place,
+    for the rows that aren't settled yet; a row is settled when its bin holds one value.
     """
     kind = "long" if dict(new.dtypes)["id"] in ("bigint", "int") else "string"
     length = V.norm(F.col("corr"))
     rows = new.join(corr, "id").withColumn("length", length).where("length > 0")
-    rows = checkpointed(rows.select("id", "vec", F.transform("corr", lambda x: x / F.col("length")).alias("dir"), "length"))
-    n_rows, n_new, n_ref = rows.count(), new.count(), ref.count()
+    lined = checkpointed(rows.select("id", F.concat("vec", F.transform("corr", lambda x: x / F.col("length")), F.array("length")).alias("vec")))
+    n_rows, n_new = lined.count(), new.count()
+    n_ref, reach = ref.agg(F.count(F.lit(1)), F.max(V.norm(F.col("vec")))).first()
     d = _width(new)
-    sides = rows.select("id", F.concat("vec", "dir").alias("vec"))
-
-    def ranks(ids, x):
-        below, total, own = np.zeros((3, len(x)))
-        for k in range(d):
-            own += x[:, d + k] * x[:, k]
-
-        def add(_, y, __):
-            for s in blocks.strips(len(x), len(y)):
-                place, w = _along(x[s, :d], x[s, d:], y, sigma)
-                below[s] += (w * (place <= own[s, None])).sum(axis=1)
-                total[s] += w.sum(axis=1)
-
-        return add, lambda: [(ids, below, total)]
-
-    def spans(ids, x):
-        total, low, high = np.zeros(len(x)), np.full(len(x), np.inf), np.full(len(x), -np.inf)
-
-        def add(_, y, __):
-            for s in blocks.strips(len(x), len(y)):
-                place, w = _along(x[s, :d], x[s, d:], y, sigma)
-                total[s] += w.sum(axis=1)
-                low[s], high[s] = np.minimum(low[s], place.min(axis=1)), np.maximum(high[s], place.max(axis=1))
+    edges = np.linspace(-1, 1, FIRST_BINS + 1) * ((reach or 1.0) * (1 + 1e-9))
+    # A row's vector goes on with its correction's direction and length, then what is known of its quantile: goal, weight below the ends, ends.
+    ddl, goal_at = f"id {kind}, vec array<double>", 2 * d + 1
+
+    def first(ids, x):
+        lines = _Lines(x[:, :d], x[:, d : 2 * d], sigma)
+        below, among, weight = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x) * FIRST_BINS)
+        per_unit = FIRST_BINS / (edges[-1] - edges[0])
+
+        def add(_, rows, tag):
+            for y, right, slack, s in lines.met(rows):
+                along = lines.along(s, right)
+                w = lines.weights(s, right, along)
+                if not tag:
+                    among[s] += w.sum(axis=1)
+                    i, j = np.nonzero(np.abs(along) <= slack)
+                    if len(i):
+                        along[i, j] = np.where(_exactly(lines.direction[s], y, i, j) <= lines.own[s][i], -1.0, 1.0)
+                    w *= along <= 0
+                    below[s] += w.sum(axis=1)
+                    continue
+                at = (along + (lines.own[s, None] - edges[0])) * per_unit
+                cell = at.astype(np.int64)
+                at -= cell
+                i, j = np.nonzero((at <= slack * per_unit) | (at >= 1 - slack * per_unit))
+                if len(i):
+                    cell[i, j] = np.searchsorted(edges, _exactly(lines.direction[s], y, i, j), side="right") - 1
+                cell += np.arange(s.stop - s.start)[:, None] * FIRST_BINS
+                weight[s.start * FIRST_BINS : s.stop * FIRST_BINS] += np.bincount(cell.ravel(), w.ravel(), (s.stop - s.start) * FIRST_BINS)
 
-        return add, lambda: [(ids, total, low, high)]
+        def done():
+            up = np.cumsum(weight.reshape(-1, FIRST_BINS), axis=1)
+            goal = below / among * up[:, -1]
+            passed = up > goal[:, None]
+            bin_ = passed.argmax(axis=1)
+            before = np.where(bin_ > 0, up[np.arange(len(x)), np.maximum(bin_ - 1, 0)], 0)
+            found = np.column_stack([goal, before, edges[bin_], np.nextafter(edges[bin_ + 1], -np.inf)])
+            # Where rounding leaves no bin beyond the goal, it is the greatest value of all.
+            found[~passed.any(axis=1)] = np.inf, 0, edges[0], edges[-1]
+            yield ids, list(np.hstack([x, found]))
 
-    rank = blocks.swept(sides, new, ranks, f"id {kind}, b double, w double", id_type=kind, sizes=(n_rows, n_new))[0].groupBy("id").agg((F.sum("b") / F.sum("w")).alias("rank"))
-    span = blocks.swept(sides, ref, spans, f"id {kind}, w double, lo double, hi double", id_type=kind, sizes=(n_rows, n_ref))[0].groupBy("id").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    state = checkpointed(rows.join(rank, "id").join(span, "id").select("id", "vec", "dir", "length", (F.col("rank") * F.col("w")).alias("goal"), F.lit(0.0).alias("below"), "lo", "hi"))
+        return add, done
 
-    def bins(ids, x):
-        size = QUANTILE_BINS + 1
+    def narrowed(ids, x):
+        lines, size = _Lines(x[:, :d], x[:, d : 2 * d], sigma), QUANTILE_BINS + 1
+        goal, before, lo, hi = x[:, goal_at:].T
         weight, low, high = np.zeros(len(x) * size), np.full(len(x) * size, np.inf), np.full(len(x) * size, -np.inf)
 
-        def add(_, y, __):
-            for s in blocks.strips(len(x), len(y)):
-                place, w = _along(x[s, :d], x[s, d : 2 * d], y, sigma)
-                lo, hi = x[s, 2 * d, None], x[s, 2 * d + 1, None]
-                i, j = np.nonzero((place >= lo) & (place <= hi))
-                p, lo, hi = place[i, j], lo[i, 0], hi[i, 0]
-                at = np.clip(((p - lo) / (hi - lo) * QUANTILE_BINS).astype(np.int64), 0, QUANTILE_BINS - 1)
+        def add(_, rows, __):
+            for y, right, slack, s in lines.met(rows):
+                along = lines.along(s, right)
+                i, j = np.nonzero((along >= (lo - lines.own - slack)[s, None]) & (along <= (hi - lines.own + slack)[s, None]))
+                p = _exactly(lines.direction[s], y, i, j)
+                i += s.start
+                ok = (p >= lo[i]) & (p <= hi[i])
+                i, j, p = i[ok], j[ok], p[ok]
+                w = np.exp(-np.maximum(_apart(lines.base, y, i, j) - (p - lines.own[i]) ** 2, 0) / sigma)
+                at = np.clip(((p - lo[i]) / (hi[i] - lo[i]) * QUANTILE_BINS).astype(np.int64), 0, QUANTILE_BINS - 1)
                 # The greatest value has a bin of its own, so that every pass parts the ends.
-                cell = i * size + np.where(p == hi, QUANTILE_BINS, at)
+                cell = (i - s.start) * size + np.where(p == hi[i], QUANTILE_BINS, at)
                 part = slice(s.start * size, s.stop * size)
-                weight[part] += np.bincount(cell, w[i, j], (s.stop - s.start) * size)
+                weight[part] += np.bincount(cell, w, (s.stop - s.start) * size)
                 np.minimum.at(low[part], cell, p)
                 np.maximum.at(high[part], cell, p)
 
         def done():
-            names = np.array(ids)
-            for a in range(0, len(weight), size * 1024):
-                c = a + np.flatnonzero(low[a : a + size * 1024] < np.inf)
-                yield names[c // size], (c % size).astype(np.int32), weight[c], low[c], high[c]
+            shape, every = (len(x), size), np.arange(len(x))
+            up = before[:, None] + np.cumsum(weight.reshape(shape), axis=1)
+            passed = up > goal[:, None]
+            none = ~passed.any(axis=1)
+            bin_ = passed.argmax(axis=1)
+            least, most = low.reshape(shape), high.reshape(shape)
+            greatest = most.max(axis=1)
+            under = np.where(bin_ > 0, up[every, np.maximum(bin_ - 1, 0)], before)
+            ends = np.where(none, greatest, least[every, bin_]), np.where(none, greatest, most[every, bin_])
+            yield ids, list(np.column_stack([x[:, :goal_at], goal, under, *ends]))
 
         return add, done
 
+    def swept(left: DataFrame, right: DataFrame, fold: Callable, sizes: tuple[int, int]) -> DataFrame:
+        return checkpointed(blocks.swept(left, right, fold, ddl, id_type=kind, sizes=sizes, whole=True)[0])
+
+    # The new side passes by first.
+    as_kind = lambda df, tag: df.select(F.col("id").cast(kind).alias("id"), "vec", F.lit(tag).alias("tag"))
+    state = swept(lined, as_kind(new, 0).unionByName(as_kind(ref, 1)), first, (n_rows, n_new + n_ref))
+    lo, hi = F.get("vec", F.lit(goal_at + 2)), F.get("vec", F.lit(goal_at + 3))
     done = None
     while True:
-        ready = state.where("lo = hi").select("id", "length", "vec", "dir", F.col("lo").alias("at"))
+        vec, own_dir = F.slice("vec", 1, d), F.slice("vec", d + 1, d)
+        ready = state.where(lo == hi).select("id", ((lo - V.dot(own_dir, vec)) / F.get("vec", F.lit(2 * d))).alias("beyond"))
         done = ready if done is None else done.unionByName(ready)
-        state = state.where("lo < hi")
+        state = state.where(lo < hi)
         left = state.count()
         if not left:
             break
-        packed = state.select("id", F.concat("vec", "dir", F.array("lo", "hi")).alias("vec"))
-        hist = blocks.swept(packed, ref, bins, f"id {kind}, bin int, w double, lo double, hi double", id_type=kind, sizes=(left, n_ref))[0].groupBy("id", "bin").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        up_to = F.sum("w").over(Window.partitionBy("id").orderBy("bin"))
-        placed = hist.withColumn("up", up_to).withColumnsRenamed({"lo": "l", "hi": "h"}).join(state.select("id", "goal", "below"), "id")
-        passed = F.col("below") + F.col("up") > F.col("goal")
-        ends = F.struct((F.col("below") + F.col("up") - F.col("w")).alias("below"), "l", "h")
-        # Where rounding leaves no bin beyond the goal, it is the greatest value.
-        last = F.struct(F.max("below").alias("below"), F.max("h").alias("l"), F.max("h").alias("h"))
-        hit = placed.groupBy("id").agg(F.coalesce(F.min_by(F.when(passed, ends), F.when(passed, F.col("bin"))), last).alias("hit"))
-        state = checkpointed(state.drop("below", "lo", "hi").join(hit, "id").select("id", "vec", "dir", "length", "goal", "hit.below", F.col("hit.l").alias("lo"), F.col("hit.h").alias("hi")))
-    scale = done.select("id", F.greatest((F.col("at") - V.dot(F.col("dir"), F.col("vec"))) / F.col("length"), F.lit(1.0)).alias("scale"))
+        state = swept(state, ref, narrowed, (left, n_ref))
+    scale = done.select("id", F.greatest("beyond", F.lit(1.0)).alias("scale"))
     return corr.join(scale, "id", "left").select("id", F.transform("corr", lambda x: x * F.coalesce("scale", F.lit(1.0))).alias("corr"))
 
 
