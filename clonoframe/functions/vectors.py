@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _once(value: Column, f) -> Column:
+    """f(value) with the value computed once a row; a lambda over an array would compute it again for each entry."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -24,8 +29,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Zero vectors stay as they are."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return _once(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -37,8 +41,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def shares(v: Column, eps: float = 0.0) -> Column:
     """v clipped at 0 and divided by its sum plus ``eps``; null for a zero vector without ``eps``."""
     w = F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))
-    s = total(w) + F.lit(eps)
-    return F.when(s > 0, F.transform(w, lambda x: x / s))
+    return _once(total(w) + F.lit(eps), lambda s: F.when(s > 0, F.transform(w, lambda x: x / s)))
 
 
 def jensen_shannon(a: Column, b: Column) -> Column:
@@ -56,9 +59,8 @@ def cross_entropy(a: Column, b: Column, eps: float = 1e-9) -> Column:
 def standardize(v: Column) -> Column:
     """z-scores of a vector's own entries, then L2 normalisation; a constant vector gives zeros."""
     n = F.size(v).cast("double")
-    mean = total(v) / n
-    sd = F.sqrt(total(F.transform(v, lambda x: (x - mean) * (x - mean))) / n)
-    return l2_normalize(F.transform(v, lambda x: F.when(sd > 0, (x - mean) / sd).otherwise(F.lit(0.0))))
+    spread = lambda mean: F.sqrt(total(F.transform(v, lambda x: (x - mean) * (x - mean))) / n)
+    return l2_normalize(_once(total(v) / n, lambda mean: _once(spread(mean), lambda sd: F.transform(v, lambda x: F.when(sd > 0, (x - mean) / sd).otherwise(F.lit(0.0))))))
 
 
 def edge_weight(a: Column, b: Column, sigma: float = 15.0) -> Column:

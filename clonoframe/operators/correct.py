@@ -204,7 +204,7 @@ class _Lines:
 
     def __init__(self, base: np.ndarray, direction: np.ndarray, sigma: float):
         self.base, self.direction, self.sigma = base, np.ascontiguousarray(direction), sigma
-        self.own = (self.direction * base).sum(axis=1)
+        self.own, self.room = (self.direction * base).sum(axis=1), blocks.Room()
         self._left = np.hstack([2 * base, -(base * base).sum(axis=1)[:, None], np.full((len(base), 1), -1.0)]) / sigma
         self._along = np.hstack([self.direction, -self.own[:, None]])
 
@@ -226,11 +226,14 @@ class _Lines:
 
     def along(self, s: slice, right: tuple) -> np.ndarray:
         """Places beyond the rows' own."""
-        return self._along[s] @ right[1]
+        return self.room.product(self._along[s], right[1], "along")
 
     def weights(self, s: slice, right: tuple, along: np.ndarray) -> np.ndarray:
-        w = self._left[s] @ right[0]
-        w += along * along / self.sigma
+        w = self.room.product(self._left[s], right[0], "weights")
+        squares = np.multiply(along, along, out=self.room.get(*w.shape, "squares"))
+        if self.sigma != 1:
+            squares /= self.sigma
+        w += squares
         np.minimum(w, 0, out=w)
         return np.exp(w, out=w)
 
@@ -264,16 +267,20 @@ def adjust_variance(ref: DataFrame, new: DataFrame, corr: DataFrame, sigma: floa
                 w = lines.weights(s, right, along)
                 if not tag:
                     among[s] += w.sum(axis=1)
-                    i, j = np.nonzero(np.abs(along) <= slack)
+                    i, j = blocks.hits(np.abs(along) <= slack)
                     if len(i):
                         along[i, j] = np.where(_exactly(lines.direction[s], y, i, j) <= lines.own[s][i], -1.0, 1.0)
                     w *= along <= 0
                     below[s] += w.sum(axis=1)
                     continue
-                at = (along + (lines.own[s, None] - edges[0])) * per_unit
-                cell = at.astype(np.int64)
-                at -= cell
-                i, j = np.nonzero((at <= slack * per_unit) | (at >= 1 - slack * per_unit))
+                along += lines.own[s, None] - edges[0]
+                along *= per_unit
+                cell = lines.room.get(*along.shape, "cell", np.int64)
+                np.copyto(cell, along, casting="unsafe")
+                along -= cell
+                along -= 0.5
+                np.abs(along, out=along)
+                i, j = blocks.hits(along >= 0.5 - slack * per_unit)
                 if len(i):
                     cell[i, j] = np.searchsorted(edges, _exactly(lines.direction[s], y, i, j), side="right") - 1
                 cell += np.arange(s.stop - s.start)[:, None] * FIRST_BINS
@@ -300,7 +307,7 @@ def adjust_variance(ref: DataFrame, new: DataFrame, corr: DataFrame, sigma: floa
         def add(_, rows, __):
             for y, right, slack, s in lines.met(rows):
                 along = lines.along(s, right)
-                i, j = np.nonzero((along >= (lo - lines.own - slack)[s, None]) & (along <= (hi - lines.own + slack)[s, None]))
+                i, j = blocks.hits((along >= (lo - lines.own - slack)[s, None]) & (along <= (hi - lines.own + slack)[s, None]))
                 p = _exactly(lines.direction[s], y, i, j)
                 i += s.start
                 ok = (p >= lo[i]) & (p <= hi[i])

@@ -453,6 +453,47 @@ def test_method_table_computes_sides_once(spark):
     assert 40 <= read.value <= 80
 
 
+def test_blocks_of_one_side_meet_once(spark):
+    rows = side(spark, np.random.default_rng(13).normal(size=(3000, 2)))
+
+    def fold(_, x):
+        met = np.zeros(3)
+
+        def add(__, y, times):
+            met[:] += len(x) * len(y), len(x) * len(y) * times, float((x @ y.T).sum()) * times
+
+        return add, lambda: [(met[:1], met[1:2], met[2:])]
+
+    got = blocks.swept(rows, rows, fold, "pairs double, counted double, s double", id_type="long", sizes=(3000, 3000), square=True, half=True)[0].agg(F.sum("pairs"), F.sum("counted"), F.sum("s")).first()
+    total = np.array([r.vec for r in rows.collect()]).sum(axis=0)
+    assert got[1] == 3000**2 and got[0] < 0.75 * 3000**2 and got[2] == pytest.approx(total @ total)
+
+
+def test_median_of_many_equal_and_far_distances(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    exactly = lambda x, y: float(np.median(np.sqrt(((x[:, None] - y) ** 2).sum(axis=2))))
+    pairs = [
+        (rng.integers(0, 3, size=(60, 2)).astype(float), rng.integers(0, 3, size=(50, 2)).astype(float)),
+        (rng.normal(size=(60, 3)) + 1e6, rng.normal(size=(51, 3)) + 1e6),
+        (rng.normal(size=(60, 3)) * 1e-9, np.vstack([rng.normal(size=(50, 3)) * 1e-9, [[1e3, 0, 0]]])),
+    ]
+    for few in (1, 100, metrics.FEW):
+        monkeypatch.setattr(metrics, "FEW", few)
+        for x, y in pairs:
+            assert metrics.median_distance(side(spark, x), side(spark, y), bins=16) == pytest.approx(exactly(x, y), rel=1e-12)
+
+
+def test_row_values_are_computed_once(spark):
+    # A lambda that holds an aggregate of its row would compute it for each entry: seconds instead of milliseconds on wide vectors.
+    import time
+
+    wide = side(spark, np.ones((40, 4000)))
+    for f in (V.l2_normalize, V.shares, V.standardize):
+        start = time.perf_counter()
+        assert wide.select(F.sum(F.size(f(F.col("vec"))))).first()[0] == 160_000
+        assert time.perf_counter() - start < 5, f
+
+
 def test_adjust_variance_by_few_sweeps(spark, monkeypatch):
     rng = np.random.default_rng(12)
     unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
