@@ -1072,6 +1072,24 @@ def test_kernel_machine_of_many_vectors(spark, monkeypatch):
     assert len(weights) == machine.size and max(abs(weights.get(i, 0.0) - alpha[i] * y[i]) for i in range(500)) < 1e-3
 
 
+def test_kernel_machine_takes_few_turns(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    x, label = rng.normal(size=(600, 6)), rng.integers(0, 2, 600)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(label == 1, 1.0, -1.0)
+    alpha, offset = kernel_svm.solve(x, y, 1.0, 1.0, tol=1e-6)
+    rows = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, label, strict=True))], "id long, vec array<double>, label int").repartition(3)
+    monkeypatch.setattr(kernel_svm, "HELD", 64)
+    monkeypatch.setattr(kernel_svm, "PART", 60)
+    machine = kernel_svm.train(rows, 1.0, 1.0, part=60)
+    weights = {int(r.id): r.weight for r in machine.weighted(spark).collect()}
+    got = kernel_svm.kernel(x, x, 1.0) @ np.array([weights.get(i, 0.0) for i in range(600)]) + machine.offset
+    assert machine.size > 300 and abs(sum(weights.values())) < 1e-9 and max(abs(w) for w in weights.values()) <= 1
+    assert np.abs(got - kernel_svm.kernel(x, x, 1.0) @ (alpha * y) - offset).max() < 1e-2
+    # From zero and with sets of HELD rows it took 33.
+    assert machine.rounds < 20, machine.rounds
+
+
 def trustworthiness(x, y, k=10):
     """The share of near rows of a layout that are near in the input, by ranks."""
     n = len(x)
